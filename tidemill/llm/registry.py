@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import mixing, packing, token_files
-from tidemill.llm.common import documents
+from tidemill.llm import fingerprints, line_dedup, mixing, packing, quality, secrets, token_files
+from tidemill.llm.common import documents, labels
 from tidemill.llm.tokens import BYTE_BPE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,23 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_documents(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return line_dedup.drop_repeated_lines(docs)
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(documents(spark, sf_dir))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_documents(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(documents(spark, sf_dir))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
 
@@ -27,12 +44,37 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_files, op5_best_fit_packing, op10_source_mixing]
+    found = [op1_token_files, op2_line_dedup, op3_secret_scan, op4_quality_rules, op5_best_fit_packing, op8_order_minhash, op10_source_mixing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_source_mixing": MIXING_SQL}
+    return {"op2_line_dedup": LINES_SQL, "op10_source_mixing": MIXING_SQL}
+
+
+LINES_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
+  FROM documents WHERE text IS NOT NULL),
+hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM lines),
+marked AS (
+  SELECT *, (h + coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 31) % 1000003 % 3 = 0 AS ends FROM hashed),
+numbered AS (
+  SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
+  FROM marked),
+chunks AS (
+  SELECT doc_id, c, min(i) AS first, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, c),
+multi AS (SELECT * FROM chunks WHERE n >= 2 AND regexp_matches(chunk, '\S')),
+later AS (
+  SELECT doc_id, c, n FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first) AS k FROM multi) WHERE k > 1),
+kept AS (
+  SELECT n.doc_id, count(*) AS n_lines, count(*) FILTER (l.c IS NOT NULL) AS n_removed,
+         coalesce(string_agg(n.line, chr(10) ORDER BY n.i) FILTER (l.c IS NULL), '') AS text
+  FROM numbered n LEFT JOIN later l ON n.doc_id = l.doc_id AND n.c = l.c GROUP BY n.doc_id),
+counted AS (SELECT doc_id, count(*) AS n_chunks FROM later GROUP BY doc_id)
+SELECT d.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, coalesce(c.n_chunks, 0) AS n_chunks
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN counted c USING (doc_id)
+"""
 
 
 MIXING_SQL = r"""
