@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import fingerprints, line_dedup, media, mixing, packing, quality, secrets, token_files
+from tidemill.llm import fingerprints, jaccard, line_dedup, media, mixing, packing, quality, secrets, token_files
 from tidemill.llm.common import documents, labels
 from tidemill.llm.tokens import BYTE_BPE
 
@@ -43,12 +43,16 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allot(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_files, op2_line_dedup, op3_secret_scan, op4_quality_rules, op5_best_fit_packing, op7_media_chunks, op8_order_minhash, op10_source_mixing]
+    found = [op1_token_files, op2_line_dedup, op3_secret_scan, op4_quality_rules, op5_best_fit_packing, op7_media_chunks, op8_order_minhash, op9_jaccard_join, op10_source_mixing]
     return {f.__name__: f for f in found}
 
 
