@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import fingerprints, jaccard, line_dedup, media, mixing, packing, quality, secrets, token_files
+from tidemill.llm import fingerprints, jaccard, line_dedup, media, mixing, packing, quality, secrets, suffixes, token_files
 from tidemill.llm.common import documents, labels
 from tidemill.llm.tokens import BYTE_BPE
 
@@ -31,6 +31,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_documents(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.drop_repeated_bytes(documents(spark, sf_dir)).drop("text")
+
+
 def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_documents(documents(spark, sf_dir))
 
@@ -52,7 +56,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_files, op2_line_dedup, op3_secret_scan, op4_quality_rules, op5_best_fit_packing, op7_media_chunks, op8_order_minhash, op9_jaccard_join, op10_source_mixing]
+    found = [op1_token_files, op2_line_dedup, op3_secret_scan, op4_quality_rules, op5_best_fit_packing, op6_suffix_dedup, op7_media_chunks, op8_order_minhash, op9_jaccard_join, op10_source_mixing]
     return {f.__name__: f for f in found}
 
 
