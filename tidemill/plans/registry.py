@@ -7,26 +7,474 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.functions import text as T
+from tidemill.functions.urls import canonicalize_url
+from tidemill.operators import analytics, dedup, folds, monitoring, ranking, scoring, validation
+from tidemill.plans.bindings import ARTICLES, articles, events, table
 
-def k2_ranked_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return (
-        docs.join(labels, "doc_id", "left")
-        .select("doc_id", "source", F.coalesce(F.col("quality").cast("double"), F.lit(0.0)).alias("score"))
-        .orderBy(F.desc("score"), F.desc("doc_id"))
-        .limit(50)
-    )
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"k2_ranked_feed": k2_ranked_feed}
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL of the same result."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "k2_ranked_feed": """
-            SELECT d.doc_id, d.source, coalesce(CAST(l.quality AS DOUBLE), 0.0) AS score
-            FROM documents d LEFT JOIN labels l USING (doc_id)
-            ORDER BY score DESC, d.doc_id DESC LIMIT 50"""
-    }
+    return dict(_SQL)
+
+
+# ---- projections, filters, predicates
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id = 42")
+def p1_point_lookup(spark, d):
+    return table(spark, d, "documents").where("doc_id = 42").select("doc_id", "source")
+
+
+@query("SELECT d.doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def p2_batch_exists(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_semi").select("doc_id")
+
+
+@query(f"WITH {ARTICLES} SELECT id, source FROM articles WHERE score IS NULL AND language = 'en' ORDER BY id LIMIT 100")
+def p3_status_filter(spark, d):
+    return articles(spark, d).where("score IS NULL AND language = 'en'").select("id", "source").orderBy("id").limit(100)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 14 DAY")
+def p4_rescore_candidates(spark, d):
+    orders = table(spark, d, "orders")
+    last = orders.agg(F.max("o_orderdate").alias("last"))
+    return orders.where("o_orderstatus = 'O'").join(F.broadcast(last), F.col("o_orderdate") >= F.col("last") - F.expr("INTERVAL 14 DAYS")).select("o_orderkey")  # one row
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 200")
+def p5_category_recent(spark, d):
+    return table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), F.desc("o_orderkey")).limit(200)
+
+
+@query("SELECT d.doc_id FROM documents d SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1 OR toxic = 1) l USING (doc_id)")
+def p6_in_flight_or_done(spark, d):
+    done = table(spark, d, "labels").where("quality = 1 OR toxic = 1")
+    return table(spark, d, "documents").join(done, "doc_id", "left_semi").select("doc_id")
+
+
+@query("SELECT event_id FROM events WHERE event_type IN ('click', 'purchase') AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-09 23:59:59.999999' AND value > 50")
+def p7_dynamic_filters(spark, d):
+    when = F.col("ts").between(F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-09 23:59:59.999999").cast("timestamp_ntz"))
+    return table(spark, d, "events").where(F.col("event_type").isin("click", "purchase") & when & (F.col("value") > 50)).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) = 3")
+def p8_json_path(spark, d):
+    return table(spark, d, "events").where(F.get_json_object("props", "$.k").cast("long") == 3).select("event_id")
+
+
+@query(f"""WITH {ARTICLES} SELECT id, CASE WHEN length(trim(title)) < 10 THEN 'title_too_short' WHEN length(content) < 1000 THEN 'content_too_short' ELSE 'ok' END AS reason FROM articles""")
+def p11_admission(spark, d):
+    reason = validation.admission_reason(F.col("title"), F.col("content"), F.lit("full"))
+    return articles(spark, d).select("id", F.coalesce(reason, F.lit("ok")).alias("reason"))
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_acctbal >= 5000")
+def p13_catalogue(spark, d):
+    return table(spark, d, "supplier").where("s_acctbal >= 5000").select("s_suppkey")
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'error') >= 3")
+def p15_failing_sources(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("failures")).where("failures >= 3")
+
+
+@query("SELECT doc_id FROM documents WHERE text IS NOT NULL AND length(text) >= 500")
+def p16_short_purge(spark, d):
+    return table(spark, d, "documents").where((F.length("text") >= 500)).select("doc_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE (o_orderdate > TIMESTAMP '1995-06-01') OR (o_orderdate = TIMESTAMP '1995-06-01' AND o_orderkey > 100) ORDER BY o_orderdate, o_orderkey LIMIT 50")
+def p17_keyset_ascending(spark, d):
+    start = F.lit("1995-06-01").cast("timestamp_ntz")
+    after = (F.col("o_orderdate") > start) | ((F.col("o_orderdate") == start) & (F.col("o_orderkey") > 100))
+    return table(spark, d, "orders").where(after).orderBy("o_orderdate", "o_orderkey").limit(50).select("o_orderkey")
+
+
+@query(f"WITH {ARTICLES} SELECT id, coalesce(score, 0.0) AS rank_score FROM articles WHERE coalesce(score, 0.0) < 0.5 OR (coalesce(score, 0.0) = 0.5 AND id < 500) ORDER BY 2 DESC, 1 DESC LIMIT 26")
+def p18_cursor_page(spark, d):
+    return ranking.feed_page(articles(spark, d).select("id", "score"), 25, (0.5, 500)).select("id", "rank_score")
+
+
+# ---- joins
+
+
+@query("SELECT d.source AS source_id, count(*) AS article_count, avg(CAST(l.quality AS DOUBLE)) AS avg_score FROM documents d JOIN labels l USING (doc_id) GROUP BY d.source")
+def j1_source_performance(spark, d):
+    return analytics.source_performance(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", "quality")
+
+
+@query("SELECT s.s_suppkey, s.s_name, q.n, q.revenue FROM supplier s JOIN (SELECT l_suppkey, count(*) AS n, round(sum(l_quantity), 2) AS revenue FROM lineitem GROUP BY l_suppkey) q ON s.s_suppkey = q.l_suppkey")
+def j2_join_aggregate(spark, d):
+    sums = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("revenue"))
+    return table(spark, d, "supplier").join(sums, F.col("s_suppkey") == F.col("l_suppkey")).select("s_suppkey", "s_name", "n", "revenue")
+
+
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def j3_latest_row(spark, d):
+    return ranking.latest(table(spark, d, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
+
+
+@query(f"""WITH {ARTICLES}, r AS (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY coalesce(b.score, 0.0) DESC, b.id DESC) AS place
+  FROM articles a JOIN articles b ON a.source = b.source AND a.id <> b.id) SELECT id, other, place FROM r WHERE place <= 20""")
+def j4_related(spark, d):
+    return ranking.related(articles(spark, d).select("id", "source", "score"), "source", 20)
+
+
+@query("SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def j5_config_lookup(spark, d):
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    return table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("c_custkey", "n_name", "r_name")
+
+
+@query("SELECT coalesce(c.k, s.k) AS k, c.n AS customers, s.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) s ON c.k = s.k")
+def j6_full_outer(spark, d):
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
+    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"))
+    return c.join(s, "k", "full_outer")
+
+
+@query("SELECT d.doc_id FROM documents d ANTI JOIN labels l USING (doc_id)")
+def j9_new_rows(spark, d):
+    return dedup.new_rows(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
+
+
+SIMHASH = r"""tokens AS (
+  SELECT doc_id, unnest(string_split(trim(regexp_replace(text, '[ \t\r\n\x0B\f]+', ' ', 'g')), ' ')) AS token FROM documents WHERE trim(text) <> ''),
+hashed AS (SELECT doc_id, ('0x' || substr(md5(token), 17, 16))::UBIGINT AS h FROM tokens),
+bits AS (SELECT doc_id, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM hashed, (SELECT unnest(range(64))::UBIGINT AS b) GROUP BY doc_id, b),
+hashes AS (SELECT doc_id AS id, CAST(sum(CASE WHEN s >= 0 THEN (CASE WHEN b = 63 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << b::INTEGER) END) ELSE 0 END) AS BIGINT) AS simhash FROM bits GROUP BY doc_id)"""
+
+
+@query(f"WITH {SIMHASH} SELECT id, simhash FROM hashes")
+def d3_simhash(spark, d):
+    return dedup.simhash(articles(spark, d), "id", F.col("content"))
+
+
+@query(f"""WITH {SIMHASH}, p AS (SELECT id, simhash, ((simhash::HUGEINT + CASE WHEN simhash < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END) // 281474976710656)::INTEGER AS prefix FROM hashes)
+  SELECT a.id, b.id AS other, CAST(bit_count(xor(a.simhash, b.simhash)) AS INTEGER) AS distance, greatest(0.0::DOUBLE, 1 - bit_count(xor(a.simhash, b.simhash)) / 64.0::DOUBLE) AS confidence
+  FROM p a JOIN p b ON a.id < b.id AND abs(a.prefix - b.prefix) <= 1 WHERE bit_count(xor(a.simhash, b.simhash)) <= 10""")
+def j10_near_pairs(spark, d):
+    return dedup.near_pairs(dedup.simhash(articles(spark, d), "id", F.col("content")), "id")
+
+
+@query("SELECT CAST(o_custkey AS BIGINT) AS k, count(*) AS n, count(c_custkey) AS known FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def j12_baseline_delta(spark, d):
+    joined = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    return joined.groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"), F.count("c_custkey").alias("known"))
+
+
+# ---- identity and duplicates
+
+
+@query(r"SELECT sha256(trim(regexp_replace(coalesce(text, ''), '[ \t\r\n\x0B\f]+', ' ', 'g'))) AS content_hash, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1")
+def d2_exact_groups(spark, d):
+    return dedup.exact_groups(table(spark, d, "documents"), "doc_id", F.col("text"))
+
+
+@query()
+def d6_first_in_batch(spark, d):
+    pages = table(spark, d, "pages")
+    rows = pages.select("page_id", canonicalize_url("url").alias("url"), dedup.content_hash(F.col("html")).alias("digest"))
+    return dedup.first_in_batch(rows, "url", "digest", "page_id").select("page_id")
+
+
+@query()
+def d10_clusters(spark, d):
+    hashes = dedup.simhash(articles(spark, d), "id", F.col("content"))
+    return dedup.clusters(hashes.select("id"), dedup.near_pairs(hashes, "id"))
+
+
+@query(r"""WITH p AS (SELECT doc_id % 20 AS distance, CAST(doc_id % 20 < 9 AS INTEGER) AS label FROM documents), t AS (SELECT unnest(range(4, 17)) AS threshold),
+  c AS (SELECT threshold, count(*) FILTER (distance <= threshold AND label = 1) AS tp, count(*) FILTER (distance <= threshold AND label = 0) AS fp, count(*) FILTER (distance > threshold AND label = 1) AS fn FROM p, t GROUP BY threshold)
+  SELECT CAST(threshold AS INTEGER) AS threshold, tp, fp, fn, coalesce(2.0::DOUBLE * tp / nullif(2.0::DOUBLE * tp + fp + fn, 0), 0) AS f1 FROM c""")
+def d14_threshold_table(spark, d):
+    pairs = table(spark, d, "documents").select((F.col("doc_id") % 20).alias("distance"), (F.col("doc_id") % 20 < 9).cast("int").alias("label"))
+    return dedup.threshold_table(pairs, "distance", "label")
+
+
+@query("SELECT l_partkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1")
+def d15_repeated_keys(spark, d):
+    return dedup.repeated_keys(table(spark, d, "lineitem"), "l_partkey", "l_suppkey")
+
+
+@query("SELECT DISTINCT sha256(concat_ws('|', event_type, CAST(user_id AS VARCHAR), props)) AS job FROM events")
+def d16_job_keys(spark, d):
+    return table(spark, d, "events").select(F.sha2(F.concat_ws("|", "event_type", F.col("user_id").cast("string"), "props"), 256).alias("job")).distinct()
+
+
+# ---- aggregates
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
+def a1_daily_counts(spark, d):
+    return analytics.daily_counts(events(spark, d), "ts")
+
+
+@query("SELECT lang AS category, count(*) AS n FROM documents GROUP BY 1")
+def a3_category_breakdown(spark, d):
+    return analytics.category_breakdown(table(spark, d, "documents"), "lang")
+
+
+@query(f"""WITH {ARTICLES}, b AS (SELECT least(CAST(floor(score * 10) AS BIGINT), 9) AS bucket, count(*) AS n FROM articles WHERE score > 0 GROUP BY 1)
+  SELECT CAST(r.bucket AS BIGINT) AS bucket, coalesce(b.n, 0) AS n FROM (SELECT unnest(range(10)) AS bucket) r LEFT JOIN b ON r.bucket = b.bucket""")
+def a4_score_distribution(spark, d):
+    return analytics.score_distribution(articles(spark, d), F.col("score"))
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS collected, count(*) FILTER (o_orderstatus = 'F') AS processed, round(avg(o_totalprice), 9) AS avg_score, 100.0::DOUBLE * count(*) FILTER (o_orderstatus = 'F') / count(*) AS rate FROM orders GROUP BY 1")
+def a5_day_stats(spark, d):
+    return analytics.day_stats(table(spark, d, "orders"), "o_orderdate", F.col("o_orderstatus") == "F", "o_totalprice").withColumn("avg_score", F.round("avg_score", 9))
+
+
+@query("SELECT l_suppkey AS source_id, count(*) AS n, round(avg(l_quantity), 6) AS mean, max(l_quantity) AS best FROM lineitem GROUP BY 1 ORDER BY avg(l_quantity) DESC, 1 LIMIT 10")
+def a6_top_sources(spark, d):
+    return analytics.top_sources(table(spark, d, "lineitem"), "l_suppkey", "l_quantity").withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'P') AS pending, count(*) FILTER (o_totalprice < 0) AS failed, CASE WHEN count(*) FILTER (o_totalprice < 0) = 0 AND count(*) FILTER (o_orderstatus = 'P') < 100 THEN 'healthy' ELSE 'degraded' END AS status FROM orders")
+def a7_health(spark, d):
+    return analytics.health(table(spark, d, "orders"), F.col("o_orderstatus") == "P", F.col("o_totalprice") < 0)
+
+
+@query("SELECT user_id, max(ts)::VARCHAR[1:10] AS day FROM events GROUP BY user_id".replace("max(ts)::VARCHAR[1:10]", "strftime(max(ts), '%Y-%m-%d')"))
+def a8_max_per_key(spark, d):
+    return events(spark, d).groupBy("user_id").agg(F.date_format(F.max("ts"), "yyyy-MM-dd").alias("day"))
+
+
+@query(f"WITH {ARTICLES}, g AS (SELECT source, avg(score) AS mean, count(score) AS n FROM articles GROUP BY source) SELECT CAST(sum(n) AS BIGINT) AS total, round(sum(mean * n) / sum(n), 9) AS mean FROM g")
+def a9_weighted_mean(spark, d):
+    return analytics.weighted_mean(articles(spark, d), "source", "score").withColumn("mean", F.round("mean", 9))
+
+
+@query("SELECT source, lang, n, n / CAST(sum(n) OVER (PARTITION BY source) AS DOUBLE) AS share FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2)")
+def a16_shares(spark, d):
+    return analytics.shares(table(spark, d, "documents"), "source", "lang")
+
+
+@query(f"""WITH {ARTICLES} SELECT unnest(['title', 'content', 'score']) AS field, unnest([avg(CAST(title IS NULL OR trim(title) = '' AS INTEGER)), avg(CAST(content IS NULL OR trim(content) = '' AS INTEGER)), avg(CAST(score IS NULL AS INTEGER))]) AS missing FROM articles""")
+def a17_missing_ratios(spark, d):
+    return analytics.missing_ratios(articles(spark, d), ["title", "content", "score"])
+
+
+@query("SELECT user_id AS source_id, count(*) FILTER (event_type = 'view') AS n_view, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'purchase') AS n_purchase FROM events GROUP BY 1")
+def a18_funnel(spark, d):
+    return analytics.funnel(table(spark, d, "events"), "user_id", "event_type", ["view", "click", "purchase"])
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
+def a25_percentiles(spark, d):
+    out = analytics.percentiles(table(spark, d, "events"), "event_type", "value")
+    return out.select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
+
+
+@query(r"""WITH x AS (SELECT lang, length(text) > 2000 AS p, quality = 1 AS g FROM documents JOIN labels USING (doc_id)),
+  c AS (SELECT lang, count(*) FILTER (p AND g) AS tp, count(*) FILTER (p AND NOT g) AS fp, count(*) FILTER (NOT p AND g) AS fn FROM x GROUP BY lang),
+  m AS (SELECT *, coalesce(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 0) AS precision, coalesce(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 0) AS recall FROM c)
+  SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM m""")
+def a26_label_metrics(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return analytics.label_metrics(rows, F.length("text") > 2000, F.col("quality") == 1, "lang")
+
+
+# ---- windows, ranking, pages
+
+
+@query("SELECT o_custkey, o_orderkey, k AS rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS INTEGER) AS k FROM orders) WHERE k <= 5")
+def w2_top_n_per_source(spark, d):
+    return ranking.top_in_group(table(spark, d, "orders"), "o_custkey", [F.desc("o_orderdate"), F.col("o_orderkey")], 5).select("o_custkey", "o_orderkey", "rank")
+
+
+@query("""WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
+  g AS (SELECT *, sum(CASE WHEN prev IS NULL OR prev <> event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM r)
+  SELECT user_id, CAST(run AS BIGINT) AS run, CAST(min(n) AS INTEGER) AS start, min(event_type) AS kind, count(*) AS length FROM g GROUP BY user_id, run""")
+def w3_islands(spark, d):
+    return monitoring.islands(events(spark, d), "user_id", ["ts", "event_id"], "event_type")
+
+
+@query(f"WITH {ARTICLES} SELECT id, score FROM articles WHERE score >= 0.3 ORDER BY score DESC, id DESC LIMIT 100")
+def k1_top_k(spark, d):
+    return ranking.top_k(articles(spark, d).select("id", "score"), 0.3, 100)
+
+
+@query("""SELECT d.doc_id, d.source, coalesce(CAST(l.quality AS DOUBLE), 0.0::DOUBLE) AS score FROM documents d LEFT JOIN labels l USING (doc_id) ORDER BY score DESC, d.doc_id DESC LIMIT 51""")
+def k2_ranked_feed(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", "source", F.col("quality").cast("double").alias("score"))
+    return ranking.feed_page(rows, 50, key="doc_id").select("doc_id", "source", F.col("rank_score").alias("score"))
+
+
+@query()
+def k4_capped_rerank(spark, d):
+    return ranking.capped(articles(spark, d).where("score IS NOT NULL").select("id", "score", "source", F.col("language").alias("topic")), 50, 0.1, 0.4)
+
+
+@query(f"""WITH {ARTICLES}, r AS (SELECT source, relevance, id, row_number() OVER (PARTITION BY source ORDER BY coalesce(score, 0.0) DESC, id) AS i, row_number() OVER (PARTITION BY source ORDER BY relevance DESC, id) AS b FROM articles),
+  g AS (SELECT source, sum(CASE WHEN i <= 10 THEN (pow(2.0, relevance) - 1) / log2(i + 1) ELSE 0 END) AS dcg, sum(CASE WHEN b <= 10 THEN (pow(2.0, relevance) - 1) / log2(b + 1) ELSE 0 END) AS idcg,
+        count(*) FILTER (i <= 10 AND relevance > 0) / 10.0::DOUBLE AS precision, coalesce(1.0::DOUBLE / min(i) FILTER (relevance > 0), 0) AS reciprocal_rank FROM r GROUP BY source)
+  SELECT source, round(dcg, 6) AS dcg, precision, reciprocal_rank, round(CASE WHEN idcg = 0 THEN 0 ELSE dcg / idcg END, 6) AS ndcg FROM g""")
+def c17_ranking_measures(spark, d):
+    rows = articles(spark, d).select("source", "id", "relevance", F.coalesce("score", F.lit(0.0)).alias("score"))
+    out = ranking.ranking_measures(rows, "source", "score", "relevance", "id", 10)
+    return out.withColumn("dcg", F.round("dcg", 6)).withColumn("ndcg", F.round("ndcg", 6))
+
+
+# ---- sets
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def u1_union(spark, d):
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).union(table(spark, d, "supplier").select("s_nationkey")).distinct()
+
+
+@query("SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 49 INTERSECT SELECT p_partkey FROM part WHERE p_size < 25")
+def u3_intersect(spark, d):
+    return table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("k")).intersect(table(spark, d, "part").where("p_size < 25").select("p_partkey"))
+
+
+@query("SELECT count(*) FILTER (l.doc_id IS NOT NULL) / CAST(count(*) AS DOUBLE) AS coverage FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def u4_coverage(spark, d):
+    labels = table(spark, d, "labels").select("doc_id", F.lit(1).alias("hit")).distinct()
+    return table(spark, d, "documents").join(labels, "doc_id", "left").agg((F.count("hit") / F.count("*")).alias("coverage"))
+
+
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+def u5_missing(spark, d):
+    return table(spark, d, "customer").select("c_custkey").subtract(table(spark, d, "orders").select("o_custkey"))
+
+
+# ---- scalar functions
+
+
+@query()
+def f1_canonical_urls(spark, d):
+    return table(spark, d, "pages").select("page_id", canonicalize_url("url").alias("url"))
+
+
+def _hits_sql(column: str, words: tuple[str, ...]) -> str:
+    return " + ".join(f"CAST(regexp_matches({column}, '(^|[^\\p{{L}}\\p{{N}}_]){w}($|[^\\p{{L}}\\p{{N}}_])') AS INTEGER)" for w in words)
+
+
+@query(f"""WITH x AS (SELECT doc_id, lower(text) AS t FROM documents), h AS (SELECT doc_id, t, {_hits_sql('t', T.STOP_WORDS['en'])} AS en, {_hits_sql('t', T.STOP_WORDS['es'])} AS es FROM x)
+  SELECT doc_id, CASE WHEN es > en THEN 'es' WHEN en > es THEN 'en' WHEN regexp_matches(t, '[áéíóúñ]') THEN 'es' ELSE 'en' END AS language FROM h""")
+def f4_language(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.detect_language(F.col("text")).alias("language"))
+
+
+@query(f"""WITH x AS (SELECT doc_id, lower(text) AS t FROM documents), h AS (SELECT doc_id, {_hits_sql('t', T.POSITIVE)} AS up, {_hits_sql('t', T.NEGATIVE)} AS down FROM x)
+  SELECT doc_id, CASE WHEN up > down THEN 'positive' WHEN down > up THEN 'negative' ELSE 'neutral' END AS sentiment FROM h""")
+def f9_sentiment(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.sentiment(F.col("text")).alias("sentiment"))
+
+
+@query(rf"""WITH {ARTICLES}, s AS (SELECT id, lower(regexp_replace(regexp_replace(regexp_replace(translate(trim(title), '{T.ACCENTED}', '{T.PLAIN}'), '[^a-zA-Z0-9\-_]+', '-', 'g'), '-{{2,}}', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM articles)
+  SELECT id, CASE WHEN slug = '' THEN 'untitled' ELSE slug END AS slug FROM s""")
+def f15_slug(spark, d):
+    return articles(spark, d).select("id", T.slugify(F.col("title")).alias("slug"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \t\r\n\x0B\f]+')) AS INTEGER) AS words FROM documents) SELECT doc_id, words, greatest(1, CAST(floor(words / 200.0) AS BIGINT)) AS minutes FROM w""")
+def f19_reading(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"))
+    return rows.withColumn("minutes", T.reading_minutes(F.col("words")).cast("long"))
+
+
+@query("SELECT page_id, CASE WHEN contains(lower(html), 'timeout') OR contains(lower(html), 'timed out') THEN 'timeout' WHEN contains(lower(html), '403') OR contains(lower(html), 'forbidden') OR contains(lower(html), 'captcha') THEN 'blocked' WHEN contains(lower(html), '404') OR contains(lower(html), 'not found') THEN 'not_found' WHEN contains(lower(html), '429') OR contains(lower(html), 'rate limit') THEN 'rate_limited' WHEN contains(lower(html), 'parse') OR contains(lower(html), 'json') OR contains(lower(html), 'xml') THEN 'parse_error' ELSE 'unknown' END AS failure FROM pages")
+def f25_failure_class(spark, d):
+    return table(spark, d, "pages").select("page_id", T.failure_class(F.col("html")).alias("failure"))
+
+
+# ---- scores and rules
+
+
+@query(f"""WITH {ARTICLES}, x AS (SELECT id, 0.4::DOUBLE * least(length(title) / 120.0::DOUBLE, 1) + 0.4::DOUBLE * least(length(content) / 400.0::DOUBLE, 1) + 0.2::DOUBLE * least(relevance / 5.0::DOUBLE, 1) AS content,
+    0.6::DOUBLE * 0.5 + 0.4::DOUBLE * least((CASE WHEN length(content) // 6 = 0 THEN 400 ELSE length(content) // 6 END) / 800.0::DOUBLE, 1) AS engagement,
+    CASE WHEN id % 200 <= 0 THEN 1.0::DOUBLE WHEN id % 200 >= 168 THEN 0 ELSE exp(-ln(2.0::DOUBLE) * (id % 200) / 18) END AS fresh, least(0.15::DOUBLE * coalesce(score, 0), 0.3) AS penalty FROM articles)
+  SELECT id, round(greatest(0, least(1, 0.15 * 0.5 + 0.20::DOUBLE * fresh + 0.35::DOUBLE * content + 0.30::DOUBLE * engagement - penalty)), 9) AS score FROM x""")
+def c1_feature_score(spark, d):
+    rows = articles(spark, d)
+    good = scoring.content(F.col("title"), F.col("content"), F.col("relevance"))
+    engaging = scoring.engagement(F.lit("neutral"), F.floor(F.length("content") / 6))
+    fresh = scoring.freshness((F.col("id") % 200).cast("double"))
+    return rows.select("id", F.round(scoring.feature_score(fresh, good, engaging, scoring.diversity_penalty(F.col("score"))), 9).alias("score"))
+
+
+@query("""WITH a AS (SELECT event_id, epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts) AS us FROM events), h AS (SELECT event_id, us / 3600000000.0::DOUBLE AS age FROM a)
+  SELECT event_id, round(CASE WHEN age <= 1 THEN 1.0 WHEN age <= 24 THEN 0.9::DOUBLE + 0.1::DOUBLE * exp(-(age - 1) / 8) WHEN age <= 168 THEN 0.7::DOUBLE * exp(-(age - 24) / 48) WHEN age < 720 THEN 0.7::DOUBLE * exp(-3.0::DOUBLE) * (720 - age) / 552 ELSE 0 END, 9) AS recency FROM h""")
+def c8_recency(spark, d):
+    age = scoring.age_hours(F.col("ts"), F.lit("2024-01-31").cast("timestamp"))
+    return events(spark, d).select("event_id", F.round(scoring.recency(age), 9).alias("recency"))
+
+
+@query(f"WITH {ARTICLES} SELECT CASE WHEN score >= 0.8 THEN 'excellent' WHEN score >= 0.6 THEN 'good' WHEN score >= 0.4 THEN 'fair' WHEN score >= 0.2 THEN 'weak' ELSE 'poor' END AS band, count(*) AS n FROM articles GROUP BY 1")
+def a12_score_bands(spark, d):
+    return articles(spark, d).groupBy(scoring.band(F.col("score")).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '[^ \t\r\n\x0B\f]+')) AS n FROM documents) SELECT CASE WHEN n < 50 THEN 'too_few_words' ELSE 'ok' END AS reason, count(*) AS n FROM w GROUP BY 1""")
+def v1_word_rule(spark, d):
+    reason = F.coalesce(validation.few_words(F.col("text"), F.lit(False)), F.lit("ok"))
+    return table(spark, d, "documents").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query()
+def v6_rule_chain(spark, d):
+    rows = articles(spark, d)
+    reason = validation.first_reason(F.col("title"), F.col("content"), F.lit(False))
+    valid, rejects = validation.split_valid(rows, reason)
+    return valid.select("id", F.lit("valid").alias("reason")).union(rejects.select("id", "reason"))
+
+
+# ---- health, drift, folds
+
+
+@query("""WITH w AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS found, count(*) FILTER (value < 5) AS failures FROM events GROUP BY 1, 2), b AS (SELECT event_type, 2.0::DOUBLE * avg(found) AS expected FROM w GROUP BY 1)
+  SELECT day, event_type, found, failures, found / expected AS ratio, CASE WHEN failures >= 3 THEN 'critical' WHEN found / expected <= 0.2 THEN 'critical' WHEN found / expected <= 0.5 THEN 'warning' ELSE 'ok' END AS severity FROM w JOIN b USING (event_type)""")
+def m9_outages(spark, d):
+    windows = events(spark, d).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("found"), F.count_if(F.col("value") < 5).alias("failures"))
+    base = windows.groupBy("event_type").agg((2.0 * F.avg("found")).alias("expected"))
+    return monitoring.outages(windows, base, ["event_type"]).select("day", "event_type", "found", "failures", "ratio", "severity")
+
+
+@query("""WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2), p AS (SELECT source, lang, n / CAST(sum(n) OVER (PARTITION BY source) AS DOUBLE) AS p FROM c),
+  t AS (SELECT lang, count(*) / CAST((SELECT count(*) FROM documents) AS DOUBLE) AS q FROM documents GROUP BY 1), g AS (SELECT s.source, t.lang, t.q FROM (SELECT DISTINCT source FROM documents) s, t),
+  j AS (SELECT source, lang, coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM p FULL JOIN g USING (source, lang))
+  SELECT source, round(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 9) AS divergence FROM j GROUP BY source""")
+def m11_content_shift(spark, d):
+    docs = table(spark, d, "documents")
+    overall = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    total = overall.agg(F.sum("n").alias("t"))
+    base = docs.select("source").distinct().join(overall.crossJoin(total).select("lang", (F.col("n") / F.col("t")).alias("share")))  # a few languages
+    return monitoring.jensen_shannon(analytics.shares(docs, "source", "lang"), base, "source", "lang").withColumn("divergence", F.round("divergence", 9))
+
+
+@query("SELECT user_id, CASE WHEN count(*) < 5 THEN 'insufficient' WHEN 100.0 * count(*) FILTER (event_type = 'view') / count(*) > 80 THEN 'http' WHEN 100.0 * count(*) FILTER (event_type = 'click') / count(*) > 50 AND count(*) FILTER (event_type = 'click') > count(*) FILTER (event_type = 'view') THEN 'headless' WHEN 100.0 * count(*) FILTER (event_type = 'signup') / count(*) > 50 AND count(*) FILTER (event_type = 'signup') > greatest(count(*) FILTER (event_type = 'view'), count(*) FILTER (event_type = 'click')) THEN 'proxy' WHEN 100.0 * count(*) FILTER (event_type = 'purchase') / count(*) < 10 AND count(*) > 10 THEN 'review' ELSE 'keep' END AS strategy FROM events GROUP BY user_id")
+def m6_strategy(spark, d):
+    rate = lambda kind: 100.0 * F.count_if(F.col("event_type") == kind) / F.count("*")
+    per = events(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), rate("view").alias("http"), rate("click").alias("headless"), rate("signup").alias("proxy"), rate("purchase").alias("gain"))
+    return per.select("user_id", monitoring.strategy(*[F.col(c) for c in ("n", "http", "headless", "proxy", "gain")]).alias("strategy"))
+
+
+@query()
+def a13_event_fold(spark, d):
+    return folds.fold_events(events(spark, d)).withColumn("mean", F.round("mean", 9))
