@@ -148,11 +148,11 @@ def j5_config_lookup(spark, d):
     return table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("c_custkey", "n_name", "r_name")
 
 
-@query("SELECT coalesce(c.k, s.k) AS k, c.n AS customers, s.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) s ON c.k = s.k")
+@query("SELECT coalesce(c.k, s.k) AS k, coalesce(c.n, 0) AS customers, coalesce(s.n, 0) AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) s ON c.k = s.k")
 def j6_full_outer(spark, d):
     c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
     s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"))
-    return c.join(s, "k", "full_outer")
+    return c.join(s, "k", "full_outer").na.fill(0, ["customers", "suppliers"])
 
 
 @query("SELECT d.doc_id FROM documents d ANTI JOIN labels l USING (doc_id)")
@@ -243,9 +243,10 @@ def a4_score_distribution(spark, d):
     return analytics.score_distribution(articles(spark, d), F.col("score"))
 
 
-@query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS collected, count(*) FILTER (o_orderstatus = 'F') AS processed, round(avg(o_totalprice), 9) AS avg_score, 100.0::DOUBLE * count(*) FILTER (o_orderstatus = 'F') / count(*) AS rate FROM orders GROUP BY 1")
+@query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS collected, count(*) FILTER (o_orderstatus = 'F') AS processed, avg(CAST(round(o_totalprice * 100) AS BIGINT)) AS avg_score, 100.0::DOUBLE * count(*) FILTER (o_orderstatus = 'F') / count(*) AS rate FROM orders GROUP BY 1")
 def a5_day_stats(spark, d):
-    return analytics.day_stats(table(spark, d, "orders"), "o_orderdate", F.col("o_orderstatus") == "F", "o_totalprice").withColumn("avg_score", F.round("avg_score", 9))
+    orders = table(spark, d, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))
+    return analytics.day_stats(orders, "o_orderdate", F.col("o_orderstatus") == "F", "cents")
 
 
 @query("SELECT l_suppkey AS source_id, count(*) AS n, round(avg(l_quantity), 6) AS mean, max(l_quantity) AS best FROM lineitem GROUP BY 1 ORDER BY avg(l_quantity) DESC, 1 LIMIT 10")
