@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import WORD, cut, text_or_empty
@@ -95,23 +95,33 @@ def signed(docs: DataFrame, threshold: float, trees: int, k: int) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """node, root (the least node of its component) for edges (a, b) of any comparable type, in both or one direction.
+    """node, root (the least node of its component) for edges (a, b) of any comparable type.
 
-    Each round a node takes the least root among its neighbours' and then its root's root; rounds end when no root
-    changes. Roots are written after each round, so lineage and recovery stay short.
+    Each round every node hooks to its least smaller neighbour, hooks are followed to their ends, and edges are drawn
+    between the ends, so only edges between different ends go on: a large star is gone after one round. What a
+    round makes is written, so lineage and recovery stay short.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), f"{name}-edges")
-    roots = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root")), f"{name}-roots")
-    while True:
-        near = both.join(roots, both["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        took = roots.join(near, roots["node"] == near["a"], "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
-        own = took.select(F.col("node").alias("up"), F.col("root").alias("up_root"))
-        made = took.join(own, took["root"] == own["up"], "left").select("node", F.least("root", F.coalesce("up_root", "root")).alias("root"), F.col("old"))
-        made = cut(made, f"{name}-roots")
-        changed = made.where("root <> old").limit(1).count()
-        roots = made.select("node", "root")
-        if not changed:
-            return roots
+
+    def between(a: Column, b: Column, rows: DataFrame) -> DataFrame:
+        return cut(rows.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), f"{name}-edges")
+
+    work, labels = between(F.col("a"), F.col("b"), edges), None
+    while labels is None or work.limit(1).count():
+        hooks = cut(work.groupBy("a").agg(F.min("b").alias("root")), f"{name}-hooks")
+        while True:
+            ends = hooks.select(F.col("a").alias("root"), F.col("root").alias("end"))
+            moved = cut(hooks.join(ends, "root", "left").select("a", F.coalesce("end", "root").alias("root"), F.col("end").isNotNull().alias("moved")), f"{name}-hooks")
+            hooks = moved.select("a", "root")
+            if not moved.where("moved").limit(1).count():
+                break
+        if labels is None:
+            labels = hooks
+        else:  # former ends are nodes now
+            ends = hooks.select(F.col("a").alias("root"), F.col("root").alias("end"))
+            labels = cut(labels.join(ends, "root", "left").select("a", F.coalesce("end", "root").alias("root")).union(hooks), f"{name}-labels")
+        own, other = hooks.select("a", F.col("root").alias("end_a")), hooks.select(F.col("a").alias("b"), F.col("root").alias("end_b"))
+        work = between(F.col("end_a"), F.coalesce("end_b", "b"), work.join(own, "a").join(other, "b", "left"))
+    return labels.select(F.col("a").alias("node"), "root").union(labels.select("root", "root").distinct())
 
 
 def candidates(classes: DataFrame) -> DataFrame:
