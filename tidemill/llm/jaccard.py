@@ -163,8 +163,20 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float) ->
     return (common > 0) & (common >= threshold * (sizes - common) - 1e-9)
 
 
+def local_roots(hit: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links, the least row that links lead to."""
+    root = np.arange(len(hit))
+    while True:
+        near = np.minimum(root, np.where(hit, root[None, :], len(hit)).min(axis=1, initial=len(hit)))
+        near = near[near]
+        if (near == root).all():
+            return root
+        root = near
+
+
 def verify(members: DataFrame, threshold: float, k: int) -> DataFrame:
-    """a, b, links: for each class and pair of blocks, the least class linked to it and the documents in linked classes.
+    """a, b, links: for each class and pair of blocks, the least class that the links of these blocks lead to, and the
+    number of documents in the classes linked to it.
 
     members has root, set, weight, text. Groups of up to BLOCK classes are bundled, so a task sees about four blocks;
     a larger one is dealt into blocks by a hash, and each class goes to the pairs of blocks that hold its own.
@@ -184,31 +196,24 @@ def verify(members: DataFrame, threshold: float, k: int) -> DataFrame:
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         a, b, links = [], [], []
-
-        def add(names: list[bytes], others: list[bytes], weights: np.ndarray, hit: np.ndarray) -> None:
-            order = np.argsort(np.array([x.hex() for x in others]))
-            hit = hit[:, order]
-            for i in np.flatnonzero(hit.any(axis=1)):
-                a.append(names[i])
-                b.append(others[order[int(hit[i].argmax())]])
-                links.append(int(weights[order][hit[i]].sum()))
-
         for _, rows in frame.groupby("root", sort=False):
-            names, weights = rows["set"].tolist(), rows["weight"].to_numpy()
+            rows = rows.sort_values("set")
+            names, weights, own = rows["set"].tolist(), rows["weight"].to_numpy(), rows["own"].to_numpy()
             sets = [shingles(x, k) for x in rows["text"]]
             i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-            if i == j:
-                for at in range(0, len(sets), BLOCK):  # a bundled group fits one block; hashed blocks may be larger
-                    hit = linked(sets[at : at + BLOCK], sets, threshold)
-                    hit[np.arange(len(hit)), np.arange(at, at + len(hit))] = False
-                    add(names[at : at + BLOCK], names, weights, hit)
-            else:
-                own = rows["own"].to_numpy()
-                left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-                if len(left) and len(right):
-                    hit = linked([sets[x] for x in left], [sets[x] for x in right], threshold)
-                    add([names[x] for x in left], [names[x] for x in right], weights[right], hit)
-                    add([names[x] for x in right], [names[x] for x in left], weights[left], hit.T)
+            hit = np.zeros((len(sets), len(sets)), dtype=bool)
+            left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j)) if i != j else (np.arange(len(sets)),) * 2
+            for at in range(0, len(left), BLOCK):
+                some = left[at : at + BLOCK]
+                if len(right):
+                    hit[np.ix_(some, right)] = linked([sets[x] for x in some], [sets[x] for x in right], threshold)
+            hit |= hit.T
+            np.fill_diagonal(hit, False)
+            least = local_roots(hit)
+            for x in np.flatnonzero(hit.any(axis=1)):
+                a.append(names[x])
+                b.append(names[least[x]])
+                links.append(int(weights[hit[x]].sum()))
         return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object), "links": pd.Series(links, dtype="int64")})
 
     return dealt.groupBy("part", "i", "j").applyInPandas(compare, "a binary, b binary, links long")
