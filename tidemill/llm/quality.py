@@ -125,8 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
     chosen = given.orderBy(F.md5(F.col("_key").cast("string")), "_label").limit(sample)
     rows = docs.join(F.broadcast(chosen), docs[key] == F.col("_key"))  # at most `sample` rows of two numbers
     names = list(features())
-    rows = with_features(rows.select(F.col(text).alias("text"), "_label", "_key")).select("_label", "features.*")
-    rows = cut(rows, "quality-sample")
+    rows = with_features(rows.select(F.col(text).alias("text"), "_label", "_key")).select("_key", "_label", "features.*")
+    # one ordered partition of the bounded sample: what is learnt does not depend on how documents were dealt out
+    rows = cut(rows.repartition(1).sortWithinPartitions("_key", "_label", *names), "quality-sample")
     seen = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.count("*").alias("n")).collect()}  # two labels
     if len(seen) < 2:
         return RuleModel(0.0, constant=float(next(iter(seen), 1.0)))
