@@ -4,8 +4,8 @@ A rolling hash over the hashes of a line and those before it ends a chunk where
 borders follow the content and survive lines inserted elsewhere. Chunks of two or more lines whose hash occurs more
 than once are compared by their bytes, and all but the first of equal ones (by doc_id, then place) are removed.
 
-Scale: hashes of chunks are counted with map-side sums; only documents' texts and the texts of repeated chunks are
-shuffled. A chunk that very many documents share meets one row of the counts, so the join may be split.
+Scale: hashes of chunks are counted with map-side sums; documents' texts and the texts of repeated chunks are shuffled
+once or twice. A chunk that very many documents share meets one row of the counts, so the join may be split.
 
 Defined results: null texts stay null; an empty text is one empty line; chunks of blank lines alone stay; rows with
 the same doc_id and text count as one document and keep the same lines; null doc_ids come first; other columns stay.
@@ -16,7 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import cut
+
 WINDOW, BASE, MODULUS, DIVISOR, LEAST_LINES = 2, 31, 1_000_003, 3, 2
+#: Repeated hashes that are broadcast, 16 bytes each; more are joined by a shuffle.
+BROADCAST = 2_000_000
 
 
 def line_hash(line: Column) -> Column:
@@ -54,14 +58,13 @@ def chunk_text(lines: Column, first: Column, last: Column) -> Column:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc, spans: the (first, last) of chunks that occur earlier, one row for each document that has any.
 
-    docs has doc and text, already dealt out by doc; both uses of it read one shuffle.
+    Only hashes of chunks are shuffled to count them. Hashes that repeat, if they are few, are broadcast to the chunks,
+    so only texts of repeated chunks are shuffled; if they are many, the chunks are joined to them by a shuffle.
     """
-    hashed = chunks(docs).select("doc", "first", "last", F.xxhash64("chunk").alias("hash"))
-    seen = hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    places = hashed.join(seen, "hash").groupBy("doc").agg(F.collect_list(F.struct("first", "last", "hash")).alias("places"))
-    texts = docs.select("doc", "text").join(places, "doc").withColumn("lines", F.split("text", "\n"))
-    texts = texts.select("doc", "lines", F.explode("places").alias("p"))
-    texts = texts.select("doc", "p.*", chunk_text(F.col("lines"), F.col("p.first"), F.col("p.last")).alias("chunk"))
+    found = chunks(docs).withColumn("hash", F.xxhash64("chunk"))
+    seen = cut(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "line-hashes")
+    few = seen.count() <= BROADCAST
+    texts = cut(found.join(F.broadcast(seen) if few else seen, "hash"), "line-chunks")
     firsts = texts.groupBy("hash", "chunk").agg(F.min(F.struct("doc", "first")).alias("kept"))
     later = texts.join(firsts, ["hash", "chunk"]).where(F.struct("doc", "first") != F.col("kept"))
     return later.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
@@ -69,16 +72,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def drop_repeated_lines(df: DataFrame) -> DataFrame:
     """df with repeated chunks cut out of its text, and the columns n_lines, n_removed (lines), n_chunks (removed)."""
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     text = F.col("text").cast("string")
-    docs = df.select(F.struct(F.col("doc_id"), F.xxhash64(text).alias("mark")).alias("doc"), text.alias("text"), row.alias("row")).repartition("doc")
-    found = repeated_spans(docs)
-    out = docs.join(found, "doc", "left").withColumn("lines", F.split("text", "\n"))
+    doc = F.struct(F.col("doc_id"), F.xxhash64(text).alias("mark")).alias("doc")
+    found = repeated_spans(df.select(doc, text.alias("text")))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "text"])
+    out = df.select(doc, text.alias("text"), row.alias("row")).join(found, "doc", "left").withColumn("lines", F.split("text", "\n"))
     removed = F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"])))
     out = out.withColumn("removed", F.coalesce(removed, F.array().cast("array<int>")))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
-    cut = F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n")
-    out = out.withColumn("kept", F.when(F.size("removed") > 0, cut).otherwise(F.col("text")))
+    cut_text = F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n")
+    out = out.withColumn("kept", F.when(F.size("removed") > 0, cut_text).otherwise(F.col("text")))
     names = [F.col("kept").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in df.columns if c not in ("n_lines", "n_removed", "n_chunks")]
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
     return out.select(*names, lines.cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_chunks"))
