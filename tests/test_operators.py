@@ -10,8 +10,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidemill.functions import html
 from tidemill.functions.urls import canonical
-from tidemill.operators import dedup, folds, monitoring, ranking, validation
+from tidemill.operators import dedup, explain, folds, monitoring, ranking, validation
 from tidemill.sources import readers
 from tidemill.streaming import events as streams
 
@@ -99,7 +100,7 @@ def test_empty_fold(spark):
 
 def test_rule_chain(spark):
     body = "study results " * 40
-    rows = [(1, "A study of results", body), (2, "A study of results", "short"), (3, "Podcast study results", body), (4, "Unrelated heading words", body)]
+    rows = [(1, "A study of results", body), (2, "A study of results", "short"), (3, "Best deals study results", body), (4, "Unrelated heading words", body)]
     df = spark.createDataFrame(rows, "id long, title string, content string")
     got = {r.id: r.reason for r in df.select("id", validation.first_reason(F.col("title"), F.col("content"), F.lit(False)).alias("reason")).collect()}
     assert got == {1: None, 2: "too_few_words", 3: "blocked_title", 4: "title_not_in_body"}
@@ -175,3 +176,38 @@ def test_stream_windows(spark, event_folder):
     assert got.agg(F.sum("n")).first()[0] == 400
     fresh = drained(streams.fresh(streams.read_events(spark, event_folder, 10)), "fresh_out", "append")
     assert fresh.count() == 400
+
+
+def test_html():
+    page = "<html><head><style>x</style></head><body><nav>Menu</nav><p>Caf&eacute; &amp; tea</p><p>Read more</p><script>1</script><p>End</p></body></html>"
+    assert html.text_of(page) == "Menu Café & tea End"
+    assert html.text_of(page, html.FRAME) == "Café & tea End"
+    assert html.text_of("Continue reading…") == ""
+    assert html.normal_text("ﬁne&nbsp;\x00 \r\n text") == "fine text"
+
+
+def test_tags_and_entities(spark):
+    df = spark.createDataFrame([(["Clima-Cambio", "climá cambio", "ai", "News", "x.y.z"], "Sao Paulo and MÉXICO"), (None, None)], "tags array<string>, text string")
+    tags = [r.t for r in df.select(html.clean_tags(F.col("tags"), stop=("news",)).alias("t")).collect()]
+    assert tags == [["clima cambio", "xyz"], None]
+    found = [r.e for r in df.select(html.find_entities(F.col("text"), {"mexico": "México", "são paulo": "São Paulo"}).alias("e")).collect()]
+    assert found == [["São Paulo", "México"], None]
+
+
+def test_explanations(spark):
+    df = spark.createDataFrame([(["a", "b", "c", "d"], None, {"x": 0.5}), ([], None, {"source_credibility": 0.5, "recency": 0.75}), (None, None, None)], "s array<string>, f array<string>, c map<string,double>")
+    got = [r.w for r in df.select(explain.why_ranked(F.col("s"), F.col("f"), F.col("c")).alias("w")).collect()]
+    assert got == [["a", "b", "c"], ["Recency score 0.75", "Source Credibility score 0.50"], ["Ranked by overall score"]]
+
+
+def test_source_report(spark):
+    rows = [("2024-01-01 00:00:00", "source=a found=9 saved=9"), ("2024-01-02 00:00:00", "Cycle started"), ("2024-01-02 00:01:00", "source=a found=5 saved=3 failed=1"), ("2024-01-02 00:02:00", "source=a found=2 saved=0")]
+    got = explain.source_report(spark.createDataFrame(rows, "time string, message string")).collect()
+    assert [(r.source_id, r.found, r.saved, r.failed, r.publishable) for r in got] == [("a", 7, 3, 1, 2)]
+
+
+def test_audit_and_outliers(spark):
+    sources = spark.createDataFrame([("a", "", 0.5, "rss", True, "full"), ("b", "u", 2.0, "headless", False, "full"), ("c", "u", 0.5, "rss", True, "full")], "id string, url string, credibility_score double, strategy string, headless_enabled boolean, content_mode string")
+    assert {r.id: r.issues for r in explain.audit_sources(sources).collect()} == {"a": ["missing_url"], "b": ["credibility_out_of_range", "headless_disabled"]}
+    members = spark.createDataFrame([("k", 1, 0), ("k", 2, 3), ("k", 3, -1)], "cluster string, id long, h long")
+    assert [r.id for r in explain.outliers_of_clusters(members, "cluster", "id", "h").collect()] == [3]

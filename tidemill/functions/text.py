@@ -9,19 +9,33 @@ from pyspark.sql import functions as F
 
 #: Stop words that tell the two detected languages apart.
 STOP_WORDS = {
-    "en": ("the", "and", "of", "to", "in", "is", "that", "for", "with", "on"),
-    "es": ("el", "la", "de", "que", "y", "en", "los", "se", "del", "las"),
+    "es": ("de", "la", "el", "y", "que", "en", "los", "para", "con", "las", "del", "se", "un", "una"),
+    "en": ("the", "and", "of", "to", "in", "for", "on", "with", "as", "is", "that", "this"),
 }
-POSITIVE = ("breakthrough", "success", "improve", "advance", "good", "great", "the")
-NEGATIVE = ("failure", "risk", "crisis", "decline", "bad", "worthless", "pathetic")
-#: Ordered classes of failures and the substrings that name them.
+#: Words of praise and warning; callers with a lexicon of their own pass it.
+POSITIVE = ("confirmed", "progress", "celebrated", "breakthrough", "success", "good", "great")
+NEGATIVE = ("warned", "recession", "crisis", "failure", "bad", "worthless", "pathetic")
+#: Ordered classes of failures and the substrings that name them ("js" also names json).
 FAILURES = (
-    ("timeout", ("timeout", "timed out")),
-    ("blocked", ("403", "forbidden", "captcha")),
-    ("not_found", ("404", "not found")),
-    ("rate_limited", ("429", "rate limit")),
-    ("parse_error", ("parse", "json", "xml")),
+    ("publication_contract_failure", ("permalink", "frontmatter", "validate:content")),
+    ("editorial_relevance_rejection", ("relevance", "editorial", "auditor", "critic")),
+    ("anti_bot_block", ("cloudflare", "captcha", "anti-bot")),
+    ("js_render_required", ("js", "javascript", "render", "hydration", "headless_disabled")),
+    ("article_fetch_blocked", ("403", "401", "429", "forbidden", "blocked")),
+    ("content_too_short", ("content_too_short", "min_length", "too short")),
+    ("extraction_parser_mismatch", ("parse", "extract", "selector")),
 )
+#: Ordered classes of log messages and the substrings that name them.
+LOG_CLASSES = (
+    ("Lifecycle", ("cycle", "starting", "finished")),
+    ("Collection", ("fetch", "rss", "source", "collect")),
+    ("Scoring", ("score", "rank", "scoring")),
+    ("Publishing", ("publish", "github", "pr")),
+    ("Storage", ("db", "database")),
+    ("System Error", ("error", "fail")),
+)
+#: Words of surprise.
+WOW = ("breakthrough", "discovery", "first", "new", "revolutionary", "unexpected", "major", "significant", "study", "research", "evidence", "found", "identified", "milestone", "record")
 ACCENTED, PLAIN = "áàâäãéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ", "aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC"
 
 
@@ -78,12 +92,37 @@ def topics(text: Column, rules: dict[str, tuple[str, ...]], most: int = 5) -> Co
     return F.when(F.size(found) == 0, F.array(F.lit("general"))).otherwise(F.slice(found, 1, most))
 
 
-def failure_class(message: Column) -> Column:
-    low = F.lower(F.coalesce(message, F.lit("")))
-    out = F
-    for name, parts in FAILURES:
-        out = out.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in parts]), name)
-    return out.otherwise("unknown")
+def contains_any(text: Column, parts: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts])
+
+
+def count_contained(text: Column, parts: tuple[str, ...]) -> Column:
+    """How many of the parts occur, as substrings."""
+    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(p)).cast("int") for p in parts])
+
+
+def first_class(text: Column, classes: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
+    """The first class one of whose substrings occurs, or null."""
+    return F.coalesce(*[F.when(contains_any(text, parts), F.lit(name)) for name, parts in classes])
+
+
+def failure_class(message: Column, saved: Column, feed_ok: Column) -> Column:
+    """The class of a source's failure; null where it saved articles and nothing is reported."""
+    low = F.lower(F.trim(F.coalesce(message, F.lit(""))))
+    found = F.coalesce(first_class(low, FAILURES), F.when(~feed_ok, "feed_fetch_failure"), F.when(low != "", "unknown_failure"))
+    return F.when((saved > 0) & (low == ""), F.lit(None)).otherwise(found)
+
+
+def log_class(message: Column) -> Column:
+    return F.coalesce(first_class(F.lower(message), LOG_CLASSES), F.lit("System"))
+
+
+def data_density(text: Column) -> Column:
+    """Years, percentages, numbers and (twice) statistical notation for each word; 2 in 100 counts as 1."""
+    n = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    points = n(r"\b(19|20)\d{2}\b") + n(r"\d+(\.\d+)?%") + 2 * n(r"(?i)n\s*=|p\s*[<>=]|×10") + n(r"\b\d{2,}\b")
+    words = word_count(text)
+    return F.when(words == 0, 0.0).otherwise(F.least(F.lit(1.0), points / words / 0.02))
 
 
 def simhash_tokens(text: Column) -> Column:

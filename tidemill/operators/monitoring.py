@@ -67,3 +67,12 @@ def islands(events: DataFrame, group: str, order: list[str], kind: str) -> DataF
     rows = events.withColumn("n", F.row_number().over(w)).withColumn("fresh", F.coalesce((F.lag(kind).over(w) != F.col(kind)).cast("int"), F.lit(1)))
     rows = rows.withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(group, "run").agg(F.min("n").alias("start"), F.first(kind).alias("kind"), F.count("*").alias("length"))
+
+
+def operational_state(mode: Column, found: Column, saved: Column, ratio: Column) -> Column:
+    """Four states of a source from what it found and saved."""
+    return (
+        F.when((saved > 0) & (mode == "full_text") & (ratio >= 0.8), "healthy_full_text")
+        .when((saved > 0) & mode.isin("summary_only", "summary_fallback") & (ratio >= 0.5), "healthy_summary_only")
+        .when((found > 0) | (saved > 0), "partial_yield_flaky").otherwise("failing_suppressed_candidate")
+    )

@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemill.functions.lexicons import LATAM, LOW_VALUE, SCIENCE, TECH
+from tidemill.functions.text import WOW, contains_any, count_contained, data_density
+
 #: Weights, half-life and limits of the feature score.
 WEIGHTS = {"source": 0.15, "freshness": 0.20, "content": 0.35, "engagement": 0.30}
 SOURCE, HALF_LIFE_H, OLDEST_H, INCLUDE = 0.5, 18.0, 168.0, 0.3
@@ -67,3 +70,37 @@ def normalized(weights: dict[str, float]) -> dict[str, float]:
 
 def band(score: Column) -> Column:
     return F.when(score >= 0.8, "excellent").when(score >= 0.6, "good").when(score >= 0.4, "fair").when(score >= 0.2, "weak").otherwise("poor")
+
+
+def audience_score(title: Column, summary: Column, source: Column) -> Column:
+    """How well a candidate suits a Latin American audience of public-interest science."""
+    title, summary = F.coalesce(title, F.lit("")), F.coalesce(summary, F.lit(""))
+    text = F.lower(F.concat_ws(" ", title, summary, F.coalesce(source, F.lit(""))))
+    yes = lambda c, v: F.when(c, F.lit(v)).otherwise(0.0)
+    return (
+        4.0 * count_contained(text, LATAM) + 2.5 * count_contained(text, SCIENCE) - 3.5 * count_contained(text, LOW_VALUE)
+        + F.least(F.length(summary) / 140.0, F.lit(1.5)) + F.least(F.length(title) / 80.0, F.lit(0.5))
+        + yes(contains_any(text, ("study", "research", "scientists", "data")), 1.0) + yes(contains_any(text, TECH), 1.5) - yes(contains_any(text, ("partnership", "portal")), 1.0)
+    )
+
+
+def heuristic_quality(text: Column) -> Column:
+    """Substance, narrative, relevance and credibility of a text from surface signs, rounded to four places."""
+    low = F.lower(text)
+    wow = F.least(F.lit(1.0), count_contained(low, WOW) / 4.0)
+    narrative = 0.6 * wow + 0.4 * F.least(F.lit(1.0), F.length(text) / 2000)
+    latam = F.when(contains_any(low, LOW_VALUE), 0.0).when(contains_any(low, LATAM), 1.0).otherwise(0.0)
+    sentences = F.filter(F.split(text, r"\."), lambda x: F.length(F.trim(x)) > 10)
+    words = F.aggregate(sentences, F.lit(0), lambda a, x: a + F.size(F.split(F.trim(x), r"\s+")))
+    mean = words / F.greatest(F.lit(1), F.size(sentences))
+    relevance = F.greatest(latam, 0.5 * F.when(mean.between(15, 25), 1.0).otherwise(0.5))
+    yes = lambda c, v: F.when(c, F.lit(v)).otherwise(0.0)
+    credible = 0.5 + yes(contains_any(text, ('"', "“")), 0.2) + yes(contains_any(text, ("<p>", "\n\n")), 0.2) + yes(F.contains(text, F.lit("http")), 0.1)
+    total = 0.35 * data_density(text) + 0.30 * narrative + 0.20 * relevance + 0.15 * credible
+    return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4)
+
+
+def cognitive_blend(heuristic: Column, relevance: Column) -> tuple[Column, Column]:
+    """(score, label): irrelevant articles stay below inclusion."""
+    score = F.when(relevance < 0.4, F.least(heuristic, F.lit(0.55))).otherwise(heuristic)
+    return score, F.when(score >= 0.75, "publish").when(score >= 0.60, "consider").otherwise("skip")

@@ -5,13 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.text import word_count
+from tidemill.functions.text import contains_any, word_count
 
 LEAST_TITLE, LEAST_CONTENT, LEAST_WORDS, LEAST_SUMMARY_WORDS, LEAST_RELEVANCE = 10, 1000, 50, 20, 0.05
-#: Titles of collections, and openings of newsletters.
-TITLE_BLOCKS = (r"(?i)^podcast\b", r"(?i)^newsletter\b", r"(?i)\bgiveaway\b", r"(?i)^sponsored\b")
-NEWSLETTER = (r"(?i)subscribe to our newsletter", r"(?i)view this email in your browser", r"(?i)unsubscribe")
-INJECTION = (r"(?i)ignore (all )?previous instructions", r"(?i)system prompt", r"(?i)you are now")
+#: Titles outside the editorial scope, openings of newsletters, injected instructions and what excuses them.
+TITLE_BLOCKS = (
+    r"The Download:.*",
+    r"(?i)(big spring sale|prime day|black friday|cyber monday|% off|deal:|best deals|deal of the day|price drop|coupon|voucher|discount code|shopping guide|gift guide|affiliate picks?)",
+    r"(?i)(best .+ to buy|buying guide|vs\.\s)",
+    r"(?i)(election results|election campaign|campaign trail|candidate debate|presidential race|parliamentary election|midterm results?)",
+    r"(?i)(travel guide|flight deal|hotel deal|packing list|fashion week|red carpet|celebrity style|beauty routine|outfit ideas|dating tips?)",
+    r"(?i)(named.*fellow|honorary degree|commencement address|class of \d{4}|admitted to the|divestment resolution|AAAS fellow)",
+    r"(?i)(is hiring|is laying off|raises \$\d+[MB]|funding round|series [A-D]\b)",
+    r"(?i)^STAT\+:",
+)
+NEWSLETTER = (r"(?i)today's edition of", r"(?i)weekday newsletter", r"(?i)daily dose of", r"(?i)top stories")
+INJECTION = (
+    r"(?iu)\bignore\s+(?:previous|all|the|prior)\s+instructions\b",
+    r"(?iu)\bignora\s+(?:las\s+)?(?:instrucciones|órdenes)\s+(?:anteriores|previas)\b",
+    r"(?iu)\bforget\s+(?:my\s+)?(?:previous|all|prior)\s+instructions\b",
+    r"(?iu)\bolvida\s+(?:las\s+)?(?:instrucciones|reglas)\s+(?:anteriores|previas)\b",
+    r"(?iu)\bsystem\s+prompt\b",
+    r"(?iu)\bprompt\s+del\s+sistema\b",
+    r"(?iu)\bstop\s+translating\b",
+    r"(?iu)\bdeja\s+de\s+traducir\b",
+    r"(?iu)\bno\s+traduzcas\b",
+    r"(?iu)\bignore\s+the\s+text\s+(?:above|below)\b",
+    r"(?iu)\bignora\s+el\s+texto\s+(?:de\s+)?(?:arriba|abajo)\b",
+    r"(?iu)\bnew\s+instruction\b",
+    r"(?iu)\bnueva\s+instrucción\b",
+    r"(?iu)\[system\b",
+    r"(?iu)\[instruction\b",
+)
+EXCUSES = (
+    "prompt injection", "inyección de prompt", "inyección indirecta", "jailbreak", "jailbreaking", "cybersecurity", "ciberseguridad", "security vulnerability",
+    "vulnerabilidad de seguridad", "security researcher", "investigador de seguridad", "investigadores de seguridad", "threat intelligence",
+    "inteligencia de amenazas", "google threat intelligence", "red team", "equipo rojo", "vulnerabilities", "vulnerabilidades", "common crawl", "adversarial",
+    "adversario", "ciberataque", "cyberattack", "google security", "security blog", "investigador", "investigadores",
+)
 
 
 def admission_reason(title: Column, content: Column, mode: Column, least: int = LEAST_CONTENT) -> Column:
@@ -39,11 +70,16 @@ def matches_any(text: Column, patterns: tuple[str, ...], reason: str) -> Column:
     return out
 
 
+def injected(text: Column) -> Column:
+    """Instructions to a model in a text that does not write about such attacks."""
+    return F.when(~contains_any(F.lower(text), EXCUSES), matches_any(text, INJECTION, "prompt_injection"))
+
+
 def first_reason(title: Column, content: Column, summary_mode: Column) -> Column:
     """The first broken rule of the chain, or null."""
     return F.coalesce(
         few_words(content, summary_mode), off_title(title, content), matches_any(title, TITLE_BLOCKS, "blocked_title"),
-        matches_any(F.substring(content, 1, 1000), NEWSLETTER, "newsletter"), matches_any(F.concat_ws("\n", title, content), INJECTION, "prompt_injection"),
+        matches_any(F.substring(content, 1, 1000), NEWSLETTER, "newsletter"), injected(F.concat_ws("\n", title, content)),
     )
 
 

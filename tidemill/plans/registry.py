@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.functions import html as H
+from tidemill.functions import lexicons as L
 from tidemill.functions import text as T
 from tidemill.functions.urls import canonicalize_url
-from tidemill.operators import analytics, dedup, folds, monitoring, ranking, scoring, validation
+from tidemill.operators import analytics, dedup, explain, folds, monitoring, ranking, scoring, validation
 from tidemill.plans.bindings import ARTICLES, articles, events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -400,9 +402,27 @@ def f19_reading(spark, d):
     return rows.withColumn("minutes", T.reading_minutes(F.col("words")).cast("long"))
 
 
-@query("SELECT page_id, CASE WHEN contains(lower(html), 'timeout') OR contains(lower(html), 'timed out') THEN 'timeout' WHEN contains(lower(html), '403') OR contains(lower(html), 'forbidden') OR contains(lower(html), 'captcha') THEN 'blocked' WHEN contains(lower(html), '404') OR contains(lower(html), 'not found') THEN 'not_found' WHEN contains(lower(html), '429') OR contains(lower(html), 'rate limit') THEN 'rate_limited' WHEN contains(lower(html), 'parse') OR contains(lower(html), 'json') OR contains(lower(html), 'xml') THEN 'parse_error' ELSE 'unknown' END AS failure FROM pages")
+def _classes_sql(column: str, classes) -> str:
+    tests = [f"WHEN {' OR '.join(f'contains({column}, {chr(39)}{p}{chr(39)})' for p in parts)} THEN '{name}'" for name, parts in classes]
+    return f"CASE {' '.join(tests)} END"
+
+
+@query(f"""WITH x AS (SELECT page_id, lower(trim(html)) AS t FROM pages) SELECT page_id, coalesce({_classes_sql("t", T.FAILURES)}, CASE WHEN page_id % 2 = 1 THEN 'feed_fetch_failure' WHEN t <> '' THEN 'unknown_failure' END, 'none') AS failure FROM x""")
 def f25_failure_class(spark, d):
-    return table(spark, d, "pages").select("page_id", T.failure_class(F.col("html")).alias("failure"))
+    failure = T.failure_class(F.col("html"), F.lit(0), F.col("page_id") % 2 == 0)
+    return table(spark, d, "pages").select("page_id", F.coalesce(failure, F.lit("none")).alias("failure"))
+
+
+@query("""SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'purchase') > 0 AND count(*) FILTER (event_type = 'purchase') / CAST(count(*) AS DOUBLE) >= 0.8 THEN 'healthy_full_text' ELSE 'partial_yield_flaky' END AS state FROM events GROUP BY user_id""")
+def f26_operational_state(spark, d):
+    saved, found = F.count_if(F.col("event_type") == "purchase"), F.count("*")
+    per = table(spark, d, "events").groupBy("user_id").agg(found.alias("found"), saved.alias("saved"))
+    return per.select("user_id", monitoring.operational_state(F.lit("full_text"), F.col("found"), F.col("saved"), F.col("saved") / F.col("found")).alias("state"))
+
+
+@query(f"""WITH x AS (SELECT conv_id, turn, lower(text) AS t FROM conversations) SELECT conv_id, turn, coalesce({_classes_sql("t", T.LOG_CLASSES)}, 'System') AS kind FROM x""")
+def f27_log_class(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", T.log_class(F.col("text")).alias("kind"))
 
 
 # ---- scores and rules
@@ -432,6 +452,26 @@ def a12_score_bands(spark, d):
     return articles(spark, d).groupBy(scoring.band(F.col("score")).alias("band")).agg(F.count("*").alias("n"))
 
 
+def _count_sql(column: str, words) -> str:
+    return " + ".join(f"CAST(contains({column}, '{w}') AS INTEGER)" for w in words)
+
+
+def _any_sql(column: str, words) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+@query(f"""WITH {ARTICLES}, x AS (SELECT id, source, title, content, lower(concat_ws(' ', title, content, source)) AS t FROM articles)
+  SELECT id, round(4.0::DOUBLE * ({_count_sql("t", L.LATAM)}) + 2.5::DOUBLE * ({_count_sql("t", L.SCIENCE)}) - 3.5::DOUBLE * ({_count_sql("t", L.LOW_VALUE)}) + least(length(content) / 140.0::DOUBLE, 1.5) + least(length(title) / 80.0::DOUBLE, 0.5)
+    + CASE WHEN {_any_sql("t", ("study", "research", "scientists", "data"))} THEN 1 ELSE 0 END + CASE WHEN {_any_sql("t", L.TECH)} THEN 1.5 ELSE 0 END - CASE WHEN {_any_sql("t", ("partnership", "portal"))} THEN 1 ELSE 0 END, 9) AS score FROM x""")
+def c14_audience_score(spark, d):
+    return articles(spark, d).select("id", F.round(scoring.audience_score(F.col("title"), F.col("content"), F.col("source")), 9).alias("score"))
+
+
+@query()
+def c12_heuristic_quality(spark, d):
+    return articles(spark, d).select("id", scoring.heuristic_quality(F.coalesce("content", F.lit(""))).alias("score"))
+
+
 @query(r"""WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '[^ \t\r\n\x0B\f]+')) AS n FROM documents) SELECT CASE WHEN n < 50 THEN 'too_few_words' ELSE 'ok' END AS reason, count(*) AS n FROM w GROUP BY 1""")
 def v1_word_rule(spark, d):
     reason = F.coalesce(validation.few_words(F.col("text"), F.lit(False)), F.lit("ok"))
@@ -479,3 +519,46 @@ def m6_strategy(spark, d):
 @query()
 def a13_event_fold(spark, d):
     return folds.fold_events(events(spark, d)).withColumn("mean", F.round("mean", 9))
+
+
+@query()
+def f3_clean_html(spark, d):
+    return table(spark, d, "pages").select("page_id", H.clean_html(F.col("html")).alias("text"))
+
+
+@query()
+def f23_page_text(spark, d):
+    return table(spark, d, "pages").select("page_id", H.page_text(F.col("html")).alias("text"))
+
+
+@query()
+def f2_normalize_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", H.normalize_text(F.col("text")).alias("text"))
+
+
+@query()
+def f7_entities(spark, d):
+    return table(spark, d, "documents").select("doc_id", H.find_entities(F.col("text"), {"the": "The", "qué": "Que", "und": "Und", "les": "Les"}).alias("entities"))
+
+
+@query("""WITH e AS (SELECT user_id, event_type, value, ts, event_id FROM events), r AS (SELECT user_id, arg_max(value, struct_pack(t := ts, e := event_id)) FILTER (event_type = 'purchase') AS purchase, arg_max(value, struct_pack(t := ts, e := event_id)) FILTER (event_type = 'view') AS view FROM e GROUP BY user_id)
+  SELECT user_id, coalesce(purchase, -1) AS purchase, coalesce(view, -1) AS view FROM r""")
+def m4_latest_known(spark, d):
+    kinds = [F.when(F.col("event_type") == k, F.col("value")).alias(k) for k in ("purchase", "view")]
+    rows = table(spark, d, "events").select("user_id", "ts", "event_id", *kinds)
+    return explain.latest_known(rows, "user_id", ["ts", "event_id"], ["purchase", "view"]).na.fill(-1.0)
+
+
+@query()
+def d9_best_matches(spark, d):
+    rows = articles(spark, d)
+    pairs = dedup.near_pairs(dedup.simhash(rows, "id", F.col("content")), "id")
+    times = rows.select("id", F.timestamp_seconds(F.col("id") * 60).alias("t"))
+    return explain.best_matches(pairs, times, "id", "t")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 >= 8 THEN 'excellent' WHEN doc_id % 10 >= 6 THEN 'good' WHEN doc_id % 10 >= 4 THEN 'fair' ELSE 'poor' END AS assessment, CASE lang WHEN 'en' THEN 'ENGLISH' WHEN 'de' THEN 'GERMAN' ELSE 'CIENCIA' END AS category FROM documents")
+def v8_category(spark, d):
+    docs = table(spark, d, "documents")
+    category = explain.resolve_category(F.col("lang"), {"en": "ENGLISH", "de": "GERMAN"}, F.lit(None).cast("string"))
+    return docs.select("doc_id", explain.assessment((F.col("doc_id") % 10) / 10.0).alias("assessment"), category.alias("category"))
