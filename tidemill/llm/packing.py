@@ -26,6 +26,8 @@ from tidemill.llm.tokens import encode_in_blocks
 
 CAPACITY = 1024
 GROUP = 4096
+#: The search ends after so many of the emptiest sequences in a row could not be emptied.
+PATIENCE = 96
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, mark long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -131,18 +133,25 @@ class Bins:
         return True
 
     def search(self) -> None:
-        """Empty the emptiest bins, one after another, as long as the lower bound is not met and free places suffice."""
-        used, bound = len(self.items), self.bound()
+        """Empty the emptiest bins, one after another, until the lower bound is met or PATIENCE bins in a row stay."""
+        used, bound, failed = len(self.items), self.bound(), 0
         order = sorted(range(used), key=self.fill.__getitem__)
+        under = [x for x in reversed(order) if self.fill[x] < self.capacity]
         for b in order:
-            if used <= bound:
+            if used <= bound or failed >= PATIENCE:
                 break
-            for a in sorted((x for x in order if x != b and self.fill[b] <= self.fill[x] < self.capacity and self.items[x]), key=self.fill.__getitem__, reverse=True):
+            for a in under:
+                if a == b or not self.items[a] or self.fill[a] < self.fill[b]:
+                    continue
                 while self.items[b] and self.fill[a] < self.capacity and self._step(b, a):
                     pass
                 if not self.items[b]:
-                    used -= 1
                     break
+            emptied = not self.items[b]
+            used -= emptied
+            failed = 0 if emptied else failed + 1
+            if emptied or failed % 16 == 0:
+                under = [x for x in sorted(under, key=self.fill.__getitem__, reverse=True) if self.items[x] and self.fill[x] < self.capacity]
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY) -> list[tuple[int, int]]:
