@@ -11,7 +11,7 @@ from tidemill.functions import html as H
 from tidemill.functions import lexicons as L
 from tidemill.functions import text as T
 from tidemill.functions.urls import canonicalize_url
-from tidemill.operators import analytics, dedup, explain, folds, monitoring, ranking, scoring, validation
+from tidemill.operators import analytics, catalogue, dedup, explain, folds, monitoring, ranking, scoring, validation
 from tidemill.plans.bindings import ARTICLES, articles, events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -562,3 +562,131 @@ def v8_category(spark, d):
     docs = table(spark, d, "documents")
     category = explain.resolve_category(F.col("lang"), {"en": "ENGLISH", "de": "GERMAN"}, F.lit(None).cast("string"))
     return docs.select("doc_id", explain.assessment((F.col("doc_id") % 10) / 10.0).alias("assessment"), category.alias("category"))
+
+
+# ---- catalogue, retention, states
+
+
+@query("SELECT s_suppkey FROM supplier WHERE NOT (s_suppkey % 5 = 0) AND NOT (s_acctbal < 0)")
+def p12_processable(spark, d):
+    return table(spark, d, "supplier").where(catalogue.processable(F.col("s_suppkey") % 5 == 0, F.col("s_acctbal") < 0)).select("s_suppkey")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 AND 10 < s_suppkey THEN 'cooldown' WHEN s_suppkey % 7 < 2 THEN 'too_soon' ELSE 'go' END AS gate FROM supplier")
+def p19_crawl_gate(spark, d):
+    at = lambda hours: F.timestamp_seconds(F.lit(1_700_000_000) + hours * 3600)
+    gate = monitoring.crawl_gate(F.when(F.col("s_suppkey") % 3 == 0, "COOLDOWN").otherwise("OK"), at(F.lit(10)), at(F.col("s_suppkey")), at(10 - F.col("s_suppkey") % 7), 2)
+    return table(spark, d, "supplier").select("s_suppkey", gate.alias("gate"))
+
+
+@query("SELECT p_partkey, greatest(1.0::DOUBLE, p_size / 10.0::DOUBLE, p_retailprice / 1000.0::DOUBLE) AS delay FROM part")
+def p20_delay(spark, d):
+    return table(spark, d, "part").select("p_partkey", catalogue.effective_delay(F.lit(1.0), F.col("p_size") / 10.0, F.col("p_retailprice") / 1000.0).alias("delay"))
+
+
+@query(r"SELECT page_id, regexp_matches(lower(url), '^https?://[^/:?#]+') AND NOT regexp_matches(lower(url), '^https?://(localhost|127\.|10\.|192\.168\.|169\.254\.|0\.|172\.(1[6-9]|2\d|3[01])\.)') AND NOT regexp_matches(regexp_extract(lower(url), '^https?://([^/:?#]+)', 1), '\.(local|internal)$') AS safe FROM pages")
+def p21_safe_url(spark, d):
+    return table(spark, d, "pages").select("page_id", catalogue.safe_url(F.col("url")).alias("safe"))
+
+
+@query(f"WITH {SIMHASH} SELECT id, ((simhash::HUGEINT + CASE WHEN simhash < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END) // 281474976710656)::INTEGER AS prefix FROM hashes")
+def d5_prefix(spark, d):
+    return dedup.simhash(articles(spark, d), "id", F.col("content")).select("id", F.shiftrightunsigned("simhash", 48).cast("int").alias("prefix"))
+
+
+@query(rf"""WITH {ARTICLES}, s AS (SELECT id, lower(regexp_replace(regexp_replace(regexp_replace(translate(trim(title), '{T.ACCENTED}', '{T.PLAIN}'), '[^a-zA-Z0-9\-_]+', '-', 'g'), '-{{2,}}', '-', 'g'), '^-+|-+$', '', 'g')) AS x FROM articles), n AS (SELECT id, CASE WHEN x = '' THEN 'untitled' ELSE x END AS slug FROM s)
+  SELECT id, row_number() OVER (PARTITION BY slug ORDER BY id) = 1 AS taken FROM n""")
+def d17_unique_slugs(spark, d):
+    return catalogue.unique_slugs(articles(spark, d).select("id", T.slugify(F.col("title")).alias("slug")), "slug", "id").select("id", "taken")
+
+
+@query("SELECT o_orderkey, coalesce(strftime(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END, '%Y-%m-%d'), CASE WHEN o_orderkey % 2 = 0 THEN '2000-01-01' END, 'quarantine') AS day FROM orders")
+def d18_identity_date(spark, d):
+    published = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate"))
+    day = catalogue.identity_date(published, F.when(F.col("o_orderkey") % 2 == 0, F.lit("2000-01-01").cast("timestamp_ntz")))
+    return table(spark, d, "orders").select("o_orderkey", F.coalesce(F.date_format(day, "yyyy-MM-dd"), F.lit("quarantine")).alias("day"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'http' WHEN 'click' THEN 'headless' WHEN 'signup' THEN 'proxy' ELSE 'none' END AS bucket FROM events")
+def a14_strategy_bucket(spark, d):
+    strategy = F.when(F.col("event_type") == "view", "scrapling_http").when(F.col("event_type") == "click", " Headless_Fallback").when(F.col("event_type") == "signup", "proxy").otherwise("odd")
+    return table(spark, d, "events").select("event_id", F.coalesce(catalogue.strategy_bucket(strategy), F.lit("none")).alias("bucket"))
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, coalesce(b.v, a.v) AS v FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT c_custkey AS k, c_acctbal + 1 AS v FROM customer WHERE c_custkey % 3 = 0) b ON a.k = b.k")
+def a15_upsert(spark, d):
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    return catalogue.upsert(rows.where("k % 2 = 0"), rows.where("k % 3 = 0").withColumn("v", F.col("v") + 1), "k", ["v"])
+
+
+@query("SELECT user_id FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'view') > 0 AND count(*) FILTER (event_type = 'purchase') < 5")
+def a19_suggested_blacklist(spark, d):
+    per = analytics.funnel(table(spark, d, "events"), "user_id", "event_type", ["view", "purchase"])
+    return per.where("n_view > 0 AND n_purchase < 5").select(F.col("source_id").alias("user_id"))
+
+
+@query(f"WITH {ARTICLES}, p AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM articles) SELECT id, CAST((n - 1) // 50 AS INTEGER) AS page FROM p WHERE n <= 150")
+def w5_paged_cycle(spark, d):
+    return catalogue.pages_until(articles(spark, d).select("id"), [F.col("id")], 50, 120)
+
+
+@query(f"WITH {ARTICLES} SELECT id FROM articles WHERE score >= 0.3 ORDER BY score DESC, id DESC LIMIT 10")
+def k5_final_selection(spark, d):
+    return ranking.top_k(articles(spark, d).select("id", "score"), 0.3, 10).select("id")
+
+
+@query("SELECT doc_id, (CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END) AS has_the, CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(the|and)($|[^\\p{L}\\p{N}_])') THEN 'english' WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(und|der)($|[^\\p{L}\\p{N}_])') THEN 'german' ELSE 'general' END AS topic FROM documents".replace("(CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END) AS has_the, ", ""))
+def f8_topics(spark, d):
+    found = T.topics(F.col("text"), {"english": ("the", "and"), "german": ("und", "der")})
+    return table(spark, d, "documents").select("doc_id", found[0].alias("topic"))
+
+
+@query(r"SELECT page_id, coalesce(nullif(regexp_extract(html, '10\.\d{4,9}/[-._;()/:A-Za-z0-9]+'), ''), 'none') AS doi FROM pages")
+def f11_doi(spark, d):
+    doi = F.regexp_extract("html", catalogue.DOI, 0)
+    return table(spark, d, "pages").select("page_id", F.when(doi == "", "none").otherwise(doi).alias("doi"))
+
+
+@query("SELECT DISTINCT p_type, trim(regexp_replace(lower(trim(p_type)), '[^a-z0-9]+', '_', 'g'), '_') AS key FROM part")
+def f16_category_key(spark, d):
+    return table(spark, d, "part").select("p_type", catalogue.category_key(F.col("p_type")).alias("key")).distinct()
+
+
+@query("SELECT user_id, least(60.0::DOUBLE, pow(2.0::DOUBLE, count(*) FILTER (event_type = 'error'))) AS wait FROM events GROUP BY user_id")
+def f28_backoff(spark, d):
+    per = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n"))
+    return per.select("user_id", catalogue.backoff(F.col("n")).alias("wait"))
+
+
+@query(f"WITH {ARTICLES} SELECT id, CASE WHEN id % 3 = 0 THEN CASE WHEN language = 'en' THEN 'publishing' ELSE 'pending' END ELSE 'completed' END AS status FROM articles")
+def v9_transition(spark, d):
+    status = F.when(F.col("id") % 3 == 0, F.when(F.col("language") == "en", "validated").otherwise("pending")).otherwise("completed")
+    return articles(spark, d).select("id", catalogue.transition(status, "publishing", ("validated",)).alias("status"))
+
+
+@query(f"WITH {ARTICLES} SELECT id FROM articles WHERE NOT (id < 500 AND coalesce(score < 0.3, false))")
+def v10_cleanup(spark, d):
+    return catalogue.retained(articles(spark, d), F.col("id") < 500, F.col("score")).select("id")
+
+
+@query("SELECT user_id, greatest(0.0::DOUBLE, 1 - count(*) FILTER (event_type = 'error') / CAST(count(*) AS DOUBLE)) AS rate FROM events GROUP BY user_id")
+def m2_success_rate(spark, d):
+    per = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("e"), F.count("*").alias("n"))
+    return per.select("user_id", catalogue.success_rate(F.col("e"), F.col("n")).alias("rate"))
+
+
+@query("SELECT user_id, 100.0 * count(*) FILTER (event_type = 'view') / count(*) >= 20 AND 100.0 * count(*) FILTER (event_type = 'click') / count(*) <= 100 AND count(*) >= 5 AS lockable FROM events GROUP BY user_id".replace(">= 20", ">= 70").replace("<= 100", "<= 10"))
+def m7_auto_lock(spark, d):
+    rate = lambda kind: 100.0 * F.count_if(F.col("event_type") == kind) / F.count("*")
+    per = table(spark, d, "events").groupBy("user_id").agg(rate("view").alias("headless"), rate("click").alias("http"), F.count("*").alias("n"))
+    return per.select("user_id", catalogue.lockable(F.col("headless"), F.col("http"), F.col("n")).alias("lockable"))
+
+
+@query("""WITH w AS (SELECT user_id, count(*) FILTER (ts < TIMESTAMP '2024-01-16' AND event_type = 'purchase') / CAST(nullif(count(*) FILTER (ts < TIMESTAMP '2024-01-16'), 0) AS DOUBLE) AS base_ratio, count(*) FILTER (ts >= TIMESTAMP '2024-01-16' AND event_type = 'purchase') / CAST(nullif(count(*) FILTER (ts >= TIMESTAMP '2024-01-16'), 0) AS DOUBLE) AS ratio FROM events GROUP BY user_id)
+  SELECT user_id, CASE WHEN base_ratio > 0 AND ratio = 0 THEN 'newly_broken' ELSE 'ratio_drop' END AS reason FROM w WHERE (base_ratio > 0 AND ratio = 0) OR base_ratio - ratio >= 0.1""")
+def m15_live_drift(spark, d):
+    rows = events(spark, d)
+    half = F.lit("2024-01-16").cast("timestamp")
+    ratio = F.try_divide(F.count_if(F.col("event_type") == "purchase"), F.count("*"))
+    base, now = (rows.where(c).groupBy("user_id").agg(ratio.alias(n)) for c, n in ((F.col("ts") < half, "base_ratio"), (F.col("ts") >= half, "ratio")))
+    return monitoring.live_drift(now, base, "user_id", 0.1).select("user_id", "reason")
