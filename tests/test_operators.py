@@ -211,3 +211,15 @@ def test_audit_and_outliers(spark):
     assert {r.id: r.issues for r in explain.audit_sources(sources).collect()} == {"a": ["missing_url"], "b": ["credibility_out_of_range", "headless_disabled"]}
     members = spark.createDataFrame([("k", 1, 0), ("k", 2, 3), ("k", 3, -1)], "cluster string, id long, h long")
     assert [r.id for r in explain.outliers_of_clusters(members, "cluster", "id", "h").collect()] == [3]
+
+
+def test_percentiles_of_large_and_constant_groups(spark):
+    from tidemill.operators import analytics
+
+    rows = spark.range(30_000).select(F.lit("a").alias("k"), (F.col("id") * 7919 % 30_011).cast("double").alias("v"))
+    rows = rows.union(spark.range(500).select(F.lit("b"), F.lit(2.0))).union(spark.createDataFrame([("c", 1.0), ("c", 2.0), (None, 5.0)], "k string, v double"))
+    got = {r.k: r for r in analytics.percentiles(rows, "k", "v", accuracy=1000).collect()}
+    want = {r.k: r for r in rows.groupBy("k").agg(F.percentile("v", F.lit(0.5)).alias("p50"), F.percentile("v", F.lit(0.99)).alias("p99")).collect()}
+    assert set(got) == set(want)
+    for k, r in want.items():
+        assert (got[k].p50, got[k].p99) == (pytest.approx(r.p50), pytest.approx(r.p99))

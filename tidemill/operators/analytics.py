@@ -73,9 +73,40 @@ def funnel(events: DataFrame, source: str, stage: str, stages: list[str]) -> Dat
     return events.groupBy(F.col(source).alias("source_id")).agg(*counts)
 
 
-def percentiles(df: DataFrame, group: str, value: str, at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Percentiles by linear interpolation."""
-    return df.groupBy(group).agg(*[F.percentile(value, F.lit(p)).alias(f"p{round(p * 100)}") for p in at])
+def percentiles(df: DataFrame, group: str, value: str, at: tuple[float, ...] = (0.5, 0.95, 0.99), accuracy: int = 10_000) -> DataFrame:
+    """Percentiles by linear interpolation between neighbours, exact for groups of any size.
+
+    A sketch of bounded size brackets each rank; rows below a bracket are only counted, equal values inside it are counted
+    together, and only those are ordered. So no task holds or sorts a group, however large it is.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    margin = 4.0 / accuracy
+    sketch = lambda side: F.percentile_approx("v", F.array(*[F.lit(min(1.0, max(0.0, p + side * margin))) for p in at]), accuracy)
+    marks = rows.groupBy("g").agg(F.count("*").alias("n"), sketch(-1).alias("low"), sketch(1).alias("high"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(at)])
+    marks = marks.select("g", "n", "low", "high", F.explode(wanted).alias("w"))
+    # a group of at most 10 * accuracy rows is its own bracket; in larger ones the margin spans many ranks
+    small = F.col("n") <= 10 * accuracy
+    low = F.when(small, F.lit(float("-inf"))).otherwise(F.get("low", F.col("w.i")))
+    high = F.when(small, F.lit(float("inf"))).otherwise(F.get("high", F.col("w.i")))
+    marks = marks.select("g", "n", "w.i", "w.p", low.alias("low"), high.alias("high"))
+    # values are counted once before they meet the brackets
+    counted = rows.groupBy("g", "v").agg(F.count("*").alias("c"))
+    met = counted.alias("a").join(marks.alias("b"), F.expr("a.g <=> b.g")).select("a.g", "v", "c", "n", "i", "p", "low", "high")
+    below = met.where("v < low").groupBy("g", "i").agg(F.sum("c").alias("below"))
+    inside = met.where("v >= low AND v <= high")
+    upto = Window.partitionBy("g", "i").orderBy("v")
+    placed = inside.withColumn("upto", F.sum("c").over(upto)).alias("a").join(below.alias("b"), F.expr("a.g <=> b.g AND a.i = b.i"), "left")
+    last = F.coalesce("b.below", F.lit(0)) + F.col("a.upto")  # ranks first .. last - 1 have this value
+    first = last - F.col("a.c")
+    rank = F.col("a.p") * (F.col("a.n") - 1)
+    has = lambda r: (r >= first) & (r < last)
+    ends = placed.groupBy("a.g", "a.i").agg(
+        F.max(F.when(has(F.floor(rank)), F.col("a.v"))).alias("x"), F.max(F.when(has(F.ceil(rank)), F.col("a.v"))).alias("y"), F.first(rank - F.floor(rank)).alias("part")
+    )
+    value_at = F.col("x") + (F.col("y") - F.col("x")) * F.col("part")
+    named = [F.max(F.when(F.col("i") == i, value_at)).alias(f"p{round(p * 100)}") for i, p in enumerate(at)]
+    return ends.groupBy("g").agg(*named).withColumnRenamed("g", group)
 
 
 def label_metrics(pairs: DataFrame, predicted: Column, gold: Column, group: str) -> DataFrame:
