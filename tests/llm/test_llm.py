@@ -529,3 +529,30 @@ def test_pipeline_stages(spark, tmp_path, library):
 
 
 SCHEMA_NAMES = [x.strip().split()[0] for x in SCHEMA.split(",")]
+
+
+# ---- paths that small tables would not take
+
+
+def test_next_row_across_buckets(spark):
+    ids = [0, 1, 2, 9, 10, 30, 31, 47]
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r._next.text for r in fingerprints.with_next(df, ["text"], bucket=4).collect()}
+    assert got == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1])}
+    one = spark.createDataFrame([(5, "x")], "doc_id long, text string")
+    assert [r._next.text for r in fingerprints.with_next(one, ["text"]).collect()] == ["x"]
+
+
+def test_joins_by_shuffle_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST", -1)
+    monkeypatch.setattr(suffixes, "BROADCAST", -1)
+    assert {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(frame(spark)).collect()} == lines_by_brute_force(corpus())
+    want = removed_by_brute_force(corpus())
+    assert {r.doc_id: r.n_removed for r in suffixes.drop_repeated_bytes(frame(spark)).collect()} == {k: x[1] for k, x in want.items()}
+
+
+def test_every_query_is_registered():
+    from tidemill.llm import registry
+
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 11))
+    assert set(registry.oracle_sql()) <= set(registry.queries())
