@@ -67,9 +67,17 @@ def has_word(text: Column, word: str) -> Column:
     return F.contains(text, F.lit(word)) if " " in word else text.rlike(rf"(?U)\b{word}\b")
 
 
+def tokens_of(text: Column) -> Column:
+    """The distinct runs of word characters of a text; a word stands between word borders exactly if it is one of them."""
+    return F.array_distinct(F.split(text, r"(?U)\W+"))
+
+
 def hits(text: Column, words: tuple[str, ...]) -> Column:
-    """How many of the words occur."""
-    return reduce(lambda a, b: a + b, [has_word(text, w).cast("int") for w in words])
+    """How many of the words occur: single words as tokens, in one pass over the text, phrases anywhere."""
+    single = [w for w in dict.fromkeys(words) if " " not in w]
+    phrases = [w for w in dict.fromkeys(words) if " " in w]
+    found = F.size(F.array_intersect(tokens_of(text), F.array(*[F.lit(w) for w in single]))) if single else F.lit(0)
+    return reduce(lambda a, w: a + F.contains(text, F.lit(w)).cast("int"), phrases, found)
 
 
 def detect_language(text: Column) -> Column:
