@@ -140,7 +140,8 @@ def store_media(docs: DataFrame, folder: str, text: str = "text", key: str = "do
 
 def chunk_lists(index: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the ordered chunks of each document, each chunk at the one place chosen for its digest."""
-    chosen = index.groupBy("digest").agg(F.min(F.struct("path", "at", "size")).alias("place"))
+    # written, so that the join has a shuffle of its own on both sides and a digest that very many documents share is split
+    chosen = cut(index.groupBy("digest").agg(F.min(F.struct("path", "at", "size")).alias("place")), "media-places")
     placed = index.select("row", "doc_id", "n_bytes", "seq", "digest").join(chosen, "digest")
     chunk = F.struct("seq", "digest", "place.path", "place.at", "place.size")
     return placed.groupBy("row", "doc_id", "n_bytes").agg(F.sort_array(F.collect_list(chunk)).alias("chunks"))
