@@ -65,7 +65,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     seen = cut(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "line-hashes")
     few = seen.count() <= BROADCAST
     texts = cut(found.join(F.broadcast(seen) if few else seen, "hash"), "line-chunks")
-    firsts = texts.groupBy("hash", "chunk").agg(F.min(F.struct("doc", "first")).alias("kept"))
+    # written, so that the join has a shuffle of its own on both sides and a chunk that very many documents share is split
+    firsts = cut(texts.groupBy("hash", "chunk").agg(F.min(F.struct("doc", "first")).alias("kept")), "line-firsts")
     later = texts.join(firsts, ["hash", "chunk"]).where(F.struct("doc", "first") != F.col("kept"))
     return later.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 

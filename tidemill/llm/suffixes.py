@@ -292,13 +292,11 @@ def removed_spans(table: DataFrame, length: int = LENGTH, k: int = ANCHOR, crowd
     if largest > crowd:
         reaches = reaches.union(crowded(suffixes.where(F.col("n") > crowd), length, k))
     reaches = cut(reaches, "reaches")
-    known = firsts.join(reaches, ["anchor", "mark"], "left").select("anchor", "mark", F.col("doc").alias("first_doc"), F.col("at").alias("first_at"), "reach_left", "reach_right")
-    first = (F.col("doc") == F.col("first_doc")) & (F.col("at") == F.col("first_at"))
-    spans = members.join(known, ["anchor", "mark"]).select(
-        "doc", "at", F.when(first, F.coalesce("reach_left", F.lit(0))).otherwise(length - k).alias("a"), F.when(first, F.coalesce("reach_right", F.lit(0))).otherwise(length).alias("b")
-    )
-    spans = spans.where("b > 0").groupBy("doc").agg(F.collect_list(F.struct((F.col("at") - F.col("a")).alias("first"), (F.col("at") + F.col("b")).alias("end"))).alias("spans"))
-    return spans
+    # surroundings that occur earlier are covered whole; (doc, at) is unique, so no surroundings, however frequent, meet in one task
+    later = members.select("doc", "at").join(firsts.select("doc", "at"), ["doc", "at"], "left_anti")
+    later = later.select("doc", (F.col("at") - (length - k)).alias("first"), (F.col("at") + length).alias("end"))
+    early = firsts.join(reaches, ["anchor", "mark"]).select("doc", (F.col("at") - F.col("reach_left")).alias("first"), (F.col("at") + F.col("reach_right")).alias("end"))
+    return later.union(early).groupBy("doc").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
