@@ -2,9 +2,9 @@
 
 Documents become pieces of at most `capacity` tokens, and pieces go to sequences. Spark deals pieces by a hash into
 groups of about GROUP documents; each group is packed on its own, so the loss against one packing of all is below one
-sequence in a group. A group starts from best fit in decreasing size; then pieces of the emptiest sequences are moved,
-exchanged one for one or two for one with underfull sequences, each step raising the sum of squared fills, until
-sequences empty or the lower bound is met.
+sequence in a group. A group starts from best fit in decreasing size; then pieces are moved, exchanged one for one or
+two for one between underfull sequences, each step raising the sum of squared fills, so that free places gather and
+sequences empty, until the lower bound is met or no such step is left.
 
 Defined results: null texts are empty; an empty text is one piece, the end id; rows that repeat are packed as often as
 they come; null doc_ids are packed like others; an empty table gives no row. Other columns are ignored.
@@ -26,8 +26,8 @@ from tidemill.llm.tokens import encode_in_blocks
 
 CAPACITY = 1024
 GROUP = 4096
-#: The search ends after so many of the emptiest sequences in a row could not be emptied.
-PATIENCE = 96
+#: Sequences of more pieces than this give and take them one by one, not in pairs.
+PAIRED = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, mark long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -64,6 +64,7 @@ class Bins:
         self.sizes, self.capacity = sizes, capacity
         self.items: list[list[int]] = []
         self.fill: list[int] = []
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.steps = {"move": 0, "one": 0, "two": 0}
 
     def best_fit(self, order: list[int]) -> None:
@@ -94,6 +95,8 @@ class Bins:
 
     def _give(self, b: int, out: list[int], a: int, back: list[int]) -> None:
         """Bin b gives items out to bin a and takes items back."""
+        for x in (a, b):
+            self.held.pop(x, None)
         for i in out:
             self.items[b].remove(i)
         for i in back:
@@ -104,54 +107,67 @@ class Bins:
         self.fill[a] += moved
         self.fill[b] -= moved
 
-    def _step(self, b: int, a: int) -> bool:
-        """The exchange that moves most from bin b to the fuller bin a."""
-        sizes, free, best, found = self.sizes, self.capacity - self.fill[a], 0, None
-        own = sorted(self.items[b], key=sizes.__getitem__, reverse=True)
-        for i in own:
-            if best < sizes[i] <= free:
-                best, found = sizes[i], ("move", [i], [])
-                break
-        if best < free:
-            theirs = {sizes[j]: j for j in self.items[a]}
-            mine = {sizes[i]: i for i in own}
-            for t, j in theirs.items():
-                for s, i in mine.items():
-                    if best < s - t <= free:
-                        best, found = s - t, ("one", [i], [j])
-            if best < free and len(own) <= 64:  # a bin of very many small items is emptied by moves
-                pairs = {sizes[i] + sizes[k]: (i, k) for x, i in enumerate(own) for k in own[x + 1 :]}
-                for t, j in theirs.items():
-                    for s, (i, k) in pairs.items():
-                        if best < s - t <= free:
-                            best, found = s - t, ("two", [i, k], [j])
-        if found is None:
-            return False
-        kind, out, back = found
-        self.steps[kind] += 1
-        self._give(b, out, a, back)
-        return True
+    def _offers(self, under: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (size, bin, item, second item or -1): the single items and the pairs of items of underfull bins."""
+        for b in under:
+            if b not in self.held:
+                size, own = self.sizes.__getitem__, self.items[b]
+                one = [(size(i), b, i, -1) for i in {size(i): i for i in own}.values()]
+                two = [(size(i) + size(j), b, i, j) for x, i in enumerate(own) for j in own[x + 1 :]] if len(own) <= PAIRED else []
+                self.held[b] = tuple(np.array(x, dtype=np.int64).reshape(-1, 4) for x in (one, two))
+        none = np.zeros((0, 4), dtype=np.int64)
+        return tuple(np.concatenate([none, *(self.held[b][k] for b in under)]) for k in (0, 1))
+
+    def _exchanges(self, under: list[int]) -> np.ndarray:
+        """Rows (free places left, gain, giving bin, its items, taking bin, its items) of steps that raise the sum of
+        squares: for each thing that a bin could give back, the largest offers of other bins that then fit."""
+        one, two = self._offers(under)
+        none = np.array([(0, b, -1, -1) for b in under], dtype=np.int64).reshape(-1, 4)
+        fill = np.array(self.fill, dtype=np.int64)
+        searched = []
+        for offers, wants in ((np.concatenate([one, two]), np.concatenate([none, one])), (one, two)):
+            offers = offers[np.lexsort((-fill[offers[:, 1]], offers[:, 0]))]
+            free = self.capacity - fill[wants[:, 1]]
+            searched.append((offers, wants, free, np.searchsorted(offers[:, 0], wants[:, 0] + free, side="right") - 1))
+        found, open_ = [], True
+        while open_ and not found:  # smaller offers are looked at only if no larger one of any bin will do
+            open_ = False
+            for n, (offers, wants, free, at) in enumerate(searched):
+                for _ in range(3):
+                    left = np.flatnonzero(at >= 0)
+                    give = offers[at[left]]
+                    moved = give[:, 0] - wants[left, 0]
+                    left, give, moved = left[moved > 0], give[moved > 0], moved[moved > 0]
+                    offers, wants, free, at = offers, wants[left], free[left], at[left]
+                    gain = moved * (fill[wants[:, 1]] - fill[give[:, 1]] + moved)
+                    ok = (gain > 0) & (give[:, 1] != wants[:, 1])
+                    if ok.any():
+                        found.append(np.column_stack([(free - moved)[ok], gain[ok], give[ok, 1:], wants[ok, 1:]]))
+                    at = at - 1
+                searched[n] = (offers, wants, free, at)
+                open_ |= len(at) > 0
+        return np.concatenate(found) if found else np.zeros((0, 8), dtype=np.int64)
 
     def search(self) -> None:
-        """Empty the emptiest bins, one after another, until the lower bound is met or PATIENCE bins in a row stay."""
-        used, bound, failed = len(self.items), self.bound(), 0
-        order = sorted(range(used), key=self.fill.__getitem__)
-        under = [x for x in reversed(order) if self.fill[x] < self.capacity]
-        for b in order:
-            if used <= bound or failed >= PATIENCE:
+        """Exchange between all underfull bins until the lower bound is met or no step raises the sum of squares.
+
+        Each round takes the steps that fill a bin first, then those of most gain, and each bin once.
+        """
+        used, bound = sum(map(bool, self.items)), self.bound()
+        under = [b for b, x in enumerate(self.items) if x and self.fill[b] < self.capacity]
+        while used > bound:
+            steps = self._exchanges(under)
+            if not len(steps):
                 break
-            for a in under:
-                if a == b or not self.items[a] or self.fill[a] < self.fill[b]:
+            touched: set[int] = set()
+            for _, _, b, i, j, a, t, u in steps[np.lexsort((-steps[:, 1], steps[:, 0] > 0))].tolist():
+                if a in touched or b in touched:
                     continue
-                while self.items[b] and self.fill[a] < self.capacity and self._step(b, a):
-                    pass
-                if not self.items[b]:
-                    break
-            emptied = not self.items[b]
-            used -= emptied
-            failed = 0 if emptied else failed + 1
-            if emptied or failed % 16 == 0:
-                under = [x for x in sorted(under, key=self.fill.__getitem__, reverse=True) if self.items[x] and self.fill[x] < self.capacity]
+                touched |= {a, b}
+                self._give(b, [x for x in (i, j) if x >= 0], a, [x for x in (t, u) if x >= 0])
+                self.steps["move" if t < 0 else "one" if j < 0 and u < 0 else "two"] += 1
+                used -= not self.items[b]
+            under = [b for b in under if self.items[b] and self.fill[b] < self.capacity]
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY) -> list[tuple[int, int]]:
