@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -248,9 +249,25 @@ def test_local_search_raises_squares_and_empties_bins():
         assert sorted(i for x in bins.items for i in x) == list(range(len(sizes)))
         assert all(sum(sizes[i] for i in x) == f <= 1024 for x, f in zip(bins.items, bins.fill))
         emptied += before - sum(1 for x in bins.items if x)
+        if sum(map(bool, bins.items)) > bins.bound():
+            assert not improving_steps(bins)
     assert emptied > 0
 
 
+def improving_steps(bins):
+    """Moves, one-for-one and two-for-one exchanges between underfull bins that would raise the sum of squares."""
+    under = [b for b, x in enumerate(bins.items) if x and bins.fill[b] < bins.capacity]
+    found = []
+    for a, b in itertools.permutations(under, 2):
+        gives = [x for n in (1, 2) for x in itertools.combinations(bins.items[b], n)]
+        takes = [x for n in (0, 1, 2) for x in itertools.combinations(bins.items[a], n)]
+        for x, y in itertools.product(gives, takes):
+            moved = sum(bins.sizes[i] for i in x) - sum(bins.sizes[i] for i in y)
+            if len(x) + len(y) < 4 and 0 < moved <= bins.capacity - bins.fill[a] and bins.fill[a] - bins.fill[b] + moved > 0:
+                found.append((x, y))
+    return found
+
+
 # ---- suffixes
 
 
@@ -537,12 +554,30 @@ SCHEMA_NAMES = [x.strip().split()[0] for x in SCHEMA.split(",")]
 def test_next_row_across_buckets(spark):
     ids = [0, 1, 2, 9, 10, 30, 31, 47]
     df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r._next.text for r in fingerprints.with_next(df, ["text"], bucket=4).collect()}
-    assert got == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1])}
+    for n in (1, 4, 20, None):
+        got = {r.doc_id: r._next.text for r in fingerprints.with_next(df, ["text"], n=n).collect()}
+        assert got == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1])}
     one = spark.createDataFrame([(5, "x")], "doc_id long, text string")
     assert [r._next.text for r in fingerprints.with_next(one, ["text"]).collect()] == ["x"]
 
 
+def test_next_row_with_sparse_null_and_repeated_keys(spark):
+    rng = random.Random(8)
+    ids = sorted({rng.randrange(-(1 << 62), 1 << 62) for _ in range(200)} | {(1 << 62) + k for k in range(40)})
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r._next.text for r in fingerprints.with_next(df, ["text"], n=8).collect()}
+    assert got == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1])}
+    rows = [(None, f"n{i}") for i in range(30)] + [(3, f"a{i}") for i in range(30)] + [(3, "same")] * 2 + [(7, "last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [(r.text, r._next.text) for r in fingerprints.with_next(df, ["text"], n=4).collect()]
+    assert sorted(a for a, _ in got) == sorted(b for _, b in got) == sorted(t for _, t in rows)  # one round through all
+    follows = {a: b for a, b in got if a != "same"}
+    assert follows["last"][0] == "n" and sum(a[0] == "n" and b[0] != "n" for a, b in got) == 1
+    assert sorted(b for a, b in got if a == "same")[-1] == "same"
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert fingerprints.fingerprint_documents(none).collect() == []
+
+
 def test_joins_by_shuffle_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST", -1)
     monkeypatch.setattr(suffixes, "BROADCAST", -1)

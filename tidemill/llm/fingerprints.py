@@ -9,7 +9,8 @@ A hash keeps its upper 40 bits, and the place of its k-mer in the text takes the
 of longs orders by hash and one more by place.
 
 Defined results: a null text is empty; an empty text, and one without words, has one k-mer, the empty one; a text of
-fewer than five words has one k-mer, all its words. Places beyond 2**24 words wrap. Other columns stay.
+fewer than five words has one k-mer, all its words. Places beyond 2**24 words wrap. Other columns stay. Null doc_ids
+come before others; rows that share a doc_id follow each other by a hash of the text; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -17,12 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import WHITE, text_or_empty
+from tidemill.llm.common import WHITE, shuffle_partitions, text_or_empty
 
 K, SKETCHES, TUPLE = 5, 32, 2
 PLACE = 24
 LOW = (1 << PLACE) - 1
-BUCKET = 1024
 
 
 def kmer_hashes(words: Column, k: int = K) -> Column:
@@ -77,24 +77,38 @@ def shown(fingerprint: Column) -> Column:
     return F.lower(F.array_join(F.transform(fingerprint, F.hex), "-"))
 
 
-def with_next(df: DataFrame, columns: list[str], key: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
+def ranges(df: DataFrame, key: str, tie: Column, n: int) -> Column:
+    """A number for each row that grows with (key, tie): about n ranges of equally many rows, however keys are spread.
+
+    The bounds are at most n numbers, by approximate quantiles of the keys; rows without a key are dealt out by tie.
+    """
+    found = df.where(F.col(key).isNotNull()).approxQuantile(key, [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
+    bounds = sorted(set(found))
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key).cast("double"))) if bounds else F.lit(0)
+    return F.when(F.col(key).isNull(), F.shiftright(tie, 56).cast("int") - 128).otherwise(place)
+
+
+def with_next(df: DataFrame, columns: list[str], key: str = "doc_id", n: int | None = None) -> DataFrame:
     """df with the struct `_next` of columns in the row that follows by key; after the last row comes the first.
 
-    Rows are dealt out by key // bucket and ordered within; a bucket holds at most `bucket` rows where keys are unique.
-    The last row of a bucket takes the first row of the next one; only one row for each bucket is ordered as a whole.
+    Null keys come first; rows of one key are ordered by a hash of the columns. Rows are dealt out by n ranges of keys,
+    twice the shuffle partitions if not given, and ordered within each. The last row of a range takes the first row of
+    the next one that has any; only one number for each range is ordered as a whole.
     """
-    order = Window.partitionBy("_bucket").orderBy(key)
-    rows = df.withColumn("_bucket", F.floor(F.col(key) / bucket))
+    tie = F.xxhash64(*columns)
+    bucket = ranges(df, key, tie, n or 2 * shuffle_partitions(df.sparkSession))
+    order = Window.partitionBy("_bucket").orderBy(F.col(key).asc_nulls_first(), "_tie")
+    rows = df.withColumn("_tie", tie).withColumn("_bucket", bucket)
     rows = rows.withColumn("_next", F.lead(F.struct(*columns)).over(order)).withColumn("_place", F.row_number().over(order))
     heads = rows.where("_place = 1").select("_bucket", F.struct(*columns).alias("_head"))
-    # the number of the bucket before each; the first follows the last
+    # the number of the range before each; the first follows the last
     by_bucket = Window.orderBy("_bucket")
-    numbers = df.select(F.floor(F.col(key) / bucket).alias("_bucket")).distinct()
+    numbers = df.select(bucket.alias("_bucket")).distinct()
     ends = Window.partitionBy()
     before = F.coalesce(F.lag("_bucket").over(by_bucket), F.max("_bucket").over(ends))
     heads = heads.join(numbers.select("_bucket", before.alias("_before")), "_bucket").select(F.col("_before").alias("_bucket"), "_head")
     out = rows.join(heads, "_bucket", "left")
-    return out.withColumn("_next", F.coalesce("_next", "_head")).drop("_bucket", "_place", "_head")
+    return out.withColumn("_next", F.coalesce("_next", "_head")).drop("_bucket", "_place", "_head", "_tie")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
