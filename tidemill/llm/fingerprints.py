@@ -15,6 +15,8 @@ come before others; rows that share a doc_id follow each other by a hash of the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,27 +90,30 @@ def ranges(df: DataFrame, key: str, tie: Column, n: int) -> Column:
     return F.when(F.col(key).isNull(), F.shiftright(tie, 56).cast("int") - 128).otherwise(place)
 
 
-def with_next(df: DataFrame, columns: list[str], key: str = "doc_id", n: int | None = None) -> DataFrame:
-    """df with the struct `_next` of columns in the row that follows by key; after the last row comes the first.
+def with_next(df: DataFrame, columns: list[str], key: str = "doc_id", n: int | None = None, made: Callable[[DataFrame], DataFrame] = lambda d: d, of: tuple[str, ...] = ()) -> DataFrame:
+    """made(df) with the struct `_next` of columns, and of the columns `of` that made adds, in the row that follows by
+    key; after the last row comes the first.
 
     Null keys come first; rows of one key are ordered by a hash of the columns. Rows are dealt out by n ranges of keys,
     twice the shuffle partitions if not given, and ordered within each. The last row of a range takes the first row of
-    the next one that has any; only one number for each range is ordered as a whole.
+    the next one that has any; only one number for each range is ordered as a whole. The first rows are found by their
+    keys alone, so made runs once for each row, and once more for the first row of each range.
     """
     tie = F.xxhash64(*columns)
     bucket = ranges(df, key, tie, n or 2 * shuffle_partitions(df.sparkSession))
     order = Window.partitionBy("_bucket").orderBy(F.col(key).asc_nulls_first(), "_tie")
-    rows = df.withColumn("_tie", tie).withColumn("_bucket", bucket)
-    rows = rows.withColumn("_next", F.lead(F.struct(*columns)).over(order)).withColumn("_place", F.row_number().over(order))
-    heads = rows.where("_place = 1").select("_bucket", F.struct(*columns).alias("_head"))
+    dealt = df.withColumn("_tie", tie).withColumn("_bucket", bucket)
+    following = F.struct(*columns, *of)
+    rows = made(dealt).withColumn("_next", F.lead(following).over(order))
+    firsts = dealt.groupBy("_bucket").agg(F.min(F.struct(F.col(key).alias("first"), F.col("_tie").alias("tie"))).alias("f")).select("_bucket", "f.first", "f.tie")
     # the number of the range before each; the first follows the last
-    by_bucket = Window.orderBy("_bucket")
-    numbers = df.select(bucket.alias("_bucket")).distinct()
-    ends = Window.partitionBy()
-    before = F.coalesce(F.lag("_bucket").over(by_bucket), F.max("_bucket").over(ends))
-    heads = heads.join(numbers.select("_bucket", before.alias("_before")), "_bucket").select(F.col("_before").alias("_bucket"), "_head")
+    before = F.coalesce(F.lag("_bucket").over(Window.orderBy("_bucket")), F.max("_bucket").over(Window.partitionBy()))
+    firsts = firsts.withColumn("_before", before).drop("_bucket")
+    # one row for each range, at most n and 256 for rows without a key
+    found = dealt.join(F.broadcast(firsts), F.col(key).eqNullSafe(F.col("first")) & (F.col("_tie") == F.col("tie")))
+    heads = made(found.select("_before", *columns).dropDuplicates(["_before"])).select(F.col("_before").alias("_bucket"), following.alias("_head"))
     out = rows.join(heads, "_bucket", "left")
-    return out.withColumn("_next", F.coalesce("_next", "_head")).drop("_bucket", "_place", "_head", "_tie")
+    return out.withColumn("_next", F.coalesce("_next", "_head")).drop("_bucket", "_head", "_tie")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -117,8 +122,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     One shuffle of texts, by ranges of doc_id; fingerprints are made before it and travel with the texts.
     """
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    rows = fingerprint_of(rows, F.col("text"), "mark")
-    rows = with_next(rows, ["text", "mark"])
+    rows = with_next(rows, ["text"], made=lambda d: fingerprint_of(d, F.col("text"), "mark"), of=("mark",))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("_next.text"), F.lit(1), quarter))
