@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import html
 from tidemill.functions.urls import canonical
-from tidemill.operators import dedup, explain, folds, monitoring, ranking, validation
+from tidemill.operators import dedup, editorial, explain, folds, monitoring, ranking, validation
 from tidemill.sources import readers
 from tidemill.streaming import events as streams
 
@@ -223,3 +223,42 @@ def test_percentiles_of_large_and_constant_groups(spark):
     assert set(got) == set(want)
     for k, r in want.items():
         assert (got[k].p50, got[k].p99) == (pytest.approx(r.p50), pytest.approx(r.p99))
+
+
+# ---- editorial review
+
+
+@pytest.mark.parametrize(
+    ("reply", "want"),
+    [
+        ('{"picks": [1, 2]}', "[1,2]"),
+        ("[3, 4]", "[3,4]"),
+        ('Sure:\n```json\n{"picks": [5]}\n```', "[5]"),
+        ('I took {"note": "a } in text", "picks": [6]} and left', "[6]"),
+        ("these: [7, 8].", "[7,8]"),
+        ('{"picks": "none"}', "[]"),
+        ('{"other": [1]}', "[]"),
+        ("nothing", "[]"),
+        ("{broken [9]", "[9]"),
+        ("", "[]"),
+        (None, "[]"),
+    ],
+)
+def test_salvage(reply, want):
+    assert editorial.salvage(reply, "picks") == want
+
+
+def test_rolling_means(spark):
+    rows = [(k, i, v) for k in ("a", "b") for i, v in enumerate([1.0, 2.00005, None, 3.3333, 0.1])] + [(None, 0, 1.0)]
+    got = {r.k: (r.n, r.mean) for r in editorial.rolling_means(spark.createDataFrame(rows, "k string, i int, v double"), "k", ["i"], "v").collect()}
+    want = 0.0
+    for n, v in enumerate([1.0, 2.00005, 0.0, 3.3333, 0.1], 1):
+        want = round(want + (v - want) / n, 4)
+    assert got == {"a": (5, want), "b": (5, want)}
+
+
+def test_council_without_scores_or_answer(spark):
+    answers = spark.createDataFrame([(1, "Sí"), (2, "si, claro"), (3, None), (4, "sin duda"), (5, "No")], "k int, said string")
+    scores = spark.createDataFrame([(k, s) for k in (1, 3, 4, 5) for s in (5.0, 4.0)], "k int, s double")
+    got = {r.k: (r.average, r.approved) for r in editorial.council_verdicts(answers, scores, "k", "said", "s").collect()}
+    assert got == {1: (4.5, True), 2: (0.0, False), 3: (4.5, False), 4: (4.5, False), 5: (4.5, False)}

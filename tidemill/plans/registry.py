@@ -11,7 +11,7 @@ from tidemill.functions import html as H
 from tidemill.functions import lexicons as L
 from tidemill.functions import text as T
 from tidemill.functions.urls import canonicalize_url
-from tidemill.operators import analytics, catalogue, dedup, explain, folds, monitoring, ranking, scoring, validation
+from tidemill.operators import analytics, catalogue, dedup, editorial, explain, folds, monitoring, ranking, scoring, validation
 from tidemill.plans.bindings import ARTICLES, articles, events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -690,3 +690,64 @@ def m15_live_drift(spark, d):
     ratio = F.try_divide(F.count_if(F.col("event_type") == "purchase"), F.count("*"))
     base, now = (rows.where(c).groupBy("user_id").agg(ratio.alias(n)) for c, n in ((F.col("ts") < half, "base_ratio"), (F.col("ts") >= half, "ratio")))
     return monitoring.live_drift(now, base, "user_id", 0.1).select("user_id", "reason")
+
+
+# ---- editorial review
+
+
+@query("""WITH s AS (SELECT l_orderkey, avg(l_quantity % 6) AS average, min(l_quantity % 6) AS least FROM lineitem GROUP BY 1)
+  SELECT o_orderkey, coalesce(average, 0.0::DOUBLE) AS average,
+         coalesce(average, 0.0) >= 3.5 AND coalesce(least, 5.0) >= 2 AND o_orderstatus = 'F' AS approved
+  FROM orders LEFT JOIN s ON o_orderkey = l_orderkey""")
+def a21_council_verdicts(spark, d):
+    said = F.when(F.col("o_orderstatus") == "F", "Sí, adelante").when(F.col("o_orderstatus") == "O", "No").otherwise("Sí, pero requiere cambios")
+    answers = table(spark, d, "orders").select("o_orderkey", said.alias("said"))
+    scores = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_quantity") % 6).alias("score"))
+    return editorial.council_verdicts(answers, scores, "o_orderkey", "said", "score")
+
+
+@query()
+def a20_rolling_means(spark, d):
+    return editorial.rolling_means(events(spark, d), "user_id", ["ts", "event_id"], "value")
+
+
+SETS = r"""sets AS (SELECT doc_id, source, [lang] AS gold, list_filter([CASE WHEN contains(text, 'the') THEN 'en' END, CASE WHEN contains(text, 'und') THEN 'de' END,
+  CASE WHEN contains(text, 'les') THEN 'fr' END, CASE WHEN contains(text, 'los') THEN 'es' END], lambda x: x IS NOT NULL) AS predicted FROM documents)"""
+
+
+def _sets(spark, d):
+    marks = {"en": "the", "de": "und", "fr": "les", "es": "los"}
+    predicted = F.array_compact(F.array(*[F.when(F.col("text").contains(w), lang) for lang, w in marks.items()]))
+    return table(spark, d, "documents").select("doc_id", "source", F.array("lang").alias("gold"), predicted.alias("predicted"))
+
+
+@query(f"""WITH {SETS}, c AS (SELECT source, len(list_filter(predicted, lambda x: list_contains(gold, x))) AS tp, len(list_filter(predicted, lambda x: NOT list_contains(gold, x))) AS fp,
+  len(list_filter(gold, lambda x: NOT list_contains(predicted, x))) AS fn FROM sets),
+  r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 1.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 1.0 END AS r FROM c),
+  m AS (SELECT source, avg(p) AS p, avg(r) AS r, avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END) AS f1,
+    CASE WHEN sum(tp + fp) > 0 THEN sum(tp) / CAST(sum(tp + fp) AS DOUBLE) ELSE 1.0 END AS mp, CASE WHEN sum(tp + fn) > 0 THEN sum(tp) / CAST(sum(tp + fn) AS DOUBLE) ELSE 1.0 END AS mr FROM r GROUP BY source)
+  SELECT source, round(p, 4)::DOUBLE AS precision, round(r, 4)::DOUBLE AS recall, round(f1, 4)::DOUBLE AS f1, round(mp, 4)::DOUBLE AS micro_precision, round(mr, 4)::DOUBLE AS micro_recall,
+    round(CASE WHEN mp + mr > 0 THEN 2 * mp * mr / (mp + mr) ELSE 0.0 END, 4)::DOUBLE AS micro_f1 FROM m""")
+def a26_set_metrics(spark, d):
+    return editorial.set_metrics(_sets(spark, d), F.col("predicted"), F.col("gold"), "source")
+
+
+@query(f"WITH {SETS} SELECT value, count(*) AS n FROM (SELECT unnest(list_filter(predicted, lambda x: NOT list_contains(gold, x))) AS value FROM sets) GROUP BY 1 ORDER BY n DESC, value LIMIT 5")
+def a26_top_false_hits(spark, d):
+    return editorial.top_false_hits(_sets(spark, d), F.col("predicted"), F.col("gold"))
+
+
+@query("""SELECT doc_id, concat_ws(',', CASE WHEN NOT contains(coalesce(text, ''), '. ') THEN 'section:. ' END, CASE WHEN contains(lower(coalesce(text, '')), 'license') THEN 'phrase:License' END,
+  CASE WHEN length(coalesce(text, '')) < 400 THEN 'short' END, CASE WHEN n_chars > 2 AND length(coalesce(text, '')) > (n_chars // 2) * 1.5 THEN 'long' END) AS faults FROM documents""")
+def f29_quality_gate(spark, d):
+    docs = table(spark, d, "documents")
+    faults = editorial.text_faults(F.col("text"), F.floor(F.col("n_chars") / 2), [". "], ["License"], 400, 1.5)
+    return docs.select("doc_id", F.array_join(faults, ",").alias("faults"))
+
+
+@query("SELECT event_id, '[' || json_extract_string(props, '$.k') || ',' || user_id || ']' AS found FROM events")
+def f24_json_salvage(spark, d):
+    values = F.concat(F.lit("["), F.get_json_object("props", "$.k"), F.lit(", "), F.col("user_id").cast("string"), F.lit("]"))
+    object_ = F.concat(F.lit('{"selected_indices": '), values, F.lit("}"))
+    reply = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Here:\n```json\n"), object_, F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("I chose "), object_, F.lit(" today."))).otherwise(values)
+    return table(spark, d, "events").select("event_id", editorial.salvaged(reply, "selected_indices").alias("found"))
