@@ -302,6 +302,13 @@ def test_suffix_dedup_of_repeated_ids_and_nothing(spark):
     assert suffixes.drop_repeated_bytes(frame(spark, [])).count() == 0
 
 
+def test_digest_tells_fronts_apart():
+    # a birthday search: about 18 pairs of these fronts collide if a front counts by 32 bits alone
+    rng, after, n = random.Random(7), b"z" * 100, 400_000
+    assert len({suffixes.digest(rng.randbytes(84), after) for _ in range(n)}) == n
+    assert suffixes.digest(b"ab", b"c") != suffixes.digest(b"a", b"bc")
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(3)
     rows = rng.integers(0, 2, (300, 24)).astype(np.uint8)

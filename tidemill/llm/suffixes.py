@@ -82,8 +82,9 @@ def around(raw: bytes, at: int, length: int = LENGTH, k: int = ANCHOR) -> tuple[
     return raw[max(0, at - (length - k)) : at], raw[at : at + length]
 
 
-def digest(before: bytes, after: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(after, seed=xxhash.xxh32_intdigest(before) * 128 + len(before)) - (1 << 63)
+def digest(before: bytes, after: bytes) -> bytes:
+    """128 bits over both sides and the place of the border between them."""
+    return xxhash.xxh3_128_digest(len(before).to_bytes(2, "big") + before + after)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -135,12 +136,12 @@ def anchor_rows(table: DataFrame, digests: bool, length: int, k: int) -> DataFra
                     marks += [digest(*around(raw, i, length, k)) for i in at.tolist()]
             flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64))
             if digests:
-                yield pa.record_batch([flat(hashes), flat(docs), flat(places), pa.array(marks, pa.int64())], names=["anchor", "doc", "at", "mark"])
+                yield pa.record_batch([flat(hashes), flat(docs), flat(places), pa.array(marks, pa.binary())], names=["anchor", "doc", "at", "mark"])
             else:
                 yield pa.record_batch([flat(hashes)], names=["anchor"])
 
     rows = table.where("NOT copy").select("doc", "text")
-    return rows.mapInArrow(find, "anchor long, doc long, at long, mark long" if digests else "anchor long")
+    return rows.mapInArrow(find, "anchor long, doc long, at long, mark binary" if digests else "anchor long")
 
 
 def matrix(parts: list[bytes], width: int) -> np.ndarray:
@@ -230,7 +231,7 @@ def compare_bucket(length: int, k: int):
             group = np.cumsum(starts)
             a, b = earlier_strings(group, [x[5] for x in rows], [x[6] for x in rows], length, k)
             keep = np.flatnonzero(b > 0)
-            made = [pa.array([rows[i][c] for i in keep], pa.int64()) for c in (1, 4)]
+            made = [pa.array([rows[i][c] for i in keep], kind) for c, kind in ((1, pa.int64()), (4, pa.binary()))]
             return pa.record_batch([*made, pa.array(a[keep]), pa.array(b[keep])], names=["anchor", "mark", "reach_left", "reach_right"])
 
         for batch in batches:
@@ -280,15 +281,15 @@ def removed_spans(table: DataFrame, length: int = LENGTH, k: int = ANCHOR, crowd
                 for x in some:
                     before, after = around(raw, x["at"], length, k)
                     out.append((after[:k], x["anchor"], doc, x["at"], x["mark"], before, after, x["n"]))
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
             if out:
                 yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=["lead", "anchor", "doc", "at", "mark", "before", "after", "n"])
 
-    suffixes = table.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(fetch, "lead binary, anchor long, doc long, at long, mark long, before binary, after binary, n long")
+    suffixes = table.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(fetch, "lead binary, anchor long, doc long, at long, mark binary, before binary, after binary, n long")
     largest = several.agg(F.max("n")).first()[0] or 0
     few = suffixes.where(F.col("n") <= crowd) if largest > crowd else suffixes
     buckets = few.drop("n").repartitionByRange("lead").sortWithinPartitions("lead", "anchor", "doc", "at")
-    reaches = buckets.mapInArrow(compare_bucket(length, k), "anchor long, mark long, reach_left long, reach_right long")
+    reaches = buckets.mapInArrow(compare_bucket(length, k), "anchor long, mark binary, reach_left long, reach_right long")
     if largest > crowd:
         reaches = reaches.union(crowded(suffixes.where(F.col("n") > crowd), length, k))
     reaches = cut(reaches, "reaches")
