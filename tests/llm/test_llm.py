@@ -524,6 +524,20 @@ def test_mix_emits_what_it_takes(spark):
     assert took == Counter({k: v for k, v in given.items() if v})
 
 
+def test_mixed_documents_add_up_the_training_order(spark):
+    want = sorted((r.doc_id, r.size, r.target, r.taken) for r in mixing.allot(frame(spark)).collect())
+    firsts = {}
+    for schedule in (mixing.SCHEDULE, ((1.0, 1.0),) * 3):
+        got = mixing.mixed_documents(frame(spark), schedule=schedule).collect()
+        assert sorted((r.doc_id, r.size, r.target, r.taken) for r in got) == want
+        mixed = mixing.mix(frame(spark), schedule=schedule).groupBy("doc_id").agg(F.min("mix_position").alias("p")).collect()
+        firsts[schedule] = {r.doc_id: r.first_position for r in got if r.taken}
+        assert firsts[schedule] == pytest.approx({r.doc_id: r.p for r in mixed})
+    a, b = firsts.values()
+    assert a.keys() == b.keys() and a != b
+    assert mixing.mixed_documents(frame(spark, [])).count() == 0
+
+
 # ---- the pipeline
 
 

@@ -7,7 +7,7 @@ t in [0, 1] and the cumulative demand is inverted at the document's words. A mix
 
 Scale: sizes and keys are shuffled, not texts. Running sums are taken in buckets of a hash of the document, so a
 source with a third of all rows is summed by many tasks; one more window sees one row for each source and bucket, and
-one sees one row for each source.
+one sees one row for each source. op10 writes the order of its takes (keys and positions) and adds it up by document.
 
 Defined results: a null text has size 0; null sources form one source, the last; rows that repeat are each taken; a
 source of size 0 has target 0; an empty table gives no row.
@@ -88,6 +88,30 @@ def position(words: Column, target: Column, start: Column, end: Column) -> Colum
     return F.when(bend == 0, share / start).otherwise(curved)
 
 
+def takes_placed(given: DataFrame, keys: list[str], schedule: tuple = SCHEDULE) -> DataFrame:
+    """keys, size, mix_epoch, mix_words and mix_position of each take of what allot gives."""
+    ends = [F.element_at(F.array(*[F.lit(float(x[k])) for x in schedule]), F.col("place") + 1) for k in (0, 1)]
+    takes = given.select(*keys, "size", "before", "source_size", "target", "place", F.posexplode("takes").alias("mix_epoch", "mix_words")).where("mix_words > 0")
+    middle = F.col("mix_epoch") * F.col("source_size") + F.col("before") + F.col("mix_words") / 2
+    takes = takes.withColumn("mix_position", position(middle, F.greatest("target", F.lit(1.0)), *ends))
+    return takes.select(*keys, "size", "mix_epoch", "mix_words", "mix_position")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, schedule: tuple = SCHEDULE) -> DataFrame:
+    """doc_id, size, source_size, target, taken, first_position of each document: its takes in the training order, added up.
+
+    The order is written first. How much is taken follows from the targets, when it is trained from the schedule, so
+    only first_position (null where nothing is taken) tells schedules apart.
+    """
+    given = allot(docs, weights, share, most).withColumn("row", F.monotonically_increasing_id())
+    given = cut(given.select("row", "doc_id", "size", "source_size", "place", "target", "before", "takes"), "mix-given")
+    order = takes_placed(given, ["row"], schedule).repartitionByRange("mix_position", "row")
+    order = cut(order.sortWithinPartitions("mix_position", "row"), "mix-order")
+    sums = order.groupBy("row").agg(F.sum("mix_words").alias("taken"), F.min("mix_position").alias("first_position"))
+    taken = F.coalesce("taken", F.lit(0).cast("long")).alias("taken")
+    return given.join(sums, "row", "left").select("doc_id", "size", "source_size", "target", taken, "first_position")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, schedule: tuple = SCHEDULE) -> DataFrame:
     """The mix itself: the columns of docs, one row for each time that a document is taken, and the columns
     mix_epoch, mix_words (those taken of it, its first) and mix_position, range-sorted by position.
@@ -96,10 +120,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     taken as one document is, by their common words.
     """
     given = allot(docs, weights, share, most).where("taken > 0")
-    ends = [F.element_at(F.array(*[F.lit(float(x[k])) for x in schedule]), F.col("place") + 1) for k in (0, 1)]
-    takes = given.select("doc_id", "size", "before", "source_size", "target", "place", F.posexplode("takes").alias("mix_epoch", "mix_words")).where("mix_words > 0")
-    middle = F.col("mix_epoch") * F.col("source_size") + F.col("before") + F.col("mix_words") / 2
-    takes = takes.withColumn("mix_position", position(middle, F.greatest("target", F.lit(1.0)), *ends))
+    takes = takes_placed(given, ["doc_id"], schedule)
     takes = takes.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "mix_epoch", "mix_words", "mix_position").distinct()
     joined = docs.join(takes, docs["doc_id"].eqNullSafe(takes["_id"]) & (size_of(docs["text"]) == takes["_size"]))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))

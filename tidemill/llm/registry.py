@@ -52,7 +52,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.allot(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mixed_documents(documents(spark, sf_dir)).drop("first_position")
 
 
 def queries() -> dict[str, Query]:
