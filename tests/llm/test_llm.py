@@ -538,6 +538,18 @@ def test_mixed_documents_add_up_the_training_order(spark):
     assert mixing.mixed_documents(frame(spark, [])).count() == 0
 
 
+def test_mix_of_repeated_and_null_ids(spark):
+    rows = [(7, "a b c d e", "en", "s", 9)] * 4 + [(None, f"p q r {i}", "en", "s", 7) for i in range(5)] + [(i, "x y z", "en", "t", 5) for i in range(20, 30)]
+    given, took = Counter(), Counter()
+    for r in mixing.allot(frame(spark, rows)).collect():
+        given[r.doc_id] += r.taken
+    got = mixing.mix(frame(spark, rows)).collect()
+    for r in got:
+        took[r.doc_id] += r.mix_words
+    assert took == +given and max(Counter((r.doc_id, r.text, r.mix_epoch) for r in got if r.doc_id is None).values()) == 1
+    assert Counter((r.doc_id, r.mix_epoch) for r in got)[7, 0] <= 4
+
+
 # ---- the pipeline
 
 

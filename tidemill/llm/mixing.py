@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import WORD, cut
+from tidemill.llm.common import WORD, cut, free_name
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -54,13 +54,15 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return per.select("source", "source_size", "place", target.alias("target"))
 
 
-def allot(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, buckets: int = BUCKETS) -> DataFrame:
+def allot(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, buckets: int = BUCKETS, row: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, place, target, before, taken: what the mix takes of each document.
 
     before counts the source's words in front of the document. The target is taken from the source's documents in
-    order, again from the first one after the last, so the last document taken may be cut.
+    order, again from the first one after the last, so the last document taken may be cut. row names a column that is unique, if there is one; it is carried along
+    as `row`, and rows of one doc_id and size then stand in the order of their texts' hashes.
     """
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
+    own = [F.col(row).alias("row"), F.xxhash64("text").alias("mark")] if row else []
+    rows = docs.select(*own, "doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
     rows = rows.withColumn("rank", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = rows.withColumn("bucket", F.pmod(F.conv(F.substring("rank", 1, 6), 16, 10).cast("int"), F.lit(buckets)))
     rows = cut(rows, "mix-sizes")  # texts are read once, for their sizes
@@ -69,13 +71,13 @@ def allot(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     parts = parts.withColumn("base", F.coalesce(F.sum("part").over(earlier), F.lit(0)))
     targets = source_targets(parts.select("source", F.col("part").alias("size")), weights, share, most)
     parts = parts.alias("p").join(targets.alias("t"), F.expr("p.source <=> t.source")).select("p.*", "source_size", "place", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("rank", "doc_id", "size", *(["mark", "row"] if row else [])).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = rows.alias("r").join(parts.alias("p"), F.expr("r.source <=> p.source AND r.bucket = p.bucket"))
     placed = placed.select("r.*", "source_size", "place", "target", (F.col("base") + F.col("inner")).alias("before"))
     words = F.round("target").cast("long")
     takes = [F.greatest(F.lit(0), F.least("size", words - k * F.col("source_size") - F.col("before"))) for k in range(most)]
-    return placed.withColumn("takes", F.array(*takes)).withColumn("taken", F.aggregate("takes", F.lit(0).cast("long"), lambda a, b: a + b)).drop("rank", "bucket", "inner")
+    return placed.withColumn("takes", F.array(*takes)).withColumn("taken", F.aggregate("takes", F.lit(0).cast("long"), lambda a, b: a + b)).drop("rank", "bucket", "inner", "mark")
 
 
 def position(words: Column, target: Column, start: Column, end: Column) -> Column:
@@ -116,13 +118,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     """The mix itself: the columns of docs, one row for each time that a document is taken, and the columns
     mix_epoch, mix_words (those taken of it, its first) and mix_position, range-sorted by position.
 
-    The text of a cut document ends after its last taken word. doc_id should be unique; rows that share one are
-    taken as one document is, by their common words.
+    The text of a cut document ends after its last taken word. Rows are written with numbers of their own, so each has
+    its own takes where doc_ids repeat or are null.
     """
-    given = allot(docs, weights, share, most).where("taken > 0")
-    takes = takes_placed(given, ["doc_id"], schedule)
-    takes = takes.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "mix_epoch", "mix_words", "mix_position").distinct()
-    joined = docs.join(takes, docs["doc_id"].eqNullSafe(takes["_id"]) & (size_of(docs["text"]) == takes["_size"]))
+    row = free_name(docs, "row")
+    docs = cut(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    given = allot(docs, weights, share, most, row=row).where("taken > 0")
+    takes = takes_placed(given, ["row"], schedule).select(F.col("row").alias(row), F.col("size").alias("_size"), "mix_epoch", "mix_words", "mix_position")
+    joined = docs.join(takes, row)
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     text = F.when(F.col("mix_words") < F.col("_size"), F.array_join(F.slice(words, F.lit(1), F.col("mix_words").cast("int")), "")).otherwise(F.col("text"))
-    return joined.withColumn("text", text).drop("_id", "_size").repartitionByRange("mix_position").sortWithinPartitions("mix_position")
+    return joined.withColumn("text", text).drop(row, "_size").repartitionByRange("mix_position").sortWithinPartitions("mix_position")
