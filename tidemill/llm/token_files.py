@@ -7,7 +7,7 @@ shard is row i % ROWS of batch i // ROWS, so a memory-mapped file is read at ran
 sequence of a shard is padded with the end id and masked out.
 
 Defined results: null texts are empty; an empty text has the end id alone; null doc_ids come first; rows of one doc_id
-are ordered by text; an empty table gives no file and no row. Other columns are ignored.
+are ordered by a hash of the text, then the text; an empty table gives no file and no row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,18 +75,33 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Random access to the ids of one stream file, memory-mapped where the file is local."""
+    """Random access to the ids of one stream file, memory-mapped where the file is local.
+
+    All batches but the last have ROWS full sequences and no nulls, so their messages have one size: batch i starts at a
+    place that follows from the first one, and a remote file, too, is read batch by batch, a few of them held at a time.
+    """
 
     def __init__(self, uri: str) -> None:
         fs, path = pyarrow.fs.FileSystem.from_uri(uri)
         self.source = pa.memory_map(path) if isinstance(fs, pyarrow.fs.LocalFileSystem) else fs.open_input_file(path)
-        reader = pa.ipc.open_stream(self.source)
-        self.length = reader.schema.field("ids").type.list_size
-        self.batches = list(reader)
+        self.schema = pa.ipc.read_schema(pa.ipc.read_message(self.source))
+        self.first = self.source.tell()
+        pa.ipc.read_message(self.source)
+        self.stride = self.source.tell() - self.first
+        self.length = self.schema.field("ids").type.list_size
+        self.held: dict[int, pa.RecordBatch] = {}
+
+    def batch(self, i: int) -> pa.RecordBatch:
+        if i not in self.held:
+            if len(self.held) >= 4:
+                self.held.pop(next(iter(self.held)))
+            self.source.seek(self.first + i * self.stride)
+            self.held[i] = pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
+        return self.held[i]
 
     def sequence(self, i: int) -> tuple[np.ndarray, pa.Array]:
         """Sequence i and its mask, without copying."""
-        batch, row = self.batches[i // ROWS], i % ROWS
+        batch, row = self.batch(i // ROWS), i % ROWS
         part = slice(row * self.length, (row + 1) * self.length)
         return batch.column(0).values.to_numpy()[part], batch.column(1).values[part.start : part.stop]
 
@@ -94,7 +109,7 @@ class ShardReader:
         """n ids from place start of the shard on; they may lie in many sequences."""
         out, full = [], ROWS * self.length
         while n > 0:
-            batch, at = self.batches[start // full], start % full
+            batch, at = self.batch(start // full), start % full
             part = batch.column(0).values.to_numpy()[at : at + n]
             out.append(part)
             start, n = start + len(part), n - len(part)
@@ -131,7 +146,8 @@ def write_token_files(
             writer.close(end_id)
 
     rows = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"))
-    ordered = rows.repartitionByRange("key", F.xxhash64("text")).sortWithinPartitions("key", "text")
+    mark = F.xxhash64("text")  # splits the rows of a key that very many rows share
+    ordered = rows.repartitionByRange("key", mark).sortWithinPartitions("key", mark, "text")
     return cut(ordered.mapInArrow(write, INDEX), "token-index")
 
 

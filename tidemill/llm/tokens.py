@@ -2,8 +2,9 @@
 
 A text splits safely before each space that does not follow white space: no token of a byte-level BPE with the
 usual splitting pattern reaches over such a place. So the ids of a text are the joined ids of its units, and each
-worker asks the library only for units that it has not met lately. Texts in which a space follows white space, and
-units with letters outside the Latin blocks, go to the library whole.
+worker asks the library only for units that it has not met lately. Texts in which a space follows white space, units
+with letters outside the Latin blocks, and texts that hold the characters of a special token go to the library whole,
+which gives such characters the special token's id.
 """
 
 from __future__ import annotations
@@ -39,8 +40,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.unsafe = re.compile("|".join([UNSAFE.pattern, *added]))
         self.split = regex.compile(PATTERN).findall
         self.letters = byte_letters()
         self.units: dict[str, bytes] = {}
@@ -83,7 +85,7 @@ class Encoder:
             self.units = {}
         if len(self.heads) > MAX_PIECES:
             self.heads = {}
-        parts = [None if UNSAFE.search(x) else x.split(" ") for x in texts]
+        parts = [None if self.unsafe.search(x) else x.split(" ") for x in texts]
         heads, need = self.heads, set()
         for p in parts:
             if p is not None:
