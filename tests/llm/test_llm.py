@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -161,6 +162,56 @@ def test_secret_shapes(spark):
     assert kept.columns[-1] == "secrets" and kept.count() == 3
 
 
+def spans_by_brute_force(text):
+    """Every window's entropy counted anew; the allow list is the operator's own."""
+    found = [(m.start(), m.end(), "assign") for m in secrets.ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]{32,}", text)]
+    for m in re.finditer("[A-Za-z0-9+/_.=-]{20,}", text):
+        for kind, (runs, width, least) in secrets.CLASSES.items():
+            for run in runs.finditer(m[0]):
+                marked = [False] * len(run[0])
+                held = [any(x.start() <= i < x.end() for x in secrets.PLACEHOLDER.finditer(run[0])) for i in range(len(marked))]
+                for i in range(len(marked) - width + 1):
+                    counts = Counter(run[0][i : i + width]).values()
+                    if not any(held[i : i + width]) and -sum(n / width * math.log2(n / width) for n in counts) >= least - 1e-9:
+                        marked[i : i + width] = [True] * width
+                for flag, group in itertools.groupby(range(len(marked)), marked.__getitem__):
+                    own = list(group)
+                    if flag and not secrets.allowed(run[0]) and not secrets.allowed(run[0][own[0] : own[-1] + 1]):
+                        at = m.start() + run.start()
+                        found.append((at + own[0], at + own[-1] + 1, kind))
+    return sorted(found, key=lambda x: (x[0], secrets.KINDS.index(x[2]), x[1]))
+
+
+def test_secrets_against_brute_force(spark):
+    rng = random.Random(12)
+    signs = ["abcdef0123456789", "ABCxyz0189+/_-=.", "abcdefghijklmnopqrstuvwxyz", "aZ9"]
+    made = [" ".join("".join(rng.choice(rng.choice(signs)) for _ in range(rng.randint(3, 90))) for _ in range(6)) for _ in range(150)]
+    made += ["see wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY" + "q8Zt" * 9, "token: " + "Ab1" * 30, "a" * 50, "/usr/lib/python3/dist-packages/connection"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(made)] + [(k + 1000, t, "en", "s", 1) for k, t, *_ in corpus()]
+    got = {r.doc_id: r.spans for r in secrets.secret_digest(frame(spark, rows)).collect()}
+    want = {k: ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans_by_brute_force(t or "")) for k, t, *_ in rows}
+    assert got == want
+    assert sum("entropy" in x for x in want.values()) > 30
+
+
+def test_secrets_of_long_runs_take_little_time():
+    for run in ("ab1/" * 2500, "/aa" * 3400 + "9", "a" * 10_000, "Abc-" * 2500 + "7", "/" + "abcdefgh/" * 1200 + "x1", "Zx9Qw3Lr7Tn5Vb1Kd8Jf" * 500):
+        start = time.perf_counter()
+        secrets.scan(f"see {run} there")
+        assert time.perf_counter() - start < 0.1
+
+
+def test_secrets_of_odd_tables(spark):
+    assert secrets.secret_digest(frame(spark, [])).count() == 0 == secrets.find_secrets(frame(spark, [])).count()
+    rows = [(None, "token=abcdefgh1", "en", "s", 1)] * 3
+    got = secrets.secret_digest(frame(spark, rows)).collect()
+    assert [r.n_assign for r in got] == [1, 1, 1] and got[0] == got[1] == got[2]
+    kept = secrets.find_secrets(frame(spark, rows).withColumn("secrets", F.lit("old")))
+    assert kept.columns.count("secrets") == 1 and kept.first().secrets[0].kind == "assign"
+
+
 def test_entropy_and_allow_list():
     blob = "Zx9Qw3Lr7Tn5Vb1Kd8Jf"
     assert any(k == "entropy_base64" for _, _, k in secrets.scan(f"see {blob} there"))

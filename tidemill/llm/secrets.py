@@ -3,10 +3,11 @@
 Known shapes are assignments, access keys and long hex runs. Candidates are runs of key letters; for each class of
 characters (hex digits, base-64 letters) the Shannon entropy of a window that slides over the candidate is kept by
 incremental counts, windows at or above the class's threshold are joined into spans, and spans that an allow list
-explains (one case of letters only, no digit, paths, repeated or counting characters, placeholders) are dropped.
+explains (words, names and paths, repeated or counting characters) are dropped; placeholders are taken out of a run.
 
-Defined results: a null text is empty and has no span; spans count code points, end exclusive. Each row is scanned on
-its own, so nothing is shuffled; the other columns stay.
+Defined results: a null text is empty and has no span; spans count code points, end exclusive; rows that repeat are
+scanned each; an empty table gives no row; a column of the output's name is replaced and all others stay. Each row is
+scanned on its own in time that grows with its length, so nothing is shuffled and no text stalls a task.
 """
 
 from __future__ import annotations
@@ -30,13 +31,16 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
-#: For each class: its runs, the window's length and the least entropy in bits.
+#: For each class: its runs, the window's length and the least entropy in bits, 2.5 deviations below that of random strings.
 CLASSES = {
-    "entropy_hex": (re.compile(r"[0-9a-fA-F]{24,}"), 24, 3.0),
-    "entropy_base64": (re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}"), 20, 3.9),
+    "entropy_hex": (re.compile(r"[0-9a-fA-F]{24,}"), 24, 3.1),
+    "entropy_base64": (re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}"), 20, 3.65),
 }
 PLACEHOLDER = re.compile(r"example|placeholder|dummy|changeme|your[-_]|xxxx|lorem", re.IGNORECASE)
-PATHLIKE = re.compile(r"(?:/?[A-Za-z]{2,}[A-Za-z_.-]*/){2,}[A-Za-z_.-]*|[a-z]+(?:[-_.][a-z]+)+")
+PARTS = re.compile(r"[^/_.=+-]+")
+WORDLIKE = re.compile(r"[A-Za-z]++[0-9]{0,4}|[0-9]{1,8}")
+SYLLABLES = re.compile(r"[A-Z]?[a-z]++|[A-Z]++")
+LEAST_WORD = 3.5
 
 
 def window_spans(run: str, width: int, least: float) -> list[tuple[int, int]]:
@@ -52,14 +56,14 @@ def window_spans(run: str, width: int, least: float) -> list[tuple[int, int]]:
     limit = (math.log2(width) - least) * width + 1e-9
     found: list[list[int]] = []
     for i, c in enumerate(run):
-        n = counts.get(c, 0)
-        total += weigh[n + 1] - weigh[n]
-        counts[c] = n + 1
         if i >= width:
             old = run[i - width]
             n = counts[old]
             total += weigh[n - 1] - weigh[n]
             counts[old] = n - 1
+        n = counts.get(c, 0)
+        total += weigh[n + 1] - weigh[n]
+        counts[c] = n + 1
         if i >= width - 1 and total <= limit:
             start = i - width + 1
             if found and start <= found[-1][1]:
@@ -69,16 +73,39 @@ def window_spans(run: str, width: int, least: float) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found]
 
 
+def counting(value: str) -> bool:
+    """Whether most neighbours are equal or one apart, as in aaaa, abcdef and 98765."""
+    steps = [ord(b) - ord(a) for a, b in zip(value, value[1:])]
+    return max((steps.count(k) for k in (0, 1, -1)), default=0) > 0.6 * len(steps)
+
+
 def allowed(value: str) -> bool:
-    """Whether the allow list explains a string of high entropy: words, paths, placeholders, counting."""
-    letters = [c for c in value if c.isalpha()]
-    digits = len(value) - len(letters) - sum(not c.isalnum() for c in value)
-    if digits < 2 or not letters:
-        return True
-    if PLACEHOLDER.search(value) or PATHLIKE.fullmatch(value):
+    """Whether the allow list explains a string of high entropy: counting, or words in paths and names.
+
+    Its parts between separators must be letters with up to four digits at the end, or short numbers, and the letters,
+    parted where the case changes as in names, must come in runs of LEAST_WORD on average. Random letters do not.
+    Time grows with the length alone: no pattern can be matched in two ways.
+    """
+    if counting(value):
         return True
-    steps = [ord(b) - ord(a) for a, b in zip(value, value[1:])]
-    return max(steps.count(k) for k in (0, 1, -1)) > 0.6 * len(steps)
+    parts = PARTS.findall(value)
+    if not all(WORDLIKE.fullmatch(p) for p in parts):
+        return False
+    runs = SYLLABLES.findall(value)
+    return sum(map(len, runs)) >= LEAST_WORD * len(runs)
+
+
+def entropy_spans(run: str, width: int, least: float) -> list[tuple[int, int]]:
+    """Spans of high entropy that the allow list does not explain; placeholders part a run and are no part of a span."""
+    if allowed(run):
+        return []
+    found, at = [], 0
+    for start, end in [*(m.span() for m in PLACEHOLDER.finditer(run)), (len(run), len(run))]:
+        for a, b in window_spans(run[at:start], width, least):
+            if not allowed(run[at + a : at + b]):
+                found.append((at + a, at + b))
+        at = end
+    return found
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -90,10 +117,8 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     for m in CANDIDATE.finditer(text):
         for kind, (runs, width, least) in CLASSES.items():
             for run in runs.finditer(m[0]):
-                for a, b in window_spans(run[0], width, least):
-                    if not allowed(run[0][a:b]):
-                        at = m.start() + run.start()
-                        found.append((at + a, at + b, kind))
+                at = m.start() + run.start()
+                found += [(at + a, at + b, kind) for a, b in entropy_spans(run[0], width, least)]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
