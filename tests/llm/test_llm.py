@@ -309,15 +309,39 @@ def test_local_search_raises_squares_and_empties_bins():
     assert emptied > 0
 
 
+def test_local_search_of_many_small_pieces():
+    """Bins of more than a hundred pieces, too, are left without an improving step."""
+    rng = random.Random(14)
+    for _ in range(3):
+        sizes = [rng.choice([3, 4, 5, 7]) for _ in range(600)] + [rng.choice([701, 850, 990]) for _ in range(4)]
+        bins = packing.Bins(sizes, 1024)
+        bins.best_fit(list(range(len(sizes))))
+        assert max(map(len, bins.items)) > 100
+        bins.search()
+        if sum(map(bool, bins.items)) > bins.bound():
+            assert not improving_steps(bins)
+
+
+def test_packing_deals_repeated_rows_out(spark, library):
+    rows = [(5, "same words here", "en", "s", 1)] * 60 + [(None, "", "en", "s", 0)] * 30 + [(6, "a b " * 3000, "en", "s", 1)] * 2
+    got = packing.pack_documents(frame(spark, rows), PATH, group=10).collect()
+    assert max(Counter(r.sequence_id >> 32 for r in got if r.length < 1024 and r.sequence_id >= 0).values()) <= 10
+    fills = Counter()
+    for r in got:
+        fills[r.sequence_id] += r.length
+    assert max(fills.values()) <= 1024 and len({(r.sequence_id, r.offset) for r in got}) == len(got)
+    assert sum(r.length for r in got) == sum(len(library(t)) + 1 for _, t, *_ in rows)
+
+
 def improving_steps(bins):
     """Moves, one-for-one and two-for-one exchanges between underfull bins that would raise the sum of squares."""
     under = [b for b, x in enumerate(bins.items) if x and bins.fill[b] < bins.capacity]
     found = []
     for a, b in itertools.permutations(under, 2):
-        gives = [x for n in (1, 2) for x in itertools.combinations(bins.items[b], n)]
-        takes = [x for n in (0, 1, 2) for x in itertools.combinations(bins.items[a], n)]
+        gives = {tuple(bins.sizes[i] for i in x) for n in (1, 2) for x in itertools.combinations(bins.items[b], n)}
+        takes = {tuple(bins.sizes[i] for i in x) for n in (0, 1, 2) for x in itertools.combinations(bins.items[a], n)}
         for x, y in itertools.product(gives, takes):
-            moved = sum(bins.sizes[i] for i in x) - sum(bins.sizes[i] for i in y)
+            moved = sum(x) - sum(y)
             if len(x) + len(y) < 4 and 0 < moved <= bins.capacity - bins.fill[a] and bins.fill[a] - bins.fill[b] + moved > 0:
                 found.append((x, y))
     return found

@@ -1,10 +1,12 @@
 """Packing of token sequences by swap-based local search (operator 5).
 
-Documents become pieces of at most `capacity` tokens, and pieces go to sequences. Spark deals pieces by a hash into
-groups of about GROUP documents; each group is packed on its own, so the loss against one packing of all is below one
-sequence in a group. A group starts from best fit in decreasing size; then pieces are moved, exchanged one for one or
-two for one between underfull sequences, each step raising the sum of squared fills, so that free places gather and
-sequences empty, until the lower bound is met or no such step is left.
+Documents become pieces of at most `capacity` tokens, and pieces go to sequences. A full piece is a sequence of its own.
+The others, at most one a document, are dealt into groups of GROUP documents that follow each other in the input, so
+an order of training is kept from group to group and no key, however frequent, fills a group. Each group is packed on
+its own, so the loss against one packing of all is below one sequence in a group. A group starts from best fit in
+decreasing size; then pieces are moved, exchanged one for one or two for one between underfull sequences, each step
+raising the sum of squared fills, so that free places gather and sequences empty, until the lower bound is met or no
+such step is left.
 
 Defined results: null texts are empty; an empty text is one piece, the end id; rows that repeat are packed as often as
 they come; null doc_ids are packed like others; an empty table gives no row. Other columns are ignored.
@@ -18,43 +20,57 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import text_or_empty
+from tidemill.llm.common import cut, text_or_empty
 from tidemill.llm.tokens import encode_in_blocks
 
 CAPACITY = 1024
 GROUP = 4096
-#: Sequences of more pieces than this give and take them one by one, not in pairs.
-PAIRED = 64
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, mark long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pack long, place long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
+def rows_before(docs: DataFrame) -> dict[int, int]:
+    """The rows in the partitions before each partition of docs: one number for each partition."""
+    sizes = docs.groupBy(F.spark_partition_id().alias("part")).count().collect()
+    before, total = {}, 0
+    for part, n in sorted((r["part"], r["count"]) for r in sizes):
+        before[part] = total
+        total += n
+    return before
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 2, group: int = GROUP, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each piece; only a document longer than capacity is cut, and its first piece takes the remainder.
 
-    mark is a hash of the document's ids; with the key it deals documents into groups.
+    pack is the group of the document, place its number in the input. Both only choose where a piece is packed: were
+    partitions dealt otherwise when a lost task is run again, groups would be of other sizes and no piece would be lost.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
+    rows = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"))
+    before = rows_before(rows)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = before.get(TaskContext.get().partitionId(), 0) - 1
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for first, made in encode_in_blocks(tokenizer, texts):
                 rows = []
                 for i, ids in enumerate(made, first):
+                    place += 1
                     ids = memoryview(ids + end)
-                    n, at, k, mark = len(ids) // 4, 0, 0, zlib.crc32(ids)
+                    n, at, k = len(ids) // 4, 0, 0
                     size = n % capacity or capacity
                     while at < n:
-                        rows.append((keys[i], k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), mark))
+                        rows.append((keys[i], k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), place // group, place))
                         at, k, size = at + size, k + 1, capacity
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.record_batch([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text")).mapInArrow(split, PIECES)
+    return rows.mapInArrow(split, PIECES)
 
 
 class Bins:
@@ -108,12 +124,20 @@ class Bins:
         self.fill[b] -= moved
 
     def _offers(self, under: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows (size, bin, item, second item or -1): the single items and the pairs of items of underfull bins."""
+        """Rows (size, bin, item, second item or -1): the single items and the pairs of items of underfull bins.
+
+        Items of one size are alike, so one item stands for its size and two for a pair of equal ones. Different sizes
+        in a bin add up to its capacity at most, so there are less than sqrt(2 * capacity) of them, however many items.
+        """
         for b in under:
             if b not in self.held:
-                size, own = self.sizes.__getitem__, self.items[b]
-                one = [(size(i), b, i, -1) for i in {size(i): i for i in own}.values()]
-                two = [(size(i) + size(j), b, i, j) for x, i in enumerate(own) for j in own[x + 1 :]] if len(own) <= PAIRED else []
+                alike: dict[int, list[int]] = {}
+                for i in self.items[b]:
+                    alike.setdefault(self.sizes[i], []).append(i)
+                sizes = list(alike)
+                one = [(x, b, alike[x][0], -1) for x in sizes]
+                two = [(x + y, b, alike[x][0], alike[y][0]) for k, x in enumerate(sizes) for y in sizes[k + 1 :]]
+                two += [(2 * x, b, own[0], own[1]) for x, own in alike.items() if len(own) > 1]
                 self.held[b] = tuple(np.array(x, dtype=np.int64).reshape(-1, 4) for x in (one, two))
         none = np.zeros((0, 4), dtype=np.int64)
         return tuple(np.concatenate([none, *(self.held[b][k] for b in under)]) for k in (0, 1))
@@ -185,18 +209,21 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 2, group: int = GROUP) -> DataFrame:
-    """Pieces of all documents with the sequence and offset that hold each. Only piece lengths are shuffled, not ids."""
-    groups = max(1, -(-docs.count() // group))
-    pieces = token_pieces(docs, tokenizer, capacity, end_id)
-    dealt = pieces.withColumn("pack", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(groups)))
+    """Pieces of all documents with the sequence and offset that hold each.
+
+    Only lengths of pieces are shuffled, not ids, and full pieces are not shuffled at all: their sequences have negative
+    numbers. Those of the others grow with their group.
+    """
+    names = [x.split()[0] for x in PACKED.split(", ")]
+    pieces = token_pieces(docs, tokenizer, capacity, end_id, group)
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "piece", "mark", "start"], ascending=[False, True, True, True, True], kind="stable")
-        full = int((frame["length"] == capacity).sum())
-        places = [(n, 0) for n in range(full)] + [(full + b, at) for b, at in pack(frame["length"].tolist()[full:], capacity)]
-        spots = np.array(places, dtype=np.int64).reshape(-1, 2)
+        frame = frame.sort_values(["length", "place"], ascending=[False, True], kind="stable")
+        spots = np.array(pack(frame["length"].tolist(), capacity), dtype=np.int64).reshape(-1, 2)
         frame["sequence_id"] = (frame["pack"].to_numpy(dtype=np.int64) << 32) + spots[:, 0]
         frame["offset"] = spots[:, 1]
-        return frame[[x.split()[0] for x in PACKED.split(", ")]]
+        return frame[names]
 
-    return dealt.groupBy("pack").applyInPandas(place, PACKED)
+    pieces = cut(pieces, "pieces")
+    full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return pieces.where(F.col("length") < capacity).groupBy("pack").applyInPandas(place, PACKED).unionByName(full.select(*names))
