@@ -83,34 +83,42 @@ def test_token_files_with_null_and_repeated_ids(spark):
 # ---- lines
 
 
+def line_chunks(text):
+    """The lines of a text and its chunks, as lists of places."""
+    lines, rolled, before = text.split("\n"), [], 0
+    for line in lines:
+        h = int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
+        rolled.append((h + before * line_dedup.BASE) % line_dedup.MODULUS)
+        before = h
+    out, own = [], []
+    for i in range(len(lines)):
+        own.append(i)
+        if i == len(lines) - 1 or 0 < i < len(lines) - 2 and rolled[i] < rolled[i - 1] and rolled[i] <= rolled[i + 1]:
+            out.append(own)
+            own = []
+    return lines, out
+
+
 def lines_by_brute_force(rows):
-    def chunks(text):
-        lines, out, own = text.split("\n"), [], []
-        before = 0
-        for i, line in enumerate(lines):
-            h = int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
-            own.append(i)
-            if (h + before * line_dedup.BASE) % line_dedup.MODULUS % line_dedup.DIVISOR == 0 or i == len(lines) - 1:
-                out.append(own)
-                own = []
-            before = h
-        return lines, out
-
-    seen, result = set(), {}
+    firsts, result = {}, {}
     for key, text, *_ in sorted(rows, key=lambda r: r[0]):
         if text is None:
             result[key] = None
             continue
-        lines, parts = chunks(text)
-        kept = []
-        for part in parts:
+        lines, parts = line_chunks(text)
+        gone = set()
+        for k, part in enumerate(parts):
             chunk = "\n".join(lines[i] for i in part)
-            if len(part) >= line_dedup.LEAST_LINES and re.search(r"\S", chunk) and chunk in seen:
+            if len(part) < 2 or not re.search(r"\S", chunk):
+                continue
+            before = [lines[i] for i in reversed(sum(parts[max(0, k - 2) : k], []))]
+            after = [lines[i] for i in sum(parts[k + 1 : k + 3], [])]
+            if chunk not in firsts:
+                firsts[chunk] = before, after
                 continue
-            if len(part) >= line_dedup.LEAST_LINES:
-                seen.add(chunk)
-            kept += part
-        result[key] = "\n".join(lines[i] for i in kept)
+            same = lambda a, b: len(list(itertools.takewhile(lambda x: x[0] == x[1], zip(a, b))))
+            gone |= set(range(part[0] - same(before, firsts[chunk][0]), part[-1] + 1 + same(after, firsts[chunk][1])))
+        result[key] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return result
 
 
@@ -123,9 +131,43 @@ def test_line_dedup(spark):
     assert line_dedup.drop_repeated_lines(frame(spark, [])).count() == 0
 
 
+def test_no_chunk_of_one_line():
+    rng = random.Random(3)
+    for n in range(2, 60):
+        lines, parts = line_chunks("\n".join(str(rng.randrange(9)) for _ in range(n)))
+        assert sum(parts, []) == list(range(n)) and all(len(p) > 1 for p in parts)
+
+
+def test_line_dedup_of_planted_passages(spark):
+    """Passages of 2 to 12 lines in two texts each: what is removed is theirs alone, and most of longer ones goes."""
+    rng = random.Random(11)
+    rows, planted = [], {}
+    for k in range(220):
+        n = 2 + k % 11
+        passage = [f"{words(rng, 5)} p{k} {i}" for i in range(n)]
+        for copy in (0, 1):
+            own = [f"{words(rng, 6)} {k} {copy} {i}" for i in range(14)]
+            rows.append((2 * k + copy, "\n".join([*own[:7], *passage, *own[7:]]), "en", "s", 1))
+        planted[2 * k + 1] = n
+    got = {r.doc_id: r for r in line_dedup.drop_repeated_lines(frame(spark, rows)).collect()}
+    assert all(got[2 * k].n_removed == 0 for k in range(220))
+    removed, total = Counter(), Counter()
+    for key, n in planted.items():
+        assert got[key].n_removed in (0, n)
+        removed[n] += got[key].n_removed
+        total[n] += n
+    assert all(removed[n] >= 0.9 * total[n] for n in (9, 10, 11, 12)), [(n, removed[n] / total[n]) for n in total]
+
+
 def test_line_dedup_of_repeated_rows(spark):
     rows = [(1, "a b\nc d\ne f\ng h\ni j\nk l\nm n", "en", "s", 1)] * 2
     assert {r.n_removed for r in line_dedup.drop_repeated_lines(frame(spark, rows)).collect()} == {0}
+    passage = "\n".join(f"passage line {i} here" for i in range(12))
+    rows = [(1, "own\n" + passage + "\nend", "en", "s", 1)] * 2 + [(2, "other\n" + passage + "\nlast", "en", "s", 1)] * 3
+    one = line_dedup.drop_repeated_lines(frame(spark, [rows[0], rows[2]])).where("doc_id = 2").first()
+    got = [r for r in line_dedup.drop_repeated_lines(frame(spark, rows)).collect() if r.doc_id == 2]
+    assert len(got) == 3 and {(r.text, r.n_removed, r.n_chunks) for r in got} == {(one.text, one.n_removed, one.n_chunks)}
+    assert one.n_removed == 12 and one.text == "other\nlast"
 
 
 # ---- secrets

@@ -65,25 +65,37 @@ def oracle_sql() -> dict[str, str]:
 
 
 LINES_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
-  FROM documents WHERE text IS NOT NULL),
+WITH texts AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i, len(lines) AS n FROM texts),
 hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM lines),
+rolled AS (SELECT *, (h + coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 31) % 1000003 AS r FROM hashed),
 marked AS (
-  SELECT *, (h + coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 31) % 1000003 % 3 = 0 AS ends FROM hashed),
+  SELECT *, i > 0 AND i < n - 2 AND r < lag(r) OVER (PARTITION BY doc_id ORDER BY i) AND r <= lead(r) OVER (PARTITION BY doc_id ORDER BY i) AS ends FROM rolled),
 numbered AS (
-  SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
+  SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
   FROM marked),
 chunks AS (
-  SELECT doc_id, c, min(i) AS first, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, c),
-multi AS (SELECT * FROM chunks WHERE n >= 2 AND regexp_matches(chunk, '\S')),
-later AS (
-  SELECT doc_id, c, n FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first) AS k FROM multi) WHERE k > 1),
+  SELECT doc_id, c, min(i) AS first, max(i) AS last, string_agg(line, chr(10) ORDER BY i) AS chunk, list(line ORDER BY i) AS own FROM numbered GROUP BY doc_id, c),
+beside AS (
+  SELECT *, list_reverse(list_concat(lag(own, 2) OVER w, lag(own) OVER w)) AS before, list_concat(lead(own) OVER w, lead(own, 2) OVER w) AS after
+  FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY c)),
+multi AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first) AS k FROM beside WHERE last > first AND regexp_matches(chunk, '\S')),
+pairs AS (
+  SELECT m.doc_id, m.first, m.last, m.before, m.after, f.before AS first_before, f.after AS first_after
+  FROM multi m JOIN multi f ON m.chunk = f.chunk AND f.k = 1 WHERE m.k > 1),
+spans AS (
+  SELECT doc_id, first AS chunk,
+         first - coalesce(list_position(list_transform(range(1, least(len(before), len(first_before)) + 1), lambda x: before[x] = first_before[x]), false) - 1,
+                          least(len(before), len(first_before))) AS first,
+         last + coalesce(list_position(list_transform(range(1, least(len(after), len(first_after)) + 1), lambda x: after[x] = first_after[x]), false) - 1,
+                         least(len(after), len(first_after))) AS last
+  FROM pairs),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM spans),
 kept AS (
-  SELECT n.doc_id, count(*) AS n_lines, count(*) FILTER (l.c IS NOT NULL) AS n_removed,
-         coalesce(string_agg(n.line, chr(10) ORDER BY n.i) FILTER (l.c IS NULL), '') AS text
-  FROM numbered n LEFT JOIN later l ON n.doc_id = l.doc_id AND n.c = l.c GROUP BY n.doc_id),
-counted AS (SELECT doc_id, count(*) AS n_chunks FROM later GROUP BY doc_id)
+  SELECT n.doc_id, count(*) AS n_lines, count(*) FILTER (g.i IS NOT NULL) AS n_removed,
+         coalesce(string_agg(n.line, chr(10) ORDER BY n.i) FILTER (g.i IS NULL), '') AS text
+  FROM numbered n LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.i = g.i GROUP BY n.doc_id),
+counted AS (SELECT doc_id, count(DISTINCT chunk) AS n_chunks FROM spans GROUP BY doc_id)
 SELECT d.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, coalesce(c.n_chunks, 0) AS n_chunks
 FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN counted c USING (doc_id)
 """
