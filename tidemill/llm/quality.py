@@ -7,7 +7,8 @@ scoring a corpus is a projection without Python and without a shuffle.
 
 Defined results: a null or empty text has statistics of 0 and is scored like others; labels that are null are not
 learnt from; if the labels learnt from are of one kind, or none, the score is their mean (1 if none). Scores use
-nothing but the text.
+nothing but the text. Rows that share a key are scored each and learnt from each, within the bound; null keys are
+scored and not learnt from; other columns stay; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -123,9 +124,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
     """Learn from labels (key, label 0/1) joined to docs; what is learnt from is bounded by `sample`, whatever the input."""
     given = labels.select(F.col(key).alias("_key"), F.col(label).cast("double").alias("_label")).dropna()
     chosen = given.orderBy(F.md5(F.col("_key").cast("string")), "_label").limit(sample)
-    rows = docs.join(F.broadcast(chosen), docs[key] == F.col("_key"))  # at most `sample` rows of two numbers
+    texts = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("text"))  # no other column of docs can clash
+    rows = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_key"))  # at most `sample` rows of two numbers
+    # where rows share a key, the sample is cut again: the bound holds for what is learnt from, too
+    rows = rows.select("text", "_label", "_key").orderBy(F.md5(F.col("_key").cast("string")), "_label", F.xxhash64("text")).limit(sample)
     names = list(features())
-    rows = with_features(rows.select(F.col(text).alias("text"), "_label", "_key")).select("_key", "_label", "features.*")
+    rows = with_features(rows).select("_key", "_label", "features.*")
     # one ordered partition of the bounded sample: what is learnt does not depend on how documents were dealt out
     rows = cut(rows.repartition(1).sortWithinPartitions("_key", "_label", *names), "quality-sample")
     seen = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.count("*").alias("n")).collect()}  # two labels
