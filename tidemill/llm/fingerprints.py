@@ -5,12 +5,13 @@ of SKETCHES fixed points of it the next TUPLE hashes are taken, put back in the
 tuple. Two texts share a tuple only if they share its k-mers in the same order, so the share of equal tuples falls with
 the edit distance, also where the sets of words stay the same.
 
-A hash keeps its upper 40 bits, and the place of its k-mer in the text takes the lower 24, so one sort of an array
-of longs orders by hash and one more by place.
+Occurrences are counted by the whole 64-bit hashes of k-mers. On the ring a numbered k-mer keeps the upper 34 bits of
+its hash, and its place in the text takes the lower 30, so one sort of an array of longs orders by hash and one more by
+place. A text of Spark is shorter than 2**31 bytes, so it has at most 2**30 words, and places never wrap.
 
 Defined results: a null text is empty; an empty text, and one without words, has one k-mer, the empty one; a text of
-fewer than five words has one k-mer, all its words. Places beyond 2**24 words wrap. Other columns stay. Null doc_ids
-come before others; rows that share a doc_id follow each other by a hash of the text; an empty table gives no row.
+fewer than five words has one k-mer, all its words. Other columns stay. Null doc_ids come before others; rows that
+share a doc_id follow each other by a hash of the text; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import WHITE, shuffle_partitions, text_or_empty
 
 K, SKETCHES, TUPLE = 5, 32, 2
-PLACE = 24
+PLACE = 30
 LOW = (1 << PLACE) - 1
 
 
@@ -42,21 +43,20 @@ def fingerprint_of(df: DataFrame, text: Column, out: str, k: int = K, sketches:
     """df with the column `out`, an array of `sketches` longs."""
     words = F.transform(F.filter(F.split(text, WHITE), lambda w: w != ""), lambda w: F.xxhash64(w))
     df = df.withColumn("_words", words).withColumn("_kmers", kmer_hashes(F.col("_words"), k)).drop("_words")
-    # equal k-mers stand together, by place, after one sort; their rank in the run is the occurrence number
-    df = df.withColumn("_sorted", F.sort_array(F.transform("_kmers", placed))).drop("_kmers")
-    top = lambda x: F.shiftright(x, PLACE)
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size("_sorted") - 1),
-        lambda i: (i == 0) | (top(F.get(F.col("_sorted"), i)) != top(F.get(F.col("_sorted"), i - 1))),
-    )
-    df = df.withColumn("_starts", starts)
-    runs = F.transform("_starts", lambda s, j: F.sequence(F.lit(0), F.coalesce(F.get(F.col("_starts"), j + 1), F.size("_sorted")) - s - 1))
-    df = df.withColumn("_occurs", F.flatten(runs)).drop("_starts")
-    own = F.zip_with("_sorted", "_occurs", lambda x, o: placed(F.xxhash64(top(x), o), x))
+    # only a text with equal k-mers needs them sorted: they then stand together, by place, and the rank in the run counts
+    fresh = F.transform("_kmers", lambda x, i: placed(F.xxhash64(x, F.lit(0)), i))
+    pairs = F.sort_array(F.transform("_kmers", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    df = df.withColumn("_pairs", F.when(F.size(F.array_distinct("_kmers")) < F.size("_kmers"), pairs))
+    h = lambda i: F.get(F.col("_pairs"), i)["h"]
+    starts = F.filter(F.sequence(F.lit(0), F.size("_kmers") - 1), lambda i: (i == 0) | (h(i) != h(i - 1)))
+    df = df.withColumn("_starts", F.when(F.col("_pairs").isNotNull(), starts))
+    runs = F.transform("_starts", lambda s, j: F.sequence(F.lit(0), F.coalesce(F.get(F.col("_starts"), j + 1), F.size("_pairs")) - s - 1))
+    numbered = F.zip_with("_pairs", F.flatten(runs), lambda x, o: placed(F.xxhash64(x["h"], o), x["i"]))
+    own = F.when(F.col("_pairs").isNull(), fresh).otherwise(numbered)
     points = [((j << 64) // sketches) - (1 << 63) for j in range(sketches)]
     # the fixed points are sorted in; before point j stand j points, so its place among the hashes is known
     marks = F.array(*[F.lit(p) for p in points])
-    df = df.withColumn("_own", own).drop("_occurs", "_sorted")
+    df = df.withColumn("_own", own).drop("_kmers", "_pairs", "_starts")
     df = df.withColumn("_ring", F.sort_array("_own")).withColumn("_all", F.sort_array(F.concat("_own", marks))).drop("_own")
     df = df.withColumn("_ring", F.concat("_ring", F.slice("_ring", 1, size)))
     n = F.size("_ring") - F.least(F.size("_all") - sketches, F.lit(size))
@@ -95,12 +95,12 @@ def with_next(df: DataFrame, columns: list[str], key: str = "doc_id", n: int | N
     key; after the last row comes the first.
 
     Null keys come first; rows of one key are ordered by a hash of the columns. Rows are dealt out by n ranges of keys,
-    twice the shuffle partitions if not given, and ordered within each. The last row of a range takes the first row of
+    four times the shuffle partitions if not given, so that their hashes fill tasks evenly, and ordered within each. The last row of a range takes the first row of
     the next one that has any; only one number for each range is ordered as a whole. The first rows are found by their
     keys alone, so made runs once for each row, and once more for the first row of each range.
     """
     tie = F.xxhash64(*columns)
-    bucket = ranges(df, key, tie, n or 2 * shuffle_partitions(df.sparkSession))
+    bucket = ranges(df, key, tie, n or 4 * shuffle_partitions(df.sparkSession))
     order = Window.partitionBy("_bucket").orderBy(F.col(key).asc_nulls_first(), "_tie")
     dealt = df.withColumn("_tie", tie).withColumn("_bucket", bucket)
     following = F.struct(*columns, *of)
