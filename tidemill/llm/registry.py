@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemill.llm import fingerprints, jaccard, line_dedup, media, mixing, packing, quality, secrets, suffixes, token_files
 from tidemill.llm.common import documents, labels
@@ -52,7 +53,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(documents(spark, sf_dir)).drop("first_position")
+    mixed = mixing.mixed_documents(documents(spark, sf_dir))
+    return mixed.withColumn("first_position", F.round("first_position", 6))
 
 
 def queries() -> dict[str, Query]:
@@ -108,8 +110,8 @@ WITH rows AS (
   FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source),
 named AS (
-  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
-  FROM per),
+  SELECT *, CASE place WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+  FROM (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS place FROM per)),
 stops AS (SELECT *, 2 * source_size / weight AS stop FROM named),
 levels AS (
   SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
@@ -118,15 +120,21 @@ levels AS (
   FROM stops),
 fixed AS (SELECT arg_min(level, stop) AS level FROM levels WHERE level <= stop),
 targets AS (
-  SELECT n.source, n.source_size, least(CAST(2 * n.source_size AS DOUBLE), f.level * n.weight) AS target
+  SELECT n.source, n.source_size, n.place, least(CAST(2 * n.source_size AS DOUBLE), f.level * n.weight) AS target
   FROM named n, fixed f),
 placed AS (
   SELECT r.*, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS words,
+         CASE t.place WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS w0,
+         CASE t.place WHEN 0 THEN -1.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS bend,
          CAST(coalesce(sum(r.size) OVER (PARTITION BY r.source
            ORDER BY CAST(('0x' || substr(r.rank, 1, 6)) AS BIGINT) % 4096, r.rank, r.doc_id, r.size
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
   FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(size, words - before)) + greatest(0, least(size, words - source_size - before)) AS BIGINT) AS taken
+       CAST(greatest(0, least(size, words - before)) + greatest(0, least(size, words - source_size - before)) AS BIGINT) AS taken,
+       CASE WHEN least(size, words - before) <= 0 THEN NULL
+            WHEN bend = 0 THEN round((before + least(size, words - before) / 2.0::DOUBLE) / greatest(target, 1.0::DOUBLE) / w0, 6)
+            ELSE round((sqrt(w0 * w0 + 2 * bend * ((before + least(size, words - before) / 2.0::DOUBLE) / greatest(target, 1.0::DOUBLE))) - w0) / bend, 6)
+       END AS first_position
 FROM placed
 """
