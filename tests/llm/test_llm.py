@@ -283,6 +283,33 @@ def test_quality_learns_and_holds_out(spark):
     assert {r.doc_id for r in quality.keep_good(frame(spark, rows), marks).collect()} >= {i for i, q in labels if q}
 
 
+def test_rules_compile_to_what_they_say(spark):
+    """The one column expression against a plain reading of the rules, on odd texts, repeated rows and clashing names."""
+    rng = random.Random(6)
+    rules = [quality.Rule(tuple((rng.choice(list(quality.features())), rng.random() < 0.5, rng.uniform(0, 3)) for _ in range(rng.randint(1, 3)))).simplified() for _ in range(12)]
+    model = quality.RuleModel(0.3, {r: rng.uniform(-2, 2) for r in rules})
+    rows = [*corpus(), *corpus()[:3]]
+    df = frame(spark, rows).withColumn("stats", F.lit(1)).withColumn("features", F.lit("x")).withColumn("_key", F.lit(2))
+    got = quality.score(df, model)
+    assert got.columns == [*df.columns, "score"] and got.count() == len(rows)
+    values = {r.doc_id: r.features.asDict() for r in quality.with_features(frame(spark)).collect()}
+    for r in got.collect():
+        total = 0.3
+        for rule, weight in model.weights.items():
+            total += weight * all((values[r.doc_id][n] <= at) == below for n, below, at in rule.parts)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_quality_of_repeated_and_odd_rows(spark):
+    rows = [(1, "good words here.", "en", "s", 1)] * 30 + [(2, "### $$$ %%%", "en", "s", 1)] * 30 + [(None, None, "en", "s", 0)]
+    marks = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
+    docs = frame(spark, rows).withColumn("_key", F.lit(1)).withColumn("_label", F.lit("x")).withColumn("quality", F.lit(0))
+    model = quality.fit(docs, marks, sample=20)
+    assert quality.score(docs, model).count() == 61
+    assert quality.keep_good(docs, marks).columns == docs.columns
+    assert quality.quality_documents(frame(spark, []), marks).count() == 0
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality.quality_documents(frame(spark), none).collect()} == {1.0}
@@ -524,9 +551,8 @@ def test_tuples_equal_a_plain_ring(spark):
         hashed = words_frame.select("i", F.xxhash64(*[F.xxhash64(x) for x in "abcde"]).alias("h")).orderBy("i").collect()
         seen, keys = Counter(), []
         for r in hashed:
-            top = r.h >> fingerprints.PLACE
-            keys.append((r.i, top, seen[top]))
-            seen[top] += 1
+            keys.append((r.i, r.h, seen[r.h]))
+            seen[r.h] += 1
         numbered = spark.createDataFrame(keys, "i int, h long, o int").select("i", F.xxhash64("h", "o").alias("h")).collect()
         return [(r.h >> fingerprints.PLACE << fingerprints.PLACE) | r.i for r in numbered]
 
