@@ -131,9 +131,3 @@ def data_density(text: Column) -> Column:
     points = n(r"\b(19|20)\d{2}\b") + n(r"\d+(\.\d+)?%") + 2 * n(r"(?i)n\s*=|p\s*[<>=]|×10") + n(r"\b\d{2,}\b")
     words = word_count(text)
     return F.when(words == 0, 0.0).otherwise(F.least(F.lit(1.0), points / words / 0.02))
-
-
-def simhash_tokens(text: Column) -> Column:
-    """Tokens between ASCII white space, repeats kept."""
-    trimmed = collapse_space(F.coalesce(text, F.lit("")))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " "))

@@ -1,12 +1,12 @@
-"""URL canonicalization: a vectorized exact form, for use as a column."""
+"""URL canonicalization: column expressions for plain web URLs, and an exact form in Arrow batches for all others."""
 
 from __future__ import annotations
 
-import posixpath
 import re
 from urllib.parse import parse_qsl, quote, unquote, urlsplit
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -15,64 +15,83 @@ TRACKING_STARTS = ("utm_", "icid")
 TRACKING = frozenset({"fbclid", "gclid", "yclid", "mc_cid", "mc_eid", "mkt_tok", "amp", "amp_js_v", "amp_gsa", "sscid", "igshid", "spm", "ref"})
 HOST_STARTS = ("www.", "m.", "mobile.", "amp.")
 SAFE = "@:$&'()*+,;=-._~!%/"
-SCHEME = re.compile(r"^([A-Za-z][A-Za-z0-9+.-]*):(.*)$", re.DOTALL)
-AMP_END = re.compile(r"(/amp/?|\.amp)$", re.IGNORECASE)
+SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):(.*)", re.DOTALL)
+AMP_END = re.compile(r"(?:/amp/?|\.amp)$", re.IGNORECASE)
+#: URLs whose path and query need no decoding, quoting or folding: scheme, host, path, query.
+PLAIN = r"^(?i:https?)://([A-Za-z0-9.-]+)(?::(?:80|443))?(/[A-Za-z0-9._~/@:$&'()*+,=!-]*)?(?:\?([A-Za-z0-9._~&=-]*))?(?:#\S*)?$"
+FOLDED = r"^[^?#]*(?://[^?#]*//|/\.|(?i:/amp/?|\.amp)(?:[?#]|$))|=[^&#]*=[^#]*(?:#|$)"
 
 
-def short_host(host: str) -> str:
-    for start in HOST_STARTS:
-        rest = host.removeprefix(start)
-        if rest != host and "." in rest:
-            host = rest
-    return host
-
-
-def clean_path(path: str) -> str:
-    if not path:
-        return "/"
-    whole = re.sub("/{2,}", "/", unquote(path))
-    normal = posixpath.normpath(whole)
-    if whole.endswith("/") and not normal.endswith("/"):
-        normal += "/"
-    normal = quote("/" if normal == "." else normal, safe=SAFE)
-    while AMP_END.search(normal):
-        normal = AMP_END.sub("", normal) or "/"
-    return normal
+def tracks(key: str) -> bool:
+    return key in TRACKING or key.startswith(TRACKING_STARTS)
 
 
-def clean_query(query: str) -> str:
-    pairs = {(k.lower(), v) for k, v in parse_qsl(query)}
-    kept = sorted((k, v) for k, v in pairs if k and v and k not in TRACKING and not k.startswith(TRACKING_STARTS))
-    return "&".join(f"{quote(k, safe='')}={quote(v, safe='')}" for k, v in kept)
+def web_parts(text: str) -> tuple[str, str, str] | None:
+    """The host with what stands around it, path and query of a web address, with or without a scheme; None for others."""
+    m = SCHEME.fullmatch(text)
+    if m is not None:
+        scheme, rest = m[1].lower(), m[2]
+        named_host = ("." in scheme or scheme == "localhost") and re.match(r"\d{1,5}(?=[/?#]|$)", rest)
+        if scheme in ("http", "https"):
+            text = rest
+        elif not named_host:
+            return None
+    parts = urlsplit("https://" + text.removeprefix("//"))
+    return parts.netloc, parts.path, parts.query
 
 
 def canonical(url: str | None) -> str | None:
     """The https form of a web URL; other schemes, and what has no host, stay as they are."""
-    if not url or not url.strip():
-        return url
-    text = url.strip()
-    m = SCHEME.match(text)
-    if m and m[1].lower() not in ("http", "https"):
-        hostlike = ("." in m[1] or m[1].lower() == "localhost") and re.match(r"\d+(/|\?|#|$)", m[2])
-        if not hostlike:
-            return text
-        m = None
-    rest = m[2].lstrip("/") if m else text.lstrip("/")
+    text = url.strip() if url else ""
+    if not text:
+        return url if not url else text
     try:
-        parts = urlsplit("https://" + rest)
-        host, port = (parts.hostname or "").lower(), parts.port
+        parts = web_parts(text)
     except ValueError:
         return text
+    if parts is None or not parts[0]:
+        return text
+    host = parts[0].lower()
+    for start in HOST_STARTS:
+        if host.startswith(start) and "." in host[len(start) :]:
+            host = host[len(start) :]
+    host = re.sub(r":(?:80|443)$", "", host)
     if not host:
         return text
-    host = short_host(host)
-    if port and port not in (80, 443):
-        host += f":{port}"
-    query = clean_query(parts.query)
-    path = re.sub(r";[^/]*$", "", parts.path)
-    return f"https://{host}{clean_path(path)}" + (f"?{query}" if query else "")
+    decoded, kept = unquote(re.sub(r";[^/]*$", "", parts[1])), []
+    for step in decoded.split("/"):
+        if step == "..":
+            del kept[-1:]
+        elif step not in ("", "."):
+            kept.append(step)
+    path = quote("/".join(["", *kept, *([""] if decoded.endswith("/") or not kept else [])]), safe=SAFE)
+    while AMP_END.search(path):
+        path = AMP_END.sub("/", path)
+    pairs = {(k.lower(), v) for k, v in parse_qsl(parts[2])}
+    query = "&".join(f"{k}={quote(v, safe='')}" for k, v in sorted(pairs) if k and v and not tracks(k))
+    return f"https://{host}{path}" + (f"?{query}" if query else "")
 
 
 @F.pandas_udf(StringType())
 def canonicalize_url(urls: pd.Series) -> pd.Series:
     return urls.map(canonical, na_action="ignore")
+
+
+def plain_canonical(url: Column) -> Column:
+    """The canonical form of a URL that PLAIN matches and FOLDED does not."""
+    host = F.lower(F.regexp_extract(url, PLAIN, 1))
+    for start in HOST_STARTS:
+        rest = F.substring(host, len(start) + 1, 1 << 30)
+        host = F.when(F.startswith(host, F.lit(start)) & F.contains(rest, F.lit(".")), rest).otherwise(host)
+    path, query = F.regexp_extract(url, PLAIN, 2), F.regexp_extract(url, PLAIN, 3)
+    pairs = F.transform(F.split(query, "&"), lambda p: F.struct(F.lower(F.substring_index(p, "=", 1)).alias("k"), F.regexp_extract(p, "=(.*)$", 1).alias("v")))
+    tracked = lambda k: k.isin(*sorted(TRACKING)) | F.startswith(k, F.lit(TRACKING_STARTS[0])) | F.startswith(k, F.lit(TRACKING_STARTS[1]))
+    kept = F.array_sort(F.array_distinct(F.filter(pairs, lambda p: (p["k"] != "") & (p["v"] != "") & ~tracked(p["k"]))))
+    text = F.array_join(F.transform(kept, lambda p: F.concat_ws("=", p["k"], p["v"])), "&")
+    return F.concat(F.lit("https://"), host, F.when(path == "", "/").otherwise(path), F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""))
+
+
+def canonical_column(url: Column) -> Column:
+    """Canonical URLs: in the JVM for plain ones, which are nearly all; only the others reach Python."""
+    plain = F.coalesce(url.rlike(PLAIN) & ~url.rlike(FOLDED), F.lit(False))
+    return F.coalesce(F.when(plain, plain_canonical(url)), canonicalize_url(F.when(~plain, url)))

@@ -19,6 +19,14 @@ def processable(manual_only: Column, blacklisted: Column) -> Column:
     return ~F.coalesce(manual_only, F.lit(False)) & ~F.coalesce(blacklisted, F.lit(False))
 
 
+def source_filter(category=None, credibility: float | None = None, frequency: str | None = None, tier: int | None = None) -> Column:
+    """Sources of a category, of at least a credibility, of an update frequency, of a tier: all that are given."""
+    found = F.lit(True)
+    for name, value in (("category", category), ("update_frequency", frequency), ("tier", tier)):
+        found = found & F.coalesce(F.col(name) == value, F.lit(False)) if value is not None else found
+    return found & (F.coalesce("credibility_score", F.lit(0.0)) >= credibility) if credibility is not None else found
+
+
 def effective_delay(base: Column, *others: Column) -> Column:
     """The longest of the delays that are known."""
     return F.greatest(base, *[F.coalesce(o, F.lit(0.0)) for o in others])

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from tidemill.functions.text import collapse_space, simhash_tokens
+from tidemill.functions.text import collapse_space
+from tidemill.session import new_path
 
 BITS, NEAR = 64, 10
+WORDS = re.compile(r"[^ \t\r\n\x0B\f]+")
 
 
 def content_hash(text: Column) -> Column:
@@ -19,24 +27,33 @@ def exact_groups(df: DataFrame, key: str, text: Column) -> DataFrame:
     return df.groupBy(content_hash(text).alias("content_hash")).agg(F.min(key).alias("first_id"), F.count("*").alias("n"))
 
 
+@F.pandas_udf(LongType())
+def _votes(texts: pd.Series) -> pd.Series:
+    """SimHashes of a batch: MD5 has no fast form as a number in the JVM, and 64 sums for each token fit a matrix well."""
+    out = np.zeros(len(texts), dtype=np.int64)
+    for i, text in enumerate(texts):
+        tokens = WORDS.findall(text)
+        if tokens:
+            low = b"".join([hashlib.md5(t.encode()).digest()[8:] for t in tokens])
+            ones = np.unpackbits(np.frombuffer(low, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            out[i] = np.packbits(2 * ones >= len(tokens)).view(">i8")[0]
+    return pd.Series(out)
+
+
+def simhash_of(text: Column) -> Column:
+    """The 64-bit SimHash of a text: each token (repeats count) votes with the low 64 bits of its MD5, a bit is set where
+    the votes for it are not outnumbered, and a text without tokens has 0. Tokens stand between ASCII white space."""
+    return _votes(F.coalesce(text, F.lit("")))
+
+
 def simhash(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """key and its 64-bit SimHash; ties set the bit, a text without tokens has 0.
+    """key and the SimHash of its text, within the row: nothing is shuffled."""
+    return df.select(F.col(key), simhash_of(text).alias("simhash"))
 
-    Tokens are counted for each text first, so a token meets the 64 sums once for each text, and the sums are built in
-    one grouping with map-side partial sums.
-    """
-    tokens = df.select(F.col(key), simhash_tokens(text).alias("tokens"))
-    words = tokens.select(key, F.explode("tokens").alias("token"))
-    bits = F.conv(F.substring(F.md5("token"), 17, 16), 16, -10).cast("long")
-    hashed = words.select(key, bits.alias("h"))
-    sums = [F.sum(F.shiftright("h", b).bitwiseAND(F.lit(1).cast("long")) * 2 - 1).alias(f"b{b}") for b in range(BITS)]
-    out = hashed.groupBy(key).agg(*sums)
-    whole = F.lit(0).cast("long")
-    for b in range(BITS):
-        value = (1 << b) if b < 63 else -(1 << 63)
-        whole = whole.bitwiseOR(F.when(F.col(f"b{b}") >= 0, F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
-    full = out.select(key, whole.alias("simhash"))
-    return tokens.select(key).join(full, key, "left").select(key, F.coalesce("simhash", F.lit(0).cast("long")).alias("simhash"))
+
+def hash_classes(df: DataFrame, key: str) -> DataFrame:
+    """id, simhash, n: the least key and the size of each group of equal SimHashes; rows without tokens (0) are left out."""
+    return df.where("simhash <> 0").groupBy("simhash").agg(F.min(key).alias("id"), F.count("*").alias("n"))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -56,24 +73,25 @@ def near_pairs(df: DataFrame, key: str, most: int = NEAR) -> DataFrame:
     return pairs.where(F.col("distance") <= most).select("id", "other", "distance", confidence(F.col("distance")).alias("confidence"))
 
 
-def clusters(nodes: DataFrame, pairs: DataFrame, rounds: int = 40) -> DataFrame:
-    """id and the least id of its connected component. Labels are written to the checkpoint folder after each round."""
-    from tidemill.session import shared_dir
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder: the lineage of a loop ends there."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-    spark = nodes.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark)) if spark.sparkContext.getCheckpointDir() is None else None
-    both = pairs.select("id", "other").union(pairs.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct().checkpoint()
-    labels = nodes.select("id", F.col("id").alias("label")).checkpoint()
-    for _ in range(rounds):
+def clusters(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id and label, the least id of its connected component. Labels are written after each round, until none changes."""
+    both = written(pairs.select("id", "other").union(pairs.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct(), "edges")
+    labels = written(nodes.select("id", F.col("id").alias("label")), "labels")
+    while True:
         near = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("near"))
         step = labels.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
         up = labels.select(F.col("id").alias("next"), F.col("label").alias("up"))
-        step = step.join(up, "next").select("id", "label", F.least("next", "up").alias("next")).checkpoint()
-        done = step.where("label <> next").limit(1).count() == 0
+        step = written(step.join(up, "next").select("id", "label", F.least("next", "up").alias("next")), "labels")
         labels = step.select("id", F.col("next").alias("label"))
-        if done:
-            break
-    return labels
+        if not step.where("label <> next").limit(1).count():
+            return labels
 
 
 def new_rows(candidates: DataFrame, stored: DataFrame, key: str) -> DataFrame:
@@ -97,29 +115,21 @@ def threshold_table(pairs: DataFrame, distance: str, label: str, thresholds: tup
 def first_in_batch(df: DataFrame, url: str, digest: str, order: str) -> DataFrame:
     """Rows kept by the greedy rule: neither their url nor their digest was claimed by an earlier kept row.
 
-    Rows that share neither are independent, so the fold runs once for each connected group of shared urls and digests.
+    Of each (url, digest) only the least row can be kept, so that is all that the rounds see. In each round an undecided
+    row that is first for its url and for its digest is kept, and the rows that share either with it are dropped. Each
+    round is joins on both keys with minima combined before the shuffle; the first undecided row is always decided.
     """
-    import pandas as pd
-
-    rows = df.withColumn("id", F.col(order))
-    by_url = Window.partitionBy(url)
-    by_digest = Window.partitionBy(digest)
-    pairs = rows.select("id", F.min("id").over(by_url).alias("a"), F.min("id").over(by_digest).alias("b"))
-    edges = pairs.select("id", F.col("a").alias("other")).union(pairs.select("id", F.col("b").alias("other"))).where("id <> other")
-    grouped = rows.join(clusters(rows.select("id"), edges), "id")
-
-    def keep(frame: pd.DataFrame) -> pd.DataFrame:
-        urls, digests, kept = set(), set(), []
-        for u, d in zip(frame.sort_values("id")[url], frame.sort_values("id")[digest]):
-            fresh = u not in urls and d not in digests
-            kept.append(fresh)
-            if fresh:
-                urls.add(u)
-                digests.add(d)
-        return frame.sort_values("id")[kept]
-
-    sizes = grouped.groupBy("label").agg(F.count("*").alias("members"))
-    grouped = grouped.join(sizes, "label")
-    alone = grouped.where("members = 1")
-    shared = grouped.where("members > 1").groupBy("label").applyInPandas(keep, grouped.schema)
-    return alone.unionByName(shared).drop("label", "id", "members")
+    least = df.groupBy(url, digest).agg(F.min(order).alias("id")).select(F.col(url).alias("u"), F.col(digest).alias("d"), "id")
+    open_, kept = written(least, "batch"), None
+    while open_.limit(1).count():
+        by = {k: open_.groupBy(k).agg(F.min("id").alias(f"first_{k}")) for k in ("u", "d")}
+        marked = open_
+        for k, firsts in by.items():
+            marked = marked.alias("m").join(firsts.alias("f"), F.expr(f"m.{k} <=> f.{k}")).select("m.*", f"first_{k}")
+        chosen = written(marked.where("id = first_u AND id = first_d").select("u", "d", "id"), "batch-kept")
+        kept = chosen if kept is None else kept.unionByName(chosen)
+        rest = open_
+        for k in ("u", "d"):
+            rest = rest.alias("r").join(chosen.select(k).distinct().alias("c"), F.expr(f"r.{k} <=> c.{k}"), "left_anti")
+        open_ = written(rest, "batch")
+    return df.limit(0) if kept is None else df.join(kept.select(F.col("id").alias(order)), order, "left_semi")

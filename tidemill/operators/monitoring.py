@@ -30,6 +30,11 @@ def severity_of(value: Column, warning: float, critical: float) -> Column:
     return F.when(value >= critical, "critical").when(value >= warning, "warning").otherwise("ok")
 
 
+def drift_severity(missing: Column, mistyped: Column, most_missing: float = 0.05, most_mistyped: float = 0.02) -> Column:
+    """A schema's drift by the shares of missing and of mistyped values."""
+    return F.when(missing > most_missing, "critical").when(mistyped > most_mistyped, "warning").otherwise("ok")
+
+
 def canaries(windows: DataFrame, least: int, idle: Column, most_idle_h: float) -> DataFrame:
     reason = F.when(idle > most_idle_h, "idle").when(F.col("found") < least, "too_few")
     return windows.withColumn("canary", F.coalesce(reason, F.lit("pass")))

@@ -50,29 +50,45 @@ def related(df: DataFrame, cluster: str, k: int, score: str = "score", key: str
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select(key, "other", "place")
 
 
-def capped(df: DataFrame, k: int, source_cap: float, topic_cap: float, score: str = "score", key: str = "id") -> DataFrame:
-    """A greedy list of k in score order in which no source and no topic takes more than its cap.
-
-    A row that the caps pass over never comes back, so only the best max(1, k * cap) + ... rows of each (source, topic)
-    can be taken: the list is chosen from at most that many rows of each pair, as one ordered fold.
+def capped(df: DataFrame, k: int, source_cap: float, topic_cap: float, score: str = "score", key: str = "id", seed: int = 1337, first: int = 1024) -> DataFrame:
+    """place, score, id, source, topics of a greedy list of k rows in which no source and no topic takes more than its cap.
+
+    Rows come by score, then date of publication (a string column `published`, if there is one), then source, all
+    descending; full ties by a hash of key and seed. A row is passed over if its source, or any of its topics, is full;
+    rows without topics meet the source's cap alone. What is chosen depends on the rows before it only, so a prefix of
+    the order is folded that grows until the list is full: no more than that is ever collected. Rows of one source and
+    one set of topics behind as many better ones as the caps allow can never be chosen and are left out before.
     """
     most_source, most_topic = max(1, int(k * source_cap)), max(1, int(k * topic_cap))
-    order = [F.desc(score), F.desc(key)]
-    # within one (source, topic) a row behind min(caps) better ones is always passed over
-    near = top_in_group(df.withColumn("pair", F.struct("source", "topic")), "pair", order, min(most_source, most_topic)).drop("rank", "pair")
-    rows = near.agg(F.sort_array(F.collect_list(F.struct(F.col(score), F.col(key), "source", "topic")), asc=False).alias("rows"))
-    start = F.struct(F.array().cast("array<struct<score:double,id:bigint,source:string,topic:string>>").alias("taken"))
-
-    def step(acc: Column, x: Column) -> Column:
-        taken = acc["taken"]
+    published = F.col("published") if "published" in df.columns else F.lit("")
+    topics = F.coalesce(F.array_sort(F.array_distinct("topics")), F.array().cast("array<string>"))
+    rows = df.select(F.col(score).cast("double").alias("score"), F.coalesce(published, F.lit("")).alias("published"), F.coalesce("source", F.lit("unknown")).alias("source"),
+                     F.xxhash64(key, F.lit(seed)).alias("tie"), F.col(key).cast("bigint").alias("id"), topics.alias("topics"))
+    order = [F.desc(c) for c in ("score", "published", "source", "tie", "id")]
+    near = top_in_group(rows.withColumn("pair", F.struct("source", "topics")), "pair", order, most_source).drop("rank", "pair")
+    item = "struct<score:double,published:string,source:string,tie:bigint,id:bigint,topics:array<string>>"
+
+    def step(taken: Column, x: Column) -> Column:
         of_source = F.size(F.filter(taken, lambda t: t["source"] == x["source"]))
-        of_topic = F.size(F.filter(taken, lambda t: t["topic"] == x["topic"]))
-        room = (F.size(taken) < k) & (of_source < most_source) & (of_topic < most_topic)
-        item = F.struct(x[score].cast("double").alias("score"), x[key].cast("bigint").alias("id"), x["source"].alias("source"), x["topic"].alias("topic"))
-        return F.struct(F.when(room, F.array_append(taken, item)).otherwise(taken).alias("taken"))
-
-    chosen = rows.select(F.aggregate("rows", start, step).alias("acc")).select(F.posexplode("acc.taken").alias("place", "t"))
-    return chosen.select((F.col("place") + 1).alias("place"), "t.score", "t.id", "t.source", "t.topic")
+        full = F.exists(x["topics"], lambda topic: F.size(F.filter(taken, lambda t: F.array_contains(t["topics"], topic))) >= most_topic)
+        return F.when((F.size(taken) < k) & (of_source < most_source) & ~full, F.array_append(taken, x)).otherwise(taken)
+
+    while True:
+        prefix = near.orderBy(*order).limit(first)
+        whole = prefix.agg(F.sort_array(F.collect_list(F.struct(*rows.columns)), asc=False).alias("rows"))
+        folded = whole.select(F.size("rows").alias("n"), F.aggregate("rows", F.array().cast(f"array<{item}>"), step).alias("taken"))
+        n, taken = folded.select("n", F.size("taken")).first()
+        if taken >= k or n < first:
+            break
+        first *= 8
+    chosen = folded.select(F.posexplode("taken").alias("place", "t"))
+    return chosen.select((F.col("place") + 1).alias("place"), "t.score", "t.id", "t.source", "t.topics")
+
+
+def precision_at(df: DataFrame, query: str, score: str, positive: str, key: str, k: int) -> DataFrame:
+    """The share of positives among the first k rows of each query, of as many as there are."""
+    best = top_in_group(df, query, [F.desc(score), F.col(key)], k)
+    return best.groupBy(query).agg((F.count_if(F.col(positive)) / F.count("*")).alias("precision"))
 
 
 def ranking_measures(df: DataFrame, query: str, score: str, relevance: str, key: str, k: int) -> DataFrame:

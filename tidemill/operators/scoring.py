@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.lexicons import LATAM, LOW_VALUE, SCIENCE, TECH
@@ -57,11 +57,6 @@ def feature_score(fresh: Column, good: Column, engaging: Column, penalty: Column
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
 
 
-def credibility(peer_reviewed: Column, preprint: Column, doi: Column) -> Column:
-    yes = lambda c, v: F.when(F.coalesce(c, F.lit(False)), v).otherwise(0.0)
-    return F.least(F.lit(1.0), 0.3 + F.greatest(yes(peer_reviewed, 0.2), yes(preprint, 0.1)) + yes(doi.isNotNull() & (doi != ""), 0.1))
-
-
 def normalized(weights: dict[str, float]) -> dict[str, float]:
     """Weights that add up to 1, if they do not nearly do so."""
     total = sum(weights.values())
@@ -100,7 +95,40 @@ def heuristic_quality(text: Column) -> Column:
     return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4)
 
 
-def cognitive_blend(heuristic: Column, relevance: Column) -> tuple[Column, Column]:
-    """(score, label): irrelevant articles stay below inclusion."""
-    score = F.when(relevance < 0.4, F.least(heuristic, F.lit(0.55))).otherwise(heuristic)
-    return score, F.when(score >= 0.75, "publish").when(score >= 0.60, "consider").otherwise("skip")
+def cognitive_blend(
+    text: Column, source: Column, fresh: Column, dims: dict[str, Column], heuristic: Column, weights: dict[str, float]
+) -> dict[str, Column]:
+    """Parts, score, label and inclusion from given dimensions (0 to 5), or the heuristic quality where there are none.
+
+    text is title, summary and content in lower case. Low-value words without the audience's own words take all
+    relevance; those words add 0.2. Irrelevant articles stay below inclusion. Parts and score are rounded to 4 places.
+    """
+    rated = dims["substance"].isNotNull()
+    own = {k: F.when(rated, F.least(F.lit(1.0), F.coalesce(v, F.lit(0.0)) / 5.0)).otherwise(heuristic) for k, v in dims.items()}
+    latam, low = contains_any(text, LATAM), contains_any(text, LOW_VALUE)
+    own["relevance"] = F.when(low & ~latam, 0.0).when(latam, F.least(F.lit(1.0), own["relevance"] + 0.2)).otherwise(own["relevance"])
+    parts = {
+        "content_quality": own["substance"], "engagement_potential": own["narrative"], "recency": fresh * 0.5 + own["relevance"] * 0.5,
+        "source_credibility": source * 0.5 + own["credibility"] * 0.5,
+    }
+    total = F.greatest(F.lit(0.0), F.least(F.lit(1.0), sum((parts[k] * w for k, w in weights.items()), F.lit(0.0))))
+    total = F.when(own["relevance"] < 0.4, F.least(total, F.lit(0.55))).otherwise(total)
+    out = {k: F.round(v, 4) for k, v in parts.items()} | {f"nqi_{k}": F.round(v, 4) for k, v in own.items()}
+    label = F.when(total >= 0.75, "priority").when(total >= 0.60, "publishable").otherwise("discard")
+    return out | {"final_score": F.round(total, 4), "decision_label": label, "should_include": total >= 0.60}
+
+
+def persist_scores(articles: DataFrame, log: DataFrame, fresh: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(articles with the fresh values of columns, the log with the fresh rows appended)."""
+    news = fresh.select(key, F.lit(True).alias("_fresh"), *[F.col(c).alias(f"_new_{c}") for c in columns])
+    joined = articles.join(news, key, "left")
+    updated = [F.when(F.col("_fresh"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in articles.columns]
+    return joined.select(*updated), log.unionByName(fresh)
+
+
+SCORERS = ("cognitive", "basic", "feature")
+
+
+def scorer_of(mode: str | None) -> str:
+    """The scorer of a configured mode; feature unless it is one of the others."""
+    return mode if mode in SCORERS else "feature"

@@ -56,11 +56,13 @@ def few_words(text: Column, summary_mode: Column) -> Column:
     return F.when(word_count(text) < least, "too_few_words")
 
 
-def off_title(title: Column, body: Column) -> Column:
-    """Too few of the title's longer words occur in the body."""
-    words = F.filter(F.split(F.lower(title), r"\W+"), lambda w: F.length(w) > 3)
-    found = F.filter(words, lambda w: F.contains(F.lower(body), w))
-    return F.when((F.size(words) > 0) & (F.size(found) / F.greatest(F.size(words), F.lit(1)) < LEAST_RELEVANCE), "title_not_in_body")
+def off_title(title: Column, body: Column, summary_mode: Column | None = None, least: float = LEAST_RELEVANCE) -> Column:
+    """Too few of the title's longer words, letters of any language, occur in the body; summaries and empty texts are not judged."""
+    words = F.filter(F.split(F.lower(F.coalesce(title, F.lit(""))), r"(?U)\W+"), lambda w: F.length(w) > 3)
+    low = F.lower(F.coalesce(body, F.lit("")))
+    found = F.filter(words, lambda w: F.contains(low, w))
+    judged = (F.size(words) > 0) & (low != "") & ~F.coalesce(summary_mode if summary_mode is not None else F.lit(False), F.lit(False))
+    return F.when(judged & (F.size(found) / F.greatest(F.size(words), F.lit(1)) < least), "title_not_in_body")
 
 
 def matches_any(text: Column, patterns: tuple[str, ...], reason: str) -> Column:
@@ -75,14 +77,21 @@ def injected(text: Column) -> Column:
     return F.when(~contains_any(F.lower(text), EXCUSES), matches_any(text, INJECTION, "prompt_injection"))
 
 
-def first_reason(title: Column, content: Column, summary_mode: Column) -> Column:
-    """The first broken rule of the chain, or null."""
+def first_reason(title: Column, content: Column, summary_mode: Column, summary: Column | None = None) -> Column:
+    """The first broken rule of the chain, or null. Words are counted in the content, or in the summary where there is none."""
+    summary = F.lit(None).cast("string") if summary is None else summary
+    text = F.coalesce(F.when(content != "", content), summary)
     return F.coalesce(
-        few_words(content, summary_mode), off_title(title, content), matches_any(title, TITLE_BLOCKS, "blocked_title"),
-        matches_any(F.substring(content, 1, 1000), NEWSLETTER, "newsletter"), injected(F.concat_ws("\n", title, content)),
+        few_words(text, summary_mode), off_title(title, content, summary_mode), matches_any(title, TITLE_BLOCKS, "blocked_title"),
+        matches_any(F.substring(content, 1, 1000), NEWSLETTER, "newsletter"), injected(F.concat_ws("\n", title, content, summary)),
     )
 
 
+def failure_text(rule: Column, reason: Column) -> Column:
+    """What is noted of a rejected article."""
+    return F.concat(F.lit("Validation failed: "), rule, F.lit(" - "), reason)
+
+
 def split_valid(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     """(rows without a reason, rejects with it)."""
     judged = df.withColumn("reason", reason)

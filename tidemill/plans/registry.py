@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import html as H
 from tidemill.functions import lexicons as L
 from tidemill.functions import text as T
-from tidemill.functions.urls import canonicalize_url
+from tidemill.functions import urls as U
 from tidemill.operators import analytics, catalogue, dedup, editorial, explain, folds, monitoring, ranking, scoring, validation
 from tidemill.plans.bindings import ARTICLES, articles, events, table
 
@@ -31,14 +32,42 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: ASCII white space, as a pattern of DuckDB.
+SPACES = r"[ \t\r\n\x0B\f]+"
+
+
+def sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+#: Folding of accents, around a column.
+ACCENTS_SQL = f"translate({{}}, '{T.ACCENTED}', '{T.PLAIN}')"
+
+
+def count_sql(column: str, words) -> str:
+    return " + ".join(f"CAST(contains({column}, {sql_text(w)}) AS INTEGER)" for w in words)
+
+
+def any_sql(column: str, words) -> str:
+    return "(" + " OR ".join(f"contains({column}, {sql_text(w)})" for w in words) + ")"
+
+
 def queries() -> dict[str, Query]:
+    load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(_SQL)
 
 
+def load() -> None:
+    """Import the modules that register their queries here."""
+    for name in ("scores", "ingest", "operations"):
+        importlib.import_module(f"tidemill.plans.{name}")
+
+
 # ---- projections, filters, predicates
 
 
@@ -174,11 +203,17 @@ def d3_simhash(spark, d):
     return dedup.simhash(articles(spark, d), "id", F.col("content"))
 
 
-@query(f"""WITH {SIMHASH}, p AS (SELECT id, simhash, ((simhash::HUGEINT + CASE WHEN simhash < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END) // 281474976710656)::INTEGER AS prefix FROM hashes)
-  SELECT a.id, b.id AS other, CAST(bit_count(xor(a.simhash, b.simhash)) AS INTEGER) AS distance, greatest(0.0::DOUBLE, 1 - bit_count(xor(a.simhash, b.simhash)) / 64.0::DOUBLE) AS confidence
+@query(f"""WITH {SIMHASH}, p AS (SELECT min(id) AS id, simhash, count(*) AS n, ((simhash::HUGEINT + CASE WHEN simhash < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END) // 281474976710656)::INTEGER AS prefix FROM hashes WHERE simhash <> 0 GROUP BY simhash)
+  SELECT least(a.id, b.id) AS id, greatest(a.id, b.id) AS other, CAST(bit_count(xor(a.simhash, b.simhash)) AS INTEGER) AS distance, greatest(0.0::DOUBLE, 1 - bit_count(xor(a.simhash, b.simhash)) / 64.0::DOUBLE) AS confidence
   FROM p a JOIN p b ON a.id < b.id AND abs(a.prefix - b.prefix) <= 1 WHERE bit_count(xor(a.simhash, b.simhash)) <= 10""")
 def j10_near_pairs(spark, d):
-    return dedup.near_pairs(dedup.simhash(articles(spark, d), "id", F.col("content")), "id")
+    hashes = dedup.simhash(articles(spark, d), "id", F.col("content"))
+    return dedup.near_pairs(dedup.hash_classes(hashes, "id"), "id")
+
+
+@query(f"WITH {SIMHASH} SELECT id, simhash, n FROM (SELECT min(id) AS id, simhash, count(*) AS n FROM hashes WHERE simhash <> 0 GROUP BY simhash)")
+def d4_hash_classes(spark, d):
+    return dedup.hash_classes(dedup.simhash(articles(spark, d), "id", F.col("content")), "id").select("id", "simhash", "n")
 
 
 @query("SELECT CAST(o_custkey AS BIGINT) AS k, count(*) AS n, count(c_custkey) AS known FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1")
@@ -190,22 +225,49 @@ def j12_baseline_delta(spark, d):
 # ---- identity and duplicates
 
 
+def _host_sql(host: str) -> str:
+    for start in U.HOST_STARTS:
+        host = f"CASE WHEN starts_with({host}, '{start}') AND contains(substr({host}, {len(start) + 1}), '.') THEN substr({host}, {len(start) + 1}) ELSE {host} END"
+    return host
+
+
+#: Plain URLs, as all of the driver's pages have; tests hold the exact form against examples.
+URL_SQL = rf"""parts AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS h, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS p, string_split(regexp_extract(url, '[?]([^#]*)', 1), '&') AS q FROM pages),
+pairs AS (SELECT page_id, h, p, list_filter(list_transform(q, lambda x: lower(split_part(x, '=', 1)) || '=' || regexp_extract(x, '=(.*)$', 1)),
+    lambda x: NOT starts_with(x, '=') AND NOT ends_with(x, '=') AND NOT starts_with(x, 'utm_') AND NOT starts_with(x, 'icid') AND split_part(x, '=', 1) NOT IN ({", ".join(f"'{k}'" for k in sorted(U.TRACKING))})) AS q FROM parts),
+urls AS (SELECT page_id, 'https://' || {_host_sql("h")} || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(list_distinct(q)), '&') ELSE '' END AS url FROM pairs)"""
+
+
 @query(r"SELECT sha256(trim(regexp_replace(coalesce(text, ''), '[ \t\r\n\x0B\f]+', ' ', 'g'))) AS content_hash, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1")
 def d2_exact_groups(spark, d):
     return dedup.exact_groups(table(spark, d, "documents"), "doc_id", F.col("text"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {URL_SQL}, rows AS (SELECT p.page_id AS id, u.url, sha256(trim(regexp_replace(p.html, '{SPACES}', ' ', 'g'))) AS digest FROM pages p JOIN urls u USING (page_id)),
+  ordered AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM rows),
+  step(k, kept, urls, digests) AS (SELECT 0::BIGINT, false, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) UNION ALL
+    SELECT o.k, NOT (list_contains(s.urls, o.url) OR list_contains(s.digests, o.digest)),
+      CASE WHEN list_contains(s.urls, o.url) OR list_contains(s.digests, o.digest) THEN s.urls ELSE list_append(s.urls, o.url) END,
+      CASE WHEN list_contains(s.urls, o.url) OR list_contains(s.digests, o.digest) THEN s.digests ELSE list_append(s.digests, o.digest) END
+    FROM step s JOIN ordered o ON o.k = s.k + 1)
+  SELECT o.id AS page_id FROM step s JOIN ordered o USING (k) WHERE s.kept""")
 def d6_first_in_batch(spark, d):
     pages = table(spark, d, "pages")
-    rows = pages.select("page_id", canonicalize_url("url").alias("url"), dedup.content_hash(F.col("html")).alias("digest"))
+    rows = pages.select("page_id", U.canonical_column(F.col("url")).alias("url"), dedup.content_hash(F.col("html")).alias("digest"))
     return dedup.first_in_batch(rows, "url", "digest", "page_id").select("page_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SIMHASH}, p AS (SELECT min(id) AS id, simhash, ((simhash::HUGEINT + CASE WHEN simhash < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END) // 281474976710656)::INTEGER AS prefix FROM hashes WHERE simhash <> 0 GROUP BY simhash),
+  e AS (SELECT a.id AS x, b.id AS y FROM p a JOIN p b ON a.id <> b.id AND abs(a.prefix - b.prefix) <= 1 WHERE bit_count(xor(a.simhash, b.simhash)) <= 10),
+  reach(x, y) AS (SELECT id, id FROM p UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x),
+  labels AS (SELECT x, min(y) AS label FROM reach GROUP BY x)
+  SELECT h.id, l.label FROM hashes h JOIN p ON h.simhash = p.simhash JOIN labels l ON l.x = p.id""")
 def d10_clusters(spark, d):
     hashes = dedup.simhash(articles(spark, d), "id", F.col("content"))
-    return dedup.clusters(hashes.select("id"), dedup.near_pairs(hashes, "id"))
+    classes = dedup.hash_classes(hashes, "id")
+    labels = dedup.clusters(classes, dedup.near_pairs(classes, "id"))
+    named = classes.select(F.col("id").alias("first"), "simhash").join(labels.withColumnRenamed("id", "first"), "first")
+    return hashes.join(named, "simhash").select("id", "label")
 
 
 @query(r"""WITH p AS (SELECT doc_id % 20 AS distance, CAST(doc_id % 20 < 9 AS INTEGER) AS label FROM documents), t AS (SELECT unnest(range(4, 17)) AS threshold),
@@ -329,7 +391,8 @@ def k2_ranked_feed(spark, d):
 
 @query()
 def k4_capped_rerank(spark, d):
-    return ranking.capped(articles(spark, d).where("score IS NOT NULL").select("id", "score", "source", F.col("language").alias("topic")), 50, 0.1, 0.4)
+    rows = articles(spark, d).where("score IS NOT NULL").select("id", "score", "source", F.array("language", F.concat(F.lit("r"), F.col("relevance").cast("string"))).alias("topics"))
+    return ranking.capped(rows, 50, 0.1, 0.4).withColumn("topics", F.array_join("topics", ","))
 
 
 @query(f"""WITH {ARTICLES}, r AS (SELECT source, relevance, id, row_number() OVER (PARTITION BY source ORDER BY coalesce(score, 0.0) DESC, id) AS i, row_number() OVER (PARTITION BY source ORDER BY relevance DESC, id) AS b FROM articles),
@@ -369,9 +432,9 @@ def u5_missing(spark, d):
 # ---- scalar functions
 
 
-@query()
+@query(f"WITH {URL_SQL} SELECT page_id, url FROM urls")
 def f1_canonical_urls(spark, d):
-    return table(spark, d, "pages").select("page_id", canonicalize_url("url").alias("url"))
+    return table(spark, d, "pages").select("page_id", U.canonical_column(F.col("url")).alias("url"))
 
 
 def _hits_sql(column: str, words: tuple[str, ...]) -> str:
@@ -452,17 +515,9 @@ def a12_score_bands(spark, d):
     return articles(spark, d).groupBy(scoring.band(F.col("score")).alias("band")).agg(F.count("*").alias("n"))
 
 
-def _count_sql(column: str, words) -> str:
-    return " + ".join(f"CAST(contains({column}, '{w}') AS INTEGER)" for w in words)
-
-
-def _any_sql(column: str, words) -> str:
-    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
-
-
 @query(f"""WITH {ARTICLES}, x AS (SELECT id, source, title, content, lower(concat_ws(' ', title, content, source)) AS t FROM articles)
-  SELECT id, round(4.0::DOUBLE * ({_count_sql("t", L.LATAM)}) + 2.5::DOUBLE * ({_count_sql("t", L.SCIENCE)}) - 3.5::DOUBLE * ({_count_sql("t", L.LOW_VALUE)}) + least(length(content) / 140.0::DOUBLE, 1.5) + least(length(title) / 80.0::DOUBLE, 0.5)
-    + CASE WHEN {_any_sql("t", ("study", "research", "scientists", "data"))} THEN 1 ELSE 0 END + CASE WHEN {_any_sql("t", L.TECH)} THEN 1.5 ELSE 0 END - CASE WHEN {_any_sql("t", ("partnership", "portal"))} THEN 1 ELSE 0 END, 9) AS score FROM x""")
+  SELECT id, round(4.0::DOUBLE * ({count_sql("t", L.LATAM)}) + 2.5::DOUBLE * ({count_sql("t", L.SCIENCE)}) - 3.5::DOUBLE * ({count_sql("t", L.LOW_VALUE)}) + least(length(content) / 140.0::DOUBLE, 1.5) + least(length(title) / 80.0::DOUBLE, 0.5)
+    + CASE WHEN {any_sql("t", ("study", "research", "scientists", "data"))} THEN 1 ELSE 0 END + CASE WHEN {any_sql("t", L.TECH)} THEN 1.5 ELSE 0 END - CASE WHEN {any_sql("t", ("partnership", "portal"))} THEN 1 ELSE 0 END, 9) AS score FROM x""")
 def c14_audience_score(spark, d):
     return articles(spark, d).select("id", F.round(scoring.audience_score(F.col("title"), F.col("content"), F.col("source")), 9).alias("score"))
 

@@ -70,3 +70,31 @@ def write_rejects(rejects: DataFrame, path: str) -> None:
 
 def write_export(articles: DataFrame, path: str, version: str = "2.0") -> None:
     articles.select(F.struct(F.lit(version).alias("version"), F.struct(*articles.columns).alias("article")).alias("e")).select("e.*").write.mode("overwrite").json(path)
+
+
+def database_url(config: dict) -> str:
+    """The JDBC address of a configured SQLite or PostgreSQL database, for spark.read.jdbc."""
+    if config.get("type", "sqlite") == "sqlite":
+        return f"jdbc:sqlite:{config.get('path', '')}"
+    if config["type"] != "postgresql":
+        raise ValueError(f"unknown database type {config['type']!r}")
+    port = f":{config['port']}" if config.get("port") else ""
+    return f"jdbc:postgresql://{config.get('host', 'localhost')}{port}/{config.get('name', '')}"
+
+
+def schema_issues(df: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """column, expected, found of each column that is missing or has another type, and of each that is not expected."""
+    found = {f.name: f.dataType.simpleString() for f in df.schema}
+    rows = [(c, expected.get(c), found.get(c)) for c in sorted({*expected, *found}) if expected.get(c) != found.get(c)]
+    return df.sparkSession.createDataFrame(rows, "column string, expected string, found string")
+
+
+def write_health(records: DataFrame, path: str) -> None:
+    """Health records of sources as JSON lines, one document for each source."""
+    records.write.mode("overwrite").json(path)
+
+
+def read_only_view(df: DataFrame, name: str) -> DataFrame:
+    """A view over a snapshot: queries see the files as they are, and nothing writes through it."""
+    df.createOrReplaceTempView(name)
+    return df.sparkSession.table(name)
