@@ -59,7 +59,8 @@ def chunks(docs: DataFrame) -> DataFrame:
     """doc, lines, first, last, chunk of each chunk that is not blank, and start and end: the first line of the two chunks
     before and the last of the two after. doc is the key of a document."""
     lined = docs.select("doc", "text").where("text IS NOT NULL").withColumn("lines", F.split("text", "\n")).where(F.size("lines") >= LEAST_LINES)
-    lined = lined.withColumn("rolled", rolled_hashes(F.transform("lines", line_hash))).withColumn("ends", chunk_ends(F.col("rolled")))
+    # a column each: an expression that a lambda looks into would be computed anew for each line
+    lined = lined.withColumn("hashes", F.transform("lines", line_hash)).withColumn("rolled", rolled_hashes(F.col("hashes"))).withColumn("ends", chunk_ends(F.col("rolled")))
     at = lambda k: F.coalesce(F.get(F.col("ends"), k), F.lit(-1)) + 1
     last = F.size("lines") - 1
     spans = F.transform(
