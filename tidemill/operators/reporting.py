@@ -164,3 +164,14 @@ def health_checks(checks: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("state") == s)
     out = checks.agg(n("pass").alias("passed"), n("warn").alias("warned"), n("fail").alias("failed"))
     return out.withColumn("status", F.when(F.col("failed") > 0, "unhealthy").when(F.col("warned") > 0, "degraded").otherwise("healthy"))
+
+
+def read_model(recent: DataFrame, performance: DataFrame, k: int = 5) -> DataFrame:
+    """One row: the recent articles, the mean score of all articles over the number of recent ones (the windows differ on
+    purpose, as dashboards show it), and the k best sources."""
+    total = recent.agg(F.count("*").alias("total_articles"))
+    whole = performance.agg(F.sum(F.col("avg_score") * F.col("article_count")).alias("points"))
+    best = performance.orderBy(F.desc("avg_score"), "source_id").limit(k)
+    top = best.agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("avg_score"), "source_id"))), lambda x: x["source_id"]).alias("top_sources"))
+    joined = total.crossJoin(whole).crossJoin(top)  # one row each
+    return joined.select("total_articles", F.coalesce(F.try_divide("points", "total_articles"), F.lit(0.0)).alias("avg_score_overall"), "top_sources")

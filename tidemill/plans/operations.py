@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.operators import catalogue, dedup, explain, monitoring, ranking, reporting, storing, validation
+from tidemill.operators import analytics, catalogue, categories, dedup, explain, monitoring, ranking, reporting, storing, validation
 from tidemill.plans.bindings import ARTICLES, articles, events, table
-from tidemill.plans.registry import SIMHASH, SPACES, query
+from tidemill.plans.registry import ACCENTS_SQL, SIMHASH, SPACES, query, sql_text
 
 # ---- identity, candidates, saving
 
@@ -283,3 +283,47 @@ def m3_catalogue_upsert(spark, d):
     rows = table(spark, d, "customer")
     stored = rows.where("c_custkey % 2 = 0").select("c_custkey", rate.alias("rate"))
     return catalogue.upsert(stored, rows.where("c_custkey % 3 = 0 OR c_custkey % 2 = 1").select("c_custkey", rate.alias("rate")), "c_custkey", ["rate"])
+
+
+RAW = ("Health", "opinion", "science", "", "Inteligencia Artificial", "no such thing", "Popular Science")
+OTHER = ("Space", "", "analysis", "Química")
+GUESSES = ("BIOLOGÍA", None, "EDITORIAL", "nonsense", "FÍSICA")
+
+
+def _mapped(key: str) -> str:
+    return "CASE " + " ".join(f"WHEN {key} IN ({', '.join(map(sql_text, names))}) THEN '{c}'" for c, names in categories.NAMES.items()) + " END"
+
+
+def _pick(values, step: int) -> str:
+    return f"CASE doc_id // {step} % {len(values)} " + " ".join(f"WHEN {i} THEN {sql_text(v) if v is not None else 'NULL'}" for i, v in enumerate(values)) + " END"
+
+
+def _key(text: str) -> str:
+    return rf"regexp_replace(regexp_replace(lower({ACCENTS_SQL.format(f'trim({text})')}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
+@query(f"""WITH g AS (SELECT doc_id, {_pick(RAW, 1)} AS raw, {_pick(OTHER, 7)} AS other, {_pick(GUESSES, 28)} AS guess, doc_id % 2 = 0 AS own FROM documents),
+  k AS (SELECT *, {_key("raw")} AS top, {_key("other")} AS meta FROM g),
+  s AS (SELECT *, CASE WHEN raw = '' OR (top IN ({", ".join(map(sql_text, categories.GENERIC_SOURCE))}) AND other <> '') THEN meta ELSE top END AS sel FROM k),
+  m AS (SELECT *, {_mapped("sel")} AS c_sel, {_mapped("top")} AS c_top, {_mapped("meta")} AS c_meta FROM s),
+  a AS (SELECT doc_id, sel, CASE WHEN c_sel <> 'EDITORIAL' OR own THEN c_sel END AS c_sel, CASE WHEN c_top <> 'EDITORIAL' OR own THEN c_top END AS c_top, CASE WHEN c_meta <> 'EDITORIAL' OR own THEN c_meta END AS c_meta,
+    CASE WHEN guess IN ({", ".join(map(sql_text, categories.LABELS))}) AND (guess <> 'EDITORIAL' OR own) THEN guess END AS guess FROM m),
+  r AS (SELECT doc_id, CASE WHEN sel NOT IN ({", ".join(map(sql_text, categories.GENERIC))}) THEN c_sel END AS direct, guess, c_sel, c_top, c_meta FROM a),
+  z AS (SELECT doc_id, coalesce(direct, guess, c_sel, c_top, c_meta, 'CIENCIA') AS c, CASE WHEN direct IS NOT NULL THEN 'direct_map' WHEN guess IS NOT NULL THEN 'classifier' ELSE 'fallback' END AS method FROM r)
+  SELECT doc_id, CASE c {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in categories.LABELS.items())} END AS category, method FROM z""")
+def v8_category_chain(spark, d):
+    def pick(values, step):
+        return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.floor(F.col("doc_id") / step) % len(values) + 1).cast("int"))
+
+    found = categories.resolve(pick(RAW, 1), pick(OTHER, 7), pick(GUESSES, 28), F.col("doc_id") % 2 == 0)
+    return table(spark, d, "documents").select("doc_id", found.alias("r")).select("doc_id", "r.category", "r.method")
+
+
+@query("""WITH p AS (SELECT d.source, count(*) AS article_count, avg(CAST(l.quality AS DOUBLE)) AS avg_score FROM documents d JOIN labels l USING (doc_id) GROUP BY 1), t AS (SELECT count(*) AS total FROM documents WHERE doc_id % 3 = 0)
+  SELECT (SELECT total FROM t) AS total_articles, round((SELECT sum(avg_score * article_count) FROM p) / (SELECT total FROM t), 9) AS avg_score_overall, array_to_string(list(source ORDER BY avg_score DESC, source), '|') AS top_sources
+  FROM (SELECT * FROM p ORDER BY avg_score DESC, source LIMIT 5)""")
+def a9_read_model(spark, d):
+    docs = table(spark, d, "documents")
+    per = analytics.source_performance(docs, table(spark, d, "labels"), "doc_id", "quality")
+    model = reporting.read_model(docs.where("doc_id % 3 = 0"), per)
+    return model.withColumn("avg_score_overall", F.round("avg_score_overall", 9)).withColumn("top_sources", F.array_join("top_sources", "|"))
