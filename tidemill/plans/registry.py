@@ -64,7 +64,7 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that register their queries here."""
-    for name in ("scores", "ingest", "operations"):
+    for name in ("scores", "ingest", "operations", "streams"):
         importlib.import_module(f"tidemill.plans.{name}")
 
 

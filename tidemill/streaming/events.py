@@ -8,9 +8,11 @@ from dataclasses import astuple
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemill.operators.folds import STATE, SourceState
+from tidemill.session import new_path
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -52,3 +54,18 @@ def fold_stream(events: DataFrame) -> DataFrame:
         yield pd.DataFrame([(key[0], *astuple(now))], columns=["user_id", *[x.split()[0] for x in STATE.split(", ")]])
 
     return events.groupBy("user_id").applyInPandasWithState(step, f"user_id long, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def settled(stream: DataFrame, mode: str, name: str) -> DataFrame:
+    """Run a stream over all input that is there and return its result, written to the shared folder.
+
+    A complete result is overwritten by each micro-batch, rows of an append or update result are added; the last state of
+    an update result is the newest batch's, so `batch` is kept with the rows.
+    """
+    spark, path, place = stream.sparkSession, new_path(stream.sparkSession, name), new_path(stream.sparkSession, f"{name}-offsets")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", place).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(path)
