@@ -283,22 +283,26 @@ def verify(members: DataFrame, depth: int, first: bool, threshold: float, k: int
                 missed = [float((1 / chance(found, d, trees) - 1).sum()) for d in range(1, DEPTH + 1)]
                 out.append((names[x], names[least[x]], int(weights[hit[x]].sum()), len(found), missed))
         columns = list(zip(*out)) or [()] * 5
-        kinds = (object, object, "int64", "int64", object)
+        kinds = ("int64", "int64", "int64", "int64", object)
         return pd.DataFrame({c: pd.Series(list(v), dtype=t) for c, v, t in zip(("a", "b", "links", "found", "missed"), columns, kinds)})
 
-    return dealt.groupBy("part", "i", "j").applyInPandas(compare, "a binary, b binary, links long, found long, missed array<double>")
+    return dealt.groupBy("part", "i", "j").applyInPandas(compare, "a long, b long, links long, found long, missed array<double>")
 
 
 def linked_classes(rows: DataFrame, threshold: float, k: int, trees: int) -> tuple[DataFrame, DataFrame]:
-    """row, doc_id, set of the numbered rows, and a, b, links for each class and group of partners that was verified."""
+    """row, doc_id, set, weight of the numbered rows, and a, b, links for each class and group of partners that was verified.
+
+    Classes are numbered by their first row from here on, in the column `set`.
+    """
     signatures = signed(rows, trees, k)
-    classes = cut(signatures.groupBy("set").agg(F.min("row").alias("row"), F.count("*").alias("weight"), F.any_value("signature").alias("signature")), "classes")
+    classes = signatures.groupBy("set").agg(F.min("row").alias("row"), F.count("*").alias("weight"), F.any_value("signature").alias("signature"))
+    classes = cut(classes.select(F.col("set").alias("digest"), F.col("row").alias("set"), "weight", "signature"), "classes")
     depth = first = depth_for(threshold, trees, recall=START)
     active, found = None, None
     while True:
         dealt = units(candidates(classes, depth, active))
         own = classes.withColumn("active", F.lit(True)) if active is None else classes.join(active.withColumn("active", F.lit(True)), "set", "left").na.fill(False, ["active"])
-        members = dealt.join(own, "set").join(rows.select("row", text_or_empty().alias("text")), "row").drop("row")
+        members = dealt.join(own.drop("digest"), "set").join(rows.select(F.col("row").alias("set"), text_or_empty().alias("text")), "set")
         links = cut(verify(cut(members, "members"), depth, depth == first, threshold, k, trees), "links")
         found = links if found is None else found.unionByName(links)
         if depth == 1:
@@ -309,18 +313,19 @@ def linked_classes(rows: DataFrame, threshold: float, k: int, trees: int) -> tup
         if not active.limit(1).count():
             break
         depth -= 1
-    return signatures.select("row", "doc_id", "set"), found.select("a", "b", "links")
+    numbered = signatures.select("row", "doc_id", F.col("set").alias("digest")).join(classes.select("digest", "set", "weight"), "digest")
+    return numbered.select("row", "doc_id", "set", "weight"), found.select("a", "b", "links")
 
 
 def named_classes(rows: DataFrame, threshold: float, k: int, trees: int) -> DataFrame:
     """row, doc_id, root (the least class that links lead to), n_links of each numbered row."""
-    signatures, found = linked_classes(rows, threshold, k, trees)
+    numbered, found = linked_classes(rows, threshold, k, trees)
     joined = components(found, "links")
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
-    weights = signatures.groupBy("set").agg(F.count("*").alias("weight"))
-    named = weights.join(joined, weights["set"] == joined["node"], "left").join(links, F.col("set") == F.col("a"), "left")
-    named = named.select("set", F.coalesce("root", "set").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    return cut(signatures.join(named, "set").select("row", "doc_id", "root", "n_links"), "near-classes")
+    linked = joined.join(links, F.col("node") == F.col("a")).select(F.col("node").alias("set"), "root", "links")
+    named = numbered.join(linked, "set", "left")
+    named = named.select("row", "doc_id", F.coalesce("root", "set").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    return cut(named, "near-classes")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, trees: int = TREES) -> DataFrame:
