@@ -62,8 +62,10 @@ def allot(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     as `row`, and rows of one doc_id and size then stand in the order of their texts' hashes.
     """
     own = [F.col(row).alias("row"), F.xxhash64("text").alias("mark")] if row else []
-    rows = docs.select(*own, "doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
-    rows = rows.withColumn("rank", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # rows without an id are ranked by their texts, so they do not meet in one bucket
+    name = F.when(F.col("doc_id").isNull(), F.concat(F.lit("text "), F.coalesce(F.xxhash64("text").cast("string"), F.lit("")))).alias("name")
+    rows = docs.select(*own, "doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), name)
+    rows = rows.withColumn("rank", F.md5(F.coalesce(F.col("doc_id").cast("string"), "name"))).drop("name")
     rows = rows.withColumn("bucket", F.pmod(F.conv(F.substring("rank", 1, 6), 16, 10).cast("int"), F.lit(buckets)))
     rows = cut(rows, "mix-sizes")  # texts are read once, for their sizes
     parts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
