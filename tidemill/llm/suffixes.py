@@ -12,11 +12,13 @@ of a string have it at the same place. So only the suffixes at anchors that occu
    splitters range-partition suffixes by their leading bytes, so those that share an anchor meet in one bucket or
    in neighbouring sorted runs of it; a bucket is sorted by multikey quicksort, and the lengths of prefixes (and of
    endings, before the anchor) that neighbours share say which strings occur earlier.
-4. An anchor with more than CROWD distinct surroundings would be one task's burden. Its strings are instead
-   dealt out one by one and grouped by their bytes, with map-side minima: more rows, but no large group.
+4. An anchor with more suffixes than an even bucket holds is cut by splitters, and its copies lie on both sides of
+   borders. It is compared across the borders, string by string: each string is dealt out by its bytes and grouped, with
+   map-side minima, so no task holds more than its share of the suffixes, however frequent one anchor is.
 
 Defined results: null texts are empty and have nothing to remove; where doc_ids repeat or are null, rows take numbers
-in the order of doc_id (nulls first) and text and count as documents of their own; other columns are ignored.
+in the order of doc_id (nulls first), a hash of the text, and the text, and count as documents of their own; other
+columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -35,8 +37,6 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import cut, new_folder, shuffle_partitions, text_or_empty
 
 LENGTH, ANCHOR = 100, 16
-#: Distinct surroundings of one anchor that one task compares.
-CROWD = 100_000
 #: Repeated anchors that are broadcast, 16 bytes each; more are joined by a shuffle.
 BROADCAST = 2_000_000
 #: Suffixes that are compared at a time, if no anchor has more.
@@ -101,7 +101,7 @@ def numbered(docs: DataFrame) -> DataFrame:
             n += b.num_rows
             yield pa.record_batch([pa.array([part] * b.num_rows, pa.int32()), places, *b.columns], names=["part", "place", "doc_id", "text"])
 
-    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     placed = cut(ordered.mapInArrow(count, "part int, place long, doc_id long, text string"), "numbered")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -261,8 +261,11 @@ def crowded(rows: DataFrame, length: int, k: int) -> DataFrame:
     return found.groupBy("anchor", "mark").agg(F.max("d").alias("reach_left"), F.max(length - F.col("d")).alias("reach_right"))
 
 
-def removed_spans(table: DataFrame, length: int = LENGTH, k: int = ANCHOR, crowd: int = CROWD) -> DataFrame:
-    """doc, spans: the covered (first, end) around anchors, overlapping, of documents that are no exact copies."""
+def removed_spans(table: DataFrame, length: int = LENGTH, k: int = ANCHOR, crowd: int | None = None) -> DataFrame:
+    """doc, spans: the covered (first, end) around anchors, overlapping, of documents that are no exact copies.
+
+    crowd is the number of suffixes of a bucket, if not given an even share of all for each shuffle partition.
+    """
     counted = anchor_rows(table, False, length, k).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     repeated = cut(counted, "anchors")
     if repeated.count() <= BROADCAST:
@@ -286,7 +289,8 @@ def removed_spans(table: DataFrame, length: int = LENGTH, k: int = ANCHOR, crowd
                 yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=["lead", "anchor", "doc", "at", "mark", "before", "after", "n"])
 
     suffixes = table.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(fetch, "lead binary, anchor long, doc long, at long, mark binary, before binary, after binary, n long")
-    largest = several.agg(F.max("n")).first()[0] or 0
+    largest, total = (x or 0 for x in several.agg(F.max("n"), F.sum("n")).first())
+    crowd = crowd or max(1, total // shuffle_partitions(table.sparkSession))
     few = suffixes.where(F.col("n") <= crowd) if largest > crowd else suffixes
     buckets = few.drop("n").repartitionByRange("lead").sortWithinPartitions("lead", "anchor", "doc", "at")
     reaches = buckets.mapInArrow(compare_bucket(length, k), "anchor long, mark binary, reach_left long, reach_right long")
@@ -313,7 +317,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, crowd: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the remaining text (bytes that are no UTF-8 are replaced)."""
     table = bucketed(docs)
     spans = removed_spans(table, length, ANCHOR, crowd)
