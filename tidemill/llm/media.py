@@ -28,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import cut, new_folder, text_or_empty
+from tidemill.llm.common import cut, new_folder, shuffle_partitions, text_or_empty
 
 UNIT = 64
 LEAST, MEAN_BITS, MOST = 256, 11, 16_384
 LEVEL = 3
 STORED_FOR_TASK = 400_000
+#: Payload bytes that a task reads back.
+READ_BACK = 32 << 20
 INDEX = "row long, doc_id long, n_bytes long, n_chunks int, seq int, digest binary, path string, at long, size long"
 READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
@@ -139,12 +141,17 @@ def store_media(docs: DataFrame, folder: str, text: str = "text", key: str = "do
 
 
 def chunk_lists(index: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the ordered chunks of each document, each chunk at the one place chosen for its digest."""
+    """doc_id, n_bytes and the ordered chunks of each document, each chunk at the one place chosen for its digest.
+
+    Lists are short and the payloads that they name are not, so they are dealt out by the bytes to be read back.
+    """
+    held = index.where("seq = 0").agg(F.sum("n_bytes")).first()[0] or 0
+    tasks = max(shuffle_partitions(index.sparkSession), -(-held // READ_BACK))
     # written, so that the join has a shuffle of its own on both sides and a digest that very many documents share is split
     chosen = cut(index.groupBy("digest").agg(F.min(F.struct("path", "at", "size")).alias("place")), "media-places")
     placed = index.select("row", "doc_id", "n_bytes", "seq", "digest").join(chosen, "digest")
     chunk = F.struct("seq", "digest", "place.path", "place.at", "place.size")
-    return placed.groupBy("row", "doc_id", "n_bytes").agg(F.sort_array(F.collect_list(chunk)).alias("chunks"))
+    return placed.repartition(tasks, "row").groupBy("row", "doc_id", "n_bytes").agg(F.sort_array(F.collect_list(chunk)).alias("chunks"))
 
 
 @functools.lru_cache(maxsize=64)
