@@ -436,7 +436,7 @@ def removed_by_brute_force(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("crowd", [suffixes.CROWD, 2])
+@pytest.mark.parametrize("crowd", [None, 2, 100_000])
 def test_suffix_dedup(spark, crowd):
     want = removed_by_brute_force(corpus())
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.drop_repeated_bytes(frame(spark), crowd=crowd).collect()}
@@ -483,6 +483,13 @@ def test_media_round_trip(spark):
     assert media.media_documents(frame(spark, [])).count() == 0
 
 
+def test_media_of_null_ids_and_repeated_rows(spark):
+    rows = [(None, "words " * 900, "en", "s", 1)] * 3 + [(4, "é" * 40, "en", "s", 1)] * 2 + [(None, None, "en", "s", 0)]
+    got = media.media_documents(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_bytes) for r in got) == Counter({(None, 5400): 3, (4, 80): 2, (None, 0): 1})
+    assert len({(r.payload_sha256, r.media_sha256, r.feature) for r in got}) == 3
+
+
 def test_chunks_survive_shifts():
     rng = random.Random(6)
     data = bytes(rng.randrange(256) for _ in range(60_000))
