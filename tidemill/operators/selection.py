@@ -29,7 +29,8 @@ def preselect(df: DataFrame, picked: DataFrame, score: str, key: str, at: str, k
 
 def prompt_size(title: Column, summary: Column, content: Column) -> Column:
     """The length of the text that stands for an article in a prompt."""
-    return F.length(F.concat(F.lit("Title: "), title, F.lit("\nSummary: "), summary, F.lit("\nContent: "), F.substring(F.coalesce(content, F.lit("")), 1, PROMPT_CONTENT)))
+    known = lambda c: F.coalesce(c, F.lit(""))
+    return F.length(F.concat(F.lit("Title: "), known(title), F.lit("\nSummary: "), known(summary), F.lit("\nContent: "), F.substring(known(content), 1, PROMPT_CONTENT)))
 
 
 def chunks(df: DataFrame, group: str, order: str, size: str, most_items: int, most_size: int) -> DataFrame:

@@ -389,7 +389,19 @@ def k2_ranked_feed(spark, d):
     return ranking.feed_page(rows, 50, key="doc_id").select("doc_id", "source", F.col("rank_score").alias("score"))
 
 
-@query()
+def capped_sql(rows: str, k: int, most_source: int, most_topic: int) -> str:
+    """The greedy capped list of rows (id, score, source, topics) whose scores differ, as one fold."""
+    item = "STRUCT(id BIGINT, score DOUBLE, source VARCHAR, topics VARCHAR[])"
+    return f"""ordered AS (SELECT list({{'id': id, 'score': score, 'source': source, 'topics': topics, 'taken': CAST([] AS {item}[])}} ORDER BY score DESC) AS l FROM ({rows})),
+  folded AS (SELECT list_reduce(list_prepend({{'id': -1::BIGINT, 'score': 0.0::DOUBLE, 'source': '', 'topics': CAST([] AS VARCHAR[]), 'taken': CAST([] AS {item}[])}}, l), lambda a, x: {{
+    'id': x.id, 'score': x.score, 'source': x.source, 'topics': x.topics, 'taken': CASE WHEN len(a.taken) < {k} AND len(list_filter(a.taken, lambda t: t.source = x.source)) < {most_source}
+      AND len(list_filter(x.topics, lambda p: len(list_filter(a.taken, lambda t: list_contains(t.topics, p))) >= {most_topic})) = 0
+      THEN list_append(a.taken, {{'id': x.id, 'score': x.score, 'source': x.source, 'topics': x.topics}}) ELSE a.taken END}}).taken AS taken FROM ordered),
+  chosen AS (SELECT unnest(taken) AS t, generate_subscripts(taken, 1) AS place FROM folded)"""
+
+
+@query(f"""WITH {ARTICLES}, {capped_sql("SELECT id, score, coalesce(source, 'unknown') AS source, list_sort([language, 'r' || relevance]) AS topics FROM articles WHERE score IS NOT NULL", 50, 5, 20)}
+  SELECT CAST(place AS INTEGER) AS place, t.score AS score, t.id AS id, t.source AS source, array_to_string(t.topics, ',') AS topics FROM chosen""")
 def k4_capped_rerank(spark, d):
     rows = articles(spark, d).where("score IS NOT NULL").select("id", "score", "source", F.array("language", F.concat(F.lit("r"), F.col("relevance").cast("string"))).alias("topics"))
     return ranking.capped(rows, 50, 0.1, 0.4).withColumn("topics", F.array_join("topics", ","))
@@ -533,7 +545,10 @@ def v1_word_rule(spark, d):
     return table(spark, d, "documents").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {ARTICLES}, w AS (SELECT *, len(regexp_extract_all(coalesce(content, ''), '[^ \\t\\r\\n\\x0B\\f]+')) AS n, list_filter(string_split_regex(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: length(x) > 3) AS words, title || chr(10) || content AS whole FROM articles)
+  SELECT id, CASE WHEN n < 50 THEN 'too_few_words' WHEN len(words) > 0 AND coalesce(content, '') <> '' AND len(list_filter(words, lambda x: contains(lower(content), x))) / len(words)::DOUBLE < 0.05 THEN 'title_not_in_body'
+    WHEN {" OR ".join(f"regexp_matches(title, {sql_text(p)})" for p in validation.TITLE_BLOCKS)} THEN 'blocked_title' WHEN {" OR ".join(f"regexp_matches(substr(content, 1, 1000), {sql_text(p)})" for p in validation.NEWSLETTER)} THEN 'newsletter'
+    WHEN NOT {any_sql("lower(whole)", validation.EXCUSES)} AND ({" OR ".join(f"regexp_matches(whole, {sql_text(p.replace('(?iu)', '(?i)'))})" for p in validation.INJECTION)}) THEN 'prompt_injection' ELSE 'valid' END AS reason FROM w""")
 def v6_rule_chain(spark, d):
     rows = articles(spark, d)
     reason = validation.first_reason(F.col("title"), F.col("content"), F.lit(False))
@@ -571,27 +586,45 @@ def m6_strategy(spark, d):
     return per.select("user_id", monitoring.strategy(*[F.col(c) for c in ("n", "http", "headless", "proxy", "gain")]).alias("strategy"))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, list({'k': event_type, 'v': value, 'a': 0::BIGINT, 's': 0::BIGINT, 'f': 0::BIGINT, 'r': 0::BIGINT, 't': 0::BIGINT, 'm': 0.0::DOUBLE} ORDER BY ts, event_id) AS l FROM events GROUP BY 1),
+  r AS (SELECT user_id, list_reduce(list_prepend({'k': '', 'v': 0.0::DOUBLE, 'a': 0::BIGINT, 's': 0::BIGINT, 'f': 0::BIGINT, 'r': 0::BIGINT, 't': 0::BIGINT, 'm': 0.0::DOUBLE}, l), lambda a, x: {
+    'k': x.k, 'v': x.v, 'a': CASE x.k WHEN 'click' THEN a.a + 1 WHEN 'purchase' THEN greatest(a.a, 1) ELSE a.a END, 's': a.s + CASE WHEN x.k = 'purchase' THEN 1 ELSE 0 END, 'f': a.f + CASE WHEN x.k = 'error' THEN 1 ELSE 0 END,
+    'r': CASE x.k WHEN 'purchase' THEN 0 WHEN 'error' THEN a.r + 1 ELSE a.r END, 't': a.t + CASE WHEN x.k = 'error' AND (a.r + 1) % 3 = 0 THEN 1 ELSE 0 END,
+    'm': CASE WHEN x.k = 'purchase' THEN (a.m * (greatest(a.a, 1) - 1) + coalesce(x.v, 0)) / greatest(a.a, 1) ELSE a.m END}) AS f FROM e)
+  SELECT user_id, f.a AS attempts, f.s AS successes, f.f AS failures, f.r AS in_a_row, f.t AS times_opened, round(f.m, 9) AS mean FROM r""")
 def a13_event_fold(spark, d):
     return folds.fold_events(events(spark, d)).withColumn("mean", F.round("mean", 9))
 
 
-@query()
+#: Text of pages, as far as regular expressions tell: hidden elements and comments out, tags to spaces, entities resolved.
+def _page_sql(hidden: tuple[str, ...]) -> str:
+    text = "html"
+    for name in hidden:
+        text = f"regexp_replace({text}, '(?is)<{name}[^>]*>.*?</{name}\\s*>', ' ', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        text = f"replace({text}, '{name}', '{sign}')"
+    return f"trim(regexp_replace({text}, '[\\s\\x{{00A0}}]+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_page_sql(('script', 'style', 'noscript'))} AS text FROM pages")
 def f3_clean_html(spark, d):
     return table(spark, d, "pages").select("page_id", H.clean_html(F.col("html")).alias("text"))
 
 
-@query()
+@query(f"SELECT page_id, {_page_sql(('script', 'style', 'noscript', 'nav', 'footer', 'header', 'aside', 'iframe', 'svg'))} AS text FROM pages")
 def f23_page_text(spark, d):
     return table(spark, d, "pages").select("page_id", H.page_text(F.col("html")).alias("text"))
 
 
-@query()
+@query(r"SELECT doc_id, trim(regexp_replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\s\x{00A0}]+', ' ', 'g')) AS text FROM documents")
 def f2_normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", H.normalize_text(F.col("text")).alias("text"))
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, {ACCENTS_SQL.format("lower(text)")} AS t FROM documents),
+  f AS (SELECT doc_id, t, list_sort(list_filter([{{'a': instr(t, 'the'), 'n': 'The'}}, {{'a': instr(t, 'que'), 'n': 'Que'}}, {{'a': instr(t, 'und'), 'n': 'Und'}}, {{'a': instr(t, 'les'), 'n': 'Les'}}], lambda x: x.a > 0)) AS l FROM d)
+  SELECT doc_id, CASE WHEN t IS NOT NULL THEN list_transform(l, lambda x: x.n) END AS entities FROM f""")
 def f7_entities(spark, d):
     return table(spark, d, "documents").select("doc_id", H.find_entities(F.col("text"), {"the": "The", "qué": "Que", "und": "Und", "les": "Les"}).alias("entities"))
 
@@ -604,7 +637,9 @@ def m4_latest_known(spark, d):
     return explain.latest_known(rows, "user_id", ["ts", "event_id"], ["purchase", "view"]).na.fill(-1.0)
 
 
-@query()
+@query(f"""WITH {SIMHASH}, p AS (SELECT id, simhash, ((simhash::HUGEINT + CASE WHEN simhash < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END) // 281474976710656)::INTEGER AS prefix FROM hashes)
+  SELECT b.id, a.id AS match, CAST(bit_count(xor(a.simhash, b.simhash)) AS INTEGER) AS distance FROM p a JOIN p b ON a.id < b.id AND abs(a.prefix - b.prefix) <= 1 WHERE bit_count(xor(a.simhash, b.simhash)) <= 10
+  QUALIFY row_number() OVER (PARTITION BY b.id ORDER BY bit_count(xor(a.simhash, b.simhash)), b.id - a.id, a.id DESC) = 1""")
 def d9_best_matches(spark, d):
     rows = articles(spark, d)
     pairs = dedup.near_pairs(dedup.simhash(rows, "id", F.col("content")), "id")
@@ -761,7 +796,9 @@ def a21_council_verdicts(spark, d):
     return editorial.council_verdicts(answers, scores, "o_orderkey", "said", "score")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, list({'v': coalesce(value, 0), 'n': 0::BIGINT, 'm': 0.0::DOUBLE} ORDER BY ts, event_id) AS l FROM events GROUP BY 1),
+  r AS (SELECT user_id, list_reduce(list_prepend({'v': 0.0::DOUBLE, 'n': 0::BIGINT, 'm': 0.0::DOUBLE}, l), lambda a, x: {'v': x.v, 'n': a.n + 1, 'm': CAST(printf('%.4f', a.m + (x.v - a.m) / (a.n + 1)) AS DOUBLE)}) AS f FROM e)
+  SELECT user_id, f.n AS n, f.m AS mean FROM r""")
 def a20_rolling_means(spark, d):
     return editorial.rolling_means(events(spark, d), "user_id", ["ts", "event_id"], "value")
 

@@ -9,7 +9,7 @@ from tidemill.functions import lexicons as L
 from tidemill.operators import basic_score as B
 from tidemill.operators import ranking, scoring, selection
 from tidemill.plans.bindings import ARTICLES, articles
-from tidemill.plans.registry import any_sql, count_sql, query
+from tidemill.plans.registry import any_sql, capped_sql, count_sql, query
 
 #: Articles with the fields of the basic score; content stands in for the summary, and ids decide the rest.
 SCORED = rf"""{ARTICLES}, scored AS (
@@ -189,7 +189,12 @@ def k7_preselection(spark, d):
     return selection.preselect(_audience(spark, d), twice, "score", "id", "at", 60)
 
 
-@query()
+@query(f"""WITH {ARTICLES}, a AS (SELECT source, id, length('Title: ' || coalesce(title, '') || chr(10) || 'Summary: ' || chr(10) || 'Content: ' || substr(coalesce(content, ''), 1, 800)) AS size FROM articles),
+  e AS (SELECT source, list({{'i': id, 's': size, 'c': 0::BIGINT, 'n': 0::BIGINT, 't': 0::BIGINT, 'done': CAST([] AS STRUCT(i BIGINT, c BIGINT)[])}} ORDER BY id) AS l FROM a GROUP BY 1),
+  r AS (SELECT source, list_reduce(list_prepend({{'i': -1::BIGINT, 's': 0::BIGINT, 'c': 0::BIGINT, 'n': 0::BIGINT, 't': 0::BIGINT, 'done': CAST([] AS STRUCT(i BIGINT, c BIGINT)[])}}, l), lambda b, x: {{'i': x.i, 's': x.s,
+    'c': b.c + CASE WHEN b.n > 0 AND (b.n >= 8 OR b.t + x.s > 4000) THEN 1 ELSE 0 END, 'n': CASE WHEN b.n > 0 AND (b.n >= 8 OR b.t + x.s > 4000) THEN 1 ELSE b.n + 1 END, 't': CASE WHEN b.n > 0 AND (b.n >= 8 OR b.t + x.s > 4000) THEN x.s ELSE b.t + x.s END,
+    'done': list_append(b.done, {{'i': x.i, 'c': b.c + CASE WHEN b.n > 0 AND (b.n >= 8 OR b.t + x.s > 4000) THEN 1 ELSE 0 END}})}}).done AS done FROM e), u AS (SELECT source, unnest(done) AS d FROM r)
+  SELECT source, d.i AS id, d.c AS chunk FROM u""")
 def w4_prompt_chunks(spark, d):
     rows = articles(spark, d).select("source", "id", selection.prompt_size(F.col("title"), F.lit(""), F.col("content")).alias("size"))
     return selection.chunks(rows, "source", "id", "size", 8, 4000)
@@ -208,7 +213,8 @@ def p10_published_projection(spark, d):
     return selection.published_view(rows.drop("content", "relevance"))
 
 
-@query()
+@query(f"""WITH {ARTICLES}, top AS (SELECT * FROM articles WHERE score >= 0.3 ORDER BY score DESC, id DESC LIMIT 200), {capped_sql("SELECT id, score, coalesce(source, 'unknown') AS source, [language] AS topics FROM top", 20, 5, 12)}
+  SELECT CAST(place AS INTEGER) AS place, t.score AS score, t.id AS id, t.source AS source FROM chosen""")
 def k6_top_articles(spark, d):
     rows = articles(spark, d).where("score IS NOT NULL").withColumn("topics", F.array("language"))
     top = ranking.top_k(rows.withColumn("published", F.col("id").cast("string")), 0.3, 200)
