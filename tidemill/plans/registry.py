@@ -534,7 +534,13 @@ def c14_audience_score(spark, d):
     return articles(spark, d).select("id", F.round(scoring.audience_score(F.col("title"), F.col("content"), F.col("source")), 9).alias("score"))
 
 
-@query()
+@query(rf"""WITH {ARTICLES}, x AS (SELECT id, coalesce(content, '') AS t, lower(coalesce(content, '')) AS low, list_filter(string_split(coalesce(content, ''), '.'), lambda s: length(trim(s)) > 10) AS sentences FROM articles),
+  n AS (SELECT *, len(regexp_extract_all(t, '[^ \t\r\n\x0B\f]+')) AS words, len(regexp_extract_all(t, '\b(19|20)\d{{2}}\b')) + len(regexp_extract_all(t, '\d+(\.\d+)?%')) + 2 * len(regexp_extract_all(t, '(?i)n\s*=|p\s*[<>=]|×10')) + len(regexp_extract_all(t, '\b\d{{2,}}\b')) AS points,
+    coalesce(list_sum(list_transform(sentences, lambda s: len(string_split_regex(trim(s), '\s+')))), 0) / greatest(1, len(sentences))::DOUBLE AS mean, {count_sql("low", T.WOW)} AS wow FROM x),
+  p AS (SELECT id, CASE WHEN words = 0 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, points / words::DOUBLE / 0.02::DOUBLE) END AS substance, 0.6::DOUBLE * least(1.0::DOUBLE, wow / 4.0::DOUBLE) + 0.4::DOUBLE * least(1.0::DOUBLE, length(t) / 2000.0::DOUBLE) AS narrative,
+    greatest(CASE WHEN {any_sql("low", L.LOW_VALUE)} THEN 0.0::DOUBLE WHEN {any_sql("low", L.LATAM)} THEN 1 ELSE 0 END, 0.5::DOUBLE * CASE WHEN mean BETWEEN 15 AND 25 THEN 1.0::DOUBLE ELSE 0.5 END) AS relevance,
+    0.5::DOUBLE + CASE WHEN contains(t, '"') OR contains(t, '“') THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN contains(t, '<p>') OR contains(t, chr(10) || chr(10)) THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN contains(t, 'http') THEN 0.1::DOUBLE ELSE 0 END AS credible FROM n)
+  SELECT id, CAST(printf('%.4f', greatest(0, least(1, 0.35::DOUBLE * substance + 0.30::DOUBLE * narrative + 0.20::DOUBLE * relevance + 0.15::DOUBLE * credible))) AS DOUBLE) AS score FROM p""")
 def c12_heuristic_quality(spark, d):
     return articles(spark, d).select("id", scoring.heuristic_quality(F.coalesce("content", F.lit(""))).alias("score"))
 
