@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import html
 from tidemill.functions.urls import canonical
-from tidemill.operators import dedup, editorial, explain, folds, monitoring, ranking, validation
+from tidemill.operators import dedup, editorial, explain, folds, monitoring, validation
 from tidemill.sources import readers
 from tidemill.streaming import events as streams
 

@@ -10,13 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions import enrich as E
-from tidemill.functions import html as H
-from tidemill.functions import text as T
 from tidemill.functions import topics as W
-from tidemill.functions import urls as U
-from tidemill.operators import catalogue, explain
-from tidemill.plans.bindings import ARTICLES, articles, events, table
-from tidemill.plans.registry import ACCENTS_SQL, URL_SQL, query, sql_text
+from tidemill.operators import catalogue
+from tidemill.plans.bindings import events, table
+from tidemill.plans.registry import ACCENTS_SQL, query, sql_text
 from tidemill.session import new_path
 from tidemill.sources import feeds, readers
 

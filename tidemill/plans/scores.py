@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import lexicons as L
 from tidemill.operators import basic_score as B
 from tidemill.operators import ranking, scoring, selection
-from tidemill.plans.bindings import ARTICLES, articles
+from tidemill.plans.bindings import ARTICLES, articles, table
 from tidemill.plans.registry import any_sql, capped_sql, count_sql, query
 
 #: Articles with the fields of the basic score; content stands in for the summary, and ids decide the rest.
@@ -223,15 +223,11 @@ def k6_top_articles(spark, d):
 
 @query("SELECT user_id, count(*) FILTER (event_type = 'error') AS failures, row_number() OVER (ORDER BY count(*) FILTER (event_type = 'error') DESC, user_id) AS place FROM events GROUP BY user_id QUALIFY place <= 50")
 def k8_failing_listing(spark, d):
-    from tidemill.plans.bindings import table
-
     per = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("failures"))
     return selection.ranked_candidates(per, "failures", "user_id", 50)
 
 
 @query("WITH cache AS (SELECT doc_id, quality * 0.5::DOUBLE AS score FROM labels) SELECT d.doc_id, coalesce(c.score, d.n_chars % 10 / 10.0::DOUBLE) AS score, c.score IS NOT NULL AS cached FROM documents d LEFT JOIN cache c USING (doc_id)")
 def j13_cached_scores(spark, d):
-    from tidemill.plans.bindings import table
-
     cache = table(spark, d, "labels").select("doc_id", (F.col("quality") * 0.5).alias("score"))
     return selection.with_cache(table(spark, d, "documents"), cache, "doc_id", "score", (F.col("n_chars") % 10) / 10.0).select("doc_id", "score", "cached")
