@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Failures in a row that open a circuit, hours until it is tried again, characters that are kept of an error.
+OPEN_AFTER, WAIT_H, MOST_MESSAGE = 3, 4, 500
+
 
 def outages(windows: DataFrame, baselines: DataFrame, on: list[str]) -> DataFrame:
     """Severity of each window against its baseline: failures first, then the share of expected rows."""
@@ -81,3 +84,22 @@ def operational_state(mode: Column, found: Column, saved: Column, ratio: Column)
         .when((saved > 0) & mode.isin("summary_only", "summary_fallback") & (ratio >= 0.5), "healthy_summary_only")
         .when((found > 0) | (saved > 0), "partial_yield_flaky").otherwise("failing_suppressed_candidate")
     )
+
+
+def circuit_states(events: DataFrame, key: str, order: list[str], failed: Column, succeeded: Column, message: Column, forced: Column | None = None) -> DataFrame:
+    """key, in_a_row, state, retry_at, last_error of each source: failures since its last success open the circuit.
+
+    A success resets it; from OPEN_AFTER failures in a row on it is in COOLDOWN, until WAIT_H hours after the last of them;
+    a forced cooldown counts as that many. Messages keep MOST_MESSAGE characters. The first of order is a time. Two
+    groupings with map-side sums: no task sees the events of a source in order.
+    """
+    at = F.struct(*order)
+    rows = events.select(key, at.alias("at"), failed.alias("failed"), succeeded.alias("succeeded"), F.substring(message, 1, MOST_MESSAGE).alias("message"), (forced if forced is not None else F.lit(False)).alias("forced"))
+    last = rows.where("succeeded").groupBy(key).agg(F.max("at").alias("reset"))
+    open_ = rows.join(last, key, "left").where(F.col("reset").isNull() | (F.col("at") > F.col("reset")))
+    bad = F.col("failed") | F.col("forced")
+    per = open_.groupBy(key).agg(F.count_if("failed").alias("in_a_row"), F.max("forced").alias("forced"), F.max(F.when(bad, F.col(f"at.{order[0]}"))).alias("since"), F.max_by("message", F.when(F.col("failed"), F.col("at"))).alias("last_error"))
+    every = rows.select(key).distinct().join(per, key, "left")
+    n = F.greatest(F.coalesce("in_a_row", F.lit(0)), F.when(F.coalesce("forced", F.lit(False)), OPEN_AFTER).otherwise(0))
+    state = F.when(n >= OPEN_AFTER, "COOLDOWN").otherwise("ACTIVE")
+    return every.select(key, n.cast("long").alias("in_a_row"), state.alias("state"), F.when(n >= OPEN_AFTER, F.col("since") + F.expr(f"INTERVAL {WAIT_H} HOURS")).alias("retry_at"), F.when(n > 0, F.col("last_error")).alias("last_error"))

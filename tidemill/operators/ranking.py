@@ -29,6 +29,14 @@ def oldest_page(df: DataFrame, time: str, key: str, after: tuple[object, int], s
     return df.where((F.col(time) > F.lit(t)) | ((F.col(time) == F.lit(t)) & (F.col(key) > k))).orderBy(time, key).limit(size)
 
 
+def keyset_page(df: DataFrame, time: str, key: str, after: tuple[object, int], size: int) -> DataFrame:
+    """A page of oldest_page with has_more: one row more is looked at, and not returned. The window sees a page."""
+    rows = oldest_page(df, time, key, after, size + 1)
+    w = Window.orderBy(time, key)
+    ranked = rows.withColumn("place", F.row_number().over(w)).withColumn("n", F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return ranked.where(F.col("place") <= size).withColumn("has_more", F.col("n") > size).drop("n")
+
+
 def latest(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     """The last row of each group; partial maxima are combined before the shuffle."""
     whole = F.struct(*[F.col(c) for c in order], F.struct(*df.columns).alias("row"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.text import fold_accents
 from tidemill.operators import analytics, catalogue, categories, dedup, explain, monitoring, ranking, reporting, storing, validation
 from tidemill.plans.bindings import ARTICLES, articles, events, table
 from tidemill.plans.registry import ACCENTS_SQL, SIMHASH, SPACES, query, sql_text
@@ -327,3 +330,24 @@ def a9_read_model(spark, d):
     per = analytics.source_performance(docs, table(spark, d, "labels"), "doc_id", "quality")
     model = reporting.read_model(docs.where("doc_id % 3 = 0"), per)
     return model.withColumn("avg_score_overall", F.round("avg_score_overall", 9)).withColumn("top_sources", F.array_join("top_sources", "|"))
+
+
+@query("""WITH l AS (SELECT user_id, max(struct_pack(t := ts, e := event_id)) FILTER (event_type = 'purchase') AS reset FROM events GROUP BY 1),
+  o AS (SELECT e.* FROM events e JOIN l USING (user_id) WHERE reset IS NULL OR struct_pack(t := ts, e := event_id) > reset),
+  p AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS n, max(ts) FILTER (event_type = 'error') AS since, arg_max(substr('failed with ' || props, 1, 500), struct_pack(t := ts, e := event_id)) FILTER (event_type = 'error') AS message FROM o GROUP BY 1)
+  SELECT l.user_id, coalesce(n, 0) AS in_a_row, CASE WHEN coalesce(n, 0) >= 3 THEN 'COOLDOWN' ELSE 'ACTIVE' END AS state, CASE WHEN n >= 3 THEN strftime(since + INTERVAL 4 HOUR, '%Y-%m-%d %H:%M:%S') END AS retry_at, CASE WHEN n > 0 THEN message END AS last_error FROM l LEFT JOIN p USING (user_id)""")
+def m1_circuit_states(spark, d):
+    rows, kind = events(spark, d), F.col("event_type")
+    found = monitoring.circuit_states(rows, "user_id", ["ts", "event_id"], kind == "error", kind == "purchase", F.concat(F.lit("failed with "), F.col("props")))
+    return found.withColumn("retry_at", F.date_format("retry_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place, count(*) OVER () AS n FROM orders WHERE o_orderdate > TIMESTAMP '1996-03-01' OR (o_orderdate = TIMESTAMP '1996-03-01' AND o_orderkey > 50))
+  SELECT o_orderkey, CAST(place AS INTEGER) AS place, n > 40 AS has_more FROM r WHERE place <= 40""")
+def k3_keyset_page(spark, d):
+    return ranking.keyset_page(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", (dt.datetime(1996, 3, 1), 50), 40).drop("o_orderdate")
+
+
+@query("SELECT doc_id, strip_accents(text) AS text FROM documents")
+def f5_folded_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", fold_accents(F.col("text")).alias("text"))
