@@ -120,14 +120,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     """The mix itself: the columns of docs, one row for each time that a document is taken, and the columns
     mix_epoch, mix_words (those taken of it, its first) and mix_position, range-sorted by position.
 
-    The text of a cut document ends after its last taken word. Rows are written with numbers of their own, so each has
-    its own takes where doc_ids repeat or are null.
+    The text of a cut document ends after its last taken word. Where doc_ids repeat or are null, rows are written with
+    numbers of their own, so each has its own takes; else the doc_id is the number, and texts are not written for it.
     """
     row = free_name(docs, "row")
-    docs = cut(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    unique = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count()
+    docs = docs.withColumn(row, F.col("doc_id")) if unique else cut(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
     given = allot(docs, weights, share, most, row=row).where("taken > 0")
-    takes = takes_placed(given, ["row"], schedule).select(F.col("row").alias(row), F.col("size").alias("_size"), "mix_epoch", "mix_words", "mix_position")
+    size = free_name(docs, "size")
+    takes = takes_placed(given, ["row"], schedule).select(F.col("row").alias(row), F.col("size").alias(size), "mix_epoch", "mix_words", "mix_position")
     joined = docs.join(takes, row)
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("mix_words") < F.col("_size"), F.array_join(F.slice(words, F.lit(1), F.col("mix_words").cast("int")), "")).otherwise(F.col("text"))
-    return joined.withColumn("text", text).drop(row, "_size").repartitionByRange("mix_position").sortWithinPartitions("mix_position")
+    text = F.when(F.col("mix_words") < F.col(size), F.array_join(F.slice(words, F.lit(1), F.col("mix_words").cast("int")), "")).otherwise(F.col("text"))
+    return joined.withColumn("text", text).drop(row, size).repartitionByRange("mix_position").sortWithinPartitions("mix_position")
