@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import cut, new_folder, shuffle_partitions, text_or_empty
 
 LENGTH, ANCHOR = 100, 16
+#: Suffixes of one anchor that any task can compare.
+TASK = 100_000
 #: Repeated anchors that are broadcast, 16 bytes each; more are joined by a shuffle.
 BROADCAST = 2_000_000
 #: Suffixes that are compared at a time, if no anchor has more.
@@ -264,7 +266,8 @@ def crowded(rows: DataFrame, length: int, k: int) -> DataFrame:
 def removed_spans(table: DataFrame, length: int = LENGTH, k: int = ANCHOR, crowd: int | None = None) -> DataFrame:
     """doc, spans: the covered (first, end) around anchors, overlapping, of documents that are no exact copies.
 
-    crowd is the number of suffixes of a bucket, if not given an even share of all for each shuffle partition.
+    crowd is the number of suffixes of a bucket, if not given an even share of all for each shuffle partition, and TASK
+    at least, which a task compares in bounded memory.
     """
     counted = anchor_rows(table, False, length, k).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     repeated = cut(counted, "anchors")
@@ -290,7 +293,7 @@ def removed_spans(table: DataFrame, length: int = LENGTH, k: int = ANCHOR, crowd
 
     suffixes = table.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(fetch, "lead binary, anchor long, doc long, at long, mark binary, before binary, after binary, n long")
     largest, total = (x or 0 for x in several.agg(F.max("n"), F.sum("n")).first())
-    crowd = crowd or max(1, total // shuffle_partitions(table.sparkSession))
+    crowd = crowd or max(TASK, total // shuffle_partitions(table.sparkSession))
     few = suffixes.where(F.col("n") <= crowd) if largest > crowd else suffixes
     buckets = few.drop("n").repartitionByRange("lead").sortWithinPartitions("lead", "anchor", "doc", "at")
     reaches = buckets.mapInArrow(compare_bucket(length, k), "anchor long, mark binary, reach_left long, reach_right long")
