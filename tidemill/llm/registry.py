@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import fingerprints, jaccard, line_dedup, media, mixing, packing, quality, secrets, suffixes, token_files
+from tidemill.llm import centroids, chat, divergence, fingerprints, jaccard, line_dedup, media, mixing, packing, quality, secrets, suffixes, token_files
 from tidemill.llm.common import documents, labels
 from tidemill.llm.tokens import BYTE_BPE
 
@@ -57,13 +57,29 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("first_position", F.round("first_position", 6))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_documents(chat.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     found = [op1_token_files, op2_line_dedup, op3_secret_scan, op4_quality_rules, op5_best_fit_packing, op6_suffix_dedup, op7_media_chunks, op8_order_minhash, op9_jaccard_join, op10_source_mixing]
+    found += [op11_centroid_clusters, op12_chat_examples, op13_source_divergence]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINES_SQL, "op10_source_mixing": MIXING_SQL}
+    return {
+        "op2_line_dedup": LINES_SQL, "op10_source_mixing": MIXING_SQL,
+        "op11_centroid_clusters": clusters_sql(), "op12_chat_examples": CHAT_SQL, "op13_source_divergence": DIVERGENCE_SQL,
+    }
 
 
 LINES_SQL = r"""
@@ -138,3 +154,81 @@ SELECT doc_id, size, source_size, target,
        END AS first_position
 FROM placed
 """
+
+
+def clusters_sql(rounds: int = 3) -> str:
+    """The assignments and means of each round written out, over components one by one."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""
+far{n} AS (SELECT p.r, c.c, CAST(sum((p.x - c.x) * (p.x - c.x)) AS BIGINT) AS d FROM points p JOIN centers{n} c ON p.i = c.i GROUP BY p.r, c.c),
+near{n} AS (SELECT r, c, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, c) AS k FROM far{n}) WHERE k = 1)""")
+        if n < rounds:
+            steps.append(f"""
+means{n} AS (SELECT n.c, p.i, CAST(sum(p.x) AS BIGINT) AS s, count(*) AS m FROM near{n} n JOIN points p ON p.r = n.r GROUP BY n.c, p.i),
+centers{n + 1} AS (
+  SELECT c.c, c.i, coalesce((m.s - ((m.s % m.m) + m.m) % m.m) // m.m, c.x) AS x FROM centers{n} c LEFT JOIN means{n} m ON m.c = c.c AND m.i = c.i)""")
+    return f"""
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ranked AS (SELECT *, row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) AS r FROM whole),
+points AS (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM ranked),
+centers0 AS (SELECT r - 1 AS c, i, x FROM points WHERE r <= 16),{",".join(steps)},
+digests AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM centers{rounds} GROUP BY c)
+SELECT w.vec_id, CAST(n.c AS INTEGER) AS cluster, n.d AS distance, CAST(sum(n.d) OVER (PARTITION BY n.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(n.d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM near{rounds} n JOIN ranked w ON w.r = n.r JOIN digests g ON g.c = n.c
+"""
+
+
+CHAT_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+         replace(replace(replace(text, '\', '\b'), '### ', '\h'), '</turn>', '\t') AS body,
+         replace(replace(replace(replace(role, '\', '\b'), '### ', '\h'), '</turn>', '\t'), ': ', '\c') AS speaker
+  FROM said),
+placed AS (SELECT *, sum(length('### ' || speaker || ': ' || body || '</turn>' || chr(10))) OVER (PARTITION BY conv_id ORDER BY i) AS until FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(until) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
+
+
+DIVERGENCE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+tokens AS (
+  SELECT d, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM docs),
+kept AS (SELECT lang, term FROM tokens GROUP BY lang, term HAVING count(DISTINCT d) >= 3),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS c FROM tokens SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+dense AS (
+  SELECT g.lang, g.source, k.term, CAST(coalesce(c.c, 0) AS HUGEINT) AS c
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+own AS (
+  SELECT d.*, 1 + (1000000000 * (c + 1)) // (sum(c) OVER (PARTITION BY d.lang, d.source) + s.v) AS p FROM dense d JOIN sizes s ON s.lang = d.lang),
+alls AS (SELECT lang, term, sum(c) AS c FROM dense GROUP BY lang, term),
+whole AS (SELECT a.lang, a.term, 1 + (1000000000 * (c + 1)) // (sum(c) OVER (PARTITION BY a.lang) + s.v) AS q FROM alls a JOIN sizes s ON s.lang = a.lang),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT o.lang, o.source, 'term' AS part, o.term AS item, CAST(((p - q) * (p - q)) // q AS BIGINT) AS value
+  FROM own o JOIN whole w ON w.lang = o.lang AND w.term = o.term WHERE o.c > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
