@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import WHITE, shuffle_partitions, text_or_empty
+from tidemill.llm.common import WHITE, free_name, shuffle_partitions, text_or_empty
 
 K, SKETCHES, TUPLE = 5, 32, 2
 PLACE = 30
@@ -42,32 +42,34 @@ def placed(hash_: Column, place: Column) -> Column:
 def fingerprint_of(df: DataFrame, text: Column, out: str, k: int = K, sketches: int = SKETCHES, size: int = TUPLE) -> DataFrame:
     """df with the column `out`, an array of `sketches` longs."""
     words = F.transform(F.filter(F.split(text, WHITE), lambda w: w != ""), lambda w: F.xxhash64(w))
-    df = df.withColumn("_words", words).withColumn("_kmers", kmer_hashes(F.col("_words"), k)).drop("_words")
+    # columns of the caller's keep their names; the text may be one of them
+    _words, _kmers, _pairs, _starts, _own, _ring, _all = (free_name(df, x) for x in ("words", "kmers", "pairs", "starts", "own", "ring", "all"))
+    df = df.withColumn(_words, words).withColumn(_kmers, kmer_hashes(F.col(_words), k)).drop(_words)
     # only a text with equal k-mers needs them sorted: they then stand together, by place, and the rank in the run counts
-    fresh = F.transform("_kmers", lambda x, i: placed(F.xxhash64(x, F.lit(0)), i))
-    pairs = F.sort_array(F.transform("_kmers", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    df = df.withColumn("_pairs", F.when(F.size(F.array_distinct("_kmers")) < F.size("_kmers"), pairs))
-    h = lambda i: F.get(F.col("_pairs"), i)["h"]
-    starts = F.filter(F.sequence(F.lit(0), F.size("_kmers") - 1), lambda i: (i == 0) | (h(i) != h(i - 1)))
-    df = df.withColumn("_starts", F.when(F.col("_pairs").isNotNull(), starts))
-    runs = F.transform("_starts", lambda s, j: F.sequence(F.lit(0), F.coalesce(F.get(F.col("_starts"), j + 1), F.size("_pairs")) - s - 1))
-    numbered = F.zip_with("_pairs", F.flatten(runs), lambda x, o: placed(F.xxhash64(x["h"], o), x["i"]))
-    own = F.when(F.col("_pairs").isNull(), fresh).otherwise(numbered)
+    fresh = F.transform(_kmers, lambda x, i: placed(F.xxhash64(x, F.lit(0)), i))
+    pairs = F.sort_array(F.transform(_kmers, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    df = df.withColumn(_pairs, F.when(F.size(F.array_distinct(_kmers)) < F.size(_kmers), pairs))
+    h = lambda i: F.get(F.col(_pairs), i)["h"]
+    starts = F.filter(F.sequence(F.lit(0), F.size(_kmers) - 1), lambda i: (i == 0) | (h(i) != h(i - 1)))
+    df = df.withColumn(_starts, F.when(F.col(_pairs).isNotNull(), starts))
+    runs = F.transform(_starts, lambda s, j: F.sequence(F.lit(0), F.coalesce(F.get(F.col(_starts), j + 1), F.size(_pairs)) - s - 1))
+    numbered = F.zip_with(_pairs, F.flatten(runs), lambda x, o: placed(F.xxhash64(x["h"], o), x["i"]))
+    own = F.when(F.col(_pairs).isNull(), fresh).otherwise(numbered)
     points = [((j << 64) // sketches) - (1 << 63) for j in range(sketches)]
     # the fixed points are sorted in; before point j stand j points, so its place among the hashes is known
     marks = F.array(*[F.lit(p) for p in points])
-    df = df.withColumn("_own", own).drop("_kmers", "_pairs", "_starts")
-    df = df.withColumn("_ring", F.sort_array("_own")).withColumn("_all", F.sort_array(F.concat("_own", marks))).drop("_own")
-    df = df.withColumn("_ring", F.concat("_ring", F.slice("_ring", 1, size)))
-    n = F.size("_ring") - F.least(F.size("_all") - sketches, F.lit(size))
+    df = df.withColumn(_own, own).drop(_kmers, _pairs, _starts)
+    df = df.withColumn(_ring, F.sort_array(_own)).withColumn(_all, F.sort_array(F.concat(_own, marks))).drop(_own)
+    df = df.withColumn(_ring, F.concat(_ring, F.slice(_ring, 1, size)))
+    n = F.size(_ring) - F.least(F.size(_all) - sketches, F.lit(size))
 
     def signature(p: Column, j: Column) -> Column:
-        at = F.array_position(F.col("_all"), p).cast("int") - 1 - j
-        taken = F.slice(F.col("_ring"), F.pmod(at, n) + 1, F.least(n, F.lit(size)))
+        at = F.array_position(F.col(_all), p).cast("int") - 1 - j
+        taken = F.slice(F.col(_ring), F.pmod(at, n) + 1, F.least(n, F.lit(size)))
         by_place = F.sort_array(F.transform(taken, lambda x: F.shiftleft(x, 64 - PLACE).bitwiseOR(F.shiftrightunsigned(x, PLACE))))
         return F.xxhash64(F.transform(by_place, lambda x: x.bitwiseAND(F.lit((1 << 64 - PLACE) - 1))))
 
-    return df.withColumn(out, F.transform(marks, signature)).drop("_ring", "_all")
+    return df.withColumn(out, F.transform(marks, signature)).drop(_ring, _all)
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -26,6 +26,8 @@ MOST = 2
 #: Weight at the start and at the end of training, relative to the mean, for each place in WEIGHTS.
 SCHEDULE = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 BUCKETS = 4096
+#: Columns of a mix; those of a mix that is mixed again are replaced.
+ADDED = ("mix_epoch", "mix_words", "mix_position")
 
 
 def size_of(text: Column) -> Column:
@@ -118,11 +120,13 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, schedule: tuple = SCHEDULE) -> DataFrame:
     """The mix itself: the columns of docs, one row for each time that a document is taken, and the columns
-    mix_epoch, mix_words (those taken of it, its first) and mix_position, range-sorted by position.
+    mix_epoch, mix_words (those taken of it, its first) and mix_position, range-sorted by position. Columns of docs with
+    these names are left out.
 
     The text of a cut document ends after its last taken word. Where doc_ids repeat or are null, rows are written with
     numbers of their own, so each has its own takes; else the doc_id is the number, and texts are not written for it.
     """
+    docs = docs.drop(*ADDED)
     row = free_name(docs, "row")
     unique = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count()
     docs = docs.withColumn(row, F.col("doc_id")) if unique else cut(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")

@@ -2,7 +2,9 @@
 
 Documents become pieces of at most `capacity` tokens, and pieces go to sequences. A full piece is a sequence of its own.
 The others, at most one a document, are dealt into groups of GROUP documents that follow each other in the input, so
-an order of training is kept from group to group and no key, however frequent, fills a group. Each group is packed on
+an order of training is kept from group to group and no key, however frequent, fills a group. The order is that in which
+the input was written: by file, and by row within it, since Spark reads files in an order of its own; an input that is
+not read from files directly has the order of its partitions. Each group is packed on
 its own, so the loss against one packing of all is below one sequence in a group. A group starts from best fit in
 decreasing size; then pieces are moved, exchanged one for one or two for one between underfull sequences, each step
 raising the sum of squared fills, so that free places gather and sequences empty, until the lower bound is met or no
@@ -20,8 +22,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import cut, text_or_empty
@@ -29,48 +31,55 @@ from tidemill.llm.tokens import encode_in_blocks
 
 CAPACITY = 1024
 GROUP = 4096
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pack long, place long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, file string, place long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def rows_before(docs: DataFrame) -> dict[int, int]:
-    """The rows in the partitions before each partition of docs: one number for each partition."""
-    sizes = docs.groupBy(F.spark_partition_id().alias("part")).count().collect()
-    before, total = {}, 0
-    for part, n in sorted((r["part"], r["count"]) for r in sizes):
-        before[part] = total
-        total += n
-    return before
+def with_place(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text, file and place: the file that a row stands in and its number there, or its partition and a null."""
+    columns = [F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text")]
+    try:
+        return docs.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    except AnalysisException:  # only a plain scan of files has these
+        return docs.select(*columns, F.spark_partition_id().cast("string").alias("file"), F.lit(None).cast("long").alias("place"))
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 2, group: int = GROUP, text: str = "text", key: str = "doc_id") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each piece; only a document longer than capacity is cut, and its first piece takes the remainder.
 
-    pack is the group of the document, place its number in the input. Both only choose where a piece is packed: were
-    partitions dealt otherwise when a lost task is run again, groups would be of other sizes and no piece would be lost.
+    file and place order the documents. They only choose where a piece is packed: were partitions of an input without files dealt
+    otherwise when a lost task is run again, groups would be of other sizes and no piece would be lost.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
-    rows = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"))
-    before = rows_before(rows)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = before.get(TaskContext.get().partitionId(), 0) - 1
+        seen = 0
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keys, texts, files, places = (batch.column(c).to_pylist() for c in ("key", "text", "file", "place"))
             for first, made in encode_in_blocks(tokenizer, texts):
                 rows = []
                 for i, ids in enumerate(made, first):
-                    place += 1
+                    place = seen if places[i] is None else places[i]
+                    seen += 1
                     ids = memoryview(ids + end)
                     n, at, k = len(ids) // 4, 0, 0
                     size = n % capacity or capacity
                     while at < n:
-                        rows.append((keys[i], k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), place // group, place))
+                        rows.append((keys[i], k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), files[i], place))
                         at, k, size = at + size, k + 1, capacity
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
                 yield pa.record_batch([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return rows.mapInArrow(split, PIECES)
+    return with_place(docs, key, text).mapInArrow(split, PIECES)
+
+
+def grouped(pieces: DataFrame, group: int = GROUP) -> DataFrame:
+    """The pieces with pack, the number of the group of `group` documents in a row that each is of. One window has a row for each file."""
+    files = pieces.groupBy("file").agg((F.max("place") + 1).alias("rows"))
+    # names of files end in the number of their partition, which grows longer
+    order = Window.orderBy(F.length("file"), "file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("file", F.coalesce(F.sum("rows").over(order), F.lit(0)).alias("base"))
+    return pieces.join(files, "file").withColumn("pack", F.floor((F.col("base") + F.col("place")) / group).cast("long"))
 
 
 class Bins:
@@ -215,15 +224,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     numbers. Those of the others grow with their group.
     """
     names = [x.split()[0] for x in PACKED.split(", ")]
-    pieces = token_pieces(docs, tokenizer, capacity, end_id, group)
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "place"], ascending=[False, True], kind="stable")
+        frame = frame.sort_values(["length", "file", "place"], ascending=[False, True, True], kind="stable")
         spots = np.array(pack(frame["length"].tolist(), capacity), dtype=np.int64).reshape(-1, 2)
         frame["sequence_id"] = (frame["pack"].to_numpy(dtype=np.int64) << 32) + spots[:, 0]
         frame["offset"] = spots[:, 1]
         return frame[names]
 
-    pieces = cut(pieces, "pieces")
+    pieces = cut(token_pieces(docs, tokenizer, capacity, end_id), "pieces")
     full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    return pieces.where(F.col("length") < capacity).groupBy("pack").applyInPandas(place, PACKED).unionByName(full.select(*names))
+    return grouped(pieces, group).where(F.col("length") < capacity).groupBy("pack").applyInPandas(place, PACKED).unionByName(full.select(*names))
