@@ -78,8 +78,9 @@ def chat_examples(conversations: DataFrame) -> DataFrame:
         )
 
     whole = pieces.select("conv_id", F.array_join("texts", "").alias("whole"), F.transform(chosen, example).alias("examples"))
+    # outer: there is always an example, and a plain explode would compute them once more to filter
     cut_out = F.substring(F.col("whole"), F.lit(1), F.col("e.end")).alias("text")
-    return whole.select("conv_id", "whole", F.explode("examples").alias("e")).select("conv_id", "e.example", "e.target", "e.last", cut_out, "e.loss_start", "e.loss_end")
+    return whole.select("conv_id", "whole", F.explode_outer("examples").alias("e")).select("conv_id", "e.example", "e.target", "e.last", cut_out, "e.loss_start", "e.loss_end")
 
 
 def turns_of(text: Column) -> Column:
