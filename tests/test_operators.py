@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import html
 from tidemill.functions.urls import canonical
-from tidemill.operators import dedup, editorial, explain, folds, monitoring, validation
+from tidemill.operators import dedup, editorial, explain, monitoring, validation
 from tidemill.sources import readers
-from tidemill.streaming import events as streams
 
 
 @pytest.mark.parametrize(
@@ -144,41 +143,6 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "rejects")).count() == 2
 
 
-@pytest.fixture()
-def event_folder(spark, tmp_path):
-    start = dt.datetime(2024, 1, 1)
-    kinds = ["click", "purchase", "error", "view"]
-    rows = [(i, start + dt.timedelta(minutes=20 * i), i % 5, kinds[i % 4], float(i), "{}") for i in range(400)]
-    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1)
-    folder = str(tmp_path / "events")
-    df.where("event_id < 200").coalesce(1).write.parquet(folder)
-    df.where("event_id >= 200").coalesce(1).write.mode("append").parquet(folder)
-    return folder
-
-
-def drained(df, name, mode):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    return df.sparkSession.table(name)
-
-
-def test_stream_fold_equals_batch_fold(spark, event_folder):
-    batch = {r.user_id: r.attempts for r in folds.fold_events(spark.read.parquet(event_folder).withColumn("ts", F.col("ts").cast("timestamp"))).collect()}
-    stream = drained(streams.fold_stream(streams.read_events(spark, event_folder, 10)), "fold_out", "update")
-    got = {r.user_id: r.attempts for r in stream.groupBy("user_id").agg(F.max("attempts").alias("attempts")).collect()}
-    assert got == batch
-
-
-def test_stream_windows(spark, event_folder):
-    got = drained(streams.tumbling(streams.read_events(spark, event_folder, 10)), "tumbling_out", "complete")
-    assert got.agg(F.sum("n")).first()[0] == 400
-    fresh = drained(streams.fresh(streams.read_events(spark, event_folder, 10)), "fresh_out", "append")
-    assert fresh.count() == 400
-
-
 def test_html():
     page = "<html><head><style>x</style></head><body><nav>Menu</nav><p>Caf&eacute; &amp; tea</p><p>Read more</p><script>1</script><p>End</p></body></html>"
     assert html.text_of(page) == "Menu Café & tea End"

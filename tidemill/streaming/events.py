@@ -1,25 +1,22 @@
-"""Structured Streaming forms over the events table: windows, deduplication and the per-key fold."""
+"""Structured Streaming forms over the events table: windows, deduplication, and replays of stored events in their order."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import astuple
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemill.operators.folds import STATE, SourceState
 from tidemill.session import new_path
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
-    """A file stream of events; event time is cast so that it can carry a watermark."""
-    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def read_events(spark: SparkSession, folder: str, files_per_trigger: int | None = 1) -> DataFrame:
+    """A file stream of events, some files a micro-batch or (None) all; event time is cast so that it can carry a watermark."""
+    reader = spark.readStream.schema(EVENTS)
+    raw = (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(folder)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -42,30 +39,45 @@ def fresh(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> Dat
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def fold_stream(events: DataFrame) -> DataFrame:
-    """The state of each user after each micro-batch; events of a batch are applied in order of time."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = SourceState(*state.get) if state.exists else SourceState()
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for kind, value in zip(rows["event_type"], rows["value"]):
-            now.apply(kind, None if pd.isna(value) else float(value))
-        state.update(astuple(now))
-        yield pd.DataFrame([(key[0], *astuple(now))], columns=["user_id", *[x.split()[0] for x in STATE.split(", ")]])
-
-    return events.groupBy("user_id").applyInPandasWithState(step, f"user_id long, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def settled(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a stream over all input that is there and return its result, written to the shared folder.
+def advance(stream: DataFrame, mode: str, path: str, place: str) -> int:
+    """Run a stream over all input that is there, from where the checkpoint in `place` stands, and write its result to `path`.
 
     A complete result is overwritten by each micro-batch, rows of an append or update result are added; the last state of
-    an update result is the newest batch's, so `batch` is kept with the rows.
+    an update result is the newest batch's, so `batch` is kept with the rows, and a batch that is run again replaces its own.
+    Returns how many rows came too late for the watermark.
     """
-    spark, path, place = stream.sparkSession, new_path(stream.sparkSession, name), new_path(stream.sparkSession, f"{name}-offsets")
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/n={batch}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", place).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(path)
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", place).trigger(availableNow=True).foreachBatch(write).start()
+    run.awaitTermination()
+    return sum(op["numRowsDroppedByWatermark"] for p in run.recentProgress for op in p["stateOperators"])
+
+
+def replayed(events: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str, name: str, steps: int = 4, last: DataFrame | None = None, files: int = 4) -> tuple[DataFrame, int]:
+    """The result of the stream build(source) over events in the order of their times, and the number of late rows.
+
+    A file source orders files by when they were written, not by what they hold, so events are cut into `steps` ranges of
+    time, and each is dropped and run before the next; within a range the watermark stands still, so its files, `files` or
+    more, may come in any order and no task has to hold a range. `last` is one more range.
+    """
+    spark, path, place, source = events.sparkSession, *(new_path(events.sparkSession, f"{name}{x}") for x in ("", "-offsets", "-source"))
+    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
+    bounds = sorted(set(events.select(seconds.alias("t")).approxQuantile("t", [i / steps for i in range(1, steps)], 0.01))) if steps > 1 else []
+    events.limit(0).write.parquet(source)
+    late, stream = 0, build(read_events(spark, source, None))
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    spark.createDataFrame([], schema).write.parquet(path if mode == "complete" else f"{path}/n=none")
+    ranges = [events.where((seconds > lo) & (seconds <= hi)) for lo, hi in zip([float("-inf"), *bounds], [*bounds, float("inf")], strict=True)]
+    for part in [*ranges, *([last] if last is not None else [])]:
+        part.repartition(files).write.mode("append").parquet(source)
+        late += advance(stream, mode, path, place)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path), late
+
+
+def one_event(events: DataFrame, days: int = 365) -> DataFrame:
+    """An event of user -1 that follows all others, so that the watermark passes them."""
+    end = (F.max("ts") + F.expr(f"INTERVAL {days} DAYS")).alias("ts")
+    named = {"event_id": F.lit(-1).cast("long"), "user_id": F.lit(-1).cast("long"), "event_type": F.lit("end"), "value": F.lit(0.0), "props": F.lit("{}")}
+    return events.agg(end).withColumns(named).select(*events.columns)
