@@ -150,37 +150,6 @@ def test_first_in_batch_against_a_loop(spark):
     assert dedup.first_in_batch(df.limit(0), "u", "d", "id").count() == 0
 
 
-def test_saved_batch_against_saving_one_by_one(spark):
-    rng = random.Random(5)
-    centres = [rng.getrandbits(64) for _ in range(4)]
-
-    def near():
-        h = rng.choice(centres)
-        for _ in range(rng.randint(0, 4)):
-            h ^= 1 << rng.randrange(48)
-        return h - (1 << 64) if h >> 63 else h
-
-    rows = [(i, f"u{i if i % 9 else 1}", f"h{i if i % 7 else 2}", near() if i % 5 else 0, i * 1000 % 777) for i in range(1, 70)]
-    old, new = [r for r in rows if r[0] < 20 and r[0] % 9 and r[0] % 7], [r for r in rows if r[0] >= 20]
-    bits = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
-    prefix = lambda h: (h & ((1 << 64) - 1)) >> 48
-    clusters, kept, confidence = {r[0]: r[0] for r in old}, list(old), {}
-    for r in new:
-        if r[1] in {k[1] for k in kept} or r[2] in {k[2] for k in kept}:
-            continue
-        hits = sorted((bits(r[3], k[3]), abs(r[4] - k[4]), -k[0]) for k in kept if r[3] and k[3] and abs(prefix(r[3]) - prefix(k[3])) <= 1 and bits(r[3], k[3]) <= 10)
-        kept.append(r)
-        clusters[r[0]] = r[0]
-        if hits:
-            merged = {clusters[-h[2]] for h in hits} | {r[0]}
-            clusters = {i: min(merged) if c in merged else c for i, c in clusters.items()}
-        confidence[r[0]] = 1 - hits[0][0] / 64 if hits else 0.0
-    schema = "id long, url string, content_hash string, simhash long, t long"
-    frame = lambda some: spark.createDataFrame(some, schema).withColumn("published", F.timestamp_seconds("t"))
-    got = storing.save_batch(frame(new), frame(old).withColumn("cluster_id", F.col("id"))).collect()
-    assert {r.id: (r.cluster_id, r.duplication_confidence) for r in got} == {i: (clusters[i], c) for i, c in confidence.items()}
-
-
 def test_persisted_scores(spark):
     articles = spark.createDataFrame([(1, 0.1, "a"), (2, None, "b")], "id long, score double, name string")
     log = spark.createDataFrame([(1, 0.1)], "id long, score double")

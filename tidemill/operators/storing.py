@@ -1,19 +1,23 @@
 """Saving a batch of articles: identity, duplicates within it and in the store, near duplicates, clusters, as one job.
 
 Rows of a batch have an order; what the sequential rule says of a row depends on the rows before it only, so every step is
-a join or a minimum over earlier rows, in the batch and in the store.
+a join, a minimum or a merge over earlier rows, in the batch and in the store. Batches that are saved one after the other give
+what one batch of all of them gives, but for one thing: duplicates within a batch are found before those of the store, so a row that
+is dropped for its stored url still claims its content_hash in its own batch.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.html import clean_html, normalize_text
 from tidemill.functions.urls import canonical_column
-from tidemill.operators.dedup import NEAR, clusters, confidence, first_in_batch, hamming, near_pairs, new_rows, simhash_of, written
+from tidemill.operators.dedup import NEAR, clusters, confidence, first_in_batch, hamming, new_rows, simhash_of, written
+from tidemill.operators.recent import recent_hits
 
 #: Candidates that a row is compared with.
 WINDOW = 500
@@ -59,32 +63,40 @@ def candidates(probes: DataFrame, stored: DataFrame, time: str, window: int = WI
     return near.unionByName(fallback).select("id", "other", hamming(F.col("simhash"), F.col("other_hash")).alias("distance"))
 
 
-def best_earlier(pairs: DataFrame, times: DataFrame, time: str) -> DataFrame:
-    """id, match, distance: the best of each row's candidates: the nearest, then the nearest in time, then the newest id."""
-    a, b = times.select("id", F.col(time).alias("t")), times.select(F.col("id").alias("other"), F.col(time).alias("u"))
-    apart = F.abs(F.unix_micros("t") - F.unix_micros("u"))
-    joined = pairs.join(a, "id").join(b, "other").withColumn("rank", F.struct("distance", F.coalesce(apart, F.lit((1 << 63) - 1)).alias("apart"), (-F.col("other")).alias("newest")))
-    best = joined.groupBy("id").agg(F.min("rank").alias("rank"))
-    return best.select("id", (-F.col("rank.newest")).alias("match"), F.col("rank.distance").alias("distance"))
+class Saved(NamedTuple):
+    """rows: what is saved, with cluster_id and duplication_confidence. moved: cluster_id and label, the clusters of the store that
+    have become part of another. raised: id and duplication_confidence of stored rows that are the best match of a saved one."""
 
+    rows: DataFrame
+    moved: DataFrame
+    raised: DataFrame
 
-def save_batch(batch: DataFrame, stored: DataFrame, order: str = "id", time: str = "published", most: int = NEAR) -> DataFrame:
-    """The rows of a batch that are saved, with cluster_id and duplication_confidence.
+
+def save_batch(batch: DataFrame, stored: DataFrame, order: str = "id", time: str = "published", collected: str | None = None, window: int = WINDOW, most: int = NEAR) -> Saved:
+    """A batch saved row by row into a store: what is added and what changes in it.
 
     batch and stored are prepared; stored has a cluster_id. Rows whose url or content_hash an earlier kept row of the
-    batch or the store has are dropped. The others join the cluster of the best near duplicate before them, which
-    merges all clusters that they are near to; a row without any starts a cluster, named by its id, with confidence 0.
+    batch or the store has are dropped. Each other row is compared with its candidates (see recent.py), joins the cluster of the
+    best and merges the clusters of all within `most` bits; a row without any starts a cluster, named by its id, with confidence 0.
+    A cluster that merges others is named by the least of their names. Being the best match raises a row's own confidence.
+
+    Only the clusters of rows that are hit are looked at, so labels cost what the batch's links cost and not the store.
     """
     fresh = first_in_batch(batch, "url", "content_hash", order)
     fresh = written(new_rows(new_rows(fresh, stored, "url"), stored, "content_hash"), "fresh")
-    every = fresh.select("id", "simhash", time).unionByName(stored.select("id", "simhash", time))
-    near = near_pairs(every.where("simhash <> 0"), "id", most).select(F.col("other").alias("id"), F.col("id").alias("other"), "distance")
-    near = written(near.join(fresh.select("id"), "id", "left_semi"), "near")
-    best = best_earlier(near, every, time)
-    edges = near.select("id", "other").union(stored.where("cluster_id IS NOT NULL").select("id", F.col("cluster_id").alias("other")))
-    labels = clusters(every.select("id").union(stored.where("cluster_id IS NOT NULL").select(F.col("cluster_id"))).distinct(), edges)
-    out = fresh.join(labels, "id").join(best.select("id", "distance"), "id", "left")
-    return out.withColumnRenamed("label", "cluster_id").withColumn("duplication_confidence", F.coalesce(confidence(F.col("distance")), F.lit(0.0))).drop("distance")
+    hits = written(recent_hits(fresh, stored, order, time, collected, window, most), "recent")
+    links = hits.select("id", F.explode("others").alias("other"))
+    # a row of the batch is a cluster of its own to begin with, a stored one has that of the store
+    known = stored.select(F.col("id").alias("other"), F.coalesce("cluster_id", "id").alias("cluster_id")).join(links.select("other").distinct(), "other", "left_semi")
+    edges = written(links.join(known, "other", "left").select("id", F.coalesce("cluster_id", "other").alias("other")).distinct(), "links")
+    nodes = edges.select("id").union(edges.select("other")).distinct()
+    labels = clusters(nodes, edges)
+    raised = hits.groupBy(F.col("best").alias("id")).agg(F.max(confidence(F.col("distance"))).alias("raised"))
+    own = fresh.join(hits.select("id", confidence(F.col("distance")).alias("own")), "id", "left").join(labels, "id", "left").join(raised, "id", "left")
+    rows = own.withColumn("cluster_id", F.coalesce("label", "id")).withColumn("duplication_confidence", F.greatest(F.coalesce("own", F.lit(0.0)), F.coalesce("raised", F.lit(0.0))))
+    moved = labels.join(known.select(F.col("cluster_id").alias("id")).distinct(), "id", "left_semi").where("id <> label").withColumnRenamed("id", "cluster_id")
+    older = raised.join(fresh.select("id"), "id", "left_anti").withColumnRenamed("raised", "duplication_confidence")
+    return Saved(rows.drop("label", "own", "raised"), moved, older)
 
 
 def leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
