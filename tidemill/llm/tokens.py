@@ -30,7 +30,7 @@ BARE = (START, "\n")
 OTHER_WHITE = re.compile(r"[^\S \n]")
 ASCII_WHITE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
-MAX_UNITS, MAX_PIECES = 500_000, 150_000
+MAX_UNITS, MAX_PIECES = 700_000, 150_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -135,7 +135,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_in_blocks(path: str, texts: list[str], most_chars: int = 2_000_000):
+def encode_in_blocks(path: str, texts: list[str], most_chars: int = 3_000_000):
     """Yield (index of first text, ids of each) for blocks of texts of bounded size."""
     enc, start, size = encoder(path), 0, 0
     for i, x in enumerate(texts):
