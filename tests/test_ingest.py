@@ -178,3 +178,19 @@ def test_leaders_against_a_loop(spark):
     nodes, edges = spark.range(60), spark.createDataFrame([(a, b, d) for (a, b), d in pairs.items()], "id long, other long, distance int")
     assert {r.id: r.leader for r in storing.leaders(nodes, edges).collect()} == leader
     assert storing.leaders(nodes.limit(0), edges.limit(0)).count() == 0
+
+
+def test_leaders_of_equal_hashes_against_a_loop(spark):
+    """A copy may follow a leader that came after the first of its class."""
+    rng = random.Random(2)
+    base = rng.getrandbits(63)
+    near = lambda n: base ^ sum(1 << k for k in rng.sample(range(48), n))
+    some = [near(rng.randint(0, 9)) for _ in range(25)]
+    rows = [(i, rng.choice(some)) for i in range(120)] + [(200, 0)]
+    led, want = [], {}
+    for i, h in rows[:-1]:
+        d, leader = min(((h ^ g).bit_count(), k) for k, g in led) if led else (99, 0)
+        want[i] = leader if d <= 10 else i
+        if d > 10:
+            led.append((i, h))
+    assert {r.id: r.leader for r in storing.leader_clusters(spark.createDataFrame(rows, "id long, simhash long")).collect()} == want

@@ -36,6 +36,8 @@ def made(seed, n, first=1, zero=True):
         else:
             for _ in range(rng.randint(0, 8)):
                 h ^= 1 << rng.randrange(50)
+            if kind > 0.9:
+                h ^= 1 << 63  # the sign of the stored number
         rows.append((i, f"u{i if i % 23 else 23}", f"h{i if i % 19 else 19}", signed(h), None if rng.random() < 0.1 else rng.randrange(5000)))
     return rows
 

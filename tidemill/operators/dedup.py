@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,6 @@ from tidemill.functions.text import collapse_space
 from tidemill.session import new_path
 
 BITS, NEAR = 64, 10
-WORDS = re.compile(r"[^ \t\r\n\x0B\f]+")
 
 
 def content_hash(text: Column) -> Column:
@@ -27,17 +26,40 @@ def exact_groups(df: DataFrame, key: str, text: Column) -> DataFrame:
     return df.groupBy(content_hash(text).alias("content_hash")).agg(F.min(key).alias("first_id"), F.count("*").alias("n"))
 
 
+class TokenBits:
+    """The low 64 bits of the MD5 of tokens, as rows of zeros and ones. Words repeat, so few are hashed twice; a full table is begun anew."""
+
+    def __init__(self, size: int = 1 << 17) -> None:
+        self.size, self.known, self.rows = size, {}, np.zeros((size, BITS), np.uint8)
+
+    def ones(self, tokens: list[bytes]) -> np.ndarray:
+        """How many of the tokens have each bit."""
+        total = np.zeros(BITS, np.int64)
+        for at in range(0, len(tokens), self.size):
+            some = tokens[at : at + self.size]
+            new = list(set(some).difference(self.known))
+            if len(self.known) + len(new) > self.size:
+                self.known, new = {}, list(set(some))
+            if new:
+                n = len(self.known)
+                low = b"".join([hashlib.md5(t).digest()[8:] for t in new])
+                self.rows[n : n + len(new)] = np.unpackbits(np.frombuffer(low, np.uint8).reshape(-1, 8), axis=1)
+                self.known.update(zip(new, range(n, n + len(new)), strict=True))
+            total += self.rows[list(map(self.known.__getitem__, some))].sum(axis=0, dtype=np.int64)
+        return total
+
+
 @F.pandas_udf(LongType())
-def _votes(texts: pd.Series) -> pd.Series:
-    """SimHashes of a batch: MD5 has no fast form as a number in the JVM, and 64 sums for each token fit a matrix well."""
-    out = np.zeros(len(texts), dtype=np.int64)
-    for i, text in enumerate(texts):
-        tokens = WORDS.findall(text)
-        if tokens:
-            low = b"".join([hashlib.md5(t.encode()).digest()[8:] for t in tokens])
-            ones = np.unpackbits(np.frombuffer(low, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-            out[i] = np.packbits(2 * ones >= len(tokens)).view(">i8")[0]
-    return pd.Series(out)
+def _votes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """SimHashes of texts: MD5 has no fast form as a number in the JVM, and 64 sums for each token fit a matrix well."""
+    bits = TokenBits()
+    for texts in batches:
+        out = np.zeros(len(texts), dtype=np.int64)
+        for i, text in enumerate(texts):
+            tokens = text.encode().split()  # bytes are parted by ASCII white space
+            if tokens:
+                out[i] = np.packbits(2 * bits.ones(tokens) >= len(tokens)).view(">i8")[0]
+        yield pd.Series(out)
 
 
 def simhash_of(text: Column) -> Column:

@@ -85,7 +85,8 @@ def searching(window: int, most: int) -> Callable[[Batches], Batches]:
                     held.clear()
                 label += 1
                 if role & QUERY:
-                    distance = np.bitwise_count(held.view("simhash") ^ np.int64(hash_)).astype(np.int64)
+                    # of signed numbers, numpy counts the bits of the absolute value
+                    distance = np.bitwise_count((held.view("simhash") ^ np.int64(hash_)).view(np.uint64)).astype(np.int64)
                     near = np.flatnonzero(distance <= most)
                     hits = []
                     if len(near):

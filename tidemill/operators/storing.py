@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.html import clean_html, normalize_text
 from tidemill.functions.urls import canonical_column
-from tidemill.operators.dedup import NEAR, clusters, confidence, first_in_batch, hamming, new_rows, simhash_of, written
+from tidemill.operators.dedup import NEAR, clusters, confidence, first_in_batch, hamming, hash_classes, near_pairs, new_rows, simhash_of, written
 from tidemill.operators.recent import recent_hits
 
 #: Candidates that a row is compared with.
@@ -99,13 +99,11 @@ def save_batch(batch: DataFrame, stored: DataFrame, order: str = "id", time: str
     return Saved(rows.drop("label", "own", "raised"), moved, older)
 
 
-def leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id, leader, distance: greedy clusters in the order of ids. A row without an earlier leader among its pairs leads.
+def leading(nodes: DataFrame, both: DataFrame) -> DataFrame:
+    """The ids of nodes that lead: those without an earlier leader among their pairs (early, late).
 
-    pairs has id < other and distance. In each round the undecided rows without an undecided or leading earlier neighbour
-    lead, and their neighbours follow; members are then given to the nearest leader before them (of equal ones the first).
+    In each round the undecided rows without an undecided or leading earlier neighbour lead, and their neighbours follow.
     """
-    both = written(pairs.select(F.col("id").alias("early"), F.col("other").alias("late"), "distance"), "leader-pairs")
     open_, led = written(nodes.select("id"), "leader-open"), None
     while open_.limit(1).count():
         waiting = both.join(open_.select(F.col("id").alias("early")), "early").select(F.col("late").alias("id")).distinct()
@@ -113,11 +111,38 @@ def leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         led = found if led is None else led.unionByName(found)
         followers = both.join(found.select(F.col("id").alias("early")), "early").select(F.col("late").alias("id")).distinct()
         open_ = written(open_.join(found, "id", "left_anti").join(followers, "id", "left_anti"), "leader-open")
-    led = led if led is not None else nodes.select("id").limit(0)
+    return led if led is not None else nodes.select("id").limit(0)
+
+
+def leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, leader, distance: greedy clusters in the order of ids. A row without an earlier leader among its pairs leads.
+
+    pairs has id < other and distance. Members are given to the nearest leader before them (of equal ones the first).
+    """
+    both = written(pairs.select(F.col("id").alias("early"), F.col("other").alias("late"), "distance"), "leader-pairs")
+    led = leading(nodes, both)
     near = both.join(led.select(F.col("id").alias("early")), "early").groupBy(F.col("late").alias("id")).agg(F.min(F.struct("distance", "early")).alias("best"))
     members = nodes.select("id").join(led, "id", "left_anti").join(near, "id").select("id", F.col("best.early").alias("leader"), F.col("best.distance").alias("distance"))
     return led.select("id", F.col("id").alias("leader"), F.lit(None).cast("int").alias("distance")).unionByName(members)
 
 
+def leader_clusters(hashes: DataFrame, most: int = NEAR) -> DataFrame:
+    """id, leader of each row of (id, simhash): greedy clusters in the order of ids, over the classes of equal hashes.
+
+    Only the first row of a class can lead. Its copies may follow a leader that came after it and before them, so each
+    row takes the nearest leader before itself among those near its class. Rows without words are left out.
+    """
+    rows = written(hashes.where("simhash <> 0").select("id", "simhash"), "leader-rows")
+    classes = written(hash_classes(rows, "id"), "leader-classes")
+    both = written(near_pairs(classes, "id", most).select(F.col("id").alias("early"), F.col("other").alias("late"), "distance"), "leader-pairs")
+    led = written(leading(classes, both), "leader-led")
+    ways = both.unionByName(both.select(F.col("late").alias("early"), F.col("early").alias("late"), "distance"))
+    near = ways.join(led.select(F.col("id").alias("early")), "early").select(F.col("late").alias("class"), F.col("early").alias("leader"), "distance")
+    near = near.unionByName(led.select(F.col("id").alias("class"), F.col("id").alias("leader"), F.lit(0).alias("distance")))
+    owned = rows.join(classes.select("simhash", F.col("id").alias("class")), "simhash").join(near, "class").where(F.col("leader") <= F.col("id"))
+    best = owned.groupBy("id").agg(F.min(F.struct("distance", "leader")).alias("best"))
+    return best.select("id", F.col("best.leader").alias("leader"))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -11,6 +11,8 @@ from tidemill.functions.text import fold_accents
 from tidemill.operators import analytics, catalogue, categories, dedup, explain, monitoring, ranking, reporting, storing, validation
 from tidemill.plans.bindings import ARTICLES, articles, events, table
 from tidemill.plans.registry import ACCENTS_SQL, SIMHASH, SPACES, query, sql_text
+from tidemill.session import new_path
+from tidemill.streaming.saving import ArticleStore, save_stream
 
 # ---- identity, candidates, saving
 
@@ -39,23 +41,69 @@ def d8_candidate_window(spark, d):
     return storing.candidates(hashes.where("id % 10 = 3"), hashes.where("id % 10 <> 3"), "t", window=40)
 
 
-@query()
-def d12_save_batch(spark, d):
+#: Documents saved in order: of equal texts the first, each compared with the 500 latest before it of its own prefix, then of the two
+#: beside it, or of all if there is none.
+SAVED_SQL = f"""WITH RECURSIVE {SIMHASH}, kept AS (SELECT min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)),
+  r AS (SELECT id, coalesce(simhash, 0) AS simhash, CASE WHEN simhash IS NOT NULL THEN {UNSIGNED} END AS prefix FROM kept LEFT JOIN hashes USING (id)),
+  seen AS (SELECT a.id, b.id AS other, bit_count(xor(a.simhash, b.simhash)) AS d, CASE a.prefix - b.prefix WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS off
+    FROM r a JOIN r b ON b.id < a.id AND abs(a.prefix - b.prefix) <= 1 WHERE a.simhash <> 0 AND b.simhash <> 0 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY off, b.id DESC) <= 500),
+  ranked AS (SELECT id, simhash, row_number() OVER (ORDER BY id) AS k FROM r WHERE simhash <> 0),
+  lone AS (SELECT a.id, b.id AS other, bit_count(xor(a.simhash, b.simhash)) AS d FROM ranked a JOIN ranked b ON b.k < a.k AND b.k >= a.k - 500 WHERE a.id NOT IN (SELECT id FROM seen)),
+  hits AS (SELECT id, other, d FROM seen WHERE d <= 10 UNION ALL SELECT id, other, d FROM lone WHERE d <= 10),
+  best AS (SELECT id, other, 1 - d / 64.0::DOUBLE AS c FROM hits QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, id - other, other DESC) = 1),
+  e AS (SELECT id AS x, other AS y FROM hits UNION ALL SELECT other, id FROM hits),
+  reach(x, y) AS (SELECT DISTINCT x, x FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+  labels AS (SELECT x AS id, min(y) AS label FROM reach GROUP BY x)
+  SELECT k.id, coalesce(l.label, k.id) AS cluster_id, round(greatest(coalesce(b.c, 0), coalesce(u.c, 0)), 6) AS duplication_confidence
+  FROM kept k LEFT JOIN labels l USING (id) LEFT JOIN best b USING (id) LEFT JOIN (SELECT other AS id, max(c) AS c FROM best GROUP BY 1) u USING (id)"""
+
+
+def documents_to_save(spark, d) -> DataFrame:
+    """Documents with the identity that saving goes by; equal texts have equal urls. One pass over the texts."""
     docs = table(spark, d, "documents").where("text IS NOT NULL")
-    rows = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("https://example.com/"), (F.col("doc_id") % 5000).cast("string")).alias("url"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("summary"), F.timestamp_seconds(F.col("doc_id") * 3600).alias("published"))
-    made = dedup.written(storing.prepared(rows), "prepared")
-    old = made.where("id % 3 = 0")
-    classes = dedup.hash_classes(old, "id")
-    labels = dedup.clusters(classes, dedup.near_pairs(classes, "id")).withColumnRenamed("label", "cluster_id")
-    stored = old.join(classes.select("simhash", F.col("id").alias("first")), "simhash", "left").join(labels.withColumnRenamed("id", "first"), "first", "left").withColumn("cluster_id", F.coalesce("cluster_id", "id"))
-    saved = storing.save_batch(made.where("id % 3 <> 0"), dedup.written(stored.select("id", "url", "content_hash", "simhash", "published", "cluster_id"), "stored"))
-    return saved.select("id", "cluster_id", F.round("duplication_confidence", 6).alias("duplication_confidence"))
+    digest, hour = F.sha2("text", 256), F.timestamp_seconds(F.col("doc_id") * 3600)
+    rows = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("https://example.com/"), digest).alias("url"), digest.alias("content_hash"), dedup.simhash_of(F.col("text")).alias("simhash"), hour.alias("published"), hour.alias("collected"))
+    return dedup.written(rows, "prepared")
 
 
-@query()
+@query(SAVED_SQL)
+def d12_save_batch(spark, d):
+    """The second half of the documents saved into a store of the first, with what that changes in the store."""
+    made = documents_to_save(spark, d)
+    half = made.agg(F.expr("percentile(id, 0.5)")).first()[0] or 0
+    none = made.limit(0).withColumn("cluster_id", F.col("id"))
+    first = storing.save_batch(made.where(F.col("id") < half), none, collected="collected").rows
+    stored = dedup.written(first, "stored")
+    saved = storing.save_batch(made.where(F.col("id") >= half), stored, collected="collected")
+    raised = saved.raised.withColumnRenamed("duplication_confidence", "raised")
+    old = stored.join(saved.moved, "cluster_id", "left").join(raised, "id", "left")
+    old = old.select("id", F.coalesce("label", "cluster_id").alias("cluster_id"), F.greatest("duplication_confidence", F.coalesce("raised", F.lit(0.0))).alias("duplication_confidence"))
+    every = saved.rows.select(*old.columns).unionByName(old)
+    return every.withColumn("duplication_confidence", F.round("duplication_confidence", 6))
+
+
+@query(SAVED_SQL)
+def d12_save_stream(spark, d):
+    """All documents saved from a stream, three micro-batches in the order of ids."""
+    made = documents_to_save(spark, d)
+    source, place = new_path(spark, "articles"), new_path(spark, "articles-offsets")
+    made.limit(0).write.parquet(source)
+    store = ArticleStore(spark, new_path(spark, "store")).create()
+    bounds = made.agg(F.expr("percentile(id, array(1/3, 2/3))")).first()[0] or [0, 0]
+    for part in (F.col("id") < bounds[0], F.col("id").between(bounds[0], bounds[1]) & (F.col("id") < bounds[1]), F.col("id") >= bounds[1]):
+        made.where(part).write.mode("append").parquet(source)
+        save_stream(spark.readStream.schema(made.schema).parquet(source), store, place)
+    return store.read().select("id", "cluster_id", F.round("duplication_confidence", 6).alias("duplication_confidence"))
+
+
+@query(f"""WITH RECURSIVE {SIMHASH}, o AS MATERIALIZED (SELECT id, simhash AS h, {UNSIGNED} AS p, row_number() OVER (ORDER BY id) AS k FROM hashes WHERE simhash <> 0),
+  step(k, id, leader, led) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, CAST([] AS STRUCT(i BIGINT, h BIGINT, p INTEGER)[]) UNION ALL
+    SELECT k, id, coalesce(near.i, id), CASE WHEN near IS NULL THEN list_append(led, {{'i': id, 'h': h, 'p': p}}) ELSE led END
+    FROM (SELECT o.k, o.id, o.h, o.p, s.led, list_sort(list_transform(list_filter(s.led, lambda x: abs(x.p - o.p) <= 1 AND bit_count(xor(x.h, o.h)) <= 10), lambda x: {{'d': bit_count(xor(x.h, o.h)), 'i': x.i}}))[1] AS near
+      FROM step s JOIN o ON o.k = s.k + 1))
+  SELECT id, leader FROM step WHERE k > 0""")
 def d13_leader_clusters(spark, d):
-    hashes = dedup.simhash(articles(spark, d), "id", F.col("content")).where("simhash <> 0")
-    return storing.leaders(hashes.select("id"), dedup.near_pairs(hashes, "id")).select("id", "leader")
+    return storing.leader_clusters(dedup.simhash(articles(spark, d), "id", F.col("content")))
 
 
 @query(f"""WITH {SIMHASH}, c AS (SELECT id, simhash, id % 50 AS cluster FROM hashes), a AS (SELECT cluster, arg_min(simhash, id) AS anchor FROM c GROUP BY 1)

@@ -208,7 +208,7 @@ def d3_simhash(spark, d):
   FROM p a JOIN p b ON a.id < b.id AND abs(a.prefix - b.prefix) <= 1 WHERE bit_count(xor(a.simhash, b.simhash)) <= 10""")
 def j10_near_pairs(spark, d):
     hashes = dedup.simhash(articles(spark, d), "id", F.col("content"))
-    return dedup.near_pairs(dedup.hash_classes(hashes, "id"), "id")
+    return dedup.near_pairs(dedup.written(dedup.hash_classes(hashes, "id"), "classes"), "id")
 
 
 @query(f"WITH {SIMHASH} SELECT id, simhash, n FROM (SELECT min(id) AS id, simhash, count(*) AS n FROM hashes WHERE simhash <> 0 GROUP BY simhash)")
@@ -263,8 +263,8 @@ def d6_first_in_batch(spark, d):
   labels AS (SELECT x, min(y) AS label FROM reach GROUP BY x)
   SELECT h.id, l.label FROM hashes h JOIN p ON h.simhash = p.simhash JOIN labels l ON l.x = p.id""")
 def d10_clusters(spark, d):
-    hashes = dedup.simhash(articles(spark, d), "id", F.col("content"))
-    classes = dedup.hash_classes(hashes, "id")
+    hashes = dedup.written(dedup.simhash(articles(spark, d), "id", F.col("content")), "hashes")
+    classes = dedup.written(dedup.hash_classes(hashes, "id"), "classes")
     labels = dedup.clusters(classes, dedup.near_pairs(classes, "id"))
     named = classes.select(F.col("id").alias("first"), "simhash").join(labels.withColumnRenamed("id", "first"), "first")
     return hashes.join(named, "simhash").select("id", "label")
@@ -648,7 +648,7 @@ def m4_latest_known(spark, d):
   QUALIFY row_number() OVER (PARTITION BY b.id ORDER BY bit_count(xor(a.simhash, b.simhash)), b.id - a.id, a.id DESC) = 1""")
 def d9_best_matches(spark, d):
     rows = articles(spark, d)
-    pairs = dedup.near_pairs(dedup.simhash(rows, "id", F.col("content")), "id")
+    pairs = dedup.near_pairs(dedup.written(dedup.simhash(rows, "id", F.col("content")), "hashes"), "id")
     times = rows.select("id", F.timestamp_seconds(F.col("id") * 60).alias("t"))
     return explain.best_matches(pairs, times, "id", "t")
 
