@@ -58,8 +58,8 @@ def test_listed_articles(spark):
     broken = '<script type="application/ld+json">{"@type":"ItemList", oops</script>'
     boxes = "<article><h2>Head <i>one</i></h2><a class='c' href='/one'>text</a></article><article><a href=\"two\">Only link</a></article><article><h2>No link</h2></article>"
     df = spark.createDataFrame([(1, ld + boxes), (2, broken + boxes), (3, None)], "id int, html string")
-    got = [(r.id, r.title, r.url) for r in feeds.listed_articles(df, "html", F.lit("https://e.com/blog/")).orderBy("id", "place").collect()]
-    assert got == [(1, "H", "https://e.com/x"), (1, "N", "http://o.com/y"), (2, "Head one", "https://e.com/one"), (2, "Only link", "https://e.com/two")]
+    got = feeds.listed_articles(df.withColumn("base", F.lit("https://e.com/blog/")), "html", "base", "id").orderBy("id", "place").collect()
+    assert [(r.id, r.title, r.url) for r in got] == [(1, "H", "https://e.com/x"), (1, "N", "http://o.com/y"), (2, "Headone", "https://e.com/one"), (2, "Only link", "https://e.com/blog/two")]
 
 
 def test_stamps(spark):

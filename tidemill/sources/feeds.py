@@ -5,10 +5,17 @@ Fetching is not Spark's work: raw documents are landed, and these operators gate
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemill.functions.feed_xml import FeedReader
 from tidemill.functions.urls import canonical_column
+from tidemill.operators.dedup import written
+from tidemill.sources.nodes import first_inside, node_table, selected, texts_inside
 from tidemill.sources.readers import LEAST_TITLE, MOST_ENTRIES
 
 #: Types of pages that list articles, groups of the catalogue, names that are no author.
@@ -20,64 +27,85 @@ COLLECTORS = ("rss", "html", "reddit", "headless")
 BROKEN_BUT_READ = ("InvalidDocument", "UndeclaredNamespace", "SAXParseException")
 DOI = r"(?i)10\.\d{4,}/[-._;()/:\w\[\]]+[^.\s]"
 
+#: Raw fields of an item, as the parser finds them.
+FOUND = pa.schema([
+    ("place", pa.int32()), ("title_text", pa.string()), ("link_text", pa.string()), ("texts", pa.list_(pa.string())), ("names", pa.list_(pa.string())), ("tags", pa.list_(pa.string())),
+    ("image_url", pa.string()), ("entry_id", pa.string()), ("stamp", pa.string()), ("feed_title", pa.string()), ("error", pa.string()),
+])
+FOUND_DDL = "place int, title_text string, link_text string, texts array<string>, names array<string>, tags array<string>, image_url string, entry_id string, stamp string, feed_title string, error string"
 POST = "title string, permalink string, url string, selftext string, created_utc double, author string, score long, num_comments long, subreddit string, link_flair_text string"
 LISTED = "headline string, name string, url string, description string, datePublished string"
 
 
-def xml_text(item: Column, tag: str) -> Column:
-    """The text of the first element of an item, CDATA opened, entities of XML resolved; null if it is not there or empty."""
-    raw = F.regexp_extract(item, rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>", 1)
-    raw = F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
-        raw = F.replace(raw, F.lit(name), F.lit(sign))
-    return F.when(F.trim(raw) != "", F.trim(raw))
+def strip_tags(markup: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(markup, r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " "), r"\s+", " "))
 
 
-def xml_attribute(item: Column, tag: str, name: str, where: str = "") -> Column:
-    """An attribute of the first element of an item that has the pattern `where` among its attributes."""
-    found = F.filter(F.regexp_extract_all(item, F.lit(rf"(?s)<{tag}\b[^>]*>"), F.lit(0)), lambda t: t.rlike(where))
-    value = F.regexp_extract(F.get(found, F.lit(0)), rf"""\s{name}\s*=\s*["']([^"']*)["']""", 1)
-    return F.when(value != "", F.replace(value, F.lit("&amp;"), F.lit("&")))
+def _reading(rest: list[str], text: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of items as the parser finds them, and one row without a place for each feed, with its title and error."""
+    kinds = {f.name: f.type for f in FOUND}
 
+    def rows_of(document: str | None) -> list[dict]:
+        reader = FeedReader(document or "")
+        rows = []
+        for place, item in enumerate(reader.items(most)):
+            content = [item.text(t) for t in ("summary", "description", "content:encoded", "content")]
+            names = [item.text("author"), item.text("dc:creator"), *(e.text for e in item.all("name"))]
+            tags = [t for e in item.all("category") for t in (e.text.strip() or e.attributes.get("term", "").strip(),) if t]
+            stamp = item.text("pubDate", "published", "updated", "dc:date")
+            rows.append({"place": place, "title_text": item.text("title"), "link_text": item.link(), "texts": content, "names": [n for n in names if n], "tags": tags, "image_url": item.image(), "entry_id": item.text("guid", "id"), "stamp": stamp})
+        return [r | {"feed_title": reader.title, "error": reader.error} for r in [*rows, {"place": None}]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, document in enumerate(batch.column(text)):
+                rows = rows_of(document.as_py())
+                given = [pa.concat_arrays([batch.column(c).slice(i, 1)] * len(rows)) for c in rest]
+                made = [pa.array([r.get(n) for r in rows], kind) for n, kind in kinds.items()]
+                yield pa.RecordBatch.from_arrays([*given, *made], names=[*rest, *kinds])
+
+    return run
 
-def strip_tags(markup: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(markup, r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " "), r"\s+", " "))
+
+def read_feeds(feeds: DataFrame, text: str = "feed", most: int = MOST_ENTRIES) -> DataFrame:
+    """The columns of feeds but the text, and what the parser finds: raw fields of the first `most` items of each feed, and
+    a row without a place for each feed; feed_title and error are in all of them."""
+    rest = [f for f in feeds.schema if f.name != text]
+    schema = T.StructType([*rest, *T.StructType.fromDDL(FOUND_DDL).fields])
+    return feeds.select(*[f.name for f in rest], text).mapInArrow(_reading([f.name for f in rest], text, most), schema)
 
 
 def feed_items(feeds: DataFrame, text: str = "feed", most: int = MOST_ENTRIES) -> DataFrame:
     """One row for each readable item of RSS or Atom feeds: the columns of feeds but the text, and place, title, url,
     original_url, summary, stamp (its date as text), authors, image_url, doi, tags, feed_title, entry_id.
 
-    Items are found one by one, so what is broken in one, or around it, costs that item alone. The first `most` of a feed
-    count; items without a link, or with a title of less than LEAST_TITLE letters, are left out.
+    What is broken in an item, or around it, costs that item at most. The first `most` of a feed count; items without a
+    link, or with a title of less than LEAST_TITLE letters, are left out.
     """
-    items = F.slice(F.regexp_extract_all(text, F.lit(r"(?s)<(?:item|entry)(?:\s[^>]*)?>.*?</(?:item|entry)\s*>"), F.lit(0)), 1, most)
-    head = F.regexp_extract(text, r"(?s)\A(.*?)(?:<item[\s>]|<entry[\s>]|\z)", 1)
     rest = [F.col(c) for c in feeds.columns if c != text]
-    rows = feeds.select(*rest, xml_text(head, "title").alias("feed_title"), F.posexplode(items).alias("place", "item"))
-    item = F.col("item")
-    link = F.coalesce(xml_text(item, "link"), xml_attribute(item, "link", "href", r"^(?!.*type\s*=\s*[\"']image/)"))
-    title = F.regexp_replace(F.coalesce(xml_text(item, "title"), F.lit("Sin título")), r"\s+", " ")
-    texts = [strip_tags(xml_text(item, t)) for t in ("summary", "description", "content:encoded", "content")]
-    summary = F.coalesce(*[F.when(F.length(t) >= 10, t) for t in texts], F.lit(""))
-    tags = F.transform(F.regexp_extract_all(item, F.lit(r"(?s)<category(?:\s[^>]*)?>(.*?)</category\s*>"), F.lit(1)), lambda t: F.trim(t))
-    names = F.array(xml_text(item, "author"), xml_text(item, "dc:creator"), xml_text(F.regexp_extract(item, r"(?s)<author(?:\s[^>]*)?>.*?</author\s*>", 0), "name"))
-    plain = F.transform(F.array_compact(names), lambda n: F.regexp_replace(F.trim(F.regexp_replace(n, "<[^>]*>", "")), r"\s+", " "))
-    authors = F.array_sort(F.array_distinct(F.concat(plain, F.filter(tags, lambda t: F.contains(F.lower(t), F.lit("author"))))))
-    image = F.coalesce(
-        xml_attribute(item, "media:content", "url", r"medium\s*=\s*[\"']image"), xml_attribute(item, "enclosure", "url", r"type\s*=\s*[\"']image/"),
-        xml_attribute(item, "media:thumbnail", "url"), xml_attribute(item, "link", "href", r"type\s*=\s*[\"']image/"),
-    )
-    entry = F.coalesce(xml_text(item, "guid"), xml_text(item, "id"))
-    doi = F.coalesce(*[F.when(c.rlike(DOI), F.regexp_extract(c, DOI, 0)) for c in (entry, texts[0], texts[1], link)])
+    rows = read_feeds(feeds, text, most).where("place IS NOT NULL")
+    link = F.col("link_text")
+    title = F.trim(F.regexp_replace(F.coalesce("title_text", F.lit("Sin título")), r"\s+", " "))
+    texts = F.transform("texts", strip_tags)
+    summary = F.coalesce(F.get(F.filter(texts, lambda t: F.length(t) >= 10), F.lit(0)), F.lit(""))
+    plain = F.transform("names", lambda n: F.trim(F.regexp_replace(F.regexp_replace(n, "<[^>]*>", ""), r"\s+", " ")))
+    authors = F.array_sort(F.array_distinct(F.concat(plain, F.filter("tags", lambda t: F.contains(F.lower(t), F.lit("author"))))))
+    doi = F.coalesce(*[F.when(c.rlike(DOI), F.regexp_extract(c, DOI, 0)) for c in (F.col("entry_id"), F.get(texts, F.lit(0)), F.get(texts, F.lit(1)), link)])
     made = rows.select(
-        *rest, "place", title.alias("title"), canonical_column(link).alias("url"), link.alias("original_url"), summary.alias("summary"),
-        F.coalesce(*[xml_text(item, t) for t in ("pubDate", "published", "updated", "dc:date")]).alias("stamp"), F.filter(authors, lambda a: a != "").alias("authors"),
-        image.alias("image_url"), doi.alias("doi"), F.filter(tags, lambda t: t != "").alias("tags"), "feed_title", entry.alias("entry_id"),
+        *rest, "place", title.alias("title"), canonical_column(link).alias("url"), link.alias("original_url"), summary.alias("summary"), "stamp",
+        F.filter(authors, lambda a: a != "").alias("authors"), "image_url", doi.alias("doi"), "tags", "feed_title", "entry_id",
     )
     return made.where(F.col("original_url").isNotNull() & (F.length("title") >= LEAST_TITLE))
 
 
+def feed_errors(feeds: DataFrame, text: str = "feed", most: int = MOST_ENTRIES) -> DataFrame:
+    """The columns of feeds but the text, feed_title, n_items, error (the class of the first error, null if there is none) and
+    accepted: whether the feed is read in spite of it."""
+    rest = [c for c in feeds.columns if c != text]
+    per = read_feeds(feeds, text, most).groupBy(*rest).agg(F.count("place").alias("n_items"), F.max("feed_title").alias("feed_title"), F.max("error").alias("error"))
+    return per.withColumn("accepted", acceptable_feed(F.col("error")))
+
+
 def acceptable_feed(error: Column) -> Column:
     """Whether a feed is read in spite of the error that its parser reports."""
     return error.isNull() | error.isin(*BROKEN_BUT_READ)
@@ -117,38 +145,44 @@ def render_feed(title: Column, url: Column, source: Column, articles: Column) ->
     return F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel>'), head, body, F.lit("</channel></rss>"))
 
 
-def listed_articles(pages: DataFrame, html: str, base: str, container: str = "article", link: str = "a", titles: tuple[str, ...] = ("h2", "h3")) -> DataFrame:
-    """The articles that index pages list: the columns of pages but html, and place, title, url, description, date.
+def listed_articles(pages: DataFrame, html: str, base: str, key: str, container: str = "article", link: str = "a", title: str = "h2, h3") -> DataFrame:
+    """The articles that index pages list: key and base of pages, and place, title, url, description, date.
 
-    Lists in JSON-LD come first; a page without any is read by its elements: each container's first link and title (the
-    link's text if it has none). Containers do not nest. Articles without a URL or a title are left out.
+    Lists in JSON-LD come first; a page without any is read by selectors: each container's first link (`self`: the container)
+    and title, or the link's text if that is empty. Containers may nest; each lists its own. Articles without an address or a title are left out.
     """
-    text = "array<struct<title:string,url:string,description:string,date:string>>"
-    scripts = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>"""), F.lit(1))
+    nodes = written(node_table(pages.select(key, html), html), "nodes")
+    # texts of scripts are not part of what a page shows
+    scripts = nodes.where((F.col("tag") == "script") & (F.lower(F.col("attributes")["type"]) == "application/ld+json"))
+    payload = texts_inside(scripts, nodes, key).select(key, "pre", "text")
     item = f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in LISTED.split(', '))}>>"
-    lists = F.transform(scripts, lambda s: F.from_json(s, f"struct<`@type`:string,itemListElement:{item},blogPost:{item}>"))
-    lists = F.filter(lists, lambda s: s["@type"].isin(*LISTS))
-    rows = F.flatten(F.transform(lists, lambda s: F.coalesce(F.when(F.size(s["itemListElement"]) > 0, s["itemListElement"]), s["blogPost"], F.array().cast(item))))
+    lists = payload.select(key, "pre", F.from_json("text", f"struct<`@type`:string,itemListElement:{item},blogPost:{item}>").alias("s")).where(F.col("s.`@type`").isin(*LISTS))
+    some = F.coalesce(F.when(F.size("s.itemListElement") > 0, F.col("s.itemListElement")), F.col("s.blogPost"))
     blank = F.lit("")
-    named = F.transform(rows, lambda r: F.struct(
-        F.coalesce(F.when(r["headline"] != "", r["headline"]), r["name"], blank).alias("title"), F.coalesce(r["url"], blank).alias("url"),
-        F.coalesce(r["description"], blank).alias("description"), F.coalesce(r["datePublished"], blank).alias("date"),
-    ))
-    boxes = F.regexp_extract_all(html, F.lit(rf"(?is)<{container}\b[^>]*>.*?</{container}\s*>"), F.lit(0))
-
-    def read(box: Column) -> Column:
-        anchor = F.regexp_extract(box, rf"""(?is)<{link}\b[^>]*\shref\s*=\s*["'][^"']*["'][^>]*>.*?</{link}\s*>""", 0)
-        href = F.regexp_extract(anchor, r"""(?is)\shref\s*=\s*["']([^"']*)["']""", 1)
-        heads = [strip_tags(F.regexp_extract(box, rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>", 0)) for t in titles]
-        title = F.coalesce(*[F.when(h != "", h) for h in heads], strip_tags(anchor))
-        return F.struct(title.alias("title"), href.alias("url"), blank.alias("description"), F.lit(None).cast("string").alias("date"))
-
-    found = F.when(F.size(named) > 0, named.cast(text)).otherwise(F.transform(boxes, read).cast(text))
-    rest = [F.col(c) for c in pages.columns if c != html]
-    out = pages.select(*rest, F.posexplode(found).alias("place", "a")).where("a.url <> '' AND a.title <> ''")
-    root = F.regexp_extract(base, r"(?i)^(https?://[^/?#]+)", 1)
-    url = F.when(F.startswith("a.url", F.lit("http")), F.col("a.url")).otherwise(F.concat(root, F.when(~F.startswith("a.url", F.lit("/")), F.lit("/")).otherwise(blank), F.col("a.url")))
-    return out.select(*rest, "place", "a.title", url.alias("url"), "a.description", "a.date")
+    named = lists.select(key, "pre", F.posexplode(some).alias("at", "r")).where("r IS NOT NULL").select(
+        key, F.struct("pre", "at").alias("at"), F.coalesce(F.when(F.col("r.headline") != "", F.col("r.headline")), F.col("r.name"), blank).alias("title"), F.coalesce("r.url", blank).alias("url"),
+        F.coalesce("r.description", blank).alias("description"), F.coalesce("r.datePublished", blank).alias("date"),
+    )
+    boxes = selected(nodes, container, key).select(key, "pre", "last", "attributes")
+    if link == "self":
+        links = boxes.select(key, F.col("pre").alias("box"), F.struct("pre", "last", "attributes").alias("found"))
+    else:
+        links = first_inside(boxes, nodes, link, key)
+    links = links.where(F.col("found.attributes")["href"].isNotNull()).select(key, "box", F.col("found.attributes")["href"].alias("url"), F.col("found.pre").alias("pre"), F.col("found.last").alias("last"))
+    heads = first_inside(boxes, nodes, title, key).select(key, "box", "found.pre", "found.last")
+    of = lambda rows, name: texts_inside(rows, nodes, key, "box").withColumnRenamed("text", name)
+    read = links.join(of(heads, "head"), [key, "box"], "left").join(of(links, "label"), [key, "box"], "left")
+    read = read.join(named.select(key).distinct(), key, "left_anti").select(
+        key, F.struct(F.col("box").alias("pre"), F.lit(0).alias("at")).alias("at"), F.coalesce(F.when(F.col("head") != "", F.col("head")), F.col("label"), blank).alias("title"), "url",
+        blank.alias("description"), F.lit(None).cast("string").alias("date"),
+    )
+    found = named.unionByName(read).withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1).where("url <> '' AND title <> ''")
+    out = found.join(pages.select(key, base), key)
+    root, folder = F.regexp_extract(base, r"(?i)^(https?://[^/?#]+)", 1), F.regexp_extract(base, r"(?i)^(https?://[^/?#]+(?:/[^?#]*/|/)?)", 1)
+    there = F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/")))
+    scheme = F.concat(F.regexp_extract(base, r"(?i)^(https?:)", 1), "url")
+    url = F.when(F.startswith("url", F.lit("http")), F.col("url")).when(F.startswith("url", F.lit("//")), scheme).when(F.startswith("url", F.lit("/")), F.concat(root, "url")).otherwise(F.concat(there, "url"))
+    return out.select(key, base, "place", "title", url.alias("url"), "description", "date")
 
 
 def read_posts(posts: DataFrame, json: str = "post") -> DataFrame:
