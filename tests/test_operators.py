@@ -151,14 +151,6 @@ def test_html():
     assert html.normal_text("ﬁne&nbsp;\x00 \r\n text") == "fine text"
 
 
-def test_tags_and_entities(spark):
-    df = spark.createDataFrame([(["Clima-Cambio", "climá cambio", "ai", "News", "x.y.z"], "Sao Paulo and MÉXICO"), (None, None)], "tags array<string>, text string")
-    tags = [r.t for r in df.select(html.clean_tags(F.col("tags"), stop=("news",)).alias("t")).collect()]
-    assert tags == [["clima cambio", "xyz"], None]
-    found = [r.e for r in df.select(html.find_entities(F.col("text"), {"mexico": "México", "são paulo": "São Paulo"}).alias("e")).collect()]
-    assert found == [["São Paulo", "México"], None]
-
-
 def test_explanations(spark):
     df = spark.createDataFrame([(["a", "b", "c", "d"], None, {"x": 0.5}), ([], None, {"source_credibility": 0.5, "recency": 0.75}), (None, None, None)], "s array<string>, f array<string>, c map<string,double>")
     got = [r.w for r in df.select(explain.why_ranked(F.col("s"), F.col("f"), F.col("c")).alias("w")).collect()]

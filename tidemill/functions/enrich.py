@@ -6,8 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemill.functions import topics as W
-from tidemill.functions.text import detect_language, fold_accents, hits
+from tidemill.functions.html import normalized_html
+from tidemill.functions.text import detect_language, fold_accents, let
 
+#: Fixed value: the version of the lexicons that a record names.
+MODEL_VERSION = "2025.02-pattern-v1"
 STAMP = "struct<utc:timestamp,offset_minutes:int,zone:string>"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 #: Signs of images that are no picture of an article, and lengths that tags may have.
@@ -37,40 +40,91 @@ def by_language(language: Column, made) -> Column:
     return out
 
 
+def _lists() -> list[tuple[str, ...]]:
+    moods = [w[n] for w in (W.POSITIVE, W.NEGATIVE) for n in w]
+    return [k[n] for k in W.TOPICS.values() for n in k] + moods
+
+
+#: All keywords once: single words and phrases.
+SINGLE = tuple(dict.fromkeys(w for words in _lists() for w in words if " " not in w))
+PHRASES = tuple(dict.fromkeys(w for words in _lists() for w in words if " " in w))
+
+
+def analysed(text: Column, language: Column, made) -> Column:
+    """made(x) of a text's reading x: language, text, folded (lower case without accents) and found, the keywords in it.
+
+    The text is lowered, folded and parted into words once; what the lists ask of it is then a matter of few keywords.
+    """
+    literals = lambda words: F.array(*map(F.lit, words))
+
+    def read(x: Column) -> Column:
+        singles = F.array_intersect(F.split(x["low"], r"(?U)\W+"), literals(SINGLE))
+        phrases = F.filter(literals(PHRASES), lambda p: F.contains(x["low"], p))
+        return F.struct(x["language"].alias("language"), x["text"].alias("text"), fold_accents(x["low"]).alias("folded"), F.concat(singles, phrases).alias("found"))
+
+    first = F.struct(language.alias("language"), F.coalesce(text, F.lit("")).alias("text"), lower(text).alias("low"))
+    return let(first, lambda x: let(read(x), made))
+
+
+def _count(x: Column, words: tuple[str, ...]) -> Column:
+    return F.size(F.array_intersect(x["found"], F.array(*map(F.lit, dict.fromkeys(words)))))
+
+
+def topics_in(x: Column, most: int = 5) -> Column:
+    found = F.array_compact(F.array(*[F.when(by_language(x["language"], lambda n, k=k: _count(x, k["shared"] + k[n]) > 0), F.lit(topic)) for topic, k in W.TOPICS.items()]))
+    return let(found, lambda f: F.when(F.size(f) == 0, F.array(F.lit("general"))).otherwise(F.slice(f, 1, most)))
+
+
+def sentiment_in(x: Column, tie: str = "neutral", default: str = "neutral") -> Column:
+    up, down = (by_language(x["language"], lambda n, w=w: _count(x, w["shared"] + w[n])) for w in (W.POSITIVE, W.NEGATIVE))
+    told = lambda c: F.when(c["up"] > c["down"], "positive").when(c["down"] > c["up"], "negative").when(c["up"] + c["down"] > 0, tie).otherwise(default)
+    return let(F.struct(up.alias("up"), down.alias("down")), told)
+
+
+def entities_in(x: Column) -> Column:
+    def places(name: str) -> Column:
+        found = []
+        for order, (pattern, exact) in enumerate(W.ENTITIES["shared"] + W.ENTITIES[name]):
+            at = F.instr(x["text"], F.lit(pattern)) if exact else F.instr(x["folded"], fold_accents(F.lower(F.lit(pattern))))
+            found.append(F.struct(at.alias("at"), F.lit(order).alias("k"), F.lit(pattern).alias("name")))
+        return F.array_distinct(F.transform(F.array_sort(F.filter(F.array(*found), lambda e: e["at"] > 0)), lambda e: e["name"]))
+
+    return by_language(x["language"], places)
+
+
 def topics(text: Column, language: Column, most: int = 5) -> Column:
     """Topics with a keyword of their own or of the language, in the order of the list; `general` if none."""
-    low = lower(text)
-    found = F.array_compact(F.array(*[F.when(by_language(language, lambda n, k=k: hits(low, k["shared"] + k[n]) > 0), F.lit(topic)) for topic, k in W.TOPICS.items()]))
-    return F.when(F.size(found) == 0, F.array(F.lit("general"))).otherwise(F.slice(found, 1, most))
+    return analysed(text, language, lambda x: topics_in(x, most))
 
 
 def sentiment(text: Column, language: Column, tie: str = "neutral", default: str = "neutral") -> Column:
     """positive or negative by distinct words; a tie of some hits is `tie`, no hit `default`."""
-    low = lower(text)
-    up, down = (by_language(language, lambda n, w=w: hits(low, w["shared"] + w[n])) for w in (W.POSITIVE, W.NEGATIVE))
-    return F.when(up > down, "positive").when(down > up, "negative").when(up + down > 0, tie).otherwise(default)
+    return analysed(text, language, lambda x: sentiment_in(x, tie, default))
 
 
 def entities(text: Column, language: Column) -> Column:
     """Names in the order of their first places; case and accents count only for names that say so."""
-    plain, folded = F.coalesce(text, F.lit("")), fold_accents(lower(text))
-
-    def places(name: str) -> Column:
-        found = []
-        for order, (pattern, exact) in enumerate(W.ENTITIES["shared"] + W.ENTITIES[name]):
-            at = F.instr(plain, F.lit(pattern)) if exact else F.instr(folded, fold_accents(F.lower(F.lit(pattern))))
-            found.append(F.when(at > 0, F.struct(at.alias("at"), F.lit(order).alias("k"), F.lit(pattern).alias("name"))))
-        return F.array_distinct(F.transform(F.array_sort(F.array_compact(F.array(*found))), lambda x: x["name"]))
-
-    return by_language(language, places)
+    return analysed(text, language, entities_in)
 
 
 def enrichment(title: Column, summary: Column, content: Column, language: Column) -> Column:
-    """language, entities, topics and sentiment of an article, as one struct. The summary counts before the content."""
-    body = F.coalesce(F.when(summary != "", summary), content)
-    text = F.concat_ws(" ", title, body, title, summary, content)
-    tongue = resolve_language(language, F.concat_ws(" ", title, summary))
-    return F.struct(tongue.alias("language"), entities(text, tongue).alias("entities"), topics(text, tongue).alias("topics"), sentiment(text, tongue).alias("sentiment"))
+    """language, normalized_title, normalized_summary, entities, topics, sentiment and model_version of an article, as one
+    struct. The summary counts before the content; keywords are looked for in the normalized texts, then in those given."""
+    filled = lambda c: F.coalesce(c, F.lit(""))
+    body = F.when(filled(summary) != "", summary).otherwise(filled(content))
+    head, rest = normalized_html(filled(title)), normalized_html(body)
+    parts = F.filter(F.array(F.trim(F.concat_ws(" ", head, rest)), filled(title), filled(summary), filled(content)), lambda p: p != "")
+    tongue = resolve_language(language, F.concat_ws(" ", filled(title), filled(summary)))
+    # the record is made inside the reading, with the two texts that it keeps
+    kept = F.struct(head.alias("head"), rest.alias("rest"), F.array_join(parts, " ").alias("text"), tongue.alias("language"))
+
+    def record(k: Column) -> Column:
+        return analysed(k["text"], k["language"], lambda x: F.struct(
+            x["language"].alias("language"), k["head"].alias("normalized_title"), k["rest"].alias("normalized_summary"), entities_in(x).alias("entities"),
+            topics_in(x).alias("topics"), sentiment_in(x).alias("sentiment"), F.lit(MODEL_VERSION).alias("model_version"),
+        ))
+
+    return let(kept, record)
 
 
 def parse_stamp(text: Column) -> Column:

@@ -11,7 +11,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 #: Elements without text of their own, frames around page text, and phrases of feeds.
 HIDDEN = frozenset({"script", "style", "noscript"})
@@ -76,41 +76,6 @@ def normalize_text(column: Column) -> Column:
     return _map(column, normal_text)
 
 
-def folded(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
-
-
-def find_entities(text: Column, names: dict[str, str]) -> Column:
-    """Canonical names (values) of the patterns (keys) that occur, by first place; case and accents do not matter."""
-    table = [(folded(k), v) for k, v in names.items()]
-
-    def one(value: str) -> list[str]:
-        hay = folded(value)
-        found = sorted((at, i, v) for i, (k, v) in enumerate(table) if (at := hay.find(k)) >= 0)
-        return list(dict.fromkeys(v for _, _, v in found))
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(one, na_action="ignore")
-
-    return run(text)
-
-
-def clean_tags(tags: Column, stop: tuple[str, ...] = (), alias: dict[str, str] | None = None, most: int = 8) -> Column:
-    """Tags trimmed, lower-cased, dashes as spaces, stop words out, aliases in, the first of accent-equal ones, 3 to 40 letters."""
-    names = alias or {}
-
-    def one(values) -> list[str]:
-        out: dict[str, str] = {}
-        for v in values:
-            tag = re.sub(r"\s+", " ", re.sub(r"[-_]", " ", (v or "").strip().lower()).replace(".", "")).strip()
-            tag = names.get(tag, tag)
-            if tag not in stop and 3 <= len(tag) <= 40:
-                out.setdefault(folded(tag), tag)
-        return list(out.values())[:most]
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(one, na_action="ignore")
-
-    return run(tags)
+def normalized_html(column: Column) -> Column:
+    """The text of HTML, normalized."""
+    return _map(column, lambda m: normal_text(text_of(m)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,9 +13,6 @@ STOP_WORDS = {
     "es": ("de", "la", "el", "y", "que", "en", "los", "para", "con", "las", "del", "se", "un", "una"),
     "en": ("the", "and", "of", "to", "in", "for", "on", "with", "as", "is", "that", "this"),
 }
-#: Words of praise and warning; callers with a lexicon of their own pass it.
-POSITIVE = ("confirmed", "progress", "celebrated", "breakthrough", "success", "good", "great")
-NEGATIVE = ("warned", "recession", "crisis", "failure", "bad", "worthless", "pathetic")
 #: Ordered classes of failures and the substrings that name them ("js" also names json).
 FAILURES = (
     ("publication_contract_failure", ("permalink", "frontmatter", "validate:content")),
@@ -39,6 +37,11 @@ WOW = ("breakthrough", "discovery", "first", "new", "revolutionary", "unexpected
 ACCENTED, PLAIN = "áàâäãéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ", "aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC"
 
 
+def let(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value), with the value computed once, however often made uses it: branches and long sums would compute it anew."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\r\n\x0B\f]+", " "))
 
@@ -82,22 +85,14 @@ def hits(text: Column, words: tuple[str, ...]) -> Column:
 
 def detect_language(text: Column) -> Column:
     """en or es by distinct stop words; a tie goes to es only if letters of Spanish occur."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    en, es = hits(low, STOP_WORDS["en"]), hits(low, STOP_WORDS["es"])
-    return F.when(es > en, "es").when(en > es, "en").when(low.rlike("[áéíóúñ]"), "es").otherwise("en")
-
-
-def sentiment(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    up, down = hits(low, POSITIVE), hits(low, NEGATIVE)
-    return F.when(up > down, "positive").when(down > up, "negative").otherwise("neutral")
 
+    def told(x: Column) -> Column:
+        en, es = (F.size(F.array_intersect(x["words"], F.array(*map(F.lit, STOP_WORDS[n])))) for n in ("en", "es"))
+        return F.when(es > en, "es").when(en > es, "en").when(x["low"].rlike("[áéíóúñ]"), "es").otherwise("en")
 
-def topics(text: Column, rules: dict[str, tuple[str, ...]], most: int = 5) -> Column:
-    """Topics in the order of the rules, any word of which occurs; `general` if none."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = F.array_compact(F.array(*[F.when(hits(low, words) > 0, F.lit(topic)) for topic, words in rules.items()]))
-    return F.when(F.size(found) == 0, F.array(F.lit("general"))).otherwise(F.slice(found, 1, most))
+    every = F.array(*map(F.lit, dict.fromkeys(STOP_WORDS["en"] + STOP_WORDS["es"])))
+    words = lambda low: F.struct(low.alias("low"), F.array_intersect(F.split(low, r"(?U)\W+"), every).alias("words"))
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: let(words(low), told))
 
 
 def contains_any(text: Column, parts: tuple[str, ...]) -> Column:
@@ -106,7 +101,7 @@ def contains_any(text: Column, parts: tuple[str, ...]) -> Column:
 
 def count_contained(text: Column, parts: tuple[str, ...]) -> Column:
     """How many of the parts occur, as substrings."""
-    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(p)).cast("int") for p in parts])
+    return let(text, lambda t: reduce(lambda a, b: a + b, [F.contains(t, F.lit(p)).cast("int") for p in parts]))
 
 
 def first_class(text: Column, classes: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemill.functions.text import contains_any, count_contained
+from tidemill.functions.keywords import Keywords
+from tidemill.functions.text import contains_any, count_contained, let
 from tidemill.operators.scoring import normalized, recency
 
 #: Weights of the four parts, the least score that is included, and the words that count.
@@ -47,6 +48,8 @@ WEAK = {
     "source_credibility": "Credibilidad de fuente limitada", "recency": "Contenido no muy reciente", "content_quality": "Calidad de contenido mejorable",
     "engagement_potential": "Potencial de engagement limitado",
 }
+#: What is looked for in whole texts, in one reading.
+IN_TEXTS = Keywords(TECHNICAL, BOOST, TRENDING, JARGON, WOW)
 WORD = r"[\p{L}\p{N}\p{M}_]+"
 
 
@@ -93,16 +96,15 @@ def title_quality(title: Column) -> Column:
 
 def text_quality(text: Column) -> Column:
     low = F.lower(filled(text))
-    words = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
-    fresh = F.coalesce(F.try_divide(F.size(F.array_distinct(words)), F.size(words)), F.lit(0.0))
-    total = 0.5 + F.least(F.lit(0.3), 0.6 * fresh) + F.least(F.lit(0.2), 0.05 * count_contained(low, TECHNICAL))
+    fresh = let(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), lambda w: F.coalesce(F.try_divide(F.size(F.array_distinct(w)), F.size(w)), F.lit(0.0)))
+    total = 0.5 + F.least(F.lit(0.3), 0.6 * fresh) + F.least(F.lit(0.2), 0.05 * IN_TEXTS.count(IN_TEXTS.found(low), TECHNICAL))
     return F.when(F.length(low) < 50, 0.0).otherwise(clamp(total))
 
 
 def content_quality(title: Column, summary: Column) -> Column:
     n = F.length(F.concat_ws(" ", filled(title), filled(summary)))
     long = F.when(n < 100, 0.2).when(n < 300, 0.6).when(n < 800, 1.0).when(n < 1500, 0.8).otherwise(0.5)
-    keywords = F.least(F.lit(1.0), count_contained(both(title, summary), BOOST) / 5.0)
+    keywords = F.least(F.lit(1.0), IN_TEXTS.count(IN_TEXTS.found(both(title, summary)), BOOST) / 5.0)
     return clamp(0.5 + 0.2 * long + 0.3 * title_quality(title) + 0.3 * text_quality(summary) + 0.2 * keywords)
 
 
@@ -113,10 +115,10 @@ def title_engagement(title: Column) -> Column:
 
 
 def engagement_potential(title: Column, summary: Column) -> Column:
-    text = both(title, summary)
-    trend = F.least(F.lit(1.0), count_contained(text, TRENDING) / 3.0)
-    plain = F.greatest(F.lit(0.3), 1 - 0.1 * count_contained(text, JARGON))
-    wow = F.least(F.lit(1.0), count_contained(text, WOW) / 2.0)
+    found = IN_TEXTS.found(both(title, summary))
+    trend = F.least(F.lit(1.0), IN_TEXTS.count(found, TRENDING) / 3.0)
+    plain = F.greatest(F.lit(0.3), 1 - 0.1 * IN_TEXTS.count(found, JARGON))
+    wow = F.least(F.lit(1.0), IN_TEXTS.count(found, WOW) / 2.0)
     return clamp(0.5 + 0.4 * title_engagement(title) + 0.3 * trend + 0.2 * plain + 0.1 * wow)
 
 

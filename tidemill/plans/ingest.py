@@ -288,8 +288,14 @@ def _by_language(made) -> str:
     return "CASE lang " + " ".join(f"WHEN '{n}' THEN {made(n)}" for n in W.LANGUAGES) + " END"
 
 
-ENRICHED = rf"""told AS (SELECT doc_id, CASE WHEN lang IN ('en', 'es', 'pt', 'fr') THEN lang ELSE 'en' END AS lang, text, lower(text) AS low, string_split_regex(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}_]+') AS tokens FROM
-  (SELECT doc_id, lang, text || ' ' || CASE doc_id % 6 WHEN 0 THEN 'NASA research on Mars and the climate' WHEN 1 THEN 'La recesión y el Ministerio de Salud de Chile: avance' WHEN 2 THEN 'ministry of health, risk and progress' WHEN 3 THEN 'São Paulo IA software' ELSE '' END AS text FROM documents WHERE text IS NOT NULL)),
+#: Texts without markup: entities resolved, white space collapsed.
+NORMAL = r"trim(regexp_replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\s\x{{00A0}}]+', ' ', 'g'))"
+PLAIN = """SELECT doc_id, lang, text || ' ' || CASE doc_id % 6 WHEN 0 THEN 'NASA research on Mars and the climate' WHEN 1 THEN 'La recesión y el Ministerio de Salud de Chile: avance' WHEN 2 THEN 'ministry of health, risk and progress' WHEN 3 THEN 'São Paulo IA software' ELSE '' END AS text FROM documents WHERE text IS NOT NULL"""
+WHOLE = f"""SELECT doc_id, lang, {NORMAL.format("split_part(text, chr(10), 1)")} AS normalized_title, {NORMAL.format("text")} AS normalized_summary, trim(normalized_title || ' ' || normalized_summary) || ' ' || split_part(text, chr(10), 1) || ' ' || text AS text FROM ({PLAIN})"""
+
+
+def _enriched(rows: str) -> str:
+    return rf"""told AS (SELECT * REPLACE (CASE WHEN lang IN ('en', 'es', 'pt', 'fr') THEN lang ELSE 'en' END AS lang), lower(text) AS low, string_split_regex(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}_]+') AS tokens FROM ({rows})),
 judged AS (SELECT *, {_by_language(lambda n: _keyword_sql("low", W.POSITIVE["shared"] + W.POSITIVE[n]))} AS up, {_by_language(lambda n: _keyword_sql("low", W.NEGATIVE["shared"] + W.NEGATIVE[n]))} AS down FROM told)"""
 
 
@@ -304,13 +310,34 @@ ENTITY_AT = lambda p, exact: f"instr(text, {sql_text(p)})" if exact else f"instr
 ENTITY_LIST = _by_language(lambda n: "[" + ", ".join(f"{{'a': {ENTITY_AT(p, x)}, 'k': {i}, 'n': {sql_text(p)}}}" for i, (p, x) in enumerate(W.ENTITIES["shared"] + W.ENTITIES[n])) + "]")
 
 
-@query(rf"""WITH {ENRICHED}, listed AS (SELECT *, list_filter([{TOPIC_LIST}], lambda x: x IS NOT NULL) AS found, list_sort(list_filter({ENTITY_LIST}, lambda x: x.a > 0)) AS names FROM judged)
-  SELECT doc_id, lang AS language, CASE WHEN len(found) = 0 THEN 'general' ELSE array_to_string(found[1:5], '|') END AS topics, CASE WHEN up > down THEN 'positive' WHEN down > up THEN 'negative' ELSE 'neutral' END AS sentiment,
-    array_to_string(list_transform(names, lambda x: x.n), '|') AS entities FROM listed""")
+@query(rf"""WITH {_enriched(WHOLE)}, listed AS (SELECT *, list_filter([{TOPIC_LIST}], lambda x: x IS NOT NULL) AS found, list_sort(list_filter({ENTITY_LIST}, lambda x: x.a > 0)) AS names FROM judged)
+  SELECT doc_id, lang AS language, normalized_title, normalized_summary, CASE WHEN len(found) = 0 THEN 'general' ELSE array_to_string(found[1:5], '|') END AS topics, CASE WHEN up > down THEN 'positive' WHEN down > up THEN 'negative' ELSE 'neutral' END AS sentiment,
+    array_to_string(list_transform(names, lambda x: x.n), '|') AS entities, '{E.MODEL_VERSION}' AS model_version FROM listed""")
 def f10_enrichment(spark, d):
     none = F.lit(None).cast("string")
-    rows = _texts(spark, d).select("doc_id", E.enrichment(none, none, F.col("text"), F.col("lang")).alias("e"))
-    return rows.select("doc_id", "e.language", F.array_join("e.topics", "|").alias("topics"), "e.sentiment", F.array_join("e.entities", "|").alias("entities"))
+    title = F.substring_index("text", "\n", 1)
+    rows = _texts(spark, d).select("doc_id", E.enrichment(title, none, F.col("text"), F.col("lang")).alias("e"))
+    return rows.select("doc_id", "e.language", "e.normalized_title", "e.normalized_summary", F.array_join("e.topics", "|").alias("topics"), "e.sentiment", F.array_join("e.entities", "|").alias("entities"), "e.model_version")
+
+
+def _told(spark, d, made) -> DataFrame:
+    language = E.resolve_language(F.col("lang"), F.lit(""))
+    return _texts(spark, d).select("doc_id", made(F.col("text"), language))
+
+
+@query(f"WITH {_enriched(PLAIN)}, listed AS (SELECT doc_id, list_sort(list_filter({ENTITY_LIST}, lambda x: x.a > 0)) AS names FROM judged) SELECT doc_id, list_transform(names, lambda x: x.n) AS entities FROM listed")
+def f7_entities(spark, d):
+    return _told(spark, d, lambda t, n: E.entities(t, n).alias("entities"))
+
+
+@query(f"WITH {_enriched(PLAIN)}, listed AS (SELECT doc_id, list_filter([{TOPIC_LIST}], lambda x: x IS NOT NULL) AS found FROM judged) SELECT doc_id, CASE WHEN len(found) = 0 THEN 'general' ELSE array_to_string(found[1:5], '|') END AS topics FROM listed")
+def f8_topics(spark, d):
+    return _told(spark, d, lambda t, n: F.array_join(E.topics(t, n), "|").alias("topics"))
+
+
+@query(f"WITH {_enriched(PLAIN)} SELECT doc_id, CASE WHEN up > down THEN 'positive' WHEN down > up THEN 'negative' ELSE 'neutral' END AS sentiment FROM judged")
+def f9_sentiment(spark, d):
+    return _told(spark, d, lambda t, n: E.sentiment(t, n).alias("sentiment"))
 
 
 STAMPS = ("Fri, 05 Jan 2024 12:00:00 +0200", "2024-01-05T12:00:00Z", "5 Mar 2023 7:05 -0330", "2024-02-30", "yesterday", "2024-01-05 23:59:59", "Sat, 6 Jan 2024 00:00:00 GMT", "2024-01-05")

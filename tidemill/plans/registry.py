@@ -459,12 +459,6 @@ def f4_language(spark, d):
     return table(spark, d, "documents").select("doc_id", T.detect_language(F.col("text")).alias("language"))
 
 
-@query(f"""WITH x AS (SELECT doc_id, lower(text) AS t FROM documents), h AS (SELECT doc_id, {_hits_sql('t', T.POSITIVE)} AS up, {_hits_sql('t', T.NEGATIVE)} AS down FROM x)
-  SELECT doc_id, CASE WHEN up > down THEN 'positive' WHEN down > up THEN 'negative' ELSE 'neutral' END AS sentiment FROM h""")
-def f9_sentiment(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.sentiment(F.col("text")).alias("sentiment"))
-
-
 @query(rf"""WITH {ARTICLES}, s AS (SELECT id, lower(regexp_replace(regexp_replace(regexp_replace(translate(trim(title), '{T.ACCENTED}', '{T.PLAIN}'), '[^a-zA-Z0-9\-_]+', '-', 'g'), '-{{2,}}', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM articles)
   SELECT id, CASE WHEN slug = '' THEN 'untitled' ELSE slug END AS slug FROM s""")
 def f15_slug(spark, d):
@@ -628,13 +622,6 @@ def f2_normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", H.normalize_text(F.col("text")).alias("text"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, {ACCENTS_SQL.format("lower(text)")} AS t FROM documents),
-  f AS (SELECT doc_id, t, list_sort(list_filter([{{'a': instr(t, 'the'), 'n': 'The'}}, {{'a': instr(t, 'que'), 'n': 'Que'}}, {{'a': instr(t, 'und'), 'n': 'Und'}}, {{'a': instr(t, 'les'), 'n': 'Les'}}], lambda x: x.a > 0)) AS l FROM d)
-  SELECT doc_id, CASE WHEN t IS NOT NULL THEN list_transform(l, lambda x: x.n) END AS entities FROM f""")
-def f7_entities(spark, d):
-    return table(spark, d, "documents").select("doc_id", H.find_entities(F.col("text"), {"the": "The", "qué": "Que", "und": "Und", "les": "Les"}).alias("entities"))
-
-
 @query("""WITH e AS (SELECT user_id, event_type, value, ts, event_id FROM events), r AS (SELECT user_id, arg_max(value, struct_pack(t := ts, e := event_id)) FILTER (event_type = 'purchase') AS purchase, arg_max(value, struct_pack(t := ts, e := event_id)) FILTER (event_type = 'view') AS view FROM e GROUP BY user_id)
   SELECT user_id, coalesce(purchase, -1) AS purchase, coalesce(view, -1) AS view FROM r""")
 def m4_latest_known(spark, d):
@@ -731,12 +718,6 @@ def k5_final_selection(spark, d):
     return ranking.top_k(articles(spark, d).select("id", "score"), 0.3, 10).select("id")
 
 
-@query("SELECT doc_id, (CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END) AS has_the, CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(the|and)($|[^\\p{L}\\p{N}_])') THEN 'english' WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(und|der)($|[^\\p{L}\\p{N}_])') THEN 'german' ELSE 'general' END AS topic FROM documents".replace("(CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END) AS has_the, ", ""))
-def f8_topics(spark, d):
-    found = T.topics(F.col("text"), {"english": ("the", "and"), "german": ("und", "der")})
-    return table(spark, d, "documents").select("doc_id", found[0].alias("topic"))
-
-
 @query(r"SELECT page_id, coalesce(nullif(regexp_extract(html, '10\.\d{4,9}/[-._;()/:A-Za-z0-9]+'), ''), 'none') AS doi FROM pages")
 def f11_doi(spark, d):
     doi = F.regexp_extract("html", catalogue.DOI, 0)
