@@ -13,6 +13,11 @@ from tidemill.functions.text import detect_language, fold_accents, let
 MODEL_VERSION = "2025.02-pattern-v1"
 STAMP = "struct<utc:timestamp,offset_minutes:int,zone:string>"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+#: Zones of mail dates by name, in minutes east of Greenwich.
+ZONES = {
+    "ut": 0, "utc": 0, "gmt": 0, "z": 0, "at": -240, "ast": -240, "adt": -180, "et": -300, "est": -300, "edt": -240, "ct": -360, "cst": -360, "cdt": -300,
+    "mt": -420, "mst": -420, "mdt": -360, "pt": -480, "pst": -480, "pdt": -420, "a": -60, "n": 60, "m": -720, "y": 720,
+}
 #: Signs of images that are no picture of an article, and lengths that tags may have.
 NO_PICTURE = r"logo|icon|avatar|width=\d{1,2}&|tracker|pixel|ads|banner|social|share|button|spacer|placeholder"
 LEAST_SIDE, WIDE = 150, 600
@@ -130,10 +135,11 @@ def enrichment(title: Column, summary: Column, content: Column, language: Column
 def parse_stamp(text: Column) -> Column:
     """(utc, offset_minutes, zone) of a date of a feed: RFC 822 or ISO 8601; no zone is UTC; null if it is neither.
 
-    A null is never taken for now. The zone of an offset is named by it, as UTC+02:00.
+    A null is never taken for now. The zone of an offset is named by it, as UTC+02:00, and so is one that mail knows by
+    name (EST, PDT). The time of any other name is read as UTC, but the zone has that name, so it does not pass for UTC.
     """
     value = F.trim(text)
-    mail = r"(?i)^(?:[a-z]{3,9},?\s+)?(\d{1,2})\s+([a-z]{3})[a-z]*\s+(\d{4})\s+(\d{1,2}:\d{2}(?::\d{2})?)\s*([+-]\d{2}:?\d{2}|[a-z]{1,4})?$"
+    mail = r"(?i)^(?:[a-z]{3,9},?\s+)?(\d{1,2})\s+([a-z]{3})[a-z]*\s+(\d{4})\s+(\d{1,2}:\d{2}(?::\d{2})?)\s*([+-]\d{2}:?\d{2}|[a-z]{1,5})?$"
     iso = r"(?i)^(\d{4})-(\d{2})-(\d{2})(?:[t ](\d{2}:\d{2}(?::\d{2})?)(?:\.\d+)?)?\s*(z|utc|gmt|[+-]\d{2}:?\d{2})?$"
     part = lambda pattern, i: F.regexp_extract(value, pattern, i)
     month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(part(mail, 2))).cast("int")
@@ -144,10 +150,13 @@ def parse_stamp(text: Column) -> Column:
     zone = F.replace(F.when(is_mail, part(mail, 5)).otherwise(part(iso, 5)), F.lit(":"), F.lit(""))
     signed = zone.rlike(r"^[+-]\d{4}$")
     minutes = F.when(signed, F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 4, 2).cast("int")).otherwise(0)
-    offset = F.when(F.substring(zone, 1, 1) == "-", -minutes).otherwise(minutes)
+    named = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])[F.lower(zone)]
+    offset = F.when(signed, F.when(F.substring(zone, 1, 1) == "-", -minutes).otherwise(minutes)).otherwise(F.coalesce(named, F.lit(0)))
     local = F.try_to_timestamp(F.concat_ws(" ", day, clock), F.lit("yyyy-MM-dd HH:mm:ss"))
     utc = F.timestamp_micros(F.unix_micros(local) - offset.cast("long") * 60_000_000)
-    name = F.when(offset == 0, "UTC").otherwise(F.concat(F.lit("UTC"), F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2)))
+    shown = F.concat(F.when(offset < 0, "UTC-").otherwise("UTC+"), F.lpad(F.floor(F.abs(offset) / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.abs(offset) % 60).cast("string"), 2, "0"))
+    unknown = (zone != "") & ~signed & named.isNull()
+    name = F.when(unknown, F.upper(zone)).when(offset == 0, "UTC").otherwise(shown)
     return F.when(day.isNotNull() & utc.isNotNull(), F.struct(utc.alias("utc"), offset.alias("offset_minutes"), name.alias("zone")))
 
 

@@ -15,7 +15,7 @@ from tidemill.operators import catalogue
 from tidemill.plans.bindings import events, table
 from tidemill.plans.registry import ACCENTS_SQL, query, sql_text
 from tidemill.session import new_path
-from tidemill.sources import feeds, readers
+from tidemill.sources import feeds, readers, robots
 
 # ---- feeds
 
@@ -24,7 +24,7 @@ def _articles_of(spark, d) -> DataFrame:
     docs = table(spark, d, "documents").where("text IS NOT NULL")
     title = F.trim(F.regexp_replace(F.substring_index("text", "\n", 1), r"\s+", " "))
     return docs.select(
-        "doc_id", F.col("source").alias("feed"), F.substring(title, 1, 60).alias("title"), F.concat(F.lit("http://www.example.com/"), F.col("doc_id").cast("string"), F.lit("?utm_source=x")).alias("link"),
+        "doc_id", F.col("source").alias("feed"), title.alias("title"), F.concat(F.lit("http://www.example.com/"), F.col("doc_id").cast("string"), F.lit("?utm_source=x")).alias("link"),
         F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("<p>summary & more of "), F.col("doc_id").cast("string"), F.lit("</p>"))).otherwise("short").alias("summary"),
         F.array(F.lit("B Author"), F.lit("A Author")).alias("authors"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("tag"), F.lit("Guest Author"))).alias("tags"),
         F.when(F.col("doc_id") % 3 == 0, "Fri, 05 Jan 2024 12:00:00 +0200").when(F.col("doc_id") % 3 == 1, "2024-01-05T12:00:00Z").alias("published"),
@@ -41,7 +41,7 @@ def _feeds(spark, d) -> DataFrame:
     return per.select("feed", feeds.render_feed(F.concat(F.lit("Feed "), F.col("feed")), F.lit("http://example.com/"), F.col("feed"), made).alias("text"))
 
 
-FEED = r"""given AS (SELECT doc_id, source AS feed, substr(trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g')), 1, 60) AS title, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM documents WHERE text IS NOT NULL),
+FEED = r"""given AS (SELECT doc_id, source AS feed, trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g')) AS title, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM documents WHERE text IS NOT NULL),
 items AS (SELECT *, trim(title) AS clean FROM given WHERE place < 500)"""
 
 
@@ -133,6 +133,25 @@ def s5_changed_documents(spark, d):
     return feeds.changed(docs.withColumn("status_code", F.when(F.col("doc_id") % 10 == 3, 304).otherwise(200)), cache, "source", "text").select("doc_id")
 
 
+#: By the length of a site's name: no file, rules for all, rules for this agent, and rules whose order decides.
+ROBOTS = {1: "User-agent: *\nDisallow: /fr/\nAllow: /\nCrawl-delay: 7", 2: "User-agent: other\nDisallow: /\n\nUser-agent: Tide\nDisallow: /en/\nCrawl-delay: soon\n\nUser-agent: *\nDisallow: /", 3: "# all\nUser-agent: *\nAllow: /de/1\nDisallow: /de/\nDisallow:\nCrawl-delay: 2"}
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS site, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM pages), k AS (SELECT *, length(site) % 4 AS k FROM p)
+  SELECT page_id, CASE k WHEN 1 THEN NOT starts_with(path, '/fr/') WHEN 2 THEN NOT starts_with(path, '/en/') WHEN 3 THEN starts_with(path, '/de/1') OR NOT starts_with(path, '/de/') ELSE true END AS allowed,
+    CASE k WHEN 1 THEN 7.0::DOUBLE WHEN 3 THEN 2.0::DOUBLE ELSE 1.5::DOUBLE END AS delay, CASE WHEN k = 1 AND starts_with(path, '/fr/') OR k = 2 AND starts_with(path, '/en/') OR k = 3 AND starts_with(path, '/de/') AND NOT starts_with(path, '/de/1') THEN 'robots' ELSE 'fetch' END AS gate FROM k""")
+def s5_robots(spark, d):
+    """Addresses of pages under the robots files of their sites, which stand in a table of their own."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    sites = pages.select(robots.site_of(F.col("url")).alias("site")).distinct()
+    text = F.create_map(*[F.lit(x) for pair in ROBOTS.items() for x in pair])[F.length("site") % 4]
+    rules = robots.site_rules(sites.select("site", text.alias("robots")).where("robots IS NOT NULL"), "TideBot/1.0")
+    rows = robots.with_robots(pages, rules)
+    none = F.lit(None)
+    gate = feeds.fetch_gate(none.cast("string"), none.cast("string"), none.cast("timestamp"), F.current_timestamp(), none.cast("boolean"), F.col("allowed"))
+    return rows.select("page_id", "allowed", catalogue.effective_delay(F.lit(1.5), F.col("crawl_delay")).alias("delay"), gate.alias("gate"))
+
+
 DISPATCH = """asked AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'rss' WHEN 1 THEN 'html' WHEN 2 THEN 'headless' ELSE 'rss' END AS collector FROM supplier),
 results AS (SELECT s_suppkey, s_acctbal > 0 AS ok, s_nationkey AS found, s_nationkey // 2 AS saved FROM supplier WHERE s_suppkey % 9 <> 0),
 details AS (SELECT a.s_suppkey, a.collector, a.collector <> 'headless' AND coalesce(r.ok, false) AS success,
@@ -161,11 +180,9 @@ def a10_cycle_summary(spark, d):
 
 @query("SELECT CASE s_suppkey % 8 WHEN 0 THEN 'ELITE_JOURNALS' WHEN 1 THEN 'SCIENCE_MEDIA' WHEN 2 THEN 'AI_LABS' END AS bucket, count(*) AS n FROM supplier WHERE s_suppkey % 8 < 3 GROUP BY 1")
 def s12_catalogue_buckets(spark, d):
-    entries = {}
-    for r in table(spark, d, "supplier").select("s_suppkey", "s_name").collect():  # a catalogue: one row a source
-        group = {0: "ELITE_JOURNALS", 1: "SCIENCE_MEDIA", 2: "AI_LABS", 3: "NO_SUCH_GROUP"}.get(r["s_suppkey"] % 8)
-        entries[str(r["s_suppkey"])] = {"name": r["s_name"], "_group": group}
-    return feeds.group_buckets(feeds.catalogue(spark, entries)).groupBy("bucket").agg(F.count("*").alias("n"))
+    group = F.element_at(F.array(*map(F.lit, ("ELITE_JOURNALS", "SCIENCE_MEDIA", "AI_LABS", "NO_SUCH_GROUP"))), F.least(F.col("s_suppkey") % 8 + 1, F.lit(4)).cast("int"))
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("source_id"), group.alias("_group"))
+    return feeds.group_buckets(rows).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 @query("SELECT s_suppkey, s_nationkey % 5 AS category FROM supplier WHERE s_nationkey % 5 = 2 AND s_acctbal / 10000.0::DOUBLE >= 0.85 OR s_suppkey % 3 = 0 AND s_nationkey < 5")
@@ -199,10 +216,10 @@ def s15_last_lines(spark, d):
     return tail.select("event_id", F.regexp_extract("value", readers.LOG_LINE, 4).alias("message"))
 
 
-@query("SELECT source AS source_id, 'https://example.com/' || doc_id AS link, substr(text, 1, 20) AS title FROM documents WHERE text IS NOT NULL")
+@query("SELECT source AS source_id, 'https://example.com/' || doc_id AS link, split_part(text, chr(10), 1) AS title FROM documents WHERE text IS NOT NULL")
 def s10_replay_lines(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL")
-    item = F.struct(F.concat(F.lit("https://example.com/"), F.col("doc_id").cast("string")).alias("link"), F.substring("text", 1, 20).alias("title"))
+    item = F.struct(F.concat(F.lit("https://example.com/"), F.col("doc_id").cast("string")).alias("link"), F.substring_index("text", "\n", 1).alias("title"))
     path = new_path(spark, "replay")
     docs.select(F.col("source").alias("source_id"), F.lit(200).alias("status_code"), F.array(item).alias("articles")).write.json(path)
     return readers.replay_articles(readers.read_replay(spark, path)).select("source_id", "link", "title")
@@ -246,10 +263,10 @@ def s19_rejects(spark, d):
     return spark.read.schema("key string, source string").json(path)
 
 
-@query("SELECT '2.0' AS version, doc_id, source FROM documents WHERE doc_id < 50")
+@query("SELECT '2.0' AS version, doc_id, source FROM documents")
 def s17_export(spark, d):
     path = new_path(spark, "export")
-    readers.write_export(table(spark, d, "documents").where("doc_id < 50").select("doc_id", "source"), path)
+    readers.write_export(table(spark, d, "documents").select("doc_id", "source"), path)
     return spark.read.schema("version string, article struct<doc_id:long,source:string>").json(path).select("version", "article.doc_id", "article.source")
 
 
@@ -340,15 +357,20 @@ def f9_sentiment(spark, d):
     return _told(spark, d, lambda t, n: E.sentiment(t, n).alias("sentiment"))
 
 
-STAMPS = ("Fri, 05 Jan 2024 12:00:00 +0200", "2024-01-05T12:00:00Z", "5 Mar 2023 7:05 -0330", "2024-02-30", "yesterday", "2024-01-05 23:59:59", "Sat, 6 Jan 2024 00:00:00 GMT", "2024-01-05")
-STAMP_SQL = "CASE event_id % 8 WHEN 0 THEN {} WHEN 1 THEN {} WHEN 2 THEN {} WHEN 3 THEN {} WHEN 4 THEN {} WHEN 5 THEN {} WHEN 6 THEN {} ELSE {} END"
-UTC = STAMP_SQL.format("'2024-01-05 10:00:00'", "'2024-01-05 12:00:00'", "'2023-03-05 10:35:00'", "NULL", "NULL", "'2024-01-05 23:59:59'", "'2024-01-06 00:00:00'", "'2024-01-05 00:00:00'")
+#: How the time of an event is written down, by its id: a form, and the zone with its minutes and the name it is given.
+ZONED = {0: ("mail", "+0200", 120, "UTC+02:00"), 1: ("iso", "Z", 0, "UTC"), 2: ("mail", "-0330", -210, "UTC-03:30"), 4: ("mail", "EST", -300, "UTC-05:00"), 5: ("mail", "PDT", -420, "UTC-07:00"), 6: ("mail", "GMT", 0, "UTC"), 7: ("iso", "-08:00", -480, "UTC-08:00"), 8: ("mail", "XYZ", 0, "XYZ"), 9: ("iso", "", 0, "UTC")}
+_zone_case = lambda part: "CASE event_id % 10 " + " ".join(f"WHEN {k} THEN {part(v)}" for k, v in ZONED.items()) + " END"
 
 
-@query(f"""SELECT event_id, {UTC} AS utc, {STAMP_SQL.format("120", "0", "-210", "NULL", "NULL", "0", "0", "0")} AS offset_minutes, {STAMP_SQL.format("'UTC+02:00'", "'UTC'", "'UTC-03:30'", "NULL", "NULL", "'UTC'", "'UTC'", "'UTC'")} AS zone FROM events""")
+@query(f"""WITH e AS (SELECT event_id, date_trunc('second', ts) AS ts, {_zone_case(lambda v: v[2])} AS m, {_zone_case(lambda v: f"'{v[3]}'")} AS zone FROM events)
+  SELECT event_id, strftime(ts - to_minutes(m), '%Y-%m-%d %H:%M:%S') AS utc, m AS offset_minutes, zone FROM e""")
 def f13_stamps(spark, d):
-    text = F.element_at(F.array(*map(F.lit, STAMPS)), (F.col("event_id") % 8 + 1).cast("int"))
-    rows = table(spark, d, "events").select("event_id", E.parse_stamp(text).alias("s"))
+    """The clock of each event, written with a zone; a tenth are no dates."""
+    k, text = F.col("event_id") % 10, F.lit("yesterday")
+    for i, (form, zone, *_) in ZONED.items():
+        clock = F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss" if form == "mail" else "yyyy-MM-dd'T'HH:mm:ss")
+        text = F.when(k == i, F.concat(clock, F.lit(f" {zone}" if form == "mail" else zone))).otherwise(text)
+    rows = events(spark, d).select("event_id", E.parse_stamp(text).alias("s"))
     return rows.select("event_id", F.date_format("s.utc", "yyyy-MM-dd HH:mm:ss").alias("utc"), F.col("s.offset_minutes").alias("offset_minutes"), F.col("s.zone").alias("zone"))
 
 

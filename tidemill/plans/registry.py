@@ -12,8 +12,9 @@ from tidemill.functions import html as H
 from tidemill.functions import lexicons as L
 from tidemill.functions import text as T
 from tidemill.functions import urls as U
-from tidemill.operators import analytics, catalogue, dedup, editorial, explain, folds, monitoring, ranking, scoring, validation
+from tidemill.operators import analytics, catalogue, dedup, editorial, explain, folds, monitoring, paging, ranking, scoring, validation
 from tidemill.plans.bindings import ARTICLES, articles, events, table
+from tidemill.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -708,9 +709,30 @@ def a19_suggested_blacklist(spark, d):
     return per.where("n_view > 0 AND n_purchase < 5").select(F.col("source_id").alias("user_id"))
 
 
-@query(f"WITH {ARTICLES}, p AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM articles) SELECT id, CAST((n - 1) // 50 AS INTEGER) AS page FROM p WHERE n <= 150")
+@query(f"""WITH {ARTICLES}, base AS (SELECT id, (id * 7919) % 1000 AS collected, id % 3 = 0 AS pending FROM articles), sizes AS (SELECT greatest(1, (count(*) + 3) // 4) AS size FROM base),
+  first AS (SELECT id, (row_number() OVER (ORDER BY collected, id) - 1) // size AS page FROM base, sizes WHERE pending), n AS (SELECT coalesce(max(page) + 1, 0) AS pages FROM first),
+  second AS (SELECT id, pending, (row_number() OVER (ORDER BY collected, id) - 1) // size AS page FROM base, sizes)
+  SELECT id, CAST(page AS INTEGER) AS page, 'pending' AS listing FROM first UNION ALL SELECT id, CAST(page + pages AS INTEGER), 'completed' FROM second, n WHERE NOT pending""")
 def w5_paged_cycle(spark, d):
-    return catalogue.pages_until(articles(spark, d).select("id"), [F.col("id")], 50, 120)
+    """Pages of pending articles, which are completed as they are taken, then of all completed ones: each article comes once."""
+    rows = articles(spark, d).select("id", (F.col("id") * 7919 % 1000).alias("collected"), (F.col("id") % 3 == 0).alias("pending"))
+    size = max(1, (rows.count() + 3) // 4)
+    done = new_path(spark, "completed")
+    rows.limit(0).select("id").write.parquet(f"{done}/n=none")
+    completed = lambda: spark.read.schema("id long").option("recursiveFileLookup", "true").parquet(done)
+    process = lambda taken: taken.select("id").write.mode("append").parquet(done)
+    listings = [
+        ("pending", lambda: rows.where("pending").join(completed(), "id", "left_anti").select("id", "collected")),
+        ("completed", lambda: rows.where("NOT pending").unionByName(rows.where("pending").join(completed(), "id", "left_semi")).select("id", "collected")),
+    ]
+    return paging.paged_cycle(spark, listings, process, size).rows.select("id", "page", "listing")
+
+
+@query(f"WITH {ARTICLES}, r AS (SELECT id, coalesce(score, 0) AS score FROM articles) SELECT id, score FROM r WHERE score < 0.05 OR score = 0.05 AND id < 500 ORDER BY score DESC, id DESC LIMIT 51")
+def k2_deep_page(spark, d):
+    """A page deep in a ranked list that is kept in order: only the files that it stands in are read."""
+    kept = paging.RankedTable(spark, new_path(spark, "ranked")).write(articles(spark, d).select("id", "score"), files=8)
+    return kept.page(50, (0.05, 500)).select("id", F.col("rank_score").alias("score"))
 
 
 @query(f"WITH {ARTICLES} SELECT id FROM articles WHERE score >= 0.3 ORDER BY score DESC, id DESC LIMIT 10")
