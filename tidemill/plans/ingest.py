@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import enrich as E
+from tidemill.functions import sql
 from tidemill.functions import topics as W
 from tidemill.operators import catalogue
 from tidemill.plans.bindings import events, table
 from tidemill.plans.registry import ACCENTS_SQL, query, sql_text
 from tidemill.session import new_path
-from tidemill.sources import feeds, readers, robots
+from tidemill.sources import feeds, formats, readers, robots
 
 # ---- feeds
 
@@ -81,6 +82,14 @@ def s11_replay_queue(spark, d):
     return feeds.answered(requests, queue, "user_id")
 
 
+@query(f"WITH {FEED} SELECT feed AS source, CAST(place AS INTEGER) AS place, nullif(clean, '') AS title, 'http://www.example.com/' || doc_id || '?utm_source=x' AS link FROM items WHERE feed IS NOT NULL")
+def s3_feed_function(spark, d):
+    """Items of feeds by a table function, in SQL text."""
+    sql.register(spark)
+    _feeds(spark, d).where("feed IS NOT NULL").select(F.col("feed").alias("source"), F.col("text").alias("feed")).createOrReplaceTempView("landed_feeds")
+    return spark.sql("SELECT source, place, title, link FROM feed_items(TABLE(landed_feeds))")
+
+
 # ---- index pages and posts
 
 
@@ -209,6 +218,19 @@ def s14_log_lines(spark, d):
     return readers.read_log(spark, path)
 
 
+@query("SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, 'mod:' || user_id AS place, 'event ' || event_id AS message FROM events WHERE event_id % 10 <> 9")
+def s14_followed_log(spark, d):
+    """A log that is written in two parts and followed as a stream, from the bytes where each run stopped."""
+    formats.register(spark)
+    path, out, place = (new_path(spark, x) for x in ("log", "log-lines", "log-offsets"))
+    stream = spark.readStream.format("tidemill_log").option("ends", ".txt").load(path).select("time", "level", "place", "message")
+    lines = _log(spark, d)
+    for half in (F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1):
+        lines.where(half).select("value").write.mode("append").text(path)
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 @query("SELECT event_id, 'event ' || event_id AS message FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 200) WHERE event_id % 10 <> 9 ORDER BY event_id DESC LIMIT 50")
 def s15_last_lines(spark, d):
     log = _log(spark, d).withColumn("readable", F.col("value").rlike(readers.LOG_LINE))
@@ -246,6 +268,27 @@ def s16_front_matter(spark, d):
     return found.select(F.col("front")["id"].cast("long").alias("item_id"), F.col("front")["title"].alias("title"), F.length(F.regexp_replace("body", "\n$", "")).alias("n_chars"))
 
 
+@query("""SELECT item_id, 'Title: ' || item_id AS title, CASE WHEN item_id % 3 = 0 THEN NULL ELSE 'https://blog.example.com/posts/' || item_id || '/' END AS published_url,
+  CASE item_id % 4 WHEN 0 THEN 'https://a.example.com/' || item_id WHEN 1 THEN 'https://b.example.com/' || item_id WHEN 2 THEN 'https://c.example.com/' || item_id END AS source_url, length(text) AS n_chars FROM benchmark""")
+def f30_published_urls(spark, d):
+    """Posts written as Markdown files and read back, with the addresses that their front matter and bodies name."""
+    formats.register(spark)
+    key, kind, path = F.col("item_id").cast("string"), F.col("item_id") % 4, new_path(spark, "posts")
+    at = lambda host: F.concat(F.lit(f"https://{host}.example.com/"), key)
+    front = F.map_filter(
+        F.create_map(
+            F.lit("title"), F.concat(F.lit("Title: "), key), F.lit("id"), key, F.lit("permalink"), F.when(F.col("item_id") % 3 != 0, F.concat(F.lit("/posts/"), key, F.lit("/"))),
+            F.lit("source_url"), F.when(kind == 0, at("a")), F.lit("original_url"), F.when(kind < 2, at("b")),
+        ), lambda k, v: v.isNotNull(),
+    )
+    body = F.when(kind == 2, F.concat("text", F.lit("\n\nFuente original: "), at("c"))).otherwise(F.col("text"))
+    posts = table(spark, d, "benchmark").select(F.concat(F.lit("post-"), key).alias("name"), front.alias("front"), body.alias("body"))
+    posts.write.format("tidemill_posts").mode("append").save(path)
+    rows = spark.read.format("tidemill_posts").option("site", "https://blog.example.com").load(path)
+    text = F.regexp_replace("body", r"\n\nFuente original: \S+$", "")
+    return rows.select(F.col("front")["id"].cast("long").alias("item_id"), F.col("front")["title"].alias("title"), "published_url", "source_url", F.length(text).cast("long").alias("n_chars"))
+
+
 @query("SELECT user_id, count(*) AS attempted, round(count(*) FILTER (event_type = 'purchase') / count(*), 3) AS save_ratio FROM events GROUP BY 1")
 def s18_health_file(spark, d):
     per = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("attempted"), F.round(F.count_if(F.col("event_type") == "purchase") / F.count("*"), 3).alias("save_ratio"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import html as H
 from tidemill.functions import lexicons as L
+from tidemill.functions import sql
 from tidemill.functions import text as T
 from tidemill.functions import urls as U
 from tidemill.operators import analytics, catalogue, dedup, editorial, explain, folds, monitoring, paging, ranking, scoring, validation
@@ -445,6 +446,15 @@ def u5_missing(spark, d):
 # ---- scalar functions
 
 
+@query(f"WITH {URL_SQL} SELECT page_id, urls.url, length(html) > 0 AS has_text, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '{SPACES}', ' ', 'g')).replace('&amp;', '&') AS title FROM urls JOIN pages USING (page_id)")
+def f1_sql_functions(spark, d):
+    """The library's functions in SQL text."""
+    sql.register(spark)
+    table(spark, d, "pages").createOrReplaceTempView("landed_pages")
+    found = spark.sql("SELECT page_id, canonical_url(url) AS url, normalize_text(clean_html(html)) <> '' AS has_text, normalize_text(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title FROM landed_pages")
+    return found.select("page_id", "url", "has_text", "title")
+
+
 @query(f"WITH {URL_SQL} SELECT page_id, url FROM urls")
 def f1_canonical_urls(spark, d):
     return table(spark, d, "pages").select("page_id", U.canonical_column(F.col("url")).alias("url"))
