@@ -11,9 +11,16 @@ def top_k(df: DataFrame, least: float, k: int, score: str = "score", key: str =
 
 
 def after_cursor(score: Column, key: Column, last_score: float, last_key: int) -> Column:
-    """Rows behind a cursor in an order by (coalesce(score, 0) desc, key desc)."""
-    s = F.coalesce(score, F.lit(0.0))
-    return (s < last_score) | ((s == last_score) & (key < last_key))
+    """Rows behind a cursor in an order by (score desc, null as 0, key desc).
+
+    Written out for nulls, so that the scan is asked of the column itself and may leave row groups out.
+    """
+    below, level = score < last_score, score == last_score
+    if last_score > 0:
+        below = below | score.isNull()
+    if last_score == 0:
+        level = level | score.isNull()
+    return below | (level & (key < last_key))
 
 
 def feed_page(df: DataFrame, size: int, cursor: tuple[float, int] | None = None, score: str = "score", key: str = "id") -> DataFrame:

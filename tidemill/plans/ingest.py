@@ -436,7 +436,22 @@ def _tags(spark, d) -> DataFrame:
 RULES = dict(stop=("noticias",), spelling={"quimica": "química"}, alias={"space x": "spacex"}, short=("ai",))
 
 
-@query()
+FOLDED_TAG = ACCENTS_SQL.format("{}")
+TAGS_SQL = f"""WITH w AS (SELECT [{", ".join(map(sql_text, TAG_WORDS))}] AS words),
+  g AS (SELECT doc_id, list_transform(range(0, doc_id % 11 + 4), lambda i: words[(doc_id * 7 + i * 4) % {len(TAG_WORDS)} + 1]) AS given FROM documents, w),
+  c AS (SELECT doc_id, list_transform(given, lambda t: {{'given': t, 'tag': regexp_replace(replace(regexp_replace(lower(trim(t)), '[-_]', ' ', 'g'), '.', ''), '\\s+', ' ', 'g')}}) AS c FROM g),
+  k AS (SELECT doc_id, c, list_filter(c, lambda x: x.tag = '' OR x.tag = 'noticias') AS gone, list_transform(list_filter(c, lambda x: x.tag <> '' AND x.tag <> 'noticias'), lambda x: {{'a': x.tag, 'b': CASE x.tag WHEN 'quimica' THEN 'química' ELSE x.tag END}}) AS ab FROM c),
+  s AS (SELECT *, list_transform(ab, lambda x: {{'a': x.a, 'b': x.b, 'c': CASE x.b WHEN 'space x' THEN 'spacex' ELSE x.b END}}) AS spelt, list_transform(spelt, lambda x: x.c) AS final, list_transform(final, lambda t: {FOLDED_TAG.format("t")}) AS folded FROM k),
+  f AS (SELECT *, list_filter(final, lambda t, i: list_position(folded, {FOLDED_TAG.format("t")}) = i) AS firsts FROM s),
+  r AS (SELECT *, list_filter(firsts, lambda t: (length(t) >= 3 OR t = 'ai') AND length(t) <= 40) AS fit, list_filter(firsts, lambda t: NOT ((length(t) >= 3 OR t = 'ai') AND length(t) <= 40)) AS unfit FROM f)
+  SELECT doc_id, array_to_string(fit[1:8], '|') AS tags, array_to_string(list_concat(list_transform(gone, lambda x: CASE x.tag WHEN '' THEN x.given ELSE x.tag END), unfit), '|') AS removed,
+    array_to_string(flatten(list_transform(spelt, lambda x: list_filter([CASE WHEN x.a <> x.b THEN x.a || '>' || x.b END, CASE WHEN x.b <> x.c THEN x.b || '>' || x.c END], lambda y: y IS NOT NULL))), '|') AS replaced,
+    array_to_string(list_filter(list_transform(final, lambda t, i: CASE WHEN list_position(folded, {FOLDED_TAG.format("t")}) < i AND final[list_position(folded, {FOLDED_TAG.format("t")})] <> t THEN final[list_position(folded, {FOLDED_TAG.format("t")})] || '>' || t END), lambda y: y IS NOT NULL), '|') AS merged,
+    array_to_string(list_concat(list_concat(list_transform(list_filter(c, lambda x: x.tag = 'noticias'), lambda x: 'removed stop tag: ' || x.tag), list_transform(unfit, lambda t: CASE WHEN length(t) > 40 THEN 'removed long tag: ' ELSE 'removed short tag: ' END || t)),
+      CASE WHEN len(fit) > 8 THEN ['truncated tags to max 8'] ELSE [] END), '|') AS warnings FROM r"""
+
+
+@query(TAGS_SQL)
 def f17_clean_tags(spark, d):
     rows = _tags(spark, d).select("doc_id", E.sanitize_tags(F.col("tags"), **RULES).alias("r"))
     return rows.select("doc_id", *[F.array_join(f"r.{c}", "|").alias(c) for c in ("tags", "removed", "replaced", "merged", "warnings")])
