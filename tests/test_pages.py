@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemill.functions.feed_xml import NOT_WELL_FORMED, NOT_XML, UNDECLARED, FeedReader
-from tidemill.sources import feeds, nodes
+from tidemill.sources import feeds, images, nodes
 
 # ---- feeds
 
@@ -162,3 +162,23 @@ def test_listed_articles_by_selectors(spark):
     assert of(2, "section") == [("Out", "https://o.com/in"), ("Inside", "https://o.com/in")]
     assert of(3, "a.card", "self") == [("Card", "https://e.com/c/1")]
     assert of(4) == []
+
+
+def test_images(spark):
+    pages = {
+        1: '<head><meta name="twitter:image" content="t.png"><meta property="og:image" content=""><meta property="og:image" content="late.png"><meta itemprop=image content="http://o.com/ads.png"></head><img src=a.jpg>',
+        2: '<img src=out.jpg><div class="x my-content"><img src=in.jpg width=700><img src=in.jpg width=100><img src="b.jpg" width="100%"></div>',
+        3: '<div class=post><img src=p.jpg></div><main><img src=m.jpg height=149></main>',
+        4: '<article></article><main><img src=m.jpg></main>',
+        5: '<article><img src=a.jpg width=10><img src=a.jpg width=200.7px><img src=a.jpg width=900><img src="../../up.jpg" width=..><img id=Logo src=l.jpg><img src=" "><img></article>',
+        6: "",
+    }
+    df = spark.createDataFrame(list(pages.items()), "id int, html string").withColumn("base", F.lit("https://e.com/x/y.html"))
+    got = {}
+    for r in images.page_images(df, "html", "base", "id").orderBy("id", "place").collect():
+        got.setdefault(r.id, []).append((r.url, r.source, r.score, r.width))
+    assert got == {
+        1: [("https://e.com/x/t.png", "meta:twitter:image", 10.0, None), ("http://o.com/ads.png", "meta:image", 10.0, None), ("https://e.com/x/a.jpg", "dom", 1.0, None)],
+        2: [("https://e.com/x/in.jpg", "dom", 3.0, 700)],
+        5: [("https://e.com/x/a.jpg", "dom", 1.0, 200), ("https://e.com/up.jpg", "dom", 1.0, None), ("https://e.com/x/y.html", "dom", 1.0, None)],
+    }

@@ -18,13 +18,9 @@ ZONES = {
     "ut": 0, "utc": 0, "gmt": 0, "z": 0, "at": -240, "ast": -240, "adt": -180, "et": -300, "est": -300, "edt": -240, "ct": -360, "cst": -360, "cdt": -300,
     "mt": -420, "mst": -420, "mdt": -360, "pt": -480, "pst": -480, "pdt": -420, "a": -60, "n": 60, "m": -720, "y": 720,
 }
-#: Signs of images that are no picture of an article, and lengths that tags may have.
-NO_PICTURE = r"logo|icon|avatar|width=\d{1,2}&|tracker|pixel|ads|banner|social|share|button|spacer|placeholder"
-LEAST_SIDE, WIDE = 150, 600
+#: Lengths that tags may have, and their letters.
 LEAST_TAG, MOST_TAG, MOST_TAGS = 3, 40, 8
 TAG = r"^[a-z0-9áéíóúüñ\s]+$"
-METAS = (("property", "og:image"), ("property", "og:image:secure_url"), ("name", "twitter:image"), ("name", "twitter:image:src"), ("itemprop", "image"))
-SOURCES = ("data-src", "data-original", "data-lazy-src", "src")
 
 
 def lower(text: Column) -> Column:
@@ -226,55 +222,3 @@ def validate_tags(tags: Column, stop: tuple[str, ...] = (), short: tuple[str, ..
     warnings = F.when(F.size(tags) > MOST_TAGS, F.array(F.format_string(f"Tag count (%d) exceeds limit ({MOST_TAGS})", F.size(tags)))).otherwise(F.array().cast(text))
     review = F.exists(tags, lambda t: ~t.rlike(TAG) | F.array_contains(stops, t))
     return F.struct((F.size(errors) == 0).alias("is_valid"), review.alias("needs_review"), errors.alias("errors"), warnings.alias("warnings"))
-
-
-def attribute(tag: Column, name: str) -> Column:
-    """An attribute of an HTML tag, quoted either way or bare; null if it is not there or empty."""
-    found = F.regexp_extract(tag, rf"""(?i)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 0)
-    value = F.regexp_replace(F.regexp_replace(found, rf"(?i)^[\s\"']{name}\s*=\s*", ""), "^[\"']|[\"']$", "")
-    return F.when(F.trim(value) != "", F.trim(value))
-
-
-def absolute_url(url: Column, base: Column) -> Column:
-    """A URL resolved against a base; null unless it is http or https with a host. Dot segments stay as they are."""
-    root = F.regexp_extract(base, r"(?i)^(https?://[^/?#]+)", 1)
-    folder = F.regexp_extract(base, r"(?i)^(https?://[^?#]*/)[^/?#]*", 1)
-    full = (
-        F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), url).when(F.startswith(url, F.lit("//")), F.concat(F.regexp_extract(base, r"(?i)^(https?:)", 1), url))
-        .when(F.startswith(url, F.lit("/")), F.concat(root, url)).otherwise(F.concat(F.when(F.length(folder) > F.length(root), folder).otherwise(F.concat(root, F.lit("/"))), url))
-    )
-    return F.when(full.rlike(r"(?i)^https?://[^/?#]"), full)
-
-
-def image_candidates(html: Column, base: Column) -> Column:
-    """(url, source, score, width, height) of the pictures of a page: those named in its head first, then those in its
-    article (or main part, or the whole page), without icons, small ones and repeats; wide ones score higher."""
-    kind = "array<struct<url:string,source:string,score:double,width:int,height:int>>"
-    page = F.coalesce(html, F.lit(""))
-    metas = F.regexp_extract_all(page, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
-    none = F.lit(None).cast("int")
-
-    def meta(attr: str, value: str) -> Column:
-        contents = F.transform(F.filter(metas, lambda m: attribute(m, attr) == value), lambda m: attribute(m, "content"))
-        urls = F.transform(F.slice(contents, 1, 1), lambda c: absolute_url(c, base))
-        url = F.get(urls, F.lit(0))
-        return F.when(url.isNotNull(), F.struct(url.alias("url"), F.lit(f"meta:{value}").alias("source"), F.lit(10.0).alias("score"), none.alias("width"), none.alias("height")))
-
-    named = F.array_compact(F.array(*[meta(a, v) for a, v in METAS]))
-    body = F.coalesce(*[F.when(x != "", x) for x in (F.regexp_extract(page, rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>", 0) for t in ("article", "main"))], page)
-    side = lambda tag, name: F.try_to_number(F.regexp_extract(F.regexp_replace(attribute(tag, name), r"[^0-9.]", ""), r"^([0-9]{1,9})", 1), F.lit("999999999")).cast("int")
-    # step by step, so that no expression is repeated inside another
-    read = F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<img\b[^>]*>"), F.lit(0)), lambda t: F.struct(
-        F.coalesce(*[attribute(t, a) for a in SOURCES]).alias("src"), side(t, "width").alias("width"), side(t, "height").alias("height"),
-        F.lower(F.concat_ws(" ", attribute(t, "class"), attribute(t, "id"))).alias("names"),
-    ))
-    placed = F.transform(read, lambda r: F.struct(absolute_url(r["src"], base).alias("url"), r["width"].alias("width"), r["height"].alias("height"), r["names"].alias("names")))
-    small = lambda side: F.coalesce((side > 0) & (side < LEAST_SIDE), F.lit(False))
-    good = F.filter(placed, lambda r: r["url"].isNotNull() & ~F.lower(r["url"]).rlike(NO_PICTURE) & ~small(r["width"]) & ~small(r["height"]) & ~F.contains(r["names"], F.lit("logo")))
-    shown = F.transform(good, lambda r: F.struct(r["url"].alias("url"), F.lit("dom").alias("source"), F.when(r["width"] > WIDE, 3.0).otherwise(1.0).alias("score"), r["width"].alias("width"), r["height"].alias("height")))
-    every = F.concat(named.cast(kind), shown.cast(kind))
-    # the first of equal addresses: a fold keeps the list so far
-    first = F.aggregate(every, F.array().cast(kind), lambda kept, x: F.when(F.exists(kept, lambda k: k["url"] == x["url"]), kept).otherwise(F.array_append(kept, x)))
-    level = lambda xs, s: F.filter(xs, lambda x: x["score"] == s)
-    sorted_ = F.transform(F.array(first), lambda xs: F.concat(level(xs, 10.0), level(xs, 3.0), level(xs, 1.0)))
-    return F.get(sorted_, F.lit(0))

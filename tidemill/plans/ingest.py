@@ -16,7 +16,7 @@ from tidemill.operators import catalogue
 from tidemill.plans.bindings import events, table
 from tidemill.plans.registry import ACCENTS_SQL, query, sql_text
 from tidemill.session import new_path
-from tidemill.sources import feeds, formats, readers, robots
+from tidemill.sources import feeds, formats, images, readers, robots
 
 # ---- feeds
 
@@ -475,15 +475,23 @@ def f21_article_topics(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(E.article_topics(metadata, keywords), "|").alias("topics"))
 
 
-@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://cdn.example.com/head.jpg meta:og:image 10|https://h.example.com/img/wide.jpg dom 3|https://h.example.com/a/plain.jpg dom 1' WHEN 1 THEN 'https://h.example.com/img/wide.jpg dom 3|https://h.example.com/a/plain.jpg dom 1' ELSE 'http://other.example.com/t.png meta:twitter:image 10' END AS images FROM pages""")
+@query(f"""WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, regexp_extract(url, '^(https?://[^?#]*/)', 1) AS folder FROM pages),
+  every AS (SELECT page_id, 0 AS place, regexp_extract(root, '^https?:') || '//cdn.example.com/' || page_id || '.jpg' AS url, 'meta:og:image' AS source, 10.0::DOUBLE AS score, CAST(NULL AS INTEGER) AS width FROM p WHERE page_id % 3 = 0
+  UNION ALL SELECT page_id, CASE page_id % 3 WHEN 0 THEN 1 ELSE 0 END, root || '/img/' || page_id || '.jpg', 'dom', 3.0::DOUBLE, CAST(601 + page_id % 300 AS INTEGER) FROM p WHERE page_id % 3 < 2
+  UNION ALL SELECT page_id, CASE page_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END, folder || 'plain.jpg', 'dom', 1.0::DOUBLE, NULL FROM p)
+  SELECT * FROM every WHERE source <> 'dom' OR NOT regexp_matches(lower(url), '{images.NO_PICTURE}')""")
 def f22_image_candidates(spark, d):
-    head = F.lit('<head><meta property="og:image" content="//cdn.example.com/head.jpg"></head>')
-    body = F.lit(
-        "<article><p>text</p><img src='plain.jpg'><IMG data-src=\"/img/wide.jpg\" src='x.gif' width='800px' height=500><img src=\"/img/logo.png\">"
-        '<img src="/img/small.jpg" width="100"><img class="site-logo" src="/img/x.jpg"><img src="plain.jpg"><img src="data:image/png;base64,AA"></article><img src="/img/outside.jpg">'
+    """Pages as they are, with pictures put before and into their articles: icons, small ones, logos, repeats, and other schemes among them."""
+    key = F.col("page_id").cast("string")
+    head = F.concat(F.lit('<meta property="og:image" content="//cdn.example.com/'), key, F.lit('.jpg"></head>'))
+    wide = F.concat(F.lit('<IMG data-src="/img/'), key, F.lit(".jpg\" src='x.gif' width='"), (601 + F.col("page_id") % 300).cast("string"), F.lit("px' height=500>"))
+    rest = F.lit(
+        '<img src="/img/logo.png"><img src="/img/small.jpg" width="100"><img class="site-logo" src="/img/x.jpg"><img src="plain.jpg"><img src="./plain.jpg">'
+        '<img src="data:image/png;base64,AA"><img src="" data-original="mailto:x">'
     )
-    third = F.lit('<meta name="twitter:image" content="http://other.example.com/t.png"><main><img src="" data-original="mailto:x"></main>')
-    i = F.col("page_id") % 3
-    html = F.when(i == 0, F.concat(head, body)).when(i == 1, body).otherwise(third)
-    found = E.image_candidates(html, F.lit("https://h.example.com/a/b.html?x=1/2"))
-    return table(spark, d, "pages").select("page_id", F.array_join(F.transform(found, lambda x: F.concat_ws(" ", x["url"], x["source"], x["score"].cast("int").cast("string"))), "|").alias("images"))
+    third = F.col("page_id") % 3
+    html = F.when(third == 0, F.replace("html", F.lit("</head>"), head)).otherwise(F.col("html"))
+    inside = F.concat(F.lit("<article>"), rest, F.when(third < 2, wide).otherwise(F.lit("")))
+    html = F.concat(F.lit('<img src="/img/outside.jpg">'), F.replace(html, F.lit("<article>"), inside))
+    rows = table(spark, d, "pages").select("page_id", "url", html.alias("html"))
+    return images.page_images(rows, "html", "url", "page_id").select("page_id", "place", "url", "source", "score", "width")

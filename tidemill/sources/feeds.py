@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions.feed_xml import FeedReader
-from tidemill.functions.urls import canonical_column
+from tidemill.functions.urls import canonical_column, joined_url
 from tidemill.operators.dedup import written
 from tidemill.sources.nodes import first_inside, node_table, selected, texts_inside
 from tidemill.sources.readers import LEAST_TITLE, MOST_ENTRIES
@@ -178,10 +178,7 @@ def listed_articles(pages: DataFrame, html: str, base: str, key: str, container:
     )
     found = named.unionByName(read).withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1).where("url <> '' AND title <> ''")
     out = found.join(pages.select(key, base), key)
-    root, folder = F.regexp_extract(base, r"(?i)^(https?://[^/?#]+)", 1), F.regexp_extract(base, r"(?i)^(https?://[^/?#]+(?:/[^?#]*/|/)?)", 1)
-    there = F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/")))
-    scheme = F.concat(F.regexp_extract(base, r"(?i)^(https?:)", 1), "url")
-    url = F.when(F.startswith("url", F.lit("http")), F.col("url")).when(F.startswith("url", F.lit("//")), scheme).when(F.startswith("url", F.lit("/")), F.concat(root, "url")).otherwise(F.concat(there, "url"))
+    url = F.when(F.startswith("url", F.lit("http")), F.col("url")).otherwise(joined_url(F.col(base), F.col("url")))
     return out.select(key, base, "place", "title", url.alias("url"), "description", "date")
 
 
