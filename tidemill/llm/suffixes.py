@@ -114,11 +114,12 @@ def bucketed(docs: DataFrame) -> DataFrame:
     """The documents as a table bucketed by doc, with `copy`: whether an earlier document has the same text."""
     spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
     rows = numbered(docs)
-    firsts = rows.groupBy(F.md5("text").alias("mark"), F.octet_length("text").alias("size")).agg(F.min("doc").alias("first"), F.count("*").alias("n"))
+    firsts = rows.groupBy(F.md5("text").alias("mark"), F.octet_length("text").alias("size")).agg(F.min("doc").alias("first"))
     firsts = firsts.select(F.col("first").alias("doc"), F.lit(False).alias("copy"))
-    rows = rows.repartition(n, "doc").join(firsts, "doc", "left").withColumn("copy", F.coalesce("copy", F.lit(True)))
+    # the join deals texts out by doc, as the buckets want them; without the hint a small side might be broadcast, and each task write into all buckets
+    rows = rows.join(firsts.hint("shuffle_hash"), "doc", "left").withColumn("copy", F.coalesce("copy", F.lit(True)))
     name = f"suffix_documents_{uuid.uuid4().hex}"
-    rows.repartition(n, "doc").write.bucketBy(n, "doc").option("compression", "zstd").option("path", new_folder(spark, "suffix-documents")).saveAsTable(name)
+    rows.write.bucketBy(n, "doc").option("compression", "zstd").option("path", new_folder(spark, "suffix-documents")).saveAsTable(name)
     return spark.table(name)
 
 
