@@ -29,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,8 +84,8 @@ def around(raw: bytes, at: int, length: int = LENGTH, k: int = ANCHOR) -> tuple[
 
 
 def digest(before: bytes, after: bytes) -> bytes:
-    """128 bits over both sides and the place of the border between them."""
-    return xxhash.xxh3_128_digest(len(before).to_bytes(2, "big") + before + after)
+    """128 bits of BLAKE2 over both sides and the place of the border between them: no two strings that anyone knows share them."""
+    return hashlib.blake2b(len(before).to_bytes(2, "big") + before + after, digest_size=16).digest()
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -114,7 +113,7 @@ def bucketed(docs: DataFrame) -> DataFrame:
     """The documents as a table bucketed by doc, with `copy`: whether an earlier document has the same text."""
     spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
     rows = numbered(docs)
-    firsts = rows.groupBy(F.md5("text").alias("mark"), F.octet_length("text").alias("size")).agg(F.min("doc").alias("first"))
+    firsts = rows.groupBy(F.unhex(F.sha2("text", 256)).alias("mark")).agg(F.min("doc").alias("first"))
     firsts = firsts.select(F.col("first").alias("doc"), F.lit(False).alias("copy"))
     # the join deals texts out by doc, as the buckets want them; without the hint a small side might be broadcast, and each task write into all buckets
     rows = rows.join(firsts.hint("shuffle_hash"), "doc", "left").withColumn("copy", F.coalesce("copy", F.lit(True)))
