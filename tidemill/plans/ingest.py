@@ -14,7 +14,7 @@ from tidemill.functions import sql
 from tidemill.functions import topics as W
 from tidemill.operators import catalogue
 from tidemill.plans.bindings import events, table
-from tidemill.plans.registry import ACCENTS_SQL, query, sql_text
+from tidemill.plans.registry import ACCENTS_SQL, SPACES, query, sql_text
 from tidemill.session import new_path
 from tidemill.sources import feeds, formats, images, readers, robots
 
@@ -457,22 +457,26 @@ def f17_clean_tags(spark, d):
     return rows.select("doc_id", *[F.array_join(f"r.{c}", "|").alias(c) for c in ("tags", "removed", "replaced", "merged", "warnings")])
 
 
-@query(r"""WITH w AS (SELECT ['energía', 'x', 'noticias', 'Bad-Tag', 'ciencia'] AS words), t AS (SELECT doc_id, words[doc_id % 5 + 1] AS tag FROM documents, w)
-  SELECT doc_id, tag IN ('energía', 'ciencia') AS is_valid, tag IN ('noticias', 'Bad-Tag') AS needs_review,
-    CASE tag WHEN 'x' THEN 'Tag too short: ''x''' WHEN 'noticias' THEN 'Forbidden stop tag found: ''noticias''' WHEN 'Bad-Tag' THEN 'Invalid characters in tag: ''Bad-Tag''' ELSE '' END AS errors FROM t""")
+@query(f"""WITH w AS (SELECT [{", ".join(map(sql_text, TAG_WORDS))}] AS words),
+  t AS (SELECT doc_id, list_transform(range(0, doc_id % 11 + 4), lambda i: words[(doc_id * 7 + i * 4) % {len(TAG_WORDS)} + 1]) AS tags FROM documents, w),
+  e AS (SELECT *, flatten(list_transform(tags, lambda t: list_filter([
+    CASE WHEN NOT regexp_full_match(t, '[a-z0-9áéíóúüñ\\s]+') THEN 'Invalid characters in tag: ''' || t || '''' END, CASE WHEN t = 'noticias' THEN 'Forbidden stop tag found: ''' || t || '''' END,
+    CASE WHEN length(t) < 3 THEN 'Tag too short: ''' || t || '''' END, CASE WHEN length(t) > 40 THEN 'Tag too long: ''' || t || '''' END], lambda x: x IS NOT NULL))) AS errors FROM t)
+  SELECT doc_id, len(errors) = 0 AS is_valid, len(list_filter(tags, lambda t: NOT regexp_full_match(t, '[a-z0-9áéíóúüñ\\s]+') OR t = 'noticias')) > 0 AS needs_review, array_to_string(errors, '|') AS errors,
+    CASE WHEN len(tags) > 8 THEN 'Tag count (' || len(tags) || ') exceeds limit (8)' ELSE '' END AS warnings FROM e""")
 def f18_validated_tags(spark, d):
-    words = F.array(*map(F.lit, ("energía", "x", "noticias", "Bad-Tag", "ciencia")))
-    tags = F.array(F.element_at(words, (F.col("doc_id") % 5 + 1).cast("int")))
-    rows = table(spark, d, "documents").select("doc_id", E.validate_tags(tags, stop=("noticias",)).alias("r"))
-    return rows.select("doc_id", "r.is_valid", "r.needs_review", F.array_join("r.errors", "|").alias("errors"))
+    rows = _tags(spark, d).select("doc_id", E.validate_tags(F.col("tags"), stop=("noticias",)).alias("r"))
+    return rows.select("doc_id", "r.is_valid", "r.needs_review", F.array_join("r.errors", "|").alias("errors"), F.array_join("r.warnings", "|").alias("warnings"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'space|' || lang WHEN doc_id % 3 = 1 THEN 'word' ELSE '' END AS topics FROM documents")
+@query(rf"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN coalesce(source || '|', '') || lang WHEN doc_id % 3 = 1 THEN array_to_string(list_filter(string_split_regex(coalesce(text, ''), '{SPACES}')[1:3], lambda w: w <> ''), '|') ELSE '' END AS topics FROM documents""")
 def f21_article_topics(spark, d):
+    """Topics in the metadata of a third of the documents, keywords in that of another, neither in the rest."""
     i = F.col("doc_id") % 3
-    metadata = F.when(i == 0, F.concat(F.lit('{"enrichment":{"topics":["space","'), F.col("lang"), F.lit('"]}}'))).otherwise(F.lit('{"enrichment":{"topics":[]}}'))
-    keywords = F.when(i == 1, F.array(F.lit("word")))
-    return table(spark, d, "documents").select("doc_id", F.array_join(E.article_topics(metadata, keywords), "|").alias("topics"))
+    held = F.to_json(F.struct(F.struct(F.array_compact(F.array("source", "lang")).alias("topics")).alias("enrichment")))
+    metadata = F.when(i == 0, held).when(i == 1, F.lit('{"enrichment":{"topics":[]}}'))
+    words = F.filter(F.slice(F.split(F.coalesce("text", F.lit("")), r"[ \t\r\n\x0B\f]+"), 1, 3), lambda w: w != "")
+    return table(spark, d, "documents").select("doc_id", F.array_join(E.article_topics(metadata, F.when(i == 1, words)), "|").alias("topics"))
 
 
 @query(f"""WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, regexp_extract(url, '^(https?://[^?#]*/)', 1) AS folder FROM pages),
