@@ -103,14 +103,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def clusters(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id and label, the least id of its connected component. Labels are written after each round, until none changes."""
+    """id and label, the least id of its connected component. Labels are written after each round, until none changes.
+
+    A row takes the least label among its own and its neighbours', then that label's label, and that one's; so the way that a
+    label has come grows threefold in a round, and chains of any length take few of them.
+    """
     both = written(pairs.select("id", "other").union(pairs.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct(), "edges")
     labels = written(nodes.select("id", F.col("id").alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("near"))
         step = labels.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
-        up = labels.select(F.col("id").alias("next"), F.col("label").alias("up"))
-        step = written(step.join(up, "next").select("id", "label", F.least("next", "up").alias("next")), "labels")
+        for _ in range(2):
+            step = step.join(labels.select(F.col("id").alias("next"), F.col("label").alias("up")), "next").select("id", "label", F.least("next", "up").alias("next"))
+        step = written(step, "labels")
         labels = step.select("id", F.col("next").alias("label"))
         if not step.where("label <> next").limit(1).count():
             return labels

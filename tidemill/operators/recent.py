@@ -78,8 +78,8 @@ def searching(window: int, most: int) -> Callable[[Batches], Batches]:
         held, now, label = Held(window), None, 0
         for batch in batches:
             found = []
-            columns = [batch.column(c).to_pylist() for c in ("part", "timeline", "kind", "at", "id", "role", "own", "simhash", "time")]
-            for part, timeline, kind, at, id_, role, own, hash_, time in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("part", "timeline", "kind", "at", "id", "role", "own", "one", "simhash", "time")]
+            for part, timeline, kind, at, id_, role, own, one, hash_, time in zip(*columns, strict=True):
                 if (part, timeline) != now:
                     now = (part, timeline)
                     held.clear()
@@ -93,7 +93,7 @@ def searching(window: int, most: int) -> Callable[[Batches], Batches]:
                         d, times, other, kinds, ties, labels = distance[near], *(held.view(c)[near] for c in ("time", "id", "kind", "tie", "label"))
                         apart = np.full(len(near), NEVER) if time is None else np.where(times == NEVER, NEVER, np.abs(times - time))
                         order = np.lexsort((-ties, -kinds, apart, d))
-                        if own:
+                        if own and one:
                             _, first = np.unique(labels[order], return_index=True)
                             order = order[sorted({0, *first.tolist()})]
                             held.view("label")[np.isin(held.view("label"), labels)] = label
@@ -111,7 +111,7 @@ def searching(window: int, most: int) -> Callable[[Batches], Batches]:
 
 
 def searched(rows: DataFrame, window: int, most: int) -> DataFrame:
-    """SEEN for each query of rows (ROW and own): the merge over range partitions with the last entries before each of them."""
+    """SEEN for each query of rows (ROW, own, and one: whether hits are thinned out): the merge over range partitions with the last entries before each of them."""
     order = ["timeline", "kind", "at", "id"]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     dealt = written(dealt, "timelines")
@@ -130,29 +130,32 @@ def searched(rows: DataFrame, window: int, most: int) -> DataFrame:
     lent = lent.withColumn("role", F.lit(ENTRY)).withColumn("part", F.col("to")).select(*dealt.columns)
     n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
     every = dealt.unionByName(lent).repartition(int(n), "part").sortWithinPartitions("part", *order)
-    return every.select(*ROW, "part", "own").mapInArrow(searching(window, most), SEEN)
+    return every.select(*ROW, "part", "own", "one").mapInArrow(searching(window, most), SEEN)
 
 
-def recent_hits(batch: DataFrame, stored: DataFrame, order: str = "id", time: str = "published", collected: str | None = None, window: int = WINDOW, most: int = NEAR) -> DataFrame:
-    """id, distance, best and others of each row of the batch that has a hit: the best one, its distance, and ids enough to
-    tell which clusters all hits have. Rows without words (SimHash 0) neither ask nor answer.
+def gathered(
+    batch: DataFrame, stored: DataFrame, order: str = "id", time: str = "published", collected: str | None = None, window: int = WINDOW, most: int = NEAR, among: bool = True
+) -> DataFrame:
+    """id and hits of each row of the batch: the candidates of its window within `most` bits.
 
     batch and stored have id, simhash and `time` (a timestamp, may be null); stored rows stand in the order of `collected` (`time`
-    if not given), nulls first, then of their ids.
+    if not given), nulls first, then of their ids. With `among`, rows of the batch are candidates of those after them, and of
+    hits that others join already one stays; without, all hits are stored rows and all are given.
     """
     micros = F.unix_micros(F.col(time).cast("timestamp")).alias("time")
     since = F.unix_micros(F.col(collected or time).cast("timestamp"))
     fresh = batch.where("simhash <> 0").select(F.lit(1).alias("kind"), F.col(order).cast("long").alias("at"), "id", "simhash", micros)
     old = stored.where("simhash <> 0").select(F.lit(0).alias("kind"), F.coalesce(since, F.lit(-NEVER)).alias("at"), "id", "simhash", micros)
+    asking = ENTRY | QUERY if among else QUERY
     p = prefix(F.col("simhash"))
     # a stored row that has `window` later ones in its prefix is never seen; nor is one whose prefix no row of the batch comes near
     newest = Window.partitionBy("timeline").orderBy(F.desc("at"), F.desc("id"))
     asked = F.filter(F.array(p, p - 1, p + 1), lambda q: (q >= 0) & (q <= 0xFFFF))
     lines = fresh.select(F.explode(asked).alias("timeline")).distinct()
     known = old.withColumn("timeline", p).join(lines, "timeline", "left_semi").withColumn("k", F.row_number().over(newest)).where(F.col("k") <= window).drop("k")
-    entries = known.withColumn("role", F.lit(ENTRY)).withColumn("own", F.lit(False))
+    entries = known.withColumn("role", F.lit(ENTRY)).withColumn("own", F.lit(False)).withColumn("one", F.lit(among))
     queries = fresh.withColumn("own_line", p).withColumn("timeline", F.explode(asked)).withColumn("own", F.col("timeline") == F.col("own_line")).drop("own_line")
-    queries = queries.withColumn("role", F.when(F.col("own"), ENTRY | QUERY).otherwise(QUERY))
+    queries = queries.withColumn("role", F.when(F.col("own"), asking).otherwise(QUERY)).withColumn("one", F.lit(among))
     seen = searched(entries.unionByName(queries), window, most)
     of = lambda k, c: F.when(F.col("off") == k, F.col(c))
     sides = [x for k in range(3) for x in (F.coalesce(F.max(of(k, "seen")), F.lit(0)).alias(f"n{k}"), F.flatten(F.collect_list(of(k, "hits"))).alias(f"h{k}"))]
@@ -167,8 +170,15 @@ def recent_hits(batch: DataFrame, stored: DataFrame, order: str = "id", time: st
     lone = both.where("lone").select("id", F.lit(True).alias("asks"))
     if lone.limit(1).count():
         last = old.orderBy(F.desc("at"), F.desc("id")).limit(window).withColumn("role", F.lit(ENTRY))
-        asks = fresh.join(lone, "id", "left").withColumn("role", F.when(F.col("asks"), ENTRY | QUERY).otherwise(ENTRY)).drop("asks")
-        line = last.unionByName(asks).withColumns({"timeline": F.lit(ALL), "own": F.lit(True)})
+        asks = fresh.join(lone, "id", "left").withColumn("role", F.when(F.col("asks"), asking).otherwise(ENTRY if among else 0)).drop("asks").where("role > 0")
+        line = last.unionByName(asks).withColumns({"timeline": F.lit(ALL), "own": F.lit(True), "one": F.lit(among)})
         near = near.unionByName(searched(line, window, most).where(F.size("hits") > 0).select("id", "hits"))
+    return near
+
+
+def recent_hits(batch: DataFrame, stored: DataFrame, order: str = "id", time: str = "published", collected: str | None = None, window: int = WINDOW, most: int = NEAR) -> DataFrame:
+    """id, distance, best and others of each row of the batch that has a hit: the best one, its distance, and ids enough to
+    tell which clusters all hits have. Rows without words (SimHash 0) neither ask nor answer."""
+    near = gathered(batch, stored, order, time, collected, window, most)
     best = F.array_min(F.transform("hits", lambda h: F.struct(h["distance"].alias("distance"), h["apart"].alias("apart"), (-h["kind"]).alias("kind"), (-h["tie"]).alias("tie"), h["other"].alias("other"))))
     return near.select("id", best["distance"].alias("distance"), best["other"].alias("best"), F.transform("hits", lambda h: h["other"]).alias("others"))

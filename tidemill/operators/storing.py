@@ -11,16 +11,14 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.html import clean_html, normalize_text
 from tidemill.functions.urls import canonical_column
-from tidemill.operators.dedup import NEAR, clusters, confidence, first_in_batch, hamming, hash_classes, near_pairs, new_rows, simhash_of, written
-from tidemill.operators.recent import recent_hits
+from tidemill.operators.dedup import BITS, NEAR, clusters, confidence, first_in_batch, hash_classes, near_pairs, new_rows, simhash_of, written
+from tidemill.operators.recent import WINDOW, gathered, recent_hits
 
-#: Candidates that a row is compared with.
-WINDOW = 500
 
 
 def content_basis(title: Column, summary: Column, url: Column) -> Column:
@@ -37,30 +35,14 @@ def prepared(df: DataFrame, title: str = "title", summary: str = "summary", url:
     return out.withColumn("content_hash", F.sha2("_basis", 256)).withColumn("simhash", simhash_of(F.col("_basis"))).drop("_basis")
 
 
-def prefix(hash_: Column) -> Column:
-    return F.shiftrightunsigned(hash_, 48).cast("int")
-
-
 def candidates(probes: DataFrame, stored: DataFrame, time: str, window: int = WINDOW) -> DataFrame:
     """id, other, distance: the stored rows that each probe is compared with.
 
     Those of its own prefix come first, then of the two beside it, the newest first, `window` in all. A probe without any
-    gets the newest of all. Stored rows are cut to `window` a prefix before the join, so no pair of a crowded prefix is
-    made that is not wanted; the newest of all are at most `window` rows.
+    gets the newest of all.
     """
-    newest = [F.col(time).desc_nulls_last(), F.desc("id")]
-    rows = stored.where("simhash <> 0").select("id", "simhash", time).withColumn("prefix", prefix(F.col("simhash")))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("prefix").orderBy(*newest))).where(F.col("k") <= window)
-    other = rows.select(F.col("id").alias("other"), F.col("simhash").alias("other_hash"), F.col(time).alias("other_time"), "prefix")
-    own = prefix(F.col("simhash"))
-    asked = probes.where("simhash <> 0").select("id", "simhash", own.alias("own"), F.explode(F.array(own - 1, own, own + 1)).alias("prefix"))
-    near = asked.join(other, "prefix").withColumn("off", F.abs(F.col("prefix") - F.col("own")))
-    order = Window.partitionBy("id").orderBy("off", "prefix", F.col("other_time").desc_nulls_last(), F.desc("other"))
-    near = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= window).select("id", "simhash", "other", "other_hash")
-    last = stored.where("simhash <> 0").orderBy(*newest).limit(window).select(F.col("id").alias("other"), F.col("simhash").alias("other_hash"))
-    alone = probes.where("simhash <> 0").select("id", "simhash").join(near.select("id").distinct(), "id", "left_anti")
-    fallback = alone.join(F.broadcast(last))  # at most `window` rows of two numbers
-    return near.unionByName(fallback).select("id", "other", hamming(F.col("simhash"), F.col("other_hash")).alias("distance"))
+    found = gathered(probes, stored, "id", time, None, window, BITS, among=False)
+    return found.select("id", F.explode("hits").alias("h")).select("id", "h.other", "h.distance")
 
 
 class Saved(NamedTuple):

@@ -37,7 +37,7 @@ UNSIGNED = "((simhash::HUGEINT + CASE WHEN simhash < 0 THEN 18446744073709551616
   every AS (SELECT * FROM near UNION ALL SELECT a.id, n.id, a.simhash, n.simhash FROM probes a, newest n WHERE a.id NOT IN (SELECT id FROM near))
   SELECT id, other, CAST(bit_count(xor(x, y)) AS INTEGER) AS distance FROM every""")
 def d8_candidate_window(spark, d):
-    hashes = dedup.simhash(articles(spark, d), "id", F.col("content")).withColumn("t", F.col("id") * 7919 % 10007)
+    hashes = dedup.written(dedup.simhash(articles(spark, d), "id", F.col("content")).withColumn("t", F.timestamp_seconds(F.col("id") * 7919 % 10007)), "hashes")
     return storing.candidates(hashes.where("id % 10 = 3"), hashes.where("id % 10 <> 3"), "t", window=40)
 
 
