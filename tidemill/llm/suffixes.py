@@ -228,20 +228,18 @@ def compare_bucket(length: int, k: int):
         held: list[tuple] = []
 
         def settle(rows: list[tuple]) -> pa.RecordBatch:
-            lead = [(x[0], x[1]) for x in rows]
-            starts = np.array([i == 0 or lead[i] != lead[i - 1] for i in range(len(rows))])
-            group = np.cumsum(starts)
-            a, b = earlier_strings(group, [x[5] for x in rows], [x[6] for x in rows], length, k)
+            lead = [x[3][:k] for x in rows]
+            group = np.cumsum([i == 0 or lead[i] != lead[i - 1] for i in range(len(rows))])
+            a, b = earlier_strings(group, [x[2] for x in rows], [x[3] for x in rows], length, k)
             keep = np.flatnonzero(b > 0)
-            made = [pa.array([rows[i][c] for i in keep], kind) for c, kind in ((1, pa.int64()), (4, pa.binary()))]
-            return pa.record_batch([*made, pa.array(a[keep]), pa.array(b[keep])], names=["anchor", "mark", "reach_left", "reach_right"])
+            made = [pa.array([rows[i][c] for i in keep], pa.int64()) for c in (0, 1)]
+            return pa.record_batch([*made, pa.array(a[keep]), pa.array(b[keep])], names=["doc", "at", "reach_left", "reach_right"])
 
         for batch in batches:
             held += zip(*(c.to_pylist() for c in batch.columns))
             if len(held) >= BATCH:
-                last = (held[-1][0], held[-1][1])
-                end = len(held)
-                while end and (held[end - 1][0], held[end - 1][1]) == last:
+                last, end = held[-1][3][:k], len(held)
+                while end and held[end - 1][3][:k] == last:
                     end -= 1
                 if end:
                     yield settle(held[:end])
@@ -257,10 +255,11 @@ def crowded(rows: DataFrame, length: int, k: int) -> DataFrame:
     strings = rows.withColumn("d", F.explode(F.sequence(F.greatest(F.lit(0), F.lit(length) - F.length("after")), F.length("before"))))
     string = F.concat(F.expr("substring(before, length(before) - d + 1, d)"), F.expr(f"substring(after, 1, {length} - d)"))
     strings = strings.where((F.length("before") >= F.col("d")) & (F.length("after") >= length - F.col("d")))
-    strings = strings.select("anchor", "mark", "d", F.sha2(string, 256).alias("string"), F.struct("doc", "at").alias("place"))
-    firsts = strings.groupBy("anchor", "d", "string").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
-    found = strings.join(firsts, ["anchor", "d", "string"]).where("place <> first")
-    return found.groupBy("anchor", "mark").agg(F.max("d").alias("reach_left"), F.max(length - F.col("d")).alias("reach_right"))
+    # the anchor stands at the same place of equal strings of the same d
+    strings = strings.select("d", F.unhex(F.sha2(string, 256)).alias("string"), F.struct("doc", "at").alias("place"))
+    firsts = strings.groupBy("d", "string").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    found = strings.join(firsts, ["d", "string"]).where("place <> first")
+    return found.groupBy("place.doc", "place.at").agg(F.max("d").cast("long").alias("reach_left"), F.max(length - F.col("d")).cast("long").alias("reach_right"))
 
 
 def removed_spans(table: DataFrame, length: int = LENGTH, k: int = ANCHOR, crowd: int | None = None) -> DataFrame:
@@ -277,7 +276,7 @@ def removed_spans(table: DataFrame, length: int = LENGTH, k: int = ANCHOR, crowd
     firsts = members.groupBy("anchor", "mark").agg(F.min(F.struct("doc", "at")).alias("place"))
     firsts = cut(firsts.select("anchor", "mark", "place.doc", "place.at"), "firsts")
     several = firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = firsts.join(several, "anchor").groupBy("doc").agg(F.collect_list(F.struct("at", "anchor", "mark", "n")).alias("wanted"))
+    wanted = firsts.join(several, "anchor").groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("wanted"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,24 +285,26 @@ def removed_spans(table: DataFrame, length: int = LENGTH, k: int = ANCHOR, crowd
                 raw = text.encode()
                 for x in some:
                     before, after = around(raw, x["at"], length, k)
-                    out.append((after[:k], x["anchor"], doc, x["at"], x["mark"], before, after, x["n"]))
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+                    out.append((doc, x["at"], before, after, x["n"]))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
             if out:
-                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=["lead", "anchor", "doc", "at", "mark", "before", "after", "n"])
+                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=["doc", "at", "before", "after", "n"])
 
-    suffixes = table.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(fetch, "lead binary, anchor long, doc long, at long, mark binary, before binary, after binary, n long")
+    # what is shuffled is the suffix and its place; its leading bytes are the anchor
+    suffixes = table.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(fetch, "doc long, at long, before binary, after binary, n long")
     largest, total = (x or 0 for x in several.agg(F.max("n"), F.sum("n")).first())
     crowd = crowd or max(TASK, total // shuffle_partitions(table.sparkSession))
     few = suffixes.where(F.col("n") <= crowd) if largest > crowd else suffixes
-    buckets = few.drop("n").repartitionByRange("lead").sortWithinPartitions("lead", "anchor", "doc", "at")
-    reaches = buckets.mapInArrow(compare_bucket(length, k), "anchor long, mark binary, reach_left long, reach_right long")
+    lead = F.substring(F.col("after"), F.lit(1), F.lit(k))
+    buckets = few.drop("n").repartitionByRange(lead).sortWithinPartitions(lead, "doc", "at")
+    reaches = buckets.mapInArrow(compare_bucket(length, k), "doc long, at long, reach_left long, reach_right long")
     if largest > crowd:
-        reaches = reaches.union(crowded(suffixes.where(F.col("n") > crowd), length, k))
+        reaches = reaches.unionByName(crowded(suffixes.where(F.col("n") > crowd), length, k))
     reaches = cut(reaches, "reaches")
     # surroundings that occur earlier are covered whole; (doc, at) is unique, so no surroundings, however frequent, meet in one task
     later = members.select("doc", "at").join(firsts.select("doc", "at"), ["doc", "at"], "left_anti")
     later = later.select("doc", (F.col("at") - (length - k)).alias("first"), (F.col("at") + length).alias("end"))
-    early = firsts.join(reaches, ["anchor", "mark"]).select("doc", (F.col("at") - F.col("reach_left")).alias("first"), (F.col("at") + F.col("reach_right")).alias("end"))
+    early = reaches.select("doc", (F.col("at") - F.col("reach_left")).alias("first"), (F.col("at") + F.col("reach_right")).alias("end"))
     return later.union(early).groupBy("doc").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
 
