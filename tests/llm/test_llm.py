@@ -792,6 +792,19 @@ def test_mix_of_repeated_and_null_ids(spark):
     assert Counter((r.doc_id, r.mix_epoch) for r in got)[7, 0] <= 4
 
 
+def test_rows_of_one_document_are_summed_by_many_tasks(spark):
+    rows = [(7, "a b c d e", "en", "s", 9)] * 400 + [(i, "x y", "en", "s", 3) for i in range(100, 140)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = mixing.allot(frame(spark, rows)).collect()
+        again = mixing.allot(frame(spark, rows).repartition(5)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shown = lambda found: sorted((r.doc_id, r.size, r.before, r.taken) for r in found)
+    befores = sorted(r.before for r in got)
+    assert shown(got) == shown(again) and len(set(befores)) == 440 and sum(r.taken for r in got) == round(got[0].target)
+
+
 def test_a_mix_can_be_mixed_again(spark):
     once = mixing.mix(frame(spark))
     again = mixing.mix(spark.createDataFrame(once.collect(), once.schema))

@@ -5,9 +5,9 @@ again. Within a source, documents stand in the order of a hash, and their words
 source's demand, say when they are trained: the source's weight schedule w(t) is integrated over the training time
 t in [0, 1] and the cumulative demand is inverted at the document's words. A mix is range-sorted by that time.
 
-Scale: sizes and keys are shuffled, not texts. Running sums are taken in buckets of a hash of the document, so a
-source with a third of all rows is summed by many tasks; one more window sees one row for each source and bucket, and
-one sees one row for each source. op10 writes the order of its takes (keys and positions) and adds it up by document.
+Scale: sizes and keys are shuffled, not texts. Running sums are taken over range partitions of the order, which may cut
+anywhere, also among rows of one document, so a source or a document with a third of all rows is summed by many tasks; one more
+window sees one row for each source and partition, and one sees one row for each source. op10 writes the order of its takes (keys and positions) and adds it up by document.
 
 Defined results: a null text has size 0; null sources form one source, the last; rows that repeat are each taken; a
 source of size 0 has target 0; an empty table gives no row.
@@ -69,19 +69,24 @@ def allot(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     rows = docs.select(*own, "doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), name)
     rows = rows.withColumn("rank", F.md5(F.coalesce(F.col("doc_id").cast("string"), "name"))).drop("name")
     rows = rows.withColumn("bucket", F.pmod(F.conv(F.substring("rank", 1, 6), 16, 10).cast("int"), F.lit(buckets)))
-    rows = cut(rows, "mix-sizes")  # texts are read once, for their sizes
-    parts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("base", F.coalesce(F.sum("part").over(earlier), F.lit(0)))
-    targets = source_targets(parts.select("source", F.col("part").alias("size")), weights, share, most)
+    tie = "row" if row else "tie"
+    rows = cut(rows if row else rows.withColumn(tie, F.monotonically_increasing_id()), "mix-sizes")  # texts are read once, for their sizes
+    order = ["bucket", "rank", "doc_id", "size", *(["mark"] if row else []), tie]
+    rows = rows.repartitionByRange("source", *order).sortWithinPartitions("source", *order).withColumn("part", F.spark_partition_id())
+    rows = cut(rows, "mix-parts")
+    parts = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("base", F.coalesce(F.sum("part_size").over(earlier), F.lit(0)))
+    targets = source_targets(parts.select("source", F.col("part_size").alias("size")), weights, share, most)
     parts = parts.alias("p").join(targets.alias("t"), F.expr("p.source <=> t.source")).select("p.*", "source_size", "place", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("rank", "doc_id", "size", *(["mark", "row"] if row else [])).rowsBetween(Window.unboundedPreceding, -1)
+    # rows that agree in all but the tie are alike, so it does not matter which of them comes first
+    inside = Window.partitionBy("source", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = rows.alias("r").join(parts.alias("p"), F.expr("r.source <=> p.source AND r.bucket = p.bucket"))
-    placed = placed.select("r.*", "source_size", "place", "target", (F.col("base") + F.col("inner")).alias("before"))
+    placed = rows.alias("r").join(parts.alias("p"), F.expr("r.source <=> p.source AND r.part = p.part"))
+    placed = placed.select("r.*", "source_size", "place", "target", (F.col("base") + F.col("inner")).alias("before")).drop(*([] if row else [tie]))
     words = F.round("target").cast("long")
     takes = [F.greatest(F.lit(0), F.least("size", words - k * F.col("source_size") - F.col("before"))) for k in range(most)]
-    return placed.withColumn("takes", F.array(*takes)).withColumn("taken", F.aggregate("takes", F.lit(0).cast("long"), lambda a, b: a + b)).drop("rank", "bucket", "inner", "mark")
+    return placed.withColumn("takes", F.array(*takes)).withColumn("taken", F.aggregate("takes", F.lit(0).cast("long"), lambda a, b: a + b)).drop("rank", "bucket", "part", "inner", "mark")
 
 
 def position(words: Column, target: Column, start: Column, end: Column) -> Column:
