@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -102,6 +102,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_counting(df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, int]:
+    """df as written, and how many of its rows meet a condition, counted while they are written."""
+    seen = Observation()
+    made = written(df.observe(seen, F.count_if(condition).alias("n")), name)
+    return made, seen.get["n"]
+
+
 def clusters(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """id and label, the least id of its connected component. Labels are written after each round, until none changes.
 
@@ -109,15 +116,15 @@ def clusters(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     label has come grows threefold in a round, and chains of any length take few of them.
     """
     both = written(pairs.select("id", "other").union(pairs.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct(), "edges")
-    labels = written(nodes.select("id", F.col("id").alias("label")), "labels")
+    labels = nodes.select("id", F.col("id").alias("label"))
     while True:
         near = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("near"))
         step = labels.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
         for _ in range(2):
             step = step.join(labels.select(F.col("id").alias("next"), F.col("label").alias("up")), "next").select("id", "label", F.least("next", "up").alias("next"))
-        step = written(step, "labels")
+        step, changed = written_counting(step, "labels", F.col("label") != F.col("next"))
         labels = step.select("id", F.col("next").alias("label"))
-        if not step.where("label <> next").limit(1).count():
+        if not changed:
             return labels
 
 
@@ -147,8 +154,8 @@ def first_in_batch(df: DataFrame, url: str, digest: str, order: str) -> DataFram
     round is joins on both keys with minima combined before the shuffle; the first undecided row is always decided.
     """
     least = df.groupBy(url, digest).agg(F.min(order).alias("id")).select(F.col(url).alias("u"), F.col(digest).alias("d"), "id")
-    open_, kept = written(least, "batch"), None
-    while open_.limit(1).count():
+    (open_, left), kept = written_counting(least, "batch", F.lit(True)), None
+    while left:
         by = {k: open_.groupBy(k).agg(F.min("id").alias(f"first_{k}")) for k in ("u", "d")}
         marked = open_
         for k, firsts in by.items():
@@ -158,5 +165,5 @@ def first_in_batch(df: DataFrame, url: str, digest: str, order: str) -> DataFram
         rest = open_
         for k in ("u", "d"):
             rest = rest.alias("r").join(chosen.select(k).distinct().alias("c"), F.expr(f"r.{k} <=> c.{k}"), "left_anti")
-        open_ = written(rest, "batch")
+        open_, left = written_counting(rest, "batch", F.lit(True))
     return df.limit(0) if kept is None else df.join(kept.select(F.col("id").alias(order)), order, "left_semi")

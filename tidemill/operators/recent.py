@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.operators.dedup import written
+from tidemill.operators.dedup import written, written_counting
 
 WINDOW, NEAR = 500, 10
 ENTRY, QUERY = 1, 2
@@ -164,11 +164,11 @@ def gathered(
     below = F.greatest(F.lit(window) - F.col("n0"), F.lit(0))
     above = F.greatest(below - F.col("n1"), F.lit(0))
     hits = F.concat("h0", F.filter("h1", lambda h: h["age"] < below), F.filter("h2", lambda h: h["age"] < above))
-    both = written(both.select("id", hits.alias("hits"), ((F.col("n0") + F.col("n1") + F.col("n2")) == 0).alias("lone")), "hits")
+    both, n_lone = written_counting(both.select("id", hits.alias("hits"), ((F.col("n0") + F.col("n1") + F.col("n2")) == 0).alias("lone")), "hits", F.col("lone"))
     near = both.where(F.size("hits") > 0).select("id", "hits")
     # rows that saw nothing look at the most recent rows of all
-    lone = both.where("lone").select("id", F.lit(True).alias("asks"))
-    if lone.limit(1).count():
+    if n_lone:
+        lone = both.where("lone").select("id", F.lit(True).alias("asks"))
         last = old.orderBy(F.desc("at"), F.desc("id")).limit(window).withColumn("role", F.lit(ENTRY))
         asks = fresh.join(lone, "id", "left").withColumn("role", F.when(F.col("asks"), asking).otherwise(ENTRY if among else 0)).drop("asks").where("role > 0")
         line = last.unionByName(asks).withColumns({"timeline": F.lit(ALL), "own": F.lit(True), "one": F.lit(among)})

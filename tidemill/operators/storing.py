@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.html import clean_html, normalize_text
 from tidemill.functions.urls import canonical_column
-from tidemill.operators.dedup import BITS, NEAR, clusters, confidence, first_in_batch, hash_classes, near_pairs, new_rows, simhash_of, written
+from tidemill.operators.dedup import BITS, NEAR, clusters, confidence, first_in_batch, hash_classes, near_pairs, new_rows, simhash_of, written, written_counting
 from tidemill.operators.recent import WINDOW, gathered, recent_hits
 
 
@@ -86,13 +86,13 @@ def leading(nodes: DataFrame, both: DataFrame) -> DataFrame:
 
     In each round the undecided rows without an undecided or leading earlier neighbour lead, and their neighbours follow.
     """
-    open_, led = written(nodes.select("id"), "leader-open"), None
-    while open_.limit(1).count():
+    (open_, left), led = written_counting(nodes.select("id"), "leader-open", F.lit(True)), None
+    while left:
         waiting = both.join(open_.select(F.col("id").alias("early")), "early").select(F.col("late").alias("id")).distinct()
         found = written(open_.join(waiting, "id", "left_anti"), "leader-found")
         led = found if led is None else led.unionByName(found)
         followers = both.join(found.select(F.col("id").alias("early")), "early").select(F.col("late").alias("id")).distinct()
-        open_ = written(open_.join(found, "id", "left_anti").join(followers, "id", "left_anti"), "leader-open")
+        open_, left = written_counting(open_.join(found, "id", "left_anti").join(followers, "id", "left_anti"), "leader-open", F.lit(True))
     return led if led is not None else nodes.select("id").limit(0)
 
 
