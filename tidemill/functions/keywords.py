@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cached_property
 
-import ahocorasick
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +23,8 @@ class Keywords:
 
         @F.pandas_udf("array<int>")
         def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            import ahocorasick  # needed where texts are read
+
             automaton = ahocorasick.Automaton()
             for i, w in enumerate(words):
                 automaton.add_word(w, i)
