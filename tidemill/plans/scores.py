@@ -217,7 +217,7 @@ def p10_published_projection(spark, d):
   SELECT CAST(place AS INTEGER) AS place, t.score AS score, t.id AS id, t.source AS source FROM chosen""")
 def k6_top_articles(spark, d):
     rows = articles(spark, d).where("score IS NOT NULL").withColumn("topics", F.array("language"))
-    top = ranking.top_k(rows.withColumn("published", F.col("id").cast("string")), 0.3, 200)
+    top = ranking.top_k(rows.withColumn("published", F.lpad(F.col("id").cast("string"), 20, "0")), 0.3, 200)
     return ranking.capped(top, 20, 0.25, 0.6).drop("topics")
 
 
