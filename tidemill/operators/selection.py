@@ -20,9 +20,9 @@ def ranked_candidates(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
 
 
 def preselect(df: DataFrame, picked: DataFrame, score: str, key: str, at: str, k: int) -> DataFrame:
-    """k keys: those picked, in their order, repeats and unknown keys left out, then the best of the others by score."""
+    """k keys: those picked, in their order (ties: by key), repeats and unknown keys left out, then the best of the others by score."""
     first = picked.groupBy(key).agg(F.min(at).alias("at"))
-    rows = df.join(first, key, "left").select(key, F.col("at").isNotNull().alias("picked"), F.coalesce("at", F.lit(0)).alias("at"), score)
+    rows = df.join(first, key, "left").select(key, F.col("at").isNotNull().alias("picked"), F.coalesce("at", F.lit(0)).alias("at"), F.when(F.col("at").isNull(), F.col(score)).alias(score))
     order = [F.desc("picked"), F.col("at"), F.desc(score), F.col(key)]
     return rows.orderBy(*order).limit(k).select(key, F.row_number().over(Window.orderBy(*order)).alias("place"), "picked")
 
