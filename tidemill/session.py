@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Of a batch that goes to Python: documents of a few thousand characters fill some MB.
+MOST_ROWS, MOST_BYTES = 1000, 8 << 20
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -35,6 +38,19 @@ def share_code(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in batches of at most MOST_ROWS rows and MOST_BYTES, unless the session asks for smaller ones.
+
+    Spark's own bound is 10,000 rows, whatever their size: with long texts that is what a worker's memory grows by.
+    """
+    for name, most in (("maxRecordsPerBatch", MOST_ROWS), ("maxBytesPerBatch", MOST_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        number, unit = re.match(r"(-?\d+)([kmgt]?)", spark.conf.get(key).lower()).groups()
+        now = int(number) << " kmgt".index(unit or " ") * 10
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
