@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.text import contains_any, word_count
+from tidemill.functions.text import contains_any, let, word_count
 
 LEAST_TITLE, LEAST_CONTENT, LEAST_WORDS, LEAST_SUMMARY_WORDS, LEAST_RELEVANCE = 10, 1000, 50, 20, 0.05
 #: Titles outside the editorial scope, openings of newsletters, injected instructions and what excuses them.
@@ -59,22 +59,25 @@ def few_words(text: Column, summary_mode: Column) -> Column:
 def off_title(title: Column, body: Column, summary_mode: Column | None = None, least: float = LEAST_RELEVANCE) -> Column:
     """Too few of the title's longer words, letters of any language, occur in the body; summaries and empty texts are not judged."""
     words = F.filter(F.split(F.lower(F.coalesce(title, F.lit(""))), r"(?U)\W+"), lambda w: F.length(w) > 3)
-    low = F.lower(F.coalesce(body, F.lit("")))
-    found = F.filter(words, lambda w: F.contains(low, w))
-    judged = (F.size(words) > 0) & (low != "") & ~F.coalesce(summary_mode if summary_mode is not None else F.lit(False), F.lit(False))
-    return F.when(judged & (F.size(found) / F.greatest(F.size(words), F.lit(1)) < least), "title_not_in_body")
+    judged = (F.coalesce(body, F.lit("")) != "") & ~F.coalesce(summary_mode if summary_mode is not None else F.lit(False), F.lit(False))
+
+    def off(t: Column) -> Column:
+        found = F.filter(t["words"], lambda w: F.contains(t["low"], w))
+        return (F.size(t["words"]) > 0) & (F.size(found) / F.greatest(F.size(t["words"]), F.lit(1)) < least)
+
+    # else the body would be put into lower case for each word
+    return F.when(judged & let(F.struct(words.alias("words"), F.lower(F.coalesce(body, F.lit(""))).alias("low")), off), "title_not_in_body")
 
 
 def matches_any(text: Column, patterns: tuple[str, ...], reason: str) -> Column:
-    out = F.lit(None).cast("string")
-    for p in reversed(patterns):
-        out = F.when(text.rlike(p), reason).otherwise(out)
-    return out
+    """The reason where one of the patterns matches, or null: one pattern, so the text is made and read once."""
+    return F.when(text.rlike("|".join(f"(?:{p})" for p in patterns)), reason)
 
 
 def injected(text: Column) -> Column:
     """Instructions to a model in a text that does not write about such attacks."""
-    return F.when(~contains_any(F.lower(text), EXCUSES), matches_any(text, INJECTION, "prompt_injection"))
+    found = lambda t: matches_any(t, INJECTION, "prompt_injection")
+    return let(text, lambda t: F.when(found(t).isNotNull() & ~let(F.lower(t), lambda low: contains_any(low, EXCUSES)), "prompt_injection"))
 
 
 def first_reason(title: Column, content: Column, summary_mode: Column, summary: Column | None = None) -> Column:
