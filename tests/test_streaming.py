@@ -107,3 +107,23 @@ def test_timers_end_cooldowns_and_forget(spark):
     assert (3, "ACTIVE", False, "events") in seen[1] and not any(c == "timer" for *_, c in seen[1])
     assert {x for x in seen[2] if x[3] == "timer"} == {(1, "COOLDOWN", True, "timer")}
     assert {x[0] for x in seen[3] if x[3] == "forgotten"} == {1, 2, 3}
+
+
+@pytest.mark.parametrize("build", [states.circuit_stream])
+def test_calls_grow_with_buckets_and_not_with_users(spark, build):
+    """A call of a processor costs a millisecond or more, so many users are one key of the state."""
+    source, path = new_path(spark, "many-source"), new_path(spark, "many")
+    made(spark, [(0, u, "error") for u in range(3 * 1024)]).write.parquet(source)
+    stream = build(streams.read_events(spark, source, None))
+    run = stream.writeStream.outputMode("update").option("checkpointLocation", new_path(spark, "many-offsets")).trigger(availableNow=True)
+    run = run.foreachBatch(lambda rows, n: rows.write.mode("append").parquet(path)).start()
+    run.awaitTermination()
+    assert max(op["numRowsTotal"] for p in run.recentProgress for op in p["stateOperators"]) <= 1024
+    rows = spark.read.parquet(path)
+    assert sorted((r.user_id, r.in_a_row) for r in rows.collect()) == [(u, 1) for u in range(3 * 1024)]
+
+
+def test_users_of_one_bucket_keep_their_own_states(spark, some, monkeypatch):
+    monkeypatch.setattr(states, "BUCKETS", 1)
+    test_circuits_equal_the_batch_form_after_restarts(spark, some)
+    test_timers_end_cooldowns_and_forget(spark)

@@ -60,7 +60,7 @@ def replayed(events: DataFrame, build: Callable[[DataFrame], DataFrame], mode: s
 
     A file source orders files by when they were written, not by what they hold, so events are cut into `steps` ranges of
     time, and each is dropped and run before the next; within a range the watermark stands still, so its files, `files` or
-    more, may come in any order and no task has to hold a range. `last` is one more range.
+    one for each core if there are more, may come in any order and no task has to hold a range. `last` is one more range.
     """
     spark, path, place, source = events.sparkSession, *(new_path(events.sparkSession, f"{name}{x}") for x in ("", "-offsets", "-source"))
     seconds = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -71,7 +71,7 @@ def replayed(events: DataFrame, build: Callable[[DataFrame], DataFrame], mode: s
     spark.createDataFrame([], schema).write.parquet(path if mode == "complete" else f"{path}/n=none")
     ranges = [events.where((seconds > lo) & (seconds <= hi)) for lo, hi in zip([float("-inf"), *bounds], [*bounds, float("inf")], strict=True)]
     for part in [*ranges, *([last] if last is not None else [])]:
-        part.repartition(files).write.mode("append").parquet(source)
+        part.repartition(max(files, spark.sparkContext.defaultParallelism)).write.mode("append").parquet(source)
         late += advance(stream, mode, path, place)
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path), late
 
