@@ -109,7 +109,7 @@ def test_timers_end_cooldowns_and_forget(spark):
     assert {x[0] for x in seen[3] if x[3] == "forgotten"} == {1, 2, 3}
 
 
-@pytest.mark.parametrize("build", [states.circuit_stream])
+@pytest.mark.parametrize("build", [states.circuit_stream, states.fold_stream])
 def test_calls_grow_with_buckets_and_not_with_users(spark, build):
     """A call of a processor costs a millisecond or more, so many users are one key of the state."""
     source, path = new_path(spark, "many-source"), new_path(spark, "many")
@@ -126,4 +126,5 @@ def test_calls_grow_with_buckets_and_not_with_users(spark, build):
 def test_users_of_one_bucket_keep_their_own_states(spark, some, monkeypatch):
     monkeypatch.setattr(states, "BUCKETS", 1)
     test_circuits_equal_the_batch_form_after_restarts(spark, some)
+    test_fold_equals_the_batch_form(spark, some)
     test_timers_end_cooldowns_and_forget(spark)
