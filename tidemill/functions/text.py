@@ -57,8 +57,7 @@ def slugify(text: Column, fallback: str = "untitled") -> Column:
 
 
 def word_count(text: Column) -> Column:
-    trimmed = collapse_space(F.coalesce(text, F.lit("")))
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, " ")))
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^ \t\r\n\x0B\f]+"))
 
 
 def reading_minutes(words: Column) -> Column:
@@ -124,5 +123,4 @@ def data_density(text: Column) -> Column:
     """Years, percentages, numbers and (twice) statistical notation for each word; 2 in 100 counts as 1."""
     n = lambda pattern: F.regexp_count(text, F.lit(pattern))
     points = n(r"\b(19|20)\d{2}\b") + n(r"\d+(\.\d+)?%") + 2 * n(r"(?i)n\s*=|p\s*[<>=]|×10") + n(r"\b\d{2,}\b")
-    words = word_count(text)
-    return F.when(words == 0, 0.0).otherwise(F.least(F.lit(1.0), points / words / 0.02))
+    return let(word_count(text), lambda words: F.when(words == 0, 0.0).otherwise(F.least(F.lit(1.0), points / words / 0.02)))

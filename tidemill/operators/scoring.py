@@ -7,12 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.keywords import Keywords
 from tidemill.functions.lexicons import LATAM, LOW_VALUE, SCIENCE, TECH
-from tidemill.functions.text import WOW, contains_any, count_contained, data_density
+from tidemill.functions.text import WOW, contains_any, count_contained, data_density, let
 
 #: Weights, half-life and limits of the feature score.
 WEIGHTS = {"source": 0.15, "freshness": 0.20, "content": 0.35, "engagement": 0.30}
 SOURCE, HALF_LIFE_H, OLDEST_H, INCLUDE = 0.5, 18.0, 168.0, 0.3
+IN_TEXTS = Keywords(WOW, LOW_VALUE, LATAM)
 SENTIMENT = {"positive": 0.7, "negative": 0.6, "neutral": 0.5}
 
 
@@ -81,17 +83,16 @@ def audience_score(title: Column, summary: Column, source: Column) -> Column:
 
 def heuristic_quality(text: Column) -> Column:
     """Substance, narrative, relevance and credibility of a text from surface signs, rounded to four places."""
-    low = F.lower(text)
-    wow = F.least(F.lit(1.0), count_contained(low, WOW) / 4.0)
-    narrative = 0.6 * wow + 0.4 * F.least(F.lit(1.0), F.length(text) / 2000)
-    latam = F.when(contains_any(low, LOW_VALUE), 0.0).when(contains_any(low, LATAM), 1.0).otherwise(0.0)
     sentences = F.filter(F.split(text, r"\."), lambda x: F.length(F.trim(x)) > 10)
-    words = F.aggregate(sentences, F.lit(0), lambda a, x: a + F.size(F.split(F.trim(x), r"\s+")))
-    mean = words / F.greatest(F.lit(1), F.size(sentences))
-    relevance = F.greatest(latam, 0.5 * F.when(mean.between(15, 25), 1.0).otherwise(0.5))
+    words = lambda found: F.aggregate(found, F.lit(0), lambda a, x: a + F.size(F.split(F.trim(x), r"\s+")))
+    mean = let(sentences, lambda found: words(found) / F.greatest(F.lit(1), F.size(found)))
+    flow = let(mean, lambda x: F.when(x.between(15, 25), 1.0).otherwise(0.5))
     yes = lambda c, v: F.when(c, F.lit(v)).otherwise(0.0)
     credible = 0.5 + yes(contains_any(text, ('"', "“")), 0.2) + yes(contains_any(text, ("<p>", "\n\n")), 0.2) + yes(F.contains(text, F.lit("http")), 0.1)
-    total = 0.35 * data_density(text) + 0.30 * narrative + 0.20 * relevance + 0.15 * credible
+    found = IN_TEXTS.found(F.lower(text))
+    narrative = 0.6 * F.least(F.lit(1.0), IN_TEXTS.count(found, WOW) / 4.0) + 0.4 * F.least(F.lit(1.0), F.length(text) / 2000)
+    latam = F.when(IN_TEXTS.count(found, LOW_VALUE) > 0, 0.0).when(IN_TEXTS.count(found, LATAM) > 0, 1.0).otherwise(0.0)
+    total = 0.35 * data_density(text) + 0.30 * narrative + 0.20 * F.greatest(latam, 0.5 * flow) + 0.15 * credible
     return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4)
 
 
