@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import folds, monitoring
+from tidemill.plans.registry import queries
 from tidemill.session import new_path
 from tidemill.streaming import events as streams
 from tidemill.streaming import sources_state as states
@@ -128,3 +129,40 @@ def test_users_of_one_bucket_keep_their_own_states(spark, some, monkeypatch):
     test_circuits_equal_the_batch_form_after_restarts(spark, some)
     test_fold_equals_the_batch_form(spark, some)
     test_timers_end_cooldowns_and_forget(spark)
+
+
+@pytest.mark.parametrize("name", ["x5_stream_fold", "x6_circuit_stream"])
+def test_replays_keep_no_more_stores_than_the_cores_need(spark, tmp_path, name):
+    """A store costs a task in each micro-batch, so its number must not follow a setting that is made for large shuffles."""
+    made(spark, [(0, u, "error") for u in range(500)]).write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set(RUN, 40)
+    rows = queries()[name](spark, str(tmp_path))
+    assert 0 < len([x for x in rows.inputFiles() if "/n=0/" in x]) <= 2 * spark.sparkContext.defaultParallelism
+    assert rows.count() == 500 and spark.conf.get(RUN) == "40"
+
+
+@pytest.mark.parametrize("most", [7, 100_000])
+def test_packets_hold_every_event(spark, monkeypatch, most):
+    monkeypatch.setattr(states, "PACKED_ROWS", most)
+    events = [(i % 3, i % 5, None if i % 7 == 0 else i, None if i % 11 == 0 else (1 << 60) + i, None if i % 13 == 0 else "error", None if i % 4 == 0 else i / 2) for i in range(400)]
+    rows = spark.createDataFrame(events, "bucket long, user_id long, us long, event_id long, event_type string, value double").coalesce(1)
+    packets = states.packed(rows).toPandas()
+    assert len(packets) == 3 if most > 400 else len(packets) < 400
+    lists = zip(*(packets[c] for c in packets.columns), strict=True)
+    got = [(b, *x) for b, *columns in lists for x in zip(*(c.tolist() for c in columns), strict=True)]
+    want = [(b, u, states.LAST if t is None else t, states.LAST if e is None else e, k, v) for b, u, t, e, k, v in events]
+    assert sorted(map(repr, got)) == sorted(repr((*x[:5], float("nan") if x[5] is None else x[5])) for x in want)
+
+
+def test_events_without_time_or_value_are_folded_last(spark):
+    """More packets than one, of events whose times, values and kinds are missing here and there."""
+    rows = [(i, None if i % 9 == 0 else START + dt.timedelta(minutes=400 - i), i % 3, ["click", "purchase", "error", None][i % 4], None if i % 5 == 0 else i / 4, "p") for i in range(400)]
+    events = spark.createDataFrame(rows, SCHEMA)
+    source, path = new_path(spark, "odd-source"), new_path(spark, "odd")
+    events.repartition(3).write.parquet(source)
+    streams.advance(states.fold_stream(streams.read_events(spark, source, None)), "update", path, new_path(spark, "odd-offsets"))
+    got = {r.user_id: (r.attempts, r.successes, r.failures, r.in_a_row, r.times_opened, r.mean) for r in spark.read.parquet(f"{path}/n=*").collect()}
+    want = {u: folds.SourceState() for u in range(3)}
+    for i, ts, user, kind, value, _ in sorted(rows, key=lambda r: (r[1] is None, r[1] or START, r[0])):
+        want[user].apply(kind, value)
+    assert got == {u: (s.attempts, s.successes, s.failures, s.in_a_row, s.times_opened, s.mean) for u, s in want.items()}

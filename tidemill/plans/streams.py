@@ -47,7 +47,7 @@ def x4_fresh_events(spark, d):
 
 @query("SELECT user_id, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1")
 def x5_stream_fold(spark, d):
-    found = lossless(streams.replayed(table(spark, d, "events"), states.fold_stream, "update", "fold"))
+    found = lossless(streams.replayed(table(spark, d, "events"), states.fold_stream, "update", "fold", stores=states.STORES))
     return found.groupBy("user_id").agg(F.max_by("failures", "batch").alias("failures"))
 
 
@@ -59,7 +59,7 @@ def x5_stream_fold(spark, d):
 def x6_circuit_stream(spark, d):
     """At the end an event follows a year later, so every circuit that is open then is marked due by its timer."""
     rows = table(spark, d, "events")
-    found = lossless(streams.replayed(rows, states.circuit_stream, "update", "circuits", last=streams.one_event(rows)))
+    found = lossless(streams.replayed(rows, states.circuit_stream, "update", "circuits", last=streams.one_event(rows), stores=states.STORES))
     # of one micro-batch, timers run after events
     newest = F.max_by(F.struct("in_a_row", "state", "retry_ms", "last_error", "due"), F.struct("batch", F.col("cause") != "events")).alias("s")
     now = found.where("user_id <> -1").groupBy("user_id").agg(newest).select("user_id", "s.*")

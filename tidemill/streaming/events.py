@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,12 +56,27 @@ def advance(stream: DataFrame, mode: str, path: str, place: str) -> int:
     return sum(op["numRowsDroppedByWatermark"] for p in run.recentProgress for op in p["stateOperators"])
 
 
-def replayed(events: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str, name: str, steps: int = 4, last: DataFrame | None = None, files: int = 4) -> tuple[DataFrame, int]:
+@contextmanager
+def shuffled_by(spark: SparkSession, most: int | None) -> Iterator[None]:
+    """The session's shuffle partitions are at most so many; a stream takes its number when it first starts, and keeps it."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), most or int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def replayed(
+    events: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str, name: str, steps: int = 4, last: DataFrame | None = None, files: int = 4, stores: int | None = None
+) -> tuple[DataFrame, int]:
     """The result of the stream build(source) over events in the order of their times, and the number of late rows.
 
     A file source orders files by when they were written, not by what they hold, so events are cut into `steps` ranges of
     time, and each is dropped and run before the next; within a range the watermark stands still, so its files, `files` or
     one for each core if there are more, may come in any order and no task has to hold a range. `last` is one more range.
+    The state is parted as shuffles are, but into `stores` for each core at most, if that is given.
     """
     spark, path, place, source = events.sparkSession, *(new_path(events.sparkSession, f"{name}{x}") for x in ("", "-offsets", "-source"))
     seconds = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -72,7 +88,8 @@ def replayed(events: DataFrame, build: Callable[[DataFrame], DataFrame], mode: s
     ranges = [events.where((seconds > lo) & (seconds <= hi)) for lo, hi in zip([float("-inf"), *bounds], [*bounds, float("inf")], strict=True)]
     for part in [*ranges, *([last] if last is not None else [])]:
         part.repartition(max(files, spark.sparkContext.defaultParallelism)).write.mode("append").parquet(source)
-        late += advance(stream, mode, path, place)
+        with shuffled_by(spark, stores and stores * spark.sparkContext.defaultParallelism):
+            late += advance(stream, mode, path, place)
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path), late
 
 

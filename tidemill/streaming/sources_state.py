@@ -3,8 +3,12 @@
 Both are processors of transformWithStateInPandas over a RocksDB state store, so a key's state lives outside the worker's memory,
 survives restarts with the checkpoint and can be read by timers when no event comes. A key is a bucket of users, since each
 call and each request to the store costs a millisecond or more, however few events a user has: the states of a bucket are read,
-moved and written as one. Rows of one user in a micro-batch are applied in order of time; the batch forms in operators/ give
-the same final states.
+moved and written as one. Each state store costs a task of a second or more in each micro-batch, so replays of these streams
+keep STORES for each core at most. Rows of one user in a micro-batch are applied in order of time; the batch forms in operators/
+give the same final states.
+
+Spark hands a worker with state its rows one by one, so the fold gets them in packets: the events of a bucket, of many that a
+task reads, as one row of lists. The circuits do not, since events that are late are told apart by their rows.
 
 Timers run on event time. A circuit that has opened is marked due when the watermark passes its time of retry, without
 any event of that source. A source that is idle for `forget` is dropped from the state. A bucket has one timer, for what
@@ -19,18 +23,25 @@ from itertools import groupby
 from operator import itemgetter
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemill.operators.folds import OPEN_AFTER, STATE, SourceState
+from tidemill.session import MOST_BYTES
 
 COOLDOWN_MS = 4 * 3600 * 1000
 MESSAGE = 500
 CIRCUIT = "in_a_row long, opened_ms long, retry_ms long, last_error string, idle_ms long, due boolean"
 CIRCUIT_ROWS = "user_id long, in_a_row long, state string, retry_ms long, last_error string, due boolean, cause string"
 BUCKETS = 1024
+STORES = 2  # for each core
+PACKED_ROWS = 100_000  # events that a task holds to make packets of, of MOST_BYTES at most
+PACKETS = "bucket long, user_id array<long>, us array<long>, event_id array<long>, event_type array<string>, value array<double>"
+LAST = (1 << 63) - 1  # unknown times and ids come last, as in pandas
 NEVER_MS = -(1 << 63) // 1_000_000  # of an unknown time
 
 
@@ -38,6 +49,35 @@ def bucket(user: str = "user_id") -> Column:
     return F.pmod(F.xxhash64(user), F.lit(BUCKETS)).alias("bucket")
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """The columns of PACKETS, event by event, as packets."""
+
+    def packets(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        found = pa.Table.from_batches(held).sort_by("bucket").combine_chunks().to_batches()[0]
+        buckets = found["bucket"].to_numpy()
+        starts = np.flatnonzero(np.diff(buckets, prepend=-1))
+        ends = pa.array([*starts.tolist(), len(buckets)], pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, found[c]) for c in found.schema.names[1:]]
+        return pa.RecordBatch.from_arrays([pa.array(buckets[starts]), *lists], names=found.schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, full = [], 0, 0
+        for batch in batches:
+            if batch.num_rows:
+                held, size, full = [*held, batch], size + batch.num_rows, full + batch.nbytes
+            if size >= PACKED_ROWS or full >= MOST_BYTES:
+                yield packets(held)
+                held, size, full = [], 0, 0
+        if held:
+            yield packets(held)
+
+    return rows.withColumns({c: F.coalesce(c, F.lit(LAST)) for c in ("us", "event_id")}).mapInArrow(run, PACKETS)
+
+
+def unpacked(packets: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({c: np.concatenate(packets[c].tolist()) for c in packets.columns if c != "bucket"})
+
+
 def all_of(state: str) -> str:
     """The schema of the states of a bucket."""
     return f"users array<struct<user_id: long, {', '.join(': '.join(x.split()) for x in state.split(', '))}>>"
@@ -85,7 +125,7 @@ class MetricsFold(Buckets):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         states, moved = self.held(), []
-        for user, events in in_order(rows, "value"):
+        for user, events in in_order(map(unpacked, rows), "value"):
             state = SourceState(*states.get(user, ()))
             for _, kind, _, value in events:
                 state.apply(kind, None if pd.isna(value) else value)
@@ -165,7 +205,7 @@ def fold_stream(events: DataFrame) -> DataFrame:
     """The state of each user after each micro-batch; events of a batch are applied in order of time."""
     with_state_store(events.sparkSession)
     rows = events.select(bucket(), "user_id", F.unix_micros("ts").alias("us"), "event_id", "event_type", "value").where("user_id IS NOT NULL")
-    return rows.groupBy("bucket").transformWithStateInPandas(MetricsFold(), f"user_id long, {STATE}", "Update", "None")
+    return packed(rows).groupBy("bucket").transformWithStateInPandas(MetricsFold(), f"user_id long, {STATE}", "Update", "None")
 
 
 def circuit_stream(events: DataFrame, late: str = "1 hour", **how: Any) -> DataFrame:
