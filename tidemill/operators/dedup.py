@@ -15,6 +15,8 @@ from tidemill.functions.text import collapse_space
 from tidemill.session import new_path
 
 BITS, NEAR = 64, 10
+#: ASCII white space and the space separators of Unicode.
+SPACES = "\t\n\v\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def content_hash(text: Column) -> Column:
@@ -56,7 +58,7 @@ def _votes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         out = np.zeros(len(texts), dtype=np.int64)
         for i, text in enumerate(texts):
-            tokens = text.encode().split()  # bytes are parted by ASCII white space
+            tokens = text.strip(SPACES).encode().split()  # bytes are parted by ASCII white space
             if tokens:
                 out[i] = np.packbits(2 * bits.ones(tokens) >= len(tokens)).view(">i8")[0]
         yield pd.Series(out)
@@ -64,7 +66,8 @@ def _votes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def simhash_of(text: Column) -> Column:
     """The 64-bit SimHash of a text: each token (repeats count) votes with the low 64 bits of its MD5, a bit is set where
-    the votes for it are not outnumbered, and a text without tokens has 0. Tokens stand between ASCII white space."""
+    the votes for it are not outnumbered, and a text without tokens has 0. Tokens stand between ASCII white space; space
+    separators at the ends of a text are no part of them."""
     return _votes(F.coalesce(text, F.lit("")))
 
 
