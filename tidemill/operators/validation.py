@@ -58,7 +58,7 @@ def few_words(text: Column, summary_mode: Column) -> Column:
 
 def off_title(title: Column, body: Column, summary_mode: Column | None = None, least: float = LEAST_RELEVANCE) -> Column:
     """Too few of the title's longer words, letters of any language, occur in the body; summaries and empty texts are not judged."""
-    words = F.filter(F.split(F.lower(F.coalesce(title, F.lit(""))), r"(?U)\W+"), lambda w: F.length(w) > 3)
+    words = F.filter(F.split(F.lower(F.coalesce(title, F.lit(""))), r"[^\p{L}\p{M}\p{N}_]+"), lambda w: F.length(w) > 3)
     judged = (F.coalesce(body, F.lit("")) != "") & ~F.coalesce(summary_mode if summary_mode is not None else F.lit(False), F.lit(False))
 
     def off(t: Column) -> Column:
