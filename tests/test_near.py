@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import dedup, explain, near
+from tidemill.operators import dedup, explain, near, storing
 
 
 def crowd(seed: int) -> list[tuple]:
@@ -37,3 +37,35 @@ def test_blocks_tell_what_all_pairs_tell(spark, size):
 def test_a_crowd_has_fewer_links_than_rows(spark):
     rows = spark.range(3000).select("id", (F.lit(1 << 50) + F.col("id") % 1024).alias("simhash"))
     assert near.near_links(rows).count() == 2999
+
+
+@pytest.mark.parametrize("size", [7, 64, 8192])
+def test_leaders_in_blocks_against_a_loop(spark, size):
+    """Neighbouring prefixes, rows that wait for rows that wait, and copies that follow a leader after the first of their class."""
+    rows = [(k, h) for k, h, _ in crowd(size + 1)]
+    rows += [(300 + k, rows[k * 7 % 200][1]) for k in range(60)]
+    led, want = [], {}
+    for i, h in sorted(rows):
+        low = lambda x: x % (1 << 64)
+        close = [(d, k) for k, g in led if abs((low(h) >> 48) - (low(g) >> 48)) <= 1 and (d := low(h ^ g).bit_count()) <= 10]
+        want[i] = min(close)[1] if close else i
+        if not close:
+            led.append((i, h))
+    assert len(led) > 9 and any(v > i - 300 for i, v in want.items() if i >= 300)
+    got = storing.leader_clusters(spark.createDataFrame(rows, "id long, simhash long"), size=size)
+    assert {r.id: r.leader for r in got.collect()} == want
+
+
+def test_leaders_write_rows_and_not_pairs(spark, monkeypatch):
+    """In a crowd whose rows are all near each other, what is written grows with the rows."""
+    rows = spark.range(2000).select("id", (F.lit(1 << 50) + F.shiftleft(F.col("id"), 3) % 1024 + F.shiftright(F.col("id"), 7)).alias("simhash")).dropDuplicates(["simhash"]).cache()
+    n, kept = rows.count(), []
+
+    def counting(df, name, make=dedup.written):
+        kept.append(made := make(df, name))
+        return made
+
+    for module in (dedup, storing):
+        monkeypatch.setattr(module, "written", counting)
+    assert storing.leader_clusters(rows).where("leader IS NULL").count() == 0
+    assert n > 1000 and sum(x.count() for x in kept) < 12 * n

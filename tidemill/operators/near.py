@@ -1,8 +1,8 @@
-"""Near SimHashes without their pairs: links that join what is near, and the best match of each row.
+"""Near SimHashes without their pairs: links that join what is near, the best match of each row, and what leads.
 
 Rows whose 16-bit prefixes are equal or neighbours are compared. A prefix with many rows is cut into blocks of bounded size, and
-each two blocks that may hold pairs meet in one group: no task gets more than two blocks at a time, and only links or best
-matches leave it. All pairs of a crowd are still looked at where none can be spared, as bits in arrays, but never written or shuffled.
+each two blocks that may hold pairs meet in one group: no task gets more than two blocks at a time, and only links, best
+matches, ids or nearest leaders leave it. All pairs of a crowd are still looked at where none can be spared, as bits in arrays, but never written or shuffled.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators.dedup import NEAR
@@ -59,6 +59,27 @@ def groups_of(batches: Batches, names: tuple[str, ...]) -> Iterator[list[np.ndar
         yield held[len(KEY) :]
 
 
+def facing(batches: Batches, names: tuple[str, ...]) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """The columns of rows and of those that they are compared with, by id: a block alone with itself, one of two blocks with the other."""
+    for sides, *columns in groups_of(batches, ("side", *names)):
+        n = int(np.searchsorted(sides, 1))
+        one, two = [c[:n] for c in columns], [c[n:] for c in columns]
+        yield from ((one, one),) if n == len(sides) else ((one, two), (two, one)) if n else ()
+
+
+def packed(found: Iterator[tuple[np.ndarray, ...]], names: list[str], size: int = BLOCK) -> Batches:
+    """What many groups found, in batches of about `size` rows."""
+    held, n = [], 0
+    for some in found:
+        held.append(some)
+        n += len(some[0])
+        if n >= size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=names)
+            held, n = [], 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=names)
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of signed numbers, numpy counts the bits of the absolute value."""
     return np.bitwise_count((a ^ b).view(np.uint64))
@@ -113,12 +134,9 @@ def matching(most: int) -> Callable[[Batches], Batches]:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def run(batches: Batches) -> Batches:
-        for sides, *columns in groups_of(batches, ("side", "id", "simhash", "time")):
-            n = int(np.searchsorted(sides, 1))
-            one, two = [c[:n] for c in columns], [c[n:] for c in columns]
-            for of, among in ((one, one),) if not len(two[0]) else ((one, two), (two, one)) if n else ():
-                made = best(*of, *among)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["id", "distance", "apart", "match"])
+        for of, among in facing(batches, ("id", "simhash", "time")):
+            made = best(*of, *among)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["id", "distance", "apart", "match"])
 
     return run
 
@@ -132,3 +150,56 @@ def best_earlier(rows: DataFrame, time: str, most: int = NEAR, size: int = BLOCK
     found = groups.mapInArrow(matching(most), "id long, distance int, apart long, match long")
     best = found.groupBy("id").agg(F.min(F.struct("distance", "apart", (-F.col("match")).alias("newest"))).alias("best"))
     return best.select("id", (-F.col("best.newest")).alias("match"), F.col("best.distance").alias("distance"))
+
+
+def following(most: int) -> Callable[[Batches], Batches]:
+    """For each group, the asking rows with an earlier telling row near them in it. What has one is not compared again."""
+
+    def found(batches: Batches) -> Iterator[tuple[np.ndarray, ...]]:
+        for (ids, hashes, asks, _), (with_ids, with_hashes, _, tells) in facing(batches, ("id", "simhash", "asks", "tells")):
+            open_, with_ids, with_hashes, lo = np.flatnonzero(asks), with_ids[tells], with_hashes[tells], 0
+            while len(open_) and lo < len(with_ids):
+                at = slice(lo, lo := lo + max(1, CELLS // len(open_)))
+                near = (distances(hashes[open_, None], with_hashes[at]) <= most) & (with_ids[at] < ids[open_, None])
+                seen = near.any(axis=1)
+                yield (ids[open_[seen]],)
+                open_ = open_[~seen]
+
+    return lambda batches: packed(found(batches), ["id"])
+
+
+def followers(rows: DataFrame, asks: Column, tells: Column, most: int = NEAR, size: int = BLOCK) -> DataFrame:
+    """The ids of asking rows of (id, simhash) that have an earlier telling one within `most` bits."""
+    given = rows.select("id", "simhash", asks.alias("asks"), tells.alias("tells"))
+    return met(given, size).select(*KEY, "side", "id", "simhash", "asks", "tells").mapInArrow(following(most), "id long").distinct()
+
+
+def naming(most: int) -> Callable[[Batches], Batches]:
+    """For each class and group, the leaders in it that are nearest to a row of the class: each nearer than all before it."""
+
+    def found(batches: Batches) -> Iterator[tuple[np.ndarray, ...]]:
+        for (ids, last, hashes, _), (with_ids, _, with_hashes, leads) in facing(batches, ("id", "last", "simhash", "leads")):
+            with_ids, with_hashes = with_ids[leads], with_hashes[leads]
+            step = max(1, CELLS // max(1, len(with_ids)))
+            for lo in range(0, len(ids) if len(with_ids) else 0, step):
+                at = slice(lo, lo + step)
+                d = np.where(with_ids <= last[at, None], distances(hashes[at, None], with_hashes), np.uint8(most + 1))
+                rows = np.flatnonzero(d.min(axis=1) <= most)
+                d = d[rows]
+                nearer = d <= most
+                nearer[:, 1:] &= d[:, 1:] < np.minimum.accumulate(d, axis=1)[:, :-1]
+                i, k = np.nonzero(nearer)
+                # of the leaders before the whole class, the last of them is the nearest
+                kept = np.ones(len(i), bool)
+                kept[:-1] = (i[1:] != i[:-1]) | (with_ids[k[1:]] > ids[at][rows[i[1:]]])
+                i, k = i[kept], k[kept]
+                yield hashes[at][rows[i]], with_ids[k], d[i, k].astype(np.int32)
+
+    return lambda batches: packed(found(batches), ["simhash", "leader", "distance"])
+
+
+def near_leaders(classes: DataFrame, most: int = NEAR, size: int = BLOCK) -> DataFrame:
+    """simhash, leader, distance of classes (id, last, simhash, leads): for each row of a class, from id to last, the nearest leader
+    that is not after it is among them. A group names `most` + 1 leaders for a class at most, one where the class is one row."""
+    groups = met(classes.select("id", "last", "simhash", "leads"), size).select(*KEY, "side", "id", "last", "simhash", "leads")
+    return groups.mapInArrow(naming(most), "simhash long, leader long, distance int")
